@@ -103,7 +103,7 @@ def is_numeric_text(c) -> Column:
 def to_iso_date(c) -> Column:
     """Strict ``yyyy-MM-dd`` text → date, other formats → null."""
     txt = _c(c).cast("string")
-    return F.when(txt.rlike(ISO_DATE_TEXT), F.try_to_date(txt, F.lit("yyyy-MM-dd")))
+    return F.when(txt.rlike(ISO_DATE_TEXT), F.try_to_date(txt, "yyyy-MM-dd"))
 
 
 def is_iso_date(c) -> Column:

@@ -76,7 +76,7 @@ sales_raw AS (
          ELSE ({_sql_list(CITIES)})[user_id % {len(CITIES)} + 1] END AS ciudad,
     CASE WHEN event_id % 5 = 0 THEN NULL
          ELSE CAST(json_extract_string(props, '$.k') AS DOUBLE) * 1.25 END AS descuento
-  FROM events)"""
+  FROM (SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_type = 'error') e)"""
 
 VIEWS["portfolio"] = """
 portfolio AS (

@@ -142,8 +142,11 @@ def sales_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     id%17 → '0', id%19 → '600'; precio: id%7 → 'abc', id%43 → negative,
     id%47 → '0'; ciudad: id%53 → null, id%59 → ''; descuento from the
     ``k`` field of ``props`` ×1.25 (so some exceed 100), null when id%5 == 0.
+    The source delivers every ``error`` event twice (whole-row duplicates
+    for the de-duplication step): a UNION ALL over the whole table.
     """
-    e = table(spark, sf_dir, "events")
+    ev = table(spark, sf_dir, "events")
+    e = ev.unionByName(ev.filter(F.col("event_type") == "error"))
     i = F.col("event_id")
     day = F.col("ts").cast("date")
     fecha = (F.when(i % 29 == 0, F.lit(None).cast("string"))
