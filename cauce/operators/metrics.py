@@ -5,10 +5,10 @@ Everything is an aggregate over a (label, score/prediction) frame:
 * confusion / precision / recall / F1: one fused ``count_if`` aggregate;
 * exact tie-aware ROC-AUC: scores are first grouped (one row per distinct
   score, hot scores collapse map-side), then a running count of negatives
-  below each score is computed with *two-pass offsets*: the distinct-score
-  table is range-partitioned by score, per-partition totals (one row per
-  partition) give each partition's offset, and a running sum inside each
-  partition finishes the job.  No unpartitioned window over raw rows;
+  below each score is computed with *two-pass offsets*: the distinct scores
+  are cut into value-range buckets (bounds from a bounded sample), per-bucket
+  totals (one row per bucket) give each bucket's offset, and a running sum
+  inside each bucket finishes the job.  No unpartitioned window over raw rows;
 * correlation / histogram / boxplot: fused aggregates and exact quantiles
   from ``cauce.operators.quality``.
 """
@@ -17,10 +17,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cauce.operators import quality as Q
+from cauce.operators.ordering import cumulative_below
 
 
 def _safe_div(a, b):
@@ -52,25 +53,11 @@ def score_groups(df: DataFrame, label: str = "label", score: str = "score") -> D
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
 
 
-def running_below(groups: DataFrame, order: str, cols, partitions: int | None = None) -> DataFrame:
-    """For each row, the sums of ``cols`` over all rows with a smaller ``order``.
-
-    Two-pass offsets: range-partition by ``order``; per-partition totals
-    (one row each) → exclusive prefix over partitions (a window over a
-    partition-count-sized table); running sums inside each partition.
-    ``order`` must be unique in ``groups``.
-    """
-    n = partitions or groups.sparkSession.sparkContext.defaultParallelism
-    ranged = groups.repartitionByRange(n, order).withColumn("_pid", F.spark_partition_id())
-    totals = ranged.groupBy("_pid").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
-    w_all = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", *[F.coalesce(F.sum(f"_t_{c}").over(w_all), F.lit(0)).alias(f"_o_{c}")
-                                      for c in cols])
-    w_in = Window.partitionBy("_pid").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    local = ranged.select("*", *[F.coalesce(F.sum(c).over(w_in), F.lit(0)).alias(f"_l_{c}") for c in cols])
-    j = local.join(F.broadcast(offsets), "_pid")  # offsets: one row per partition (bounded)
-    return j.select(*groups.columns,
-                    *[(F.col(f"_o_{c}") + F.col(f"_l_{c}")).alias(f"{c}_below") for c in cols])
+def running_below(groups: DataFrame, order: str, cols) -> DataFrame:
+    """For each row, the sums of ``cols`` over all rows with a smaller ``order``
+    (unique in ``groups``): value-range buckets from a bounded sample give
+    per-bucket offsets, then running sums inside each bucket."""
+    return cumulative_below(groups, order, cols)
 
 
 def auc_gini(df: DataFrame, label: str = "label", score: str = "score", decimals: int = 4) -> DataFrame:

@@ -1 +1 @@
-"""sinks."""
+"""Sinks."""
