@@ -29,10 +29,17 @@ NO_MODEL = "No disponible"
 SUPPLIER_CATALOG_SIZE = 10  # the reference divides by a literal 10 (SURVEY D6)
 
 
+# KPIs reported as whole numbers (formatted without decimals in messages)
+INTEGER_KPIS = {"errores_validacion", "filas_cargadas_neon", "clientes_alto_riesgo"}
+
+
 def rule_table(spark: SparkSession) -> DataFrame:
-    rows = [(k, None if w is None else float(w), None if c is None else float(c), lab, d)
+    """The 10 rules with thresholds as numbers and as written (for messages)."""
+    rows = [(k, None if w is None else float(w), None if c is None else float(c),
+             None if w is None else str(w), None if c is None else str(c), lab, d)
             for k, w, c, lab, d in ALERT_RULES]
-    return spark.createDataFrame(rows, "key string, warn double, crit double, label string, direccion string")
+    return spark.createDataFrame(rows, "key string, warn double, crit double, warn_txt string, "
+                                       "crit_txt string, label string, direccion string")
 
 
 def completeness_of(df: DataFrame) -> DataFrame:
@@ -57,7 +64,7 @@ def high_risk(scored: DataFrame, seg: str = "segmento_riesgo") -> DataFrame:
                       F.round(alto / F.greatest(n, F.lit(1)) * 100, 2).alias("tasa_riesgo_alto"))
 
 
-def supplier_response(quotes: DataFrame, catalog_size: int = SUPPLIER_CATALOG_SIZE) -> F.Column:
+def supplier_response(quotes: DataFrame, catalog_size=SUPPLIER_CATALOG_SIZE) -> F.Column:
     """distinct suppliers / catalogue size ×100, 1 decimal (scalar)."""
     return quotes.agg(F.round(F.count_distinct("proveedor_id") / catalog_size * 100, 1)).scalar()
 
@@ -118,10 +125,12 @@ def kpi_report(spark: SparkSession, *, requests: DataFrame, quotes: DataFrame, q
     return one.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
 
 
-def _fmt(v):
-    """Python-like text of a KPI value: whole numbers without '.0' only when integral ints."""
-    return F.when(F.col("direccion") == "bool",
-                  F.when(v == 1, F.lit("True")).otherwise(F.lit("False"))).otherwise(v.cast("string"))
+def value_text(kpi, v) -> F.Column:
+    """Text of a KPI value as the reference prints it: booleans True/False,
+    whole-number KPIs without decimals, others as doubles."""
+    return (F.when(kpi == "disponibilidad_api", F.when(v == 1, F.lit("True")).otherwise(F.lit("False")))
+            .when(kpi.isin(*INTEGER_KPIS), v.cast("bigint").cast("string"))
+            .otherwise(v.cast("string")))
 
 
 def alerts(report: DataFrame, rules: DataFrame) -> DataFrame:
@@ -132,23 +141,19 @@ def alerts(report: DataFrame, rules: DataFrame) -> DataFrame:
     """
     j = report.join(F.broadcast(rules), report["kpi"] == rules["key"], "inner")  # 10-row rule table
     v = F.col("valor")
-    fmt_v = _fmt(v)
-    fmt = lambda x: F.regexp_replace(x.cast("string"), r"\.0$", "")
-    crit_msg = lambda op: F.concat(F.col("label"), F.lit(" = "), fmt_v, F.lit(f" (umbral critico: {op}"),
-                                   fmt(F.col("crit")), F.lit(")"))
-    warn_msg = lambda op: F.concat(F.col("label"), F.lit(" = "), fmt_v, F.lit(f" (umbral warning: {op}"),
-                                   fmt(F.col("warn")), F.lit(")"))
+    txt = value_text(F.col("key"), v)
     d = F.col("direccion")
     nivel = (F.when(v.isNull(), F.lit(None))
-             .when((d == "bool") & (v == 0), F.lit("CRITICAL"))
-             .when((d == "max") & F.col("crit").isNotNull() & (v >= F.col("crit")), F.lit("CRITICAL"))
-             .when((d == "max") & F.col("warn").isNotNull() & (v >= F.col("warn")), F.lit("WARNING"))
-             .when((d == "min") & F.col("crit").isNotNull() & (v <= F.col("crit")), F.lit("CRITICAL"))
-             .when((d == "min") & F.col("warn").isNotNull() & (v <= F.col("warn")), F.lit("WARNING")))
-    msg = (F.when(d == "bool", F.concat(F.col("label"), F.lit(" = "), fmt_v, F.lit(" — API no disponible")))
-           .when((d == "max") & (nivel == "CRITICAL"), crit_msg("<="))
-           .when(d == "max", warn_msg("<="))
-           .when((d == "min") & (nivel == "CRITICAL"), crit_msg(">="))
-           .otherwise(warn_msg(">=")))
+             .when(d == "bool", F.when(v == 0, F.lit("CRITICAL")))
+             .when((d == "max") & (v >= F.col("crit")), F.lit("CRITICAL"))
+             .when((d == "max") & (v >= F.col("warn")), F.lit("WARNING"))
+             .when((d == "min") & (v <= F.col("crit")), F.lit("CRITICAL"))
+             .when((d == "min") & (v <= F.col("warn")), F.lit("WARNING")))
+    op = F.when(d == "max", F.lit("<=")).otherwise(F.lit(">="))
+    msg = F.when(d == "bool", F.concat(F.col("label"), F.lit(" = "), txt, F.lit(" — API no disponible"))) \
+        .otherwise(F.concat(
+            F.col("label"), F.lit(" = "), txt,
+            F.when(nivel == "CRITICAL", F.lit(" (umbral critico: ")).otherwise(F.lit(" (umbral warning: ")),
+            op, F.when(nivel == "CRITICAL", F.col("crit_txt")).otherwise(F.col("warn_txt")), F.lit(")")))
     return (j.withColumn("nivel", nivel).filter(F.col("nivel").isNotNull())
-             .select(F.col("key"), fmt_v.alias("valor"), "nivel", msg.alias("mensaje")))
+             .select("key", txt.alias("valor"), "nivel", msg.alias("mensaje")))

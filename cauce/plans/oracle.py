@@ -102,6 +102,12 @@ scored_lines AS (
     l_discount * 10 AS score, CAST(l_discount * 10 >= 0.5 AS INTEGER) AS pred
   FROM lineitem)"""
 
+VIEWS["negotiations"] = """
+negotiations AS (
+  SELECT conv_id * 100 + turn AS id, conv_id AS cotizacion_id,
+    CAST(floor(turn / 2) + 1 AS INTEGER) AS ronda, text AS email_enviado
+  FROM conversations WHERE role = 'user')"""
+
 # views that depend on others
 _DEPS = {"quotes_named": ["quotes"]}
 

@@ -237,3 +237,19 @@ def scored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         score.alias("score"),
         (score >= 0.5).cast("int").alias("pred"),
     )
+
+
+def negotiations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negotiation rounds (negociaciones) from ``conversations``.
+
+    Each conversation is one negotiation over quote ``conv_id``; every
+    buyer ('user') turn is an offer sent in round turn/2 + 1 and the next
+    'assistant' turn's text is not needed for the KPIs.
+    """
+    c = table(spark, sf_dir, "conversations")
+    return c.filter(F.col("role") == "user").select(
+        (F.col("conv_id") * 100 + F.col("turn")).alias("id"),
+        F.col("conv_id").alias("cotizacion_id"),
+        (F.floor(F.col("turn") / 2) + 1).cast("int").alias("ronda"),
+        F.col("text").alias("email_enviado"),
+    )
