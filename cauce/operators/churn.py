@@ -23,17 +23,25 @@ from cauce.operators import metrics as M
 
 SEED = 42
 TEST_FRACTION = 0.2
+N_FOLDS = 5
+FOLD_SEED = 7
+# FIXED VALUES — random-forest grid searched by the reference.
+GRID_TREES = [100, 200, 300]
+GRID_DEPTH = [4, 6, 8, None]
+GRID_MIN_LEAF = [1, 2, 4]
+SPARK_MAX_DEPTH = 30  # "no limit" in the reference; Spark trees stop at depth 30
 # Lehmer generator constants (a deterministic per-key uniform in [0,1),
 # expressible in SQL so the split can be checked by an oracle).
 _LEHMER_A = 48271
+_LEHMER_FOLD_A = 16807  # a different multiplier: folds independent of the split
 _LEHMER_M = 2147483647
 
 
-def split_uniform(key, seed: int = SEED):
+def split_uniform(key, seed: int = SEED, a: int = _LEHMER_A):
     """Deterministic pseudo-uniform in [0,1) from an integer key and a seed."""
     k = F.col(key) if isinstance(key, str) else key
-    x = F.pmod(k * _LEHMER_A + F.lit(seed), F.lit(_LEHMER_M))
-    x = F.pmod(x * _LEHMER_A, F.lit(_LEHMER_M))
+    x = F.pmod(k * a + F.lit(seed), F.lit(_LEHMER_M))
+    x = F.pmod(x * a, F.lit(_LEHMER_M))
     return x / F.lit(float(_LEHMER_M))
 
 
@@ -47,6 +55,12 @@ def stratified_split(df: DataFrame, key: str, target: str, test_fraction: float
     return df.withColumn("es_test", split_uniform(key, seed) < test_fraction)
 
 
+def with_folds(df: DataFrame, key: str, n_folds: int = N_FOLDS, seed: int = FOLD_SEED) -> DataFrame:
+    """Add ``fold`` in [0, n_folds): a per-key deterministic draw, the same
+    distribution in every class (stratified in expectation)."""
+    return df.withColumn("fold", F.floor(split_uniform(key, seed, _LEHMER_FOLD_A) * n_folds).cast("int"))
+
+
 def class_weights(df: DataFrame, target: str) -> DataFrame:
     """Balanced weights n / (k · n_c) per class."""
     counts = df.groupBy(F.col(target).alias("clase")).agg(F.count(F.lit(1)).alias("n"))
@@ -198,3 +212,69 @@ def save_model(model: PipelineModel, path: str) -> None:
 
 def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
+
+
+def grid_search(train: DataFrame, features, weight: str = "peso", parallelism: int = 8):
+    """CrossValidator over the reference's forest grid, scored by recall of
+    class 1, on the ``fold`` column; refits the best on the whole train."""
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    rf = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol=weight, seed=SEED)
+    grid = (ParamGridBuilder()
+            .addGrid(rf.numTrees, GRID_TREES)
+            .addGrid(rf.maxDepth, [d if d is not None else SPARK_MAX_DEPTH for d in GRID_DEPTH])
+            .addGrid(rf.minInstancesPerNode, GRID_MIN_LEAF).build())
+    ev = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction",
+                                           metricName="recallByLabel", metricLabel=1.0)
+    assembled = assemble(features).transform(train)
+    cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, evaluator=ev, foldCol="fold", numFolds=N_FOLDS,
+                        parallelism=parallelism, seed=SEED)
+    model = cv.fit(assembled)
+    rows = []
+    for pm, metric in zip(grid, model.avgMetrics):
+        d = {p.name: v for p, v in pm.items()}
+        rows.append((int(d["numTrees"]), int(d["maxDepth"]), int(d["minInstancesPerNode"]), float(metric)))
+    spark = train.sparkSession
+    table = spark.createDataFrame(rows, "num_trees int, max_depth int, min_leaf int, recall_cv double")
+    best = PipelineModel(stages=[assemble(features), model.bestModel])
+    best_i = max(range(len(rows)), key=lambda i: (rows[i][3], -i))
+    return best, table, rows[best_i]
+
+
+def train_and_select(df: DataFrame, features, target: str, key: str, with_grid: bool = False) -> dict:
+    """Fit the candidates (and optionally the tuned forest), evaluate on the
+    test split and select by recall then F1 (first listed on ties)."""
+    results = train_models(df, features, target, key)
+    out = {"grid": None}
+    if with_grid:
+        split = with_folds(stratified_split(df, key, target), key)
+        train = with_class_weight(split.filter(~F.col("es_test")), target).withColumn(
+            "label", F.col(target).cast("double")).persist()
+        test = split.filter(F.col("es_test")).withColumn("label", F.col(target).cast("double"))
+        t0 = time.perf_counter()
+        best, table, best_row = grid_search(train, features)
+        metrics = evaluate(best.transform(test)).first()
+        results["Random Forest (optimizado)"] = {
+            "model": best, "metrics": metrics, "seconds": round(time.perf_counter() - t0, 4),
+            "scaled": False, "params": next(iter(results.values()))["params"]}
+        out["grid"] = table
+        out["grid_best"] = best_row
+        train.unpersist()
+    names = list(results)
+    best_name = max(names, key=lambda n: (results[n]["metrics"]["recall"], results[n]["metrics"]["f1"],
+                                          -names.index(n)))
+    b = results[best_name]
+    split = stratified_split(df, key, target)
+    test = split.filter(F.col("es_test")).withColumn("label", F.col(target).cast("double"))
+    test_x, _, _ = standardize(test, None, features) if False else (test, None, None)
+    if b["scaled"]:
+        test_x = test.withColumns({f"{c}_esc": F.when(F.lit(b["params"][c][1]) == 0, F.lit(0.0))
+                                   .otherwise((F.col(c) - F.lit(b["params"][c][0])) / F.lit(b["params"][c][1]))
+                                   for c in features})
+    scored = b["model"].transform(test_x).select(F.col("label").cast("int").alias("label"),
+                                                  F.col("prediction").cast("int").alias("pred"))
+    out.update(results=results, best_name=best_name, best_model=b["model"], params=b["params"],
+               scaled=b["scaled"], feature_cols=[f"{c}_esc" for c in features] if b["scaled"] else list(features),
+               confusion=M.confusion(scored))
+    return out

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from cauce.plans import q_governance, q_kpi, q_metrics, q_procurement, q_quality, q_sales  # noqa: F401
+from cauce.plans import (q_churn, q_governance, q_kpi, q_metrics, q_procurement, q_quality,  # noqa: F401
+                         q_sales, q_streaming)
 from cauce.plans.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]

@@ -74,9 +74,18 @@ def quotes(spark: SparkSession, sf_dir: str, with_names: bool = False) -> DataFr
     (a join with ``supplier`` that AQE may turn into a broadcast when the
     measured side is small; no hint, so it stays a shuffle join at scale).
     """
-    li = table(spark, sf_dir, "lineitem")
+    q = quotes_from(table(spark, sf_dir, "lineitem"))
+    if with_names:
+        s = table(spark, sf_dir, "supplier").select(
+            F.col("s_suppkey").alias("proveedor_id"), F.col("s_name").alias("proveedor_nombre"))
+        q = q.join(s, "proveedor_id", "left")
+    return q
+
+
+def quotes_from(li: DataFrame) -> DataFrame:
+    """The quote projection over a lineitem-shaped frame (batch or stream)."""
     names = F.array(*[F.lit(n) for n in PRODUCT_NAMES])
-    q = li.select(
+    return li.select(
         F.col("l_orderkey").alias("solicitud_id"),
         F.col("l_partkey").alias("producto_id"),
         F.element_at(names, (F.pmod("l_partkey", F.lit(len(PRODUCT_NAMES))) + 1).cast("int"))
@@ -89,11 +98,6 @@ def quotes(spark: SparkSession, sf_dir: str, with_names: bool = False) -> DataFr
         (F.col("l_discount") * 400).alias("risk_score"),
         F.col("l_shipdate").alias("timestamp"),
     )
-    if with_names:
-        s = table(spark, sf_dir, "supplier").select(
-            F.col("s_suppkey").alias("proveedor_id"), F.col("s_name").alias("proveedor_nombre"))
-        q = q.join(s, "proveedor_id", "left")
-    return q
 
 
 def rut_text(key) -> F.Column:
