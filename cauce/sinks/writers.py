@@ -19,7 +19,9 @@ ID_NAMES = {"id", "cliente_id", "id_cliente", "customer_id", "customerid", "clie
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+    """Header CSV; text is written as is (Spark's writer trims by default)."""
+    (df.write.mode(mode).option("header", True).option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
