@@ -200,3 +200,33 @@ def age_band(c) -> Column:
     for upper, label in AGE_BANDS:
         expr = F.when(x < upper, label) if expr is None else expr.when(x < upper, label)
     return expr.when(x.isNotNull(), AGE_BAND_TOP)
+
+
+# ---------------------------------------------------------------------------
+# Documented rules (strategy document; not coded in the reference)
+# ---------------------------------------------------------------------------
+
+# FIXED VALUES — documented rule parameters.
+AGE_CLAMP = (0, 120)
+BINARY_VALUES = (0, 1)
+LATIN_TEXT = r"^[a-zA-Z0-9\s\.,!\?\-\(\)áéíóúÁÉÍÓÚñÑ]+$"
+FALLBACK_COMPLAINTS = 5
+
+
+def clamp_age(c) -> Column:
+    lo, hi = AGE_CLAMP
+    return F.least(F.greatest(_c(c), F.lit(lo)), F.lit(hi))
+
+
+def is_binary(c) -> Column:
+    return F.coalesce(_c(c).isin(*BINARY_VALUES), F.lit(False))
+
+
+def is_latin_text(c) -> Column:
+    return F.coalesce(_c(c).rlike(LATIN_TEXT), F.lit(False))
+
+
+def fallback_segment(complaints) -> Column:
+    """Segment without a model: more than 5 complaints → ALTO, else BAJO."""
+    x = _c(complaints)
+    return F.when(x > FALLBACK_COMPLAINTS, F.lit("ALTO")).when(x.isNotNull(), F.lit("BAJO"))

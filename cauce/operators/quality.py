@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -108,17 +109,25 @@ def order_statistics(long: DataFrame, wanted: dict) -> dict:
 
 
 def quantiles_long(long: DataFrame, probs) -> dict:
-    """{(sid, p): value} with linear interpolation, (1-d)·lo + d·hi (DuckDB quantile_cont)."""
-    counts = {r["sid"]: r["n"] for r in long.filter(F.col("v").isNotNull() & ~F.isnan("v"))
-              .groupBy("sid").agg(F.count(F.lit(1)).alias("n")).collect()}
-    need, wanted = {}, {}
-    for sid, n in counts.items():
-        for p in probs:
-            h = (n - 1) * p
-            a, b = math.floor(h), math.ceil(h)
-            need[(sid, p)] = (a, b, h - a)
-            wanted.setdefault(sid, set()).update({a, b})
-    stats = order_statistics(long, wanted)
+    """{(sid, p): value} with linear interpolation, (1-d)·lo + d·hi (DuckDB quantile_cont).
+
+    The (sid, v) frame is persisted (memory and disk) for the few selection
+    passes, so an expensive source is computed once; lost blocks are
+    recomputed from lineage.
+    """
+    base = long.filter(F.col("v").isNotNull() & ~F.isnan("v")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        counts = {r["sid"]: r["n"] for r in base.groupBy("sid").agg(F.count(F.lit(1)).alias("n")).collect()}
+        need, wanted = {}, {}
+        for sid, n in counts.items():
+            for p in probs:
+                h = (n - 1) * p
+                a, b = math.floor(h), math.ceil(h)
+                need[(sid, p)] = (a, b, h - a)
+                wanted.setdefault(sid, set()).update({a, b})
+        stats = order_statistics(base, wanted)
+    finally:
+        base.unpersist()
     out = {}
     for (sid, p), (a, b, frac) in need.items():
         lo, hi = stats[(sid, a)], stats[(sid, b)]
@@ -253,20 +262,26 @@ def imbalance_ratio(df: DataFrame, target: str) -> DataFrame:
 def impute_all(df: DataFrame, method: str = "exact") -> DataFrame:
     """Columns with nulls: numeric → median, others → mode; others untouched.
 
-    Null presence per column is one aggregate; each fill value is a scalar
-    (no join), applied in one projection.
+    Null presence per column is one aggregate; all medians come from one
+    batched selection (or the sketch), modes from grouped counts; the fills
+    are literals / scalars applied in one projection (no join).
     """
     nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns]).first()
     numeric = set(numeric_columns(df))
+    need_num = [c for c in df.columns if nulls[c] > 0 and c in numeric]
+    medians = {}
+    if need_num and method == "exact":
+        q = quantiles_long(to_long(df, {c: c for c in need_num}), [0.5])
+        medians = {c: F.lit(q.get((c, 0.5))) for c in need_num}
+    elif need_num:
+        medians = {c: quantile_column(df, c, 0.5, method) for c in need_num}
+    types = dict(df.dtypes)
     fills = {}
     for c in df.columns:
         if nulls[c] == 0:
             continue
-        if c in numeric:
-            fill = quantile_column(df, c, 0.5, method)
-        else:
-            fill = mode_value(df, c)
-        fills[c] = F.coalesce(F.col(c), fill.cast(dict(df.dtypes)[c]))
+        fill = medians[c] if c in numeric else mode_value(df, c)
+        fills[c] = F.coalesce(F.col(c), fill.cast(types[c]))
     return df.withColumns(fills) if fills else df
 
 

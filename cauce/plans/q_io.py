@@ -92,7 +92,17 @@ def src_quotes_batch(spark, d):
     return FS.read_quotes(spark, path, "json", schema)
 
 
-@register("src_valid_invalid", None)
+@register("src_valid_invalid", f"""
+WITH f AS (
+  SELECT coalesce({O.sql_to_date('fecha')} IS NOT NULL, false)
+    AND {O.sql_is_numeric('cantidad')} AND {O.sql_is_numeric('precio')}
+    AND coalesce({O.sql_to_double('cantidad')} > 0 AND {O.sql_to_double('cantidad')} <= {S.QUANTITY_MAX}, false)
+    AND coalesce({O.sql_to_double('precio')} > 0, false)
+    AND (descuento IS NULL OR coalesce(descuento >= 0 AND descuento <= 100, false))
+    AND NOT (producto IS NULL OR length({O.sql_strip('producto')}) = 0)
+    AND NOT (ciudad IS NULL OR length({O.sql_strip('ciudad')}) = 0) AS ok FROM sales_raw)
+SELECT CASE WHEN ok THEN 'valido' ELSE 'error' END AS estado_calidad, count(*) AS count FROM f GROUP BY 1""",
+          views=("sales_raw",))
 def src_valid_invalid(spark, d):
     """The two validated outputs of the sales job, read back with their counts."""
     out = _scratch(spark, "sales_job")

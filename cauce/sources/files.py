@@ -78,3 +78,21 @@ def read_quotes(spark: SparkSession, path: str, fmt: str = "json", schema: str =
     """A batch of quote records (json or parquet) with the declared schema."""
     r = spark.read.schema(schema)
     return r.json(path) if fmt == "json" else r.parquet(path)
+
+
+def with_retry(read, attempts: int = 3, base_delay: float = 1.0, fallback=None, sleep=None):
+    """Call ``read()`` with exponential backoff (1 s, 2 s, 4 s …); after the
+    last failure return ``fallback()`` (e.g. the last successful run's
+    table) when given, else re-raise."""
+    import time as _time
+    pause = sleep or _time.sleep
+    for i in range(attempts):
+        try:
+            return read()
+        except Exception:  # noqa: BLE001
+            if i == attempts - 1:
+                if fallback is not None:
+                    return fallback()
+                raise
+            pause(base_delay * (2 ** i))
+    return None
