@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from cauce.functions import rules as R
 from cauce.operators import metrics as M
+from cauce.session import ensure_checkpoint_dir
 
 SEED = 42
 TEST_FRACTION = 0.2
@@ -133,6 +134,10 @@ def train_models(df: DataFrame, features, target: str, key: str, scaled_models=(
     persisted once (MEMORY_AND_DISK, recomputable from source if an executor
     is lost); ``seconds`` is each fit's wall time while sharing the cluster.
     """
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None):
+        # GBT rounds checkpoint their state there every checkpointInterval
+        ensure_checkpoint_dir(spark)
     split = stratified_split(df, key, target)
     train = with_class_weight(split.filter(~F.col("es_test")), target).withColumn(
         "label", F.col(target).cast("double"))

@@ -135,17 +135,24 @@ def correlation(df: DataFrame, cols, decimals: int = 4) -> DataFrame:
 
 
 def histogram(df: DataFrame, cols, bins: int = 20) -> DataFrame:
-    """(columna, bin, n): equal-width bins over [min, max], last bin closed."""
-    parts = []
+    """(columna, bin, n): equal-width bins over [min, max], last bin closed.
+
+    One aggregate gives every column's min and max; one pass then unpivots
+    (columna, bin) pairs and counts them with a single grouped aggregate.
+    """
+    mm = df.agg(*[F.min(F.col(c).cast("double")).alias(f"{c}__lo") for c in cols],
+                *[F.max(F.col(c).cast("double")).alias(f"{c}__hi") for c in cols]).first()
+    structs = []
     for c in cols:
         x = F.col(c).cast("double")
-        lo = df.agg(F.min(x)).scalar()
-        hi = df.agg(F.max(x)).scalar()
-        b = F.when(hi == lo, F.lit(0)).otherwise(
-            F.least(F.floor((x - lo) / (hi - lo) * bins), F.lit(bins - 1))).cast("int")
-        parts.append(df.filter(x.isNotNull()).groupBy(b.alias("bin"))
-                     .agg(F.count(F.lit(1)).alias("n")).select(F.lit(c).alias("columna"), "bin", "n"))
-    return reduce(DataFrame.unionByName, parts)
+        lo, hi = mm[f"{c}__lo"], mm[f"{c}__hi"]
+        if lo is None:
+            continue
+        b = F.lit(0) if hi == lo else F.least(F.floor((x - F.lit(lo)) / F.lit(hi - lo) * bins),
+                                               F.lit(bins - 1)).cast("int")
+        structs.append(F.struct(F.lit(c).alias("columna"), F.when(x.isNotNull(), b).alias("bin")))
+    long = df.select(F.explode(F.array(*structs)).alias("s")).select("s.columna", "s.bin")
+    return long.filter(F.col("bin").isNotNull()).groupBy("columna", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 def column_means(df: DataFrame, cols, decimals: int = 4) -> DataFrame:
