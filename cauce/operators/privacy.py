@@ -36,6 +36,13 @@ def add_rut_hash(suppliers: DataFrame, salt: str = R.DEFAULT_SALT, drop_original
     return out.drop("rut") if drop_original else out
 
 
+def sensitive_columns(df: DataFrame) -> list[str]:
+    """Columns flagged ``{"sensible": true}`` in their metadata, plus the
+    known sensitive names."""
+    flagged = [f.name for f in df.schema.fields if (f.metadata or {}).get("sensible")]
+    return [c for c in df.columns if c in flagged or c in SENSITIVE_COLUMNS]
+
+
 def role_view(df: DataFrame, role: str) -> DataFrame:
     """The frame as a role may see it: generalised age without 'ver_sensibles',
     no scoring columns without 'ver_scoring'.  Unknown role → PermissionError."""
@@ -44,7 +51,7 @@ def role_view(df: DataFrame, role: str) -> DataFrame:
     perms = ROLES[role]
     out = df
     if not perms["ver_sensibles"]:
-        out = out.withColumns({c: R.age_band(c) for c in SENSITIVE_COLUMNS if c in out.columns})
+        out = out.withColumns({c: R.age_band(c) for c in sensitive_columns(out)})
     if not perms["ver_scoring"]:
         out = out.drop(*[c for c in SCORING_COLUMNS if c in out.columns])
     return out

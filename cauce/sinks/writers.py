@@ -100,10 +100,23 @@ def write_predictions(records: DataFrame, base: str) -> None:
     write_json(manifest.coalesce(1), f"{base}/manifiesto")
 
 
-def read_predictions(spark: SparkSession, base: str, limit: int | None = 50) -> DataFrame:
-    """Newest predictions in a stable order, optionally the first ``limit``."""
-    df = spark.read.json(f"{base}/predicciones")
-    df = df.orderBy("fila")
+def read_predictions(spark: SparkSession, base: str, limit: int | None = 50,
+                     csv_fallback: str | None = None, csv_schema: str | None = None) -> DataFrame:
+    """Newest predictions in a stable order, optionally the first ``limit``.
+
+    JSON records first; when they are missing, the scored CSV at
+    ``csv_fallback`` (rows in id order) stands in."""
+    try:
+        df = spark.read.json(f"{base}/predicciones")
+        df.schema  # noqa: B018 - resolves the path
+        df = df.orderBy("fila")
+    except Exception:  # noqa: BLE001
+        if csv_fallback is None:
+            raise
+        r = spark.read.option("header", True)
+        df = (r.schema(csv_schema) if csv_schema else r).csv(csv_fallback)
+        idc = id_column(df)
+        df = df.orderBy(*([idc] if idc else df.columns))
     return df.limit(limit) if limit is not None else df
 
 

@@ -217,7 +217,8 @@ def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     churned = F.col("last_order").isNull() | (F.col("last_order").cast("date") < F.date_sub(data_end, 365))
     return j.select(
         F.col("c_custkey").alias("cliente_id"),
-        (F.lit(18) + F.pmod(F.col("c_custkey") * 7, F.lit(52))).cast("int").alias("edad"),
+        (F.lit(18) + F.pmod(F.col("c_custkey") * 7, F.lit(52))).cast("int").alias(
+            "edad", metadata={"sensible": True, "desc": "edad del titular (años)"}),
         F.coalesce(years, F.lit(0)).cast("int").alias("anos_cliente"),
         (F.coalesce(F.col("spend"), F.lit(0.0)) / 50000).alias("uso_datos_gb"),
         F.coalesce(F.col("n_orders"), F.lit(0)).cast("int").alias("llamadas_mes"),
