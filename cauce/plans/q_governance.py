@@ -126,10 +126,10 @@ def join_upsert(spark, d):
     premium customers and upserts them on cliente_id, stamping fecha_carga."""
     p = T.portfolio(spark, d)
     target = p.select("cliente_id", "edad", "reclamos", F.lit(0.0).alias("prob_abandono"),
-                      F.lit("2025-01-01 00:00:00").cast("timestamp").alias("fecha_carga"))
+                      F.lit("2025-01-01 00:00:00").cast("timestamp_ntz").alias("fecha_carga"))
     source = p.filter(F.col("plan_premium") == 1).select(
         "cliente_id", "edad", "reclamos", (F.col("uso_datos_gb") / 100.0).alias("prob_abandono"))
-    return MT.upsert(target, source, "cliente_id", "fecha_carga", F.lit(_LOAD_TS).cast("timestamp"))
+    return MT.upsert(target, source, "cliente_id", "fecha_carga", F.lit(_LOAD_TS).cast("timestamp_ntz"))
 
 
 @register("win_row_id", """
