@@ -63,7 +63,15 @@ PRICE_RANGES = [
 
 # Pseudonym: first 16 hex characters of SHA-256("<salt>:<value>").
 PSEUDONYM_HEX_CHARS = 16
-DEFAULT_SALT = "nexora-demo-salt"
+# The salt is configuration (a secret in production): ``cauce.privacy.salt``
+# in the session conf; this demo value is used only when none is given.
+DEFAULT_SALT = "cauce-demo-salt"
+SALT_CONF = "cauce.privacy.salt"
+
+
+def salt_from(spark) -> str:
+    """The pseudonymisation salt configured on the session (or the demo one)."""
+    return spark.conf.get(SALT_CONF, DEFAULT_SALT)
 
 # Numeric text accepted by the validators (Python float() grammar without
 # underscores, inf or nan); see SURVEY §8 T3.

@@ -11,6 +11,7 @@ from __future__ import annotations
 import time
 from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
@@ -63,6 +64,23 @@ def with_folds(df: DataFrame, key: str, n_folds: int = N_FOLDS, seed: int = FOLD
     return df.withColumn("fold", F.floor(split_uniform(key, seed, _LEHMER_FOLD_A) * n_folds).cast("int"))
 
 
+ROWS_PER_PARTITION = 250000
+
+
+def sized_for_fitting(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
+    """Repartition a training frame to ~rows_per_partition rows per task
+    (at most 4× the default parallelism) and persist it (memory and disk).
+
+    Iterative learners run many jobs over the same rows (GBT: several per
+    round); shuffle-sized partitioning of a small frame makes each job pay
+    for many empty tasks, while a huge frame keeps full parallelism.
+    """
+    n = df.count()
+    par = df.sparkSession.sparkContext.defaultParallelism
+    k = max(1, min(par * 4, -(-n // rows_per_partition)))
+    return df.repartition(k).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def class_weights(df: DataFrame, target: str) -> DataFrame:
     """Balanced weights n / (k · n_c) per class."""
     counts = df.groupBy(F.col(target).alias("clase")).agg(F.count(F.lit(1)).alias("n"))
@@ -143,7 +161,7 @@ def train_models(df: DataFrame, features, target: str, key: str, scaled_models=(
         "label", F.col(target).cast("double"))
     test = split.filter(F.col("es_test")).withColumn("label", F.col(target).cast("double"))
     train_s, test_s, params = standardize(train, test, features)
-    train_s = train_s.persist()
+    train_s = sized_for_fitting(train_s)
     n_w = train_s.agg(F.sum("peso")).first()[0]
     cands = models or candidate_models(n_w)
 
@@ -263,8 +281,8 @@ def train_and_select(df: DataFrame, features, target: str, key: str, with_grid:
     out = {"grid": None}
     if with_grid:
         split = with_folds(stratified_split(df, key, target), key)
-        train = with_class_weight(split.filter(~F.col("es_test")), target).withColumn(
-            "label", F.col(target).cast("double")).persist()
+        train = sized_for_fitting(with_class_weight(split.filter(~F.col("es_test")), target).withColumn(
+            "label", F.col(target).cast("double")))
         test = split.filter(F.col("es_test")).withColumn("label", F.col(target).cast("double"))
         t0 = time.perf_counter()
         best, table, best_row = grid_search(train, features)
@@ -292,3 +310,41 @@ def train_and_select(df: DataFrame, features, target: str, key: str, with_grid:
                scaled=b["scaled"], feature_cols=[f"{c}_esc" for c in features] if b["scaled"] else list(features),
                confusion=M.confusion(scored))
     return out
+
+
+SELECTION_RULE = "Máximo Recall (coste de falso negativo alto), desempate por F1"  # FIXED VALUE
+
+
+def metrics_document(trained: dict, quality: DataFrame, seconds: float) -> DataFrame:
+    """The run's metrics document as one nested row (models map, 2×2
+    confusion, importances, tuned parameters, data-quality summary).
+
+    Everything in it is bounded by the number of models / features / classes;
+    ``quality`` is the one-row ``quality_report``.
+    """
+    spark = quality.sparkSession
+    res = trained["results"]
+    per_model = F.create_map(*[x for name, r in res.items() for x in (
+        F.lit(name), F.struct(*[F.lit(float(r["metrics"][k])).alias(k) for k in
+                                ("accuracy", "precision", "recall", "f1", "roc_auc", "gini")],
+                              F.lit(r["seconds"]).cast("double").alias("tiempo_entrenamiento_s"),
+                              F.lit(bool(r["scaled"])).alias("escalado")))])
+    conf = trained["confusion"].first()
+    imp = importances(trained["best_model"], trained["feature_cols"]).collect()
+    imp_map = F.create_map(*[x for r in imp for x in (F.lit(r.variable), F.lit(round(r.importancia, 4)))])
+    best_row = trained.get("grid_best")
+    hyper = (F.create_map(F.lit("n_estimators"), F.lit(best_row[0]), F.lit("max_depth"), F.lit(best_row[1]),
+                          F.lit("min_samples_leaf"), F.lit(best_row[2]))
+             if best_row else F.create_map().cast("map<string,int>"))
+    return quality.select(
+        F.lit(trained["best_name"]).alias("modelo_seleccionado"),
+        F.lit(SELECTION_RULE).alias("criterio_seleccion"),
+        hyper.alias("hiperparametros_optimizados"),
+        F.lit(round(best_row[3], 4) if best_row else None).cast("double").alias("recall_cv5_optimizado"),
+        F.array(F.array(F.lit(conf["tn"]), F.lit(conf["fp"])),
+                F.array(F.lit(conf["fn"]), F.lit(conf["tp"]))).alias("matriz_confusion"),
+        F.struct("n_filas", "n_columnas", F.col("total_nulos").alias("nulos"), "duplicados",
+                 F.col("balance_pct"), "ratio_desbalance").alias("calidad_datos"),
+        per_model.alias("metricas_por_modelo"),
+        imp_map.alias("importancia_variables"),
+        F.lit(round(seconds, 3)).alias("tiempo_total_s"))

@@ -87,8 +87,9 @@ def load_all(store: dict, out_dir: str, run_id: str) -> dict:
 
 
 def run_procurement(spark: SparkSession, sf_dir: str, out_dir: str, run_id: str | None = None,
-                    salt: str = R.DEFAULT_SALT) -> DataFrame:
+                    salt: str | None = None) -> DataFrame:
     run_id = run_id or new_run_id()
+    salt = salt or R.salt_from(spark)
     q = T.quotes(spark, sf_dir, with_names=True)
     store = {"Solicitudes": T.requests(spark, sf_dir), "Proveedores": T.suppliers(spark, sf_dir),
              "Cotizaciones_Raw": q, "Cotizaciones": q, "Negociaciones": T.negotiations(spark, sf_dir)}
@@ -134,6 +135,9 @@ def run_churn(spark: SparkSession, sf_dir: str, out_dir: str, run_id: str | None
         F.lit(portfolio.count()).cast("int").alias("n_samples"),
         F.lit(round(time.perf_counter() - t0, 3)).alias("tiempo_total_s"))
     W.append(metrics_row, f"{out_dir}/ml_metricas", run_id)
+    profile = portfolio.select(*T.FEATURES, T.TARGET)
+    doc = C.metrics_document(t, Q.quality_report(profile, T.TARGET), time.perf_counter() - t0)
+    W.write_json(doc.coalesce(1), f"{out_dir}/metricas/run={run_id}")
     scored = C.score(Q.impute_all(portfolio), t["best_model"], T.FEATURES, t["params"], t["scaled"])
     records = W.prediction_records(scored)
     W.write_predictions(records, f"{out_dir}/predicciones/run={run_id}")

@@ -37,6 +37,8 @@ def test_churn_job_and_stream_score(spark, sf_small):
     table = J.run_churn(spark, sf_small, out, "r1")
     assert table.count() == 4
     n = T.portfolio(spark, sf_small).count()
+    doc = W.read_metrics_doc(spark, f"{out}/metricas/run=r1").first()
+    assert doc.modelo_seleccionado in doc.metricas_por_modelo and len(doc.matriz_confusion) == 2
     man = spark.read.json(f"{out}/predicciones/run=r1/manifiesto").first()
     assert man.total == n
     loaded = spark.read.parquet(f"{out}/clientes_scoreados/run=r1")
