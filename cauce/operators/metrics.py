@@ -15,7 +15,6 @@ Everything is an aggregate over a (label, score/prediction) frame:
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

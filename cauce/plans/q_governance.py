@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from cauce.functions import rules as R
 from cauce.operators import maintenance as MT
 from cauce.operators import privacy as PV
-from cauce.operators import procurement as P
 from cauce.plans import oracle as O
 from cauce.plans.registry import register
 from cauce.sources import tables as T

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from cauce.functions import rules as R
 from cauce.operators import metrics as M
-from cauce.operators import quality as Q
 from cauce.plans import oracle as O
 from cauce.plans.registry import register
 from cauce.sources import tables as T
