@@ -70,7 +70,9 @@ def run_to_table(df: DataFrame, name: str, mode: str = "append") -> str:
 
     append: a Parquet file sink (exactly-once via its commit log);
     complete/update: ``foreachBatch`` rewrites the table with the batch's
-    result (complete) or appends the updated keys (update).
+    result (complete) or writes the batch's updated keys to its own
+    ``batch=<id>`` folder (update); both are idempotent when a batch is
+    retried.
     """
     spark = df.sparkSession
     root = _run_dir(spark, name)
@@ -80,7 +82,9 @@ def run_to_table(df: DataFrame, name: str, mode: str = "append") -> str:
         q = w.outputMode("append").format("parquet").option("path", out).start()
     else:
         def sink(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite" if mode == "complete" else "append").parquet(
+            # idempotent on retry: complete mode rewrites the table, update
+            # mode rewrites the folder of its own batch id
+            batch.write.mode("overwrite").parquet(
                 out if mode == "complete" else os.path.join(out, f"batch={batch_id}"))
         q = w.outputMode(mode).foreachBatch(sink).start()
     q.awaitTermination()
