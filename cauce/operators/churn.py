@@ -247,7 +247,7 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def grid_search(train: DataFrame, features, weight: str = "peso", parallelism: int = 8):
+def grid_search(train: DataFrame, features, weight: str = "peso", parallelism: int = 16):
     """CrossValidator over the reference's forest grid, scored by recall of
     class 1, on the ``fold`` column; refits the best on the whole train."""
     from pyspark.ml.evaluation import MulticlassClassificationEvaluator

@@ -303,3 +303,12 @@ def quality_report(df: DataFrame, target: str) -> DataFrame:
     return base.select("n_filas", F.lit(len(df.columns)).alias("n_columnas"), "total_nulos",
                        dup.alias("duplicados"), bal_map.scalar().alias("balance_pct"),
                        ratio.alias("ratio_desbalance"))
+
+
+DESCRIBE_METRICS = ["count", "mean", "std", "min", "p25", "p50", "p75", "max", "mediana"]
+
+
+def describe_long(df: DataFrame, cols=None, method: str = "exact", decimals: int = 3) -> DataFrame:
+    """The descriptive statistics in long form (columna, metrica, valor)."""
+    wide = describe(df, cols, method, decimals)
+    return wide.unpivot("columna", DESCRIBE_METRICS, "metrica", "valor")

@@ -32,6 +32,21 @@ def agg_describe(spark, d):
     return Q.describe(_profile(spark, d))
 
 
+_DESCRIBE_WIDE = "\nUNION ALL\n".join(f"""
+SELECT '{c}' AS columna, CAST(count({c}) AS DOUBLE) AS count, round(avg(CAST({c} AS DOUBLE)), 3) AS mean,
+  round(stddev_samp(CAST({c} AS DOUBLE)), 3) AS std, round(CAST(min({c}) AS DOUBLE), 3) AS min,
+  round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 3) AS p25, round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 3) AS p50,
+  round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 3) AS p75, round(CAST(max({c}) AS DOUBLE), 3) AS max,
+  round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 3) AS mediana
+FROM portfolio""" for c in PROFILE_COLS)
+
+
+@register("agg_describe_long", "WITH w AS (" + _DESCRIBE_WIDE + ")\n" + "\nUNION ALL\n".join(
+    f"SELECT columna, '{m}' AS metrica, {m} AS valor FROM w" for m in Q.DESCRIBE_METRICS), views=("portfolio",))
+def agg_describe_long(spark, d):
+    return Q.describe_long(_profile(spark, d))
+
+
 @register("agg_mode", _union([f"""
 SELECT * FROM (SELECT '{c}' AS columna, CAST({c} AS VARCHAR) AS moda FROM portfolio WHERE {c} IS NOT NULL
   GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)""" for c in PROFILE_COLS]), views=("portfolio",))
