@@ -116,13 +116,25 @@ def trained(spark, d, grid: bool = False):
     return _CACHE[key]
 
 
-@register("ml_prepare")
+_TRAIN = f"NOT ({_u_sql('cliente_id', C.SEED)} < {C.TEST_FRACTION})"
+_PREP_STATS = ", ".join(f"avg(CAST({c} AS DOUBLE)) AS m_{c}, stddev_pop(CAST({c} AS DOUBLE)) AS s_{c}"
+                        for c in T.FEATURES)
+
+
+@register("ml_prepare", f"""
+WITH st AS (SELECT {_PREP_STATS} FROM portfolio WHERE {_TRAIN})
+SELECT cliente_id, {_u_sql('cliente_id', C.SEED)} < {C.TEST_FRACTION} AS es_test, {T.TARGET},
+  {", ".join(f"round(CASE WHEN s_{c} = 0 THEN 0.0 ELSE ({c} - m_{c}) / s_{c} END, 6) AS {c}_esc"
+             for c in T.FEATURES)}
+FROM portfolio, st""", views=("portfolio",))
 def ml_prepare(spark, d):
-    """Imputed, split and standardised training rows (features and _esc columns)."""
+    """Imputed, split and standardised rows (statistics fitted on the train split)."""
     p = Q.impute_all(T.portfolio(spark, d))
     s = C.stratified_split(p, "cliente_id", T.TARGET)
     train, test, _ = C.standardize(s.filter(~F.col("es_test")), s.filter(F.col("es_test")), T.FEATURES)
-    return train.unionByName(test)
+    both = train.unionByName(test)
+    return both.select("cliente_id", "es_test", T.TARGET,
+                       *[F.round(f"{c}_esc", 6).alias(f"{c}_esc") for c in T.FEATURES])
 
 
 def _model_query(name):

@@ -202,3 +202,27 @@ def job_procurement(spark, d):
 @register("job_churn")
 def job_churn(spark, d):
     return J.run_churn(spark, d, _scratch(spark, "job_churn"), "r1").drop("tiempo_entrenamiento_s")
+
+
+@register("src_predictions", f"""
+SELECT 'CLIENTE' AS entidad, CAST(cliente_id AS VARCHAR) AS entidad_id, uso_datos_gb / 100.0 AS probabilidad
+FROM portfolio
+UNION ALL
+SELECT 'CSV', CAST(cliente_id AS VARCHAR), uso_datos_gb / 100.0 FROM portfolio""", views=("portfolio",))
+def src_predictions(spark, d):
+    """Newest predictions: the JSON records of the latest run, and — where a
+    run has no JSON — the scored CSV fallback, both read in full."""
+    base = _scratch(spark, "predictions_src")
+    p = T.portfolio(spark, d)
+    prob = F.col("uso_datos_gb") / 100.0
+    scored = p.select("cliente_id", prob.alias("prob_abandono"), R.risk_segment(prob).alias("segmento_riesgo"))
+    W.write_predictions(W.prediction_records(scored), f"{base}/run=r2")
+    csv = f"{base}/scored_csv"
+    W.write_csv(scored, csv)
+    from_json = W.read_predictions(spark, f"{base}/run=r2", limit=None).select(
+        "entidad", "entidad_id", "probabilidad")
+    from_csv = W.read_predictions(spark, f"{base}/run=missing", limit=None, csv_fallback=csv,
+                                  csv_schema="cliente_id bigint, prob_abandono double, segmento_riesgo string")
+    return from_json.unionByName(from_csv.select(
+        F.lit("CSV").alias("entidad"), F.col("cliente_id").cast("string").alias("entidad_id"),
+        F.col("prob_abandono").alias("probabilidad")))
