@@ -56,8 +56,7 @@ def src_portfolio(spark, d):
     path = _scratch(spark, "portfolio_csv")
     p = T.portfolio(spark, d)
     W.write_csv(p, path)
-    return FS.read_portfolio(spark, path, schema="cliente_id bigint, " + FS.CLIENTES.replace(
-        "uso_datos_gb double", "uso_datos_gb double"))
+    return FS.read_portfolio(spark, path, schema="cliente_id bigint, " + FS.CLIENTES)
 
 
 @register("src_typed_csv", f"""

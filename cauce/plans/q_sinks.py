@@ -132,10 +132,7 @@ def sink_append_metrics(spark, d):
     return spark.read.parquet(path).drop("ts", "run")
 
 
-@register("sink_metrics_json", f"""
-SELECT modelo AS modelo_seleccionado, recall, gini FROM ({_model_sql()}) t
-ORDER BY recall DESC, f1 DESC, orden LIMIT 1""", views=("scored_lines",))
-def sink_metrics_json(spark, d):
+def _write_metrics_doc(spark, d) -> str:
     """The metrics document (nested: map of models) written as one JSON row."""
     path = _scratch(spark, "metrics_doc")
     t = _model_rows(spark, d)
@@ -143,10 +140,20 @@ def sink_metrics_json(spark, d):
     per_model = t.agg(F.map_from_entries(F.collect_list(F.struct(
         "modelo", F.struct("accuracy", "precision", "recall", "f1", "roc_auc", "gini")))).alias("m"))
     doc = best.select(F.col("modelo").alias("modelo_seleccionado"),
-                      F.lit("Máximo Recall (coste de falso negativo alto), desempate por F1")
-                      .alias("criterio_seleccion"),
+                      F.lit(C.SELECTION_RULE).alias("criterio_seleccion"),
                       per_model.select("m").scalar().alias("metricas_por_modelo"))
     W.write_json(doc.coalesce(1), path)
+    return path
+
+
+_BEST_DOC_SQL = f"""
+SELECT modelo AS modelo_seleccionado, recall, gini FROM ({_model_sql()}) t
+ORDER BY recall DESC, f1 DESC, orden LIMIT 1"""
+
+
+@register("sink_metrics_json", _BEST_DOC_SQL, views=("scored_lines",))
+def sink_metrics_json(spark, d):
+    path = _write_metrics_doc(spark, d)
     back = spark.read.schema("modelo_seleccionado string, criterio_seleccion string, metricas_por_modelo "
                              "map<string, struct<accuracy:double, precision:double, recall:double, f1:double, "
                              "roc_auc:double, gini:double>>").json(path)
@@ -154,15 +161,15 @@ def sink_metrics_json(spark, d):
     return m.select("modelo_seleccionado", "x.recall", "x.gini")
 
 
-@register("src_metrics_doc", f"""
-SELECT modelo AS modelo_seleccionado, recall, gini FROM ({_model_sql()}) t
-ORDER BY recall DESC, f1 DESC, orden LIMIT 1""", views=("scored_lines",))
+@register("src_metrics_doc", _BEST_DOC_SQL, views=("scored_lines",))
 def src_metrics_doc(spark, d):
-    """Read the latest metrics document; a missing one is an empty frame."""
-    got = sink_metrics_json(spark, d)
+    """Read the latest metrics document with the declared schema; a missing
+    document reads as an empty frame (no rows, same columns)."""
+    found = W.read_metrics_doc(spark, _write_metrics_doc(spark, d))
     missing = W.read_metrics_doc(spark, _scratch(spark, "no_doc"))
-    assert missing.schema is not None
-    return got
+    both = found.unionByName(missing)
+    m = both.select("modelo_seleccionado", F.col("metricas_por_modelo")[F.col("modelo_seleccionado")].alias("x"))
+    return m.select("modelo_seleccionado", "x.recall", "x.gini")
 
 
 @register("sink_append_predictions", f"""
