@@ -38,7 +38,7 @@ def numeric_columns(df: DataFrame) -> list[str]:
 # exact quantiles by distributed selection
 # ---------------------------------------------------------------------------
 
-def order_statistics(long: DataFrame, wanted: dict) -> dict:
+def order_statistics(long: DataFrame, wanted: dict, stats: dict | None = None) -> dict:
     """Exact order statistics for many series at once.
 
     ``long`` has columns ``sid`` (series id) and ``v`` (double); ``wanted``
@@ -53,7 +53,7 @@ def order_statistics(long: DataFrame, wanted: dict) -> dict:
     Intervals with at most SELECTION_LIMIT values are fetched and read.
     """
     base = long.filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    st = {r["sid"]: r for r in base.groupBy("sid").agg(
+    st = stats if stats is not None else {r["sid"]: r for r in base.groupBy("sid").agg(
         F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")).collect()}
     state = {}
     for sid, ranks in wanted.items():
@@ -84,11 +84,14 @@ def order_statistics(long: DataFrame, wanted: dict) -> dict:
         if not state:
             break
         keys = list(state)
-        specs = F.array(*[F.struct(F.lit(i).alias("k"), F.lit(sid).alias("sid"),
-                                   F.lit(state[(sid, r)][0]).alias("lo"), F.lit(state[(sid, r)][1]).alias("hi"))
-                          for i, (sid, r) in enumerate(keys)])
-        hits = F.filter(specs, lambda s: (s["sid"] == F.col("sid")) & (F.col("v") >= s["lo"])
-                        & (F.col("v") <= s["hi"]))
+        # sid → that series' open intervals: each row only tests its own
+        by_sid: dict = {}
+        for i, (sid, r) in enumerate(keys):
+            by_sid.setdefault(sid, []).append(F.struct(
+                F.lit(i).alias("k"), F.lit(state[(sid, r)][0]).alias("lo"), F.lit(state[(sid, r)][1]).alias("hi")))
+        specs = F.element_at(F.create_map(*[x for sid, arr in by_sid.items()
+                                            for x in (F.lit(sid), F.array(*arr))]), F.col("sid"))
+        hits = F.filter(specs, lambda s: (F.col("v") >= s["lo"]) & (F.col("v") <= s["hi"]))
         ex = base.select("v", F.explode(hits).alias("s"))
         width = (F.col("s.hi") - F.col("s.lo")) / HISTOGRAM_BINS
         b = F.least(F.floor((F.col("v") - F.col("s.lo")) / width), F.lit(HISTOGRAM_BINS - 1)).cast("int")
@@ -117,7 +120,9 @@ def quantiles_long(long: DataFrame, probs) -> dict:
     """
     base = long.filter(F.col("v").isNotNull() & ~F.isnan("v")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        counts = {r["sid"]: r["n"] for r in base.groupBy("sid").agg(F.count(F.lit(1)).alias("n")).collect()}
+        stats = {r["sid"]: r for r in base.groupBy("sid").agg(
+            F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")).collect()}
+        counts = {sid: r["n"] for sid, r in stats.items()}
         need, wanted = {}, {}
         for sid, n in counts.items():
             for p in probs:
@@ -125,12 +130,12 @@ def quantiles_long(long: DataFrame, probs) -> dict:
                 a, b = math.floor(h), math.ceil(h)
                 need[(sid, p)] = (a, b, h - a)
                 wanted.setdefault(sid, set()).update({a, b})
-        stats = order_statistics(base, wanted)
+        found = order_statistics(base, wanted, stats)
     finally:
         base.unpersist()
     out = {}
     for (sid, p), (a, b, frac) in need.items():
-        lo, hi = stats[(sid, a)], stats[(sid, b)]
+        lo, hi = found[(sid, a)], found[(sid, b)]
         out[(sid, p)] = lo * (1 - frac) + hi * frac
     return out
 

@@ -81,15 +81,21 @@ def prediction_records(scored: DataFrame, entity: str = "CLIENTE", prob: str = "
                        segment: str = "segmento_riesgo") -> DataFrame:
     """Rows of the predictions table: entidad, entidad_id (the id column, or
     the 1-based row number where there is none / it is null), score,
-    probabilidad, prediccion.  Row numbers follow the id then all columns."""
+    probabilidad, prediccion.  Row numbers follow the id then all columns;
+    when every row has an id, ``fila`` is the id and nothing is sorted."""
     idc = id_column(scored)
+    out = [F.lit(entity).alias("entidad"), None, F.col(prob).alias("score"), F.col(prob).alias("probabilidad"),
+           F.col(segment).alias("prediccion")]
+    if idc is not None and scored.agg(F.count_if(F.col(idc).isNull())).first()[0] == 0:
+        # every row has its id: no numbering (and no sort) needed
+        out[1] = F.col(idc).cast("string").alias("entidad_id")
+        return scored.select(F.col(idc).cast("long").alias("fila"), *out)
     order = ([idc] if idc else []) + [c for c in scored.columns if c != idc]
     numbered = sequential_ids(scored, order, col="fila")
     ident = F.col("fila").cast("string") if idc is None else \
         F.coalesce(F.col(idc).cast("string"), F.col("fila").cast("string"))
-    return numbered.select("fila", F.lit(entity).alias("entidad"), ident.alias("entidad_id"),
-                           F.col(prob).alias("score"), F.col(prob).alias("probabilidad"),
-                           F.col(segment).alias("prediccion"))
+    out[1] = ident.alias("entidad_id")
+    return numbered.select("fila", *out)
 
 
 def write_predictions(records: DataFrame, base: str) -> None:
