@@ -78,48 +78,54 @@ def mean_rounds(negotiations: DataFrame | None) -> F.Column:
 def kpi_report(spark: SparkSession, *, requests: DataFrame, quotes: DataFrame, quotes_raw: DataFrame,
                price_flags: DataFrame, scored: DataFrame, load_summary: DataFrame | None = None,
                model_metrics: DataFrame | None = None, negotiations: DataFrame | None = None,
-               catalog_size: int = SUPPLIER_CATALOG_SIZE, with_timestamp: bool = True) -> DataFrame:
+               catalog_size=SUPPLIER_CATALOG_SIZE, with_timestamp: bool = True,
+               only=None) -> DataFrame:
     """The 13 indicators in long form ``(kpi, valor double, texto string)``.
 
     ``price_flags`` has a boolean ``precio_valido``; ``scored`` a
     ``segmento_riesgo``; ``load_summary`` one row with ``total_filas`` and
     ``duracion_s``; ``model_metrics`` one row (modelo, recall, gini) of the
     selected model.  Every value is a scalar subquery, so the report is one
-    small projection over a one-row frame.
+    small projection over a one-row frame; ``only`` (a set of KPI names)
+    builds just those indicators and runs just their subqueries.
     """
     one = spark.range(1)
-    comp = completeness_of(requests).scalar()
-    rate = parse_rate(quotes, quotes_raw)
-    errors = price_flags.agg(F.count_if(~F.col("precio_valido"))).scalar()
-    avail = quotes.agg(F.count(F.lit(1)) >= 1).scalar()
-    if load_summary is not None:
-        rows_loaded = load_summary.agg(F.sum("total_filas")).scalar()
-        latency = load_summary.agg(F.sum("duracion_s") * 1000).scalar()
-    else:
-        rows_loaded, latency = F.lit(0), F.lit(0.0)
-    if model_metrics is not None:
-        mname = model_metrics.agg(F.first("modelo")).scalar()
-        mrec = model_metrics.agg(F.first("recall")).scalar()
-        mgini = model_metrics.agg(F.first("gini")).scalar()
-    else:
-        mname, mrec, mgini = F.lit(NO_MODEL), F.lit(0.0), F.lit(0.0)
-    hr = high_risk(scored)
-    alto = hr.select("clientes_alto_riesgo").scalar()
-    alto_pct = hr.select("tasa_riesgo_alto").scalar()
-    resp = supplier_response(quotes, catalog_size)
-    rounds = mean_rounds(negotiations)
-    items = [
-        ("completitud_datos", comp, None), ("tasa_parsing_exitoso", rate, None),
-        ("errores_validacion", errors, None), ("disponibilidad_api", avail.cast("double"), None),
-        ("filas_cargadas_neon", rows_loaded, None), ("latencia_ingesta_ms", latency, None),
-        ("modelo_activo", F.lit(None), mname), ("recall_modelo", mrec, None), ("gini_modelo", mgini, None),
-        ("clientes_alto_riesgo", alto, None), ("tasa_riesgo_alto", alto_pct, None),
-        ("tasa_respuesta_proveedores", resp, None), ("rondas_negociacion_prom", rounds, None),
-    ]
-    structs = [F.struct(F.lit(k).alias("kpi"), v.cast("double").alias("valor"),
-                        (t if t is not None else F.lit(None)).cast("string").alias("texto"))
-               for k, v, t in items]
-    if with_timestamp:
+
+    def load_total():
+        return load_summary.agg(F.sum("total_filas")).scalar() if load_summary is not None else F.lit(0)
+
+    def load_ms():
+        return load_summary.agg(F.sum("duracion_s") * 1000).scalar() if load_summary is not None else F.lit(0.0)
+
+    def model_field(name, default):
+        return model_metrics.agg(F.first(name)).scalar() if model_metrics is not None else F.lit(default)
+
+    def hr(field):
+        return high_risk(scored).select(field).scalar()
+
+    builders = {  # name → (value, text); built lazily
+        "completitud_datos": lambda: (completeness_of(requests).scalar(), None),
+        "tasa_parsing_exitoso": lambda: (parse_rate(quotes, quotes_raw), None),
+        "errores_validacion": lambda: (price_flags.agg(F.count_if(~F.col("precio_valido"))).scalar(), None),
+        "disponibilidad_api": lambda: (quotes.agg(F.count(F.lit(1)) >= 1).scalar().cast("double"), None),
+        "filas_cargadas_neon": lambda: (load_total(), None),
+        "latencia_ingesta_ms": lambda: (load_ms(), None),
+        "modelo_activo": lambda: (F.lit(None), model_field("modelo", NO_MODEL)),
+        "recall_modelo": lambda: (model_field("recall", 0.0), None),
+        "gini_modelo": lambda: (model_field("gini", 0.0), None),
+        "clientes_alto_riesgo": lambda: (hr("clientes_alto_riesgo"), None),
+        "tasa_riesgo_alto": lambda: (hr("tasa_riesgo_alto"), None),
+        "tasa_respuesta_proveedores": lambda: (supplier_response(quotes, catalog_size), None),
+        "rondas_negociacion_prom": lambda: (mean_rounds(negotiations), None),
+    }
+    structs = []
+    for k, build in builders.items():
+        if only is not None and k not in only:
+            continue
+        v, t = build()
+        structs.append(F.struct(F.lit(k).alias("kpi"), v.cast("double").alias("valor"),
+                                (t if t is not None else F.lit(None)).cast("string").alias("texto")))
+    if with_timestamp and (only is None or "timestamp" in only):
         structs.append(F.struct(F.lit("timestamp").alias("kpi"), F.lit(None).cast("double").alias("valor"),
                                 F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("texto")))
     return one.select(F.explode(F.array(*structs)).alias("s")).select("s.*")

@@ -40,8 +40,8 @@ def _inputs(spark, d):
         catalog_size=n_cat)
 
 
-def kpi_report_df(spark, d):
-    return K.kpi_report(spark, with_timestamp=False, **_inputs(spark, d))
+def kpi_report_df(spark, d, only=None):
+    return K.kpi_report(spark, with_timestamp=False, only=only, **_inputs(spark, d))
 
 
 _NULLS_REQ = " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in _REQ_COLS)
@@ -123,7 +123,7 @@ def kpi_alerts(spark, d):
 
 def _single(name):
     def q(spark, d):
-        return kpi_report_df(spark, d).filter(F.col("kpi") == name).select("kpi", "valor", "texto")
+        return kpi_report_df(spark, d, only={name}).select("kpi", "valor", "texto")
     return q
 
 
