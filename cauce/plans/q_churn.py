@@ -227,3 +227,12 @@ def ml_grid(spark, d):
     """Random-forest grid (3×4×3) with 5 stratified folds, recall of class 1."""
     t = trained(spark, d, grid=True)
     return t["grid"]
+
+
+@register("ml_tuned_forest")
+def ml_tuned_forest(spark, d):
+    """The grid's refitted forest evaluated on the test split, and the
+    selection over all five candidates (recall, then F1, first listed)."""
+    t = trained(spark, d, grid=True)
+    table = C.model_table(t["results"]).drop("tiempo_entrenamiento_s")
+    return table.withColumn("seleccionado", F.col("modelo") == F.lit(t["best_name"]))
