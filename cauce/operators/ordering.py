@@ -1,9 +1,11 @@
 """Global order without a single-partition window.
 
-``range_bucket`` maps a value to one of ~N ordered buckets whose bounds come
-from a bounded sample (at most ``sample_rows`` values reach the driver).
-The bucket is a pure function of the value, so it does not depend on
-physical partitioning or AQE coalescing and is stable under recompute.
+``range_bucket`` maps a row's order tuple to one of ~N ordered buckets whose
+bounds come from a bounded sample (at most ``sample_rows`` tuples reach the
+driver).  Bounds cover the whole order tuple, so a leading value shared by a
+third of the rows is still split by the following columns.  The bucket is a
+pure function of the values, so it does not depend on physical partitioning
+or AQE coalescing and is stable under recompute.
 Cumulative quantities then need only per-bucket totals (N rows) plus a
 window *partitioned by bucket* — each bucket a balanced slice of the order.
 """
@@ -16,48 +18,53 @@ from pyspark.sql import functions as F
 SAMPLE_ROWS = 100000
 
 
-def bucket_bounds(df: DataFrame, col: str, n_buckets: int, sample_rows: int = SAMPLE_ROWS) -> list:
-    """Up to n_buckets-1 increasing bounds from a seeded sample of ``col``."""
-    n = df.filter(F.col(col).isNotNull()).count()
+def bucket_bounds(df: DataFrame, cols, n_buckets: int, sample_rows: int = SAMPLE_ROWS) -> list:
+    """Up to n_buckets-1 increasing bounds of the ``cols`` tuple from a seeded
+    sample (rows whose leading value is null are left out: they sort first)."""
+    cols = [cols] if isinstance(cols, str) else list(cols)
+    keyed = df.filter(F.col(cols[0]).isNotNull()).select(F.struct(*[F.col(c) for c in cols]).alias("k"))
+    n = keyed.count()
     if n == 0 or n_buckets <= 1:
         return []
     frac = min(1.0, sample_rows / n)
-    s = df.select(col).filter(F.col(col).isNotNull())
-    s = s.sample(False, frac, seed=7) if frac < 1.0 else s
-    vals = [r[0] for r in s.orderBy(col).limit(int(sample_rows * 1.2) + 10).collect()]
-    if not vals:
-        return []
+    s = keyed.sample(False, frac, seed=7) if frac < 1.0 else keyed
+    vals = [tuple(r[0]) for r in s.orderBy("k").limit(int(sample_rows * 1.2) + 10).collect()]
     bounds = []
     for i in range(1, n_buckets):
-        v = vals[min(len(vals) - 1, int(len(vals) * i / n_buckets))]
-        if not bounds or v > bounds[-1]:
+        v = vals[min(len(vals) - 1, int(len(vals) * i / n_buckets))] if vals else None
+        if v is not None and None not in v and (not bounds or v > bounds[-1]):
             bounds.append(v)
     return bounds
 
 
-def range_bucket(col: str, bounds: list) -> F.Column:
-    """Number of bounds strictly below the value (nulls → -1)."""
+def range_bucket(cols, bounds: list, types: dict) -> F.Column:
+    """Number of bounds strictly below the row's ``cols`` tuple; a row whose
+    leading value is null goes to bucket -1 (nulls sort first).  Tuples
+    compare lexicographically with nulls first (struct ordering), so a hot
+    leading value is split by the next columns."""
+    cols = [cols] if isinstance(cols, str) else list(cols)
+    any_null = F.col(cols[0]).isNull()
     if not bounds:
-        return F.when(F.col(col).isNull(), F.lit(-1)).otherwise(F.lit(0))
-    arr = F.array(*[F.lit(b) for b in bounds])
-    return F.when(F.col(col).isNull(), F.lit(-1)).otherwise(
-        F.size(F.filter(arr, lambda b: b < F.col(col))))
+        return F.when(any_null, F.lit(-1)).otherwise(F.lit(0))
+    key = F.struct(*[F.col(c) for c in cols])
+    arr = F.array(*[F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(cols, b)]) for b in bounds])
+    return F.when(any_null, F.lit(-1)).otherwise(F.size(F.filter(arr, lambda b: b < key)))
 
 
 def default_buckets(df: DataFrame) -> int:
     return max(1, df.sparkSession.sparkContext.defaultParallelism * 2)
 
 
-def with_buckets(df: DataFrame, col: str, n_buckets: int | None = None) -> DataFrame:
-    bounds = bucket_bounds(df, col, n_buckets or default_buckets(df))
-    return df.withColumn("_bkt", range_bucket(col, bounds))
+def with_buckets(df: DataFrame, cols, n_buckets: int | None = None) -> DataFrame:
+    bounds = bucket_bounds(df, cols, n_buckets or default_buckets(df))
+    return df.withColumn("_bkt", range_bucket(cols, bounds, dict(df.dtypes)))
 
 
 def cumulative_below(df: DataFrame, order, cols, n_buckets: int | None = None) -> DataFrame:
     """For each row, sums of ``cols`` over all rows earlier in ``order``
     (a total order): bucket offsets (tiny) + running sums per bucket."""
     order = [order] if isinstance(order, str) else list(order)
-    b = with_buckets(df, order[0], n_buckets)
+    b = with_buckets(df, order, n_buckets)
     totals = b.groupBy("_bkt").agg(*[F.sum(c).alias(f"_t_{c}") for c in cols])
     w_all = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_bkt", *[F.coalesce(F.sum(f"_t_{c}").over(w_all), F.lit(0)).alias(f"_o_{c}")
@@ -72,7 +79,7 @@ def row_numbers(df: DataFrame, order, col: str = "id", start: int = 1, n_buckets
                 ) -> DataFrame:
     """1..N following ``order`` (a total order)."""
     order = [order] if isinstance(order, str) else list(order)
-    b = with_buckets(df, order[0], n_buckets)
+    b = with_buckets(df, order, n_buckets)
     counts = b.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_bkt", F.coalesce(F.sum("_n").over(
         Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))

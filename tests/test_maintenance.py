@@ -35,3 +35,16 @@ def test_constraints_and_orphans(spark):
     assert [r.b for r in MT.conform(df, spec).collect()] == ["x", "y", "z"]
     parent = spark.createDataFrame([(1,)], "id int")
     assert MT.orphans(df, "a", parent, "id").count() == 0
+
+
+def test_row_numbers_hot_leading_value_and_nulls(spark):
+    from cauce.operators import ordering as O
+    # a third of the rows share the leading value; nulls in both columns
+    df = spark.range(0, 3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(7)).when(F.col("id") % 101 == 0, F.lit(None))
+        .otherwise(F.col("id")).alias("a"),
+        F.when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.col("id") * 13 % 3011).alias("b"))
+    out = O.row_numbers(df, ["a", "b"], col="n", n_buckets=8)
+    assert [(r.a, r.b) for r in out.orderBy("n").collect()] == [(r.a, r.b) for r in df.orderBy("a", "b").collect()]
+    sizes = [r["count"] for r in O.with_buckets(df, ["a", "b"], 8).groupBy("_bkt").count().collect()]
+    assert max(sizes) < 3000 / 3  # the hot value is split across buckets
