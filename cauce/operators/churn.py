@@ -49,13 +49,40 @@ def split_uniform(key, seed: int = SEED, a: int = _LEHMER_A):
 
 
 def stratified_split(df: DataFrame, key: str, target: str, test_fraction: float = TEST_FRACTION,
-                     seed: int = SEED) -> DataFrame:
-    """Add ``es_test``: a per-row deterministic Bernoulli draw with the same
-    fraction in every class (stratified in expectation, like ``sampleBy``).
-
-    A pure projection: no shuffle, no per-class window, survives recompute.
+                     seed: int = SEED, exact: bool = False) -> DataFrame:
+    """Add ``es_test``.
+
+    Default: a per-row deterministic Bernoulli draw with the same fraction in
+    every class (stratified in expectation, like ``sampleBy``) — a pure
+    projection: no shuffle, no per-class window, survives recompute.
+
+    ``exact=True``: exact sizes as a stratified train/test split allocates
+    them — ceil(fraction·n) test rows shared by class proportionally
+    (largest remainders first).  Each class takes its rows with the smallest
+    per-key draw; the class's cut-off draw is found by distributed selection
+    (bounded driver traffic), so membership stays a per-row predicate.
+    Keys must be distinct (the draw is then distinct too).
     """
-    return df.withColumn("es_test", split_uniform(key, seed) < test_fraction)
+    u = split_uniform(key, seed)
+    if not exact:
+        return df.withColumn("es_test", u < test_fraction)
+    from cauce.operators.quality import order_statistics
+    counts = {r[0]: r[1] for r in df.groupBy(target).agg(F.count(F.lit(1))).collect()}
+    n = sum(counts.values())
+    n_test = -(-int(round(test_fraction * n * 1e9)) // int(1e9))  # ceil, robust to float noise
+    base = {c: (n_test * k) // n for c, k in counts.items()}
+    rest = n_test - sum(base.values())
+    order = sorted(counts, key=lambda c: (-((n_test * counts[c]) % n), str(c)))
+    for c in order[:rest]:
+        base[c] += 1
+    long = df.select(F.col(target).cast("string").alias("sid"), u.alias("v"))
+    wanted = {str(c): [k - 1] for c, k in base.items() if k > 0}
+    cut = order_statistics(long, wanted) if wanted else {}
+    conds = [(F.col(target) == c) & (u <= F.lit(cut[(str(c), k - 1)])) for c, k in base.items() if k > 0]
+    member = conds[0]
+    for cnd in conds[1:]:
+        member = member | cnd
+    return df.withColumn("es_test", F.coalesce(member, F.lit(False)))
 
 
 def with_folds(df: DataFrame, key: str, n_folds: int = N_FOLDS, seed: int = FOLD_SEED) -> DataFrame:

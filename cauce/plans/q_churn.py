@@ -236,3 +236,25 @@ def ml_tuned_forest(spark, d):
     t = trained(spark, d, grid=True)
     table = C.model_table(t["results"]).drop("tiempo_entrenamiento_s")
     return table.withColumn("seleccionado", F.col("modelo") == F.lit(t["best_name"]))
+
+
+def _exact_split_sql():
+    u = _u_sql("cliente_id", C.SEED)
+    return f"""
+WITH c AS (SELECT abandona, count(*) AS k FROM portfolio GROUP BY abandona),
+t AS (SELECT CAST(ceil({C.TEST_FRACTION} * (SELECT sum(k) FROM c) - 1e-9) AS BIGINT) AS n_test,
+             (SELECT sum(k) FROM c) AS n),
+a AS (SELECT c.abandona, c.k, (t.n_test * c.k) // t.n AS base, (t.n_test * c.k) % t.n AS rem, t.n_test FROM c, t),
+r AS (SELECT *, row_number() OVER (ORDER BY rem DESC, CAST(abandona AS VARCHAR)) AS pos,
+             n_test - sum(base) OVER () AS extra FROM a),
+q AS (SELECT abandona, base + CASE WHEN pos <= extra THEN 1 ELSE 0 END AS quota FROM r),
+ranked AS (SELECT p.abandona, row_number() OVER (PARTITION BY p.abandona ORDER BY {u}) AS rk FROM portfolio p)
+SELECT ranked.abandona, rk <= quota AS es_test, count(*) AS n
+FROM ranked JOIN q ON ranked.abandona = q.abandona GROUP BY 1, 2"""
+
+
+@register("ml_split_exact", _exact_split_sql(), views=("portfolio",))
+def ml_split_exact(spark, d):
+    """Exact-size stratified split (per-class quotas, smallest draws first)."""
+    s = C.stratified_split(T.portfolio(spark, d), "cliente_id", T.TARGET, exact=True)
+    return s.groupBy(T.TARGET, "es_test").agg(F.count(F.lit(1)).alias("n"))
