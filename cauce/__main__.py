@@ -1,7 +1,7 @@
 """Command line: run a composed job as a Spark application.
 
-    spark-submit --py-files cauce.zip -m cauce churn --sf-dir DIR --out DIR
-    python -m cauce procurement --sf-dir /root/testdata/sf0.01 --out /shared/out
+    spark-submit --py-files cauce.zip cauce/__main__.py churn --sf-dir DIR --out DIR
+    python -m cauce procurement --sf-dir /root/testdata/sf0.01 --out /shared/out --master "local[8]"
 
 The session comes from ``spark-submit`` (or a local one with ``--master``);
 ``spark.checkpoint.dir`` must name a shared folder on a cluster.  Exit code
