@@ -165,7 +165,8 @@ _SOLICITUDES_SPEC = [
 
 @register("sink_table_schema", """
 SELECT id, presupuesto_max, coalesce(urgencia, 'normal') AS urgencia, coalesce(estado, 'pendiente') AS estado,
-  CAST(NULL AS BIGINT) AS proveedor_elegido_id, 0.0 AS ahorro_conseguido, 0.0 AS prob_abandono,
+  CAST(NULL AS BIGINT) AS proveedor_elegido_id, CAST(0.0 AS DOUBLE) AS ahorro_conseguido,
+  CAST(0.0 AS DOUBLE) AS prob_abandono,
   'BAJO' AS segmento_riesgo, 'Monitoreo estándar' AS accion_retencion FROM requests""", views=("requests",))
 def sink_table_schema(spark, d):
     return MT.conform(T.requests(spark, d), _SOLICITUDES_SPEC)
@@ -184,7 +185,7 @@ SELECT 'NOT NULL' AS restriccion, 'solicitud_id' AS columna, count(*) FILTER (WH
   AS violaciones FROM quotes
 UNION ALL SELECT 'NOT NULL', 'proveedor_id', count(*) FILTER (WHERE proveedor_id IS NULL) FROM quotes
 UNION ALL SELECT 'NOT NULL', 'precio_total', count(*) FILTER (WHERE precio_total IS NULL) FROM quotes
-UNION ALL SELECT 'UNIQUE', 'solicitud_id,linea', coalesce(sum(n - 1), 0) FROM (
+UNION ALL SELECT 'UNIQUE', 'solicitud_id,linea', CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM (
   SELECT count(*) AS n FROM quotes WHERE solicitud_id IS NOT NULL AND linea IS NOT NULL
   GROUP BY solicitud_id, linea HAVING count(*) > 1) t""", views=("quotes",))
 def check_constraints(spark, d):

@@ -60,7 +60,8 @@ WITH {_AUC_CTE}
 SELECT score AS umbral,
   ((SELECT sum(neg) FROM g) - neg_below) / CAST((SELECT sum(neg) FROM g) AS DOUBLE) AS fpr,
   ((SELECT sum(pos) FROM g) - pos_below) / CAST((SELECT sum(pos) FROM g) AS DOUBLE) AS tpr,
-  (SELECT sum(pos) FROM g) - pos_below AS tp, (SELECT sum(neg) FROM g) - neg_below AS fp
+  CAST((SELECT sum(pos) FROM g) - pos_below AS BIGINT) AS tp,
+  CAST((SELECT sum(neg) FROM g) - neg_below AS BIGINT) AS fp
 FROM c""", views=("scored_lines",))
 def agg_roc_points(spark, d):
     return M.roc_points(_lines(spark, d))
@@ -68,7 +69,8 @@ def agg_roc_points(spark, d):
 
 @register("win_cumulative", f"""
 WITH {_AUC_CTE}
-SELECT score AS umbral, (SELECT sum(pos) FROM g) - pos_below AS tp, (SELECT sum(neg) FROM g) - neg_below AS fp
+SELECT score AS umbral, CAST((SELECT sum(pos) FROM g) - pos_below AS BIGINT) AS tp,
+  CAST((SELECT sum(neg) FROM g) - neg_below AS BIGINT) AS fp
 FROM c""", views=("scored_lines",))
 def win_cumulative(spark, d):
     return M.roc_points(_lines(spark, d)).select("umbral", "tp", "fp")

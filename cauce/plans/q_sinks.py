@@ -207,7 +207,7 @@ WITH c AS (SELECT 'proveedores' AS tabla, count(*) AS filas FROM suppliers
   UNION ALL SELECT 'solicitudes', count(*) FROM requests
   UNION ALL SELECT 'cotizaciones', count(*) FROM quotes
   UNION ALL SELECT 'negociaciones', count(*) FROM negotiations)
-SELECT * FROM c UNION ALL SELECT 'total', sum(filas) FROM c""",
+SELECT * FROM c UNION ALL SELECT 'total', CAST(sum(filas) AS BIGINT) FROM c""",
           views=("suppliers", "requests", "quotes", "negotiations"))
 def agg_load_summary(spark, d):
     s = J.run_procurement(spark, d, _scratch(spark, "load_summary"), "r1").select(

@@ -9,7 +9,7 @@ import pytest
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
 import __spark_entry__ as E  # noqa: E402
-from oracle_check import digest  # noqa: E402
+from oracle_check import digest, type_diffs  # noqa: E402
 
 from cauce.sources.tables import TABLES  # noqa: E402
 
@@ -28,9 +28,10 @@ def con():
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF)
     srows = [tuple(r) for r in df.collect()]
-    cur = con.execute(E.oracle_sql()[name])
-    drows = cur.fetchall()
-    dcols = [d[0] for d in cur.description]
+    rel = con.sql(E.oracle_sql()[name])
+    dcols = list(rel.columns)
+    drows = rel.fetchall()
     assert sorted(df.columns) == sorted(dcols)
+    assert type_diffs(df, rel) == []
     assert len(srows) == len(drows)
     assert digest(df.columns, srows)[0] == digest(dcols, drows)[0]
