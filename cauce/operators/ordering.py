@@ -15,13 +15,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_ROWS = 100000
+SAMPLE_ROWS = 100000  # upper bound on sampled tuples reaching the driver
+SAMPLES_PER_BUCKET = 100
 
 
-def bucket_bounds(df: DataFrame, cols, n_buckets: int, sample_rows: int = SAMPLE_ROWS) -> list:
+def bucket_bounds(df: DataFrame, cols, n_buckets: int, sample_rows: int | None = None) -> list:
     """Up to n_buckets-1 increasing bounds of the ``cols`` tuple from a seeded
-    sample (rows whose leading value is null are left out: they sort first)."""
+    sample of ~100 tuples per bucket (rows whose leading value is null are
+    left out: they sort first)."""
     cols = [cols] if isinstance(cols, str) else list(cols)
+    if sample_rows is None:
+        sample_rows = min(SAMPLE_ROWS, max(1000, SAMPLES_PER_BUCKET * n_buckets))
     keyed = df.filter(F.col(cols[0]).isNotNull()).select(F.struct(*[F.col(c) for c in cols]).alias("k"))
     n = keyed.count()
     if n == 0 or n_buckets <= 1:
