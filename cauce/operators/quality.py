@@ -201,14 +201,22 @@ def duplicates(df: DataFrame) -> DataFrame:
 
 
 def mode_table(df: DataFrame, cols=None) -> DataFrame:
-    """(columna, moda): the smallest of the most frequent non-null values, as text."""
+    """(columna, moda): the smallest of the most frequent non-null values, as text.
+
+    One pass for all columns: rows are unpivoted to (column, text, number)
+    — number is the value as double for numeric columns, so ties are broken
+    in the column's own order — value counts are a partial aggregate (a hot
+    value is one row per task), and ``min_by`` picks each column's mode.
+    """
     cols = cols or df.columns
-    parts = []
-    for c in cols:
-        vc = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-        best = vc.agg(F.min_by(F.col(c), F.struct(-F.col("_n"), F.col(c))).alias("moda"))
-        parts.append(best.select(F.lit(c).alias("columna"), F.col("moda").cast("string").alias("moda")))
-    return reduce(DataFrame.unionByName, parts)
+    numeric = set(numeric_columns(df))
+    long = df.select(F.explode(F.array(*[F.struct(
+        F.lit(c).alias("columna"), F.col(c).cast("string").alias("t"),
+        (F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")).alias("x"))
+        for c in cols])).alias("s")).select("s.*").filter(F.col("t").isNotNull())
+    counts = long.groupBy("columna", "t", "x").agg(F.count(F.lit(1)).alias("_n"))
+    return counts.groupBy("columna").agg(
+        F.min_by(F.col("t"), F.struct(-F.col("_n"), F.col("x"), F.col("t"))).alias("moda"))
 
 
 def mode_value(df: DataFrame, c: str):
