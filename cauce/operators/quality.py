@@ -276,8 +276,8 @@ def impute_all(df: DataFrame, method: str = "exact") -> DataFrame:
     """Columns with nulls: numeric → median, others → mode; others untouched.
 
     Null presence per column is one aggregate; all medians come from one
-    batched selection (or the sketch), modes from grouped counts; the fills
-    are literals / scalars applied in one projection (no join).
+    batched selection (or the sketch), all modes from one grouped pass; the
+    fills are literals / scalars applied in one projection (no join).
     """
     nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns]).first()
     numeric = set(numeric_columns(df))
@@ -288,12 +288,16 @@ def impute_all(df: DataFrame, method: str = "exact") -> DataFrame:
         medians = {c: F.lit(q.get((c, 0.5))) for c in need_num}
     elif need_num:
         medians = {c: quantile_column(df, c, 0.5, method) for c in need_num}
+    need_other = [c for c in df.columns if nulls[c] > 0 and c not in numeric]
+    modes = {}
+    if need_other:  # all modes in one pass; one (bounded) row per column
+        modes = {r.columna: F.lit(r.moda) for r in mode_table(df, need_other).collect()}
     types = dict(df.dtypes)
     fills = {}
     for c in df.columns:
         if nulls[c] == 0:
             continue
-        fill = medians[c] if c in numeric else mode_value(df, c)
+        fill = medians[c] if c in numeric else modes.get(c, F.lit(None))
         fills[c] = F.coalesce(F.col(c), fill.cast(types[c]))
     return df.withColumns(fills) if fills else df
 
