@@ -93,6 +93,20 @@ def run_to_table(df: DataFrame, name: str, mode: str = "append") -> str:
     return out
 
 
+def start(df: DataFrame, out: str, checkpoint: str, mode: str = "append", every: str = "10 seconds"):
+    """Start a continuous query (processing-time trigger) on a long-running
+    feed; returns the StreamingQuery.  ``out`` and ``checkpoint`` must be on
+    the shared filesystem so a restarted driver resumes exactly where the
+    checkpoint says."""
+    w = df.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=every)
+    if mode == "append":
+        return w.outputMode("append").format("parquet").option("path", out).start()
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else os.path.join(out, f"batch={batch_id}"))
+    return w.outputMode(mode).foreachBatch(sink).start()
+
+
 def score_stream(profiles: DataFrame, model, features, params=None, scaled: bool = False,
                  valid_col: str = "perfil_valido") -> DataFrame:
     """Score valid arriving profiles; invalid ones pass through unscored

@@ -29,3 +29,17 @@ def test_churn_train_score(spark, sf_small):
     assert bad.filter(F.abs(F.col("prob_abandono") - 0.6) > 1e-4).count() == 0
     with pytest.raises(ValueError):
         C.score(T.portfolio(spark, sf_small).drop("edad"), r["model"], T.FEATURES)
+
+
+def test_continuous_start_processes_feed(spark, sf_small):
+    import os
+    import tempfile
+    root = tempfile.mkdtemp(prefix="cauce-cont-")
+    q = S.start(S.supplier_counts_stream(S.quote_stream(spark, sf_small)), os.path.join(root, "out"),
+                os.path.join(root, "ckpt"), mode="complete", every="1 second")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = spark.read.parquet(os.path.join(root, "out"))
+    assert got.agg(F.sum("cotizaciones")).first()[0] == T.quotes(spark, sf_small).count()
