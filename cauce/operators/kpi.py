@@ -90,18 +90,33 @@ def kpi_report(spark: SparkSession, *, requests: DataFrame, quotes: DataFrame, q
     builds just those indicators and runs just their subqueries.
     """
     one = spark.range(1)
+    shared: dict = {}
+
+    def once(key, build):
+        """One scalar subquery per group of indicators (a struct), shared."""
+        if key not in shared:
+            shared[key] = build()
+        return shared[key]
 
     def load_total():
-        return load_summary.agg(F.sum("total_filas")).scalar() if load_summary is not None else F.lit(0)
+        if load_summary is None:
+            return F.lit(0)
+        return once("load", lambda: load_summary.agg(F.struct(
+            F.sum("total_filas").alias("t"), (F.sum("duracion_s") * 1000).alias("ms"))).scalar())["t"]
 
     def load_ms():
-        return load_summary.agg(F.sum("duracion_s") * 1000).scalar() if load_summary is not None else F.lit(0.0)
+        if load_summary is None:
+            return F.lit(0.0)
+        load_total()
+        return shared["load"]["ms"]
 
     def model_field(name, default):
-        return model_metrics.agg(F.first(name)).scalar() if model_metrics is not None else F.lit(default)
+        if model_metrics is None:
+            return F.lit(default)
+        return once("model", lambda: model_metrics.agg(F.first(F.struct("modelo", "recall", "gini"))).scalar())[name]
 
     def hr(field):
-        return high_risk(scored).select(field).scalar()
+        return once("hr", lambda: high_risk(scored).select(F.struct("*")).scalar())[field]
 
     builders = {  # name → (value, text); built lazily
         "completitud_datos": lambda: (completeness_of(requests).scalar(), None),
