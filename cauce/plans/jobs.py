@@ -79,7 +79,9 @@ def load_all(store: dict, out_dir: str, run_id: str) -> dict:
     for name in ("Proveedores", "Solicitudes", "Cotizaciones", "Negociaciones"):
         if name in out:
             path = W.write_version(out[name], f"{out_dir}/{name.lower()}", run_id)
-            counts[name.lower()] = out[name].sparkSession.read.parquet(path).count()
+            # later stages read the written version: lineage ends at a durable table
+            out[name] = out[name].sparkSession.read.parquet(path)
+            counts[name.lower()] = out[name].count()
     spark = next(iter(store.values())).sparkSession
     out["Resumen_Carga"] = _summary(spark, counts, time.perf_counter() - t0).select(
         "tabla", F.col("filas").alias("total_filas"), "duracion_s")
@@ -139,9 +141,10 @@ def run_churn(spark: SparkSession, sf_dir: str, out_dir: str, run_id: str | None
     doc = C.metrics_document(t, Q.quality_report(profile, T.TARGET), time.perf_counter() - t0)
     W.write_json(doc.coalesce(1), f"{out_dir}/metricas/run={run_id}")
     scored = C.score(Q.impute_all(portfolio), t["best_model"], T.FEATURES, t["params"], t["scaled"])
-    records = W.prediction_records(scored)
+    # score once: write the scored table, then derive the prediction records from it
+    path = W.write_version(scored, f"{out_dir}/clientes_scoreados", run_id, partition_by="segmento_riesgo")
+    records = W.prediction_records(spark.read.parquet(path))
     W.write_predictions(records, f"{out_dir}/predicciones/run={run_id}")
-    W.write_version(scored, f"{out_dir}/clientes_scoreados", run_id, partition_by="segmento_riesgo")
     return table
 
 
