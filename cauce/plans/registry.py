@@ -22,8 +22,9 @@ def register(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
     (``cauce.plans.oracle.VIEWS``) it needs as CTEs.
     """
     def deco(fn: QueryFn) -> QueryFn:
-        if name in QUERIES:
-            raise ValueError(f"duplicate query {name}")
+        old = QUERIES.get(name)
+        if old is not None and (old.__module__, old.__qualname__) != (fn.__module__, fn.__qualname__):
+            raise ValueError(f"duplicate query {name}")  # a module reload re-registers silently
         QUERIES[name] = fn
         if sql is not None:
             ORACLE[name] = with_views(sql, *views)
