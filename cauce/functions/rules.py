@@ -74,12 +74,34 @@ def salt_from(spark) -> str:
     return spark.conf.get(SALT_CONF, DEFAULT_SALT)
 
 # Numeric text accepted by the validators (Python float() grammar without
-# underscores, inf or nan); see SURVEY §8 T3.
-NUMERIC_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+# underscores, inf or nan; see SURVEY §8 T3), applied after whitespace is
+# stripped and non-ASCII decimal digits are folded to ASCII.
+NUMERIC_TEXT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 # Strict ISO date text (yyyy-MM-dd with two-digit month and day).
 ISO_DATE_TEXT = r"^\d{4}-\d{2}-\d{2}$"
 
 
+def _unicode_tables():
+    """Built from a rule (the Unicode database), not listed: Python's
+    ``str.strip``/``float`` treat every ``isspace()`` character as whitespace
+    and every decimal digit (category Nd) as a digit; Java's and RE2's
+    ``\\s``/``\\d`` are ASCII only.  Basic Multilingual Plane only."""
+    import unicodedata
+    ws, d_from, d_to = [], [], []
+    for cp in range(0x10000):
+        ch = chr(cp)
+        if ch.isspace():
+            ws.append(cp)
+        elif cp >= 0x80 and unicodedata.decimal(ch, None) is not None:
+            d_from.append(ch)
+            d_to.append(str(unicodedata.decimal(ch)))
+    return ws, "".join(d_from), "".join(d_to)
+
+
+_WS_CODEPOINTS, DIGITS_FROM, DIGITS_TO = _unicode_tables()
+WS_CHARS = "".join(chr(cp) for cp in _WS_CODEPOINTS)  # trimmed by strip_ws
+
+
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -89,8 +111,14 @@ def _c(c) -> Column:
 # ---------------------------------------------------------------------------
 
 def strip_ws(c) -> Column:
-    """Strip all leading/trailing whitespace (Python ``str.strip``), not only spaces."""
-    return F.regexp_replace(_c(c), r"^\s+|\s+$", "")
+    """Strip leading/trailing whitespace as Python ``str.strip`` does
+    (all Unicode whitespace, not only spaces)."""
+    return F.trim(_c(c), F.lit(WS_CHARS))
+
+
+def numeric_form(c) -> Column:
+    """Stripped text with non-ASCII decimal digits folded to ASCII."""
+    return F.translate(strip_ws(_c(c).cast("string")), DIGITS_FROM, DIGITS_TO)
 
 
 def is_blank(c) -> Column:
@@ -99,13 +127,13 @@ def is_blank(c) -> Column:
 
 def to_double(c) -> Column:
     """Text → double when it matches the numeric grammar; otherwise null."""
-    txt = _c(c).cast("string")
-    return F.when(txt.rlike(NUMERIC_TEXT), strip_ws(txt).try_cast("double"))
+    t = numeric_form(c)
+    return F.when(t.rlike(NUMERIC_TEXT), t.try_cast("double"))
 
 
 def is_numeric_text(c) -> Column:
     """Python ``float(x)`` succeeds: a null (NaN) value passes, as in the reference."""
-    return _c(c).isNull() | _c(c).cast("string").rlike(NUMERIC_TEXT)
+    return _c(c).isNull() | numeric_form(c).rlike(NUMERIC_TEXT)
 
 
 def to_iso_date(c) -> Column:

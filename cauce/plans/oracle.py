@@ -168,16 +168,20 @@ def sql_age_band(c: str) -> str:
 
 
 def sql_strip(c: str) -> str:
-    return f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+    return f"trim({c}, '{R.WS_CHARS}')"
+
+
+def sql_numeric_form(c: str) -> str:
+    return f"translate({sql_strip(c)}, '{R.DIGITS_FROM}', '{R.DIGITS_TO}')"
 
 
 def sql_to_double(c: str) -> str:
-    return (f"CASE WHEN regexp_matches({c}, '{R.NUMERIC_TEXT}') "
-            f"THEN TRY_CAST({sql_strip(c)} AS DOUBLE) END")
+    t = sql_numeric_form(c)
+    return f"CASE WHEN regexp_matches({t}, '{R.NUMERIC_TEXT}') THEN TRY_CAST({t} AS DOUBLE) END"
 
 
 def sql_is_numeric(c: str) -> str:
-    return f"({c} IS NULL OR coalesce(regexp_matches({c}, '{R.NUMERIC_TEXT}'), false))"
+    return f"({c} IS NULL OR coalesce(regexp_matches({sql_numeric_form(c)}, '{R.NUMERIC_TEXT}'), false))"
 
 
 def sql_to_date(c: str) -> str:
