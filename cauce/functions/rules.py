@@ -40,6 +40,8 @@ AGE_BAND_TOP = "65+"
 
 # Supplier RUT format (format only, no check digit).
 RUT_PATTERN = r"^\d{1,2}\.\d{3}\.\d{3}[-][0-9Kk]$"
+# Python's \d matches every Unicode decimal digit; Java and RE2 spell that \p{Nd}
+RUT_PATTERN_ENGINE = RUT_PATTERN.replace(r"\d", r"\p{Nd}")
 
 # Price ranges per product keyword, in priority order: the first keyword found
 # (case-insensitive substring) decides; no keyword → valid.
@@ -178,7 +180,7 @@ def savings_pct(budget, best) -> Column:
 
 
 def rut_is_valid(c) -> Column:
-    return F.coalesce(strip_ws(c).rlike(RUT_PATTERN), F.lit(False))
+    return F.coalesce(strip_ws(c).rlike(RUT_PATTERN_ENGINE), F.lit(False))
 
 
 def price_in_range(price, product) -> Column:

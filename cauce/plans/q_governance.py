@@ -13,7 +13,7 @@ from cauce.sources import tables as T
 
 
 @register("val_rut", f"""
-SELECT id, rut, coalesce(regexp_matches({O.sql_strip('rut')}, '{R.RUT_PATTERN}'), false) AS rut_valido
+SELECT id, rut, coalesce(regexp_matches({O.sql_strip('rut')}, '{R.RUT_PATTERN_ENGINE}'), false) AS rut_valido
 FROM suppliers""", views=("suppliers",))
 def val_rut(spark, d):
     s = T.suppliers(spark, d)
@@ -21,7 +21,7 @@ def val_rut(spark, d):
 
 
 @register("agg_rut_valid", f"""
-SELECT count(*) FILTER (WHERE coalesce(regexp_matches({O.sql_strip('rut')}, '{R.RUT_PATTERN}'), false))
+SELECT count(*) FILTER (WHERE coalesce(regexp_matches({O.sql_strip('rut')}, '{R.RUT_PATTERN_ENGINE}'), false))
   AS ruts_validos, count(*) AS proveedores FROM suppliers""", views=("suppliers",))
 def agg_rut_valid(spark, d):
     s = T.suppliers(spark, d)

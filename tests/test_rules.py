@@ -122,8 +122,10 @@ def test_price_rule_first_keyword_wins(spark):
 
 
 def test_rut_format(spark):
-    vals = ["76.123.456-7", " \t76.123.456-K ", "7.123.456-k", "76123456-7", "76.123.456-X", None]
-    assert _eval(spark, R.rut_is_valid("x"), vals, "string") == [True, True, True, False, False, False]
+    vals = ["76.123.456-7", " \t76.123.456-K ", "7.123.456-k", "76123456-7", "76.123.456-X", None,
+            "\u0667\u0666.123.456-7", "76.123.456-\u0667", "\u300076.123.456-7\u00a0"]
+    assert _eval(spark, R.rut_is_valid("x"), vals, "string") == [True, True, True, False, False, False,
+                                                                  True, False, True]
 
 
 def test_numeric_and_date_guards(spark):
