@@ -40,3 +40,14 @@ def test_impute_and_profile(spark):
     assert Q.completeness(df).first()[0] == 75.0
     d = {r.columna: r for r in Q.describe(df).collect()}
     assert d["x"]["count"] == 3 and d["x"]["mediana"] == 3.0 and d["x"]["std"] == 2.0
+
+
+def test_describe_approx_close_to_exact(spark):
+    import random
+    rnd = random.Random(11)
+    df = spark.createDataFrame([(rnd.gauss(50, 10),) for _ in range(5000)], "x double")
+    exact = {r.columna: r for r in Q.describe(df).collect()}["x"]
+    approx = {r.columna: r for r in Q.describe(df, method="approx").collect()}["x"]
+    for k in ("p25", "p50", "p75"):
+        assert abs(exact[k] - approx[k]) < 0.5  # within the sketch's rank error
+    assert exact["mean"] == approx["mean"] and exact["std"] == approx["std"]
