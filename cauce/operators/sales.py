@@ -77,17 +77,29 @@ def with_discount(df: DataFrame) -> DataFrame:
     return df.withColumn("descuento", F.lit(None).cast("double"))
 
 
+_HELPERS = ["_nq", "_nq_ok", "_np", "_np_ok"]
+
+
+def _with_parsed(df: DataFrame) -> DataFrame:
+    """Normalised amount text and its grammar match, computed once per row
+    (the rules below read them several times, partly inside conditionals
+    where common-subexpression elimination does not reach)."""
+    df = df.withColumns({"_nq": R.numeric_form("cantidad"), "_np": R.numeric_form("precio")})
+    return df.withColumns({"_nq_ok": F.col("_nq").rlike(R.NUMERIC_TEXT),
+                           "_np_ok": F.col("_np").rlike(R.NUMERIC_TEXT)})
+
+
 def rule_columns(df: DataFrame) -> dict:
-    """Column expression of each rule (True = passes)."""
-    qty = R.to_double("cantidad")
-    price = R.to_double("precio")
+    """Column expression of each rule (True = passes); expects ``_with_parsed``."""
+    qty = F.when(F.col("_nq_ok"), F.col("_nq").try_cast("double"))
+    price = F.when(F.col("_np_ok"), F.col("_np").try_cast("double"))
     numeric = dict(df.dtypes).get("descuento") in ("double", "float", "int", "bigint", "smallint")
     disc_v = F.col("descuento").cast("double") if numeric else R.to_double("descuento")
     disc_v = F.when(~F.isnan(disc_v), disc_v)
     return {
         "val_fecha": R.is_iso_date("fecha"),
-        "val_cantidad_tipo": R.is_numeric_text("cantidad"),
-        "val_precio_tipo": R.is_numeric_text("precio"),
+        "val_cantidad_tipo": F.col("cantidad").isNull() | F.col("_nq_ok"),
+        "val_precio_tipo": F.col("precio").isNull() | F.col("_np_ok"),
         "val_cantidad_negocio": F.coalesce((qty > 0) & (qty <= QUANTITY_MAX), F.lit(False)),
         "val_precio_negocio": F.coalesce((price > 0) & ~F.isnan(price), F.lit(False)),
         "val_descuento": F.col("descuento").isNull()
@@ -115,11 +127,11 @@ def observations(flags: dict | None = None) -> F.Column:
 
 def validate_sales(df: DataFrame) -> DataFrame:
     """Add the 8 rule flags, ``registro_valido`` and ``observaciones``."""
-    df = with_discount(df)
+    df = _with_parsed(with_discount(df))
     flags = rule_columns(df)
     df = df.withColumns(flags)
     df = df.withColumn("registro_valido", reduce(lambda a, b: a & b, [F.col(r) for r in RULES]))
-    return df.withColumn("observaciones", observations())
+    return df.withColumn("observaciones", observations()).drop(*_HELPERS)
 
 
 def split_quarantine(flagged: DataFrame) -> tuple[DataFrame, DataFrame]:
