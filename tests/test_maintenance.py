@@ -48,3 +48,12 @@ def test_row_numbers_hot_leading_value_and_nulls(spark):
     assert [(r.a, r.b) for r in out.orderBy("n").collect()] == [(r.a, r.b) for r in df.orderBy("a", "b").collect()]
     sizes = [r["count"] for r in O.with_buckets(df, ["a", "b"], 8).groupBy("_bkt").count().collect()]
     assert max(sizes) < 3000 / 3  # the hot value is split across buckets
+
+
+def test_conform_expression_default(spark):
+    spec = [MT.ColumnSpec("id", "int", nullable=False), MT.ColumnSpec("estado", "string", default="pendiente"),
+            MT.ColumnSpec("ts", "timestamp", default="=current_timestamp()")]
+    df = spark.createDataFrame([(1, None), (2, "completada")], "id int, estado string")
+    out = MT.conform(df, spec).collect()
+    assert [r.estado for r in out] == ["pendiente", "completada"] and all(r.ts is not None for r in out)
+    assert MT.conform(df, spec).columns == ["id", "estado", "ts"]
