@@ -125,13 +125,21 @@ def observations(flags: dict | None = None) -> F.Column:
     return F.when(joined == "", F.lit(VALID_TEXT)).otherwise(joined)
 
 
-def validate_sales(df: DataFrame) -> DataFrame:
-    """Add the 8 rule flags, ``registro_valido`` and ``observaciones``."""
+def validate_sales(df: DataFrame, keep_parsed: bool = False) -> DataFrame:
+    """Add the 8 rule flags, ``registro_valido`` and ``observaciones``.
+
+    ``keep_parsed`` also keeps the parsed amounts (``_cantidad_num``,
+    ``_precio_num``) so the load projection does not parse them again.
+    """
     df = _with_parsed(with_discount(df))
     flags = rule_columns(df)
     df = df.withColumns(flags)
     df = df.withColumn("registro_valido", reduce(lambda a, b: a & b, [F.col(r) for r in RULES]))
-    return df.withColumn("observaciones", observations()).drop(*_HELPERS)
+    df = df.withColumn("observaciones", observations())
+    if keep_parsed:
+        df = df.withColumns({"_cantidad_num": F.when(F.col("_nq_ok"), F.col("_nq").try_cast("double")),
+                             "_precio_num": F.when(F.col("_np_ok"), F.col("_np").try_cast("double"))})
+    return df.drop(*_HELPERS)
 
 
 def split_quarantine(flagged: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -141,8 +149,9 @@ def split_quarantine(flagged: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def tag_valid(valid: DataFrame, source: str = SOURCE_TAG) -> DataFrame:
     """Lineage tags and typed amounts for accepted rows."""
-    qty = R.to_double("cantidad")
-    price = R.to_double("precio")
+    parsed = "_cantidad_num" in valid.columns
+    qty = F.col("_cantidad_num") if parsed else R.to_double("cantidad")
+    price = F.col("_precio_num") if parsed else R.to_double("precio")
     return (valid.withColumn("estado_calidad", F.lit("valido"))
                  .withColumn("fuente", F.lit(source))
                  .withColumn("cantidad", qty).withColumn("precio", price)

@@ -157,7 +157,7 @@ def run_sales(spark: SparkSession, sf_dir: str, out_dir: str, run_id: str | None
     """Validates the raw rows (the cleaning step is a separate operator whose
     output does not feed validation in the reference either, D15)."""
     run_id = run_id or new_run_id()
-    flagged = S.validate_sales(T.sales_raw(spark, sf_dir))
+    flagged = S.validate_sales(T.sales_raw(spark, sf_dir), keep_parsed=True)
     flagged_path = W.write_version(flagged, f"{out_dir}/ventas_validadas", run_id)  # one pass, reused twice
     flagged = spark.read.parquet(flagged_path)
     valid, bad = S.split_quarantine(flagged)

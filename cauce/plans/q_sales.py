@@ -213,7 +213,7 @@ SELECT id, fecha, producto,
   'valido' AS estado_calidad, '{S.SOURCE_TAG}' AS fuente
 FROM validated WHERE registro_valido""", views=("sales_raw",))
 def project_load_cols(spark, d):
-    valid, _ = S.split_quarantine(_validated(spark, d))
+    valid, _ = S.split_quarantine(S.validate_sales(T.sales_raw(spark, d), keep_parsed=True))
     return S.project_clean(S.tag_valid(valid))
 
 
