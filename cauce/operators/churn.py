@@ -330,8 +330,8 @@ def train_and_select(df: DataFrame, features, target: str, key: str, with_grid:
     b = results[best_name]
     split = stratified_split(df, key, target)
     test = split.filter(F.col("es_test")).withColumn("label", F.col(target).cast("double"))
-    test_x, _, _ = standardize(test, None, features) if False else (test, None, None)
-    if b["scaled"]:
+    test_x = test
+    if b["scaled"]:  # apply the train statistics of the selected model
         test_x = test.withColumns({f"{c}_esc": F.when(F.lit(b["params"][c][1]) == 0, F.lit(0.0))
                                    .otherwise((F.col(c) - F.lit(b["params"][c][0])) / F.lit(b["params"][c][1]))
                                    for c in features})
