@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ SALTS = 32
 
 #: By application: the temporary folder of a local master without a shared one.
 _local_dirs: dict[str, str] = {}
+#: Applications whose workers have this package.
+_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +39,23 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers (once per application), as ``--py-files`` would."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    package = os.path.dirname(here)
+    path = os.path.join(tempfile.mkdtemp(prefix="cauce-ship-"), "cauce_llm.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        z.write(os.path.join(package, "__init__.py"), "cauce/__init__.py")
+        for name in sorted(os.listdir(here)):
+            if name.endswith(".py"):
+                z.write(os.path.join(here, name), f"cauce/llm/{name}")
+    spark.sparkContext.addPyFile(path)  # executors fetch it from the driver
+    _shipped.add(app)
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A new path below the shared folder, in this application's own subfolder."""
     return f"{shared_dir(spark)}/cauce-llm-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"

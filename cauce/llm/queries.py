@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cauce.llm import exact_dedup
+from cauce.llm import bpe, exact_dedup
 from cauce.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -40,3 +41,24 @@ FROM g""")
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return exact_dedup.exact_groups(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+# ------------------------------------------------------------------------ BPE
+def token_digests(encoded: DataFrame) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and decoded text, from :func:`bpe.encode_documents`."""
+    ids = F.concat_ws(" ", F.col("token_ids").cast("array<string>"))
+    return encoded.select("doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"),
+                          F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def public_vocabulary(name: str) -> str:
+    """Path of a public tokenizer file; it is installed alike on driver and executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@register("op3_bpe")
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_digests(bpe.encode_documents(docs, public_vocabulary("word_bpe_49k.json")))
