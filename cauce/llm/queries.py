@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cauce.llm import bpe, exact_dedup
+from cauce.llm import bpe, exact_dedup, langid
 from cauce.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -62,3 +62,11 @@ def public_vocabulary(name: str) -> str:
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_digests(bpe.encode_documents(docs, public_vocabulary("word_bpe_49k.json")))
+
+
+# --------------------------------------------------------------- language ID
+@register("op10_language_id")
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
