@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cauce.llm import bpe, exact_dedup, langid
+from cauce.llm import bpe, exact_dedup, langid, quality
 from cauce.llm.common import table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -70,3 +70,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = langid.identify(docs)
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+# ------------------------------------------------------------- quality rules
+@register("op1_quality")
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality.apply_rules(docs, table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                        "base_failed", "kept", "quality_prob")
