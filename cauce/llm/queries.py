@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cauce.llm import bpe, exact_dedup, langid, quality
-from cauce.llm.common import table
+from cauce.llm import bpe, exact_dedup, langid, mixing, quality, warc
+from cauce.llm.common import materialise, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -79,3 +79,54 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.apply_rules(docs, table(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                         "base_failed", "kept", "quality_prob")
+
+
+# ---------------------------------------------------------------------- WARC
+@register("op4_warc", """
+WITH t AS (
+  SELECT page_id, coalesce(html, '') AS html FROM pages),
+s AS (
+  SELECT page_id, strlen(html) AS n, sha1(html) AS digest,
+         max(page_id) OVER (PARTITION BY html) AS top
+  FROM t)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to
+FROM s""")
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = warc.archive_pages(table(spark, sf_dir, "pages"))
+    records = materialise(warc.read_records(spark, path, payload=False), "warc-records")
+    captures = warc.assemble(records)
+    return captures.select(
+        warc.field("metadata", "page-id").cast("bigint").alias("page_id"), "payload_bytes",
+        F.col("payload_sha1").alias("payload_digest"), "record_type",
+        F.when(F.col("record_type") == "revisit", warc.field("original_metadata", "page-id").cast("bigint")).alias("refers_to"))
+
+
+# -------------------------------------------------------------------- mixing
+@register("op2_mixing", """
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '') AS source, md5(coalesce(cast(doc_id AS varchar), '')) AS h FROM documents),
+n AS (SELECT source, cast(floor(sqrt(cast(count(*) AS double)) * 1000) AS bigint) AS r FROM d GROUP BY source),
+w AS (SELECT source, greatest(1, (1000 * r) // (sum(r) OVER ())::bigint)::bigint AS share FROM n),
+p AS (SELECT sum(share)::bigint AS period FROM w),
+edf AS (
+  SELECT 0::bigint AS t, source, share, period, 0::bigint AS done FROM w, p
+  UNION ALL
+  SELECT t + 1, source, share, period,
+         done + CASE WHEN row_number() OVER (ORDER BY (done * period) // share <= t DESC,
+                                             ((done + 1) * period + share - 1) // share, source) = 1 THEN 1 ELSE 0 END
+  FROM edf WHERE t < period),
+s AS (
+  SELECT a.source, a.share, a.period, a.done + 1 AS nth, a.t AS slot
+  FROM edf a JOIN edf b ON a.source = b.source AND b.t = a.t + 1 AND b.done = a.done + 1),
+r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY h, doc_id) AS source_rank FROM d),
+b AS (SELECT *, (source_rank - 1) // 8 + 1 AS block FROM r)
+SELECT b.doc_id, b.source, b.source_rank, b.block,
+       ((b.block - 1) * s.period) // s.share AS release,
+       (b.block * s.period + s.share - 1) // s.share AS deadline,
+       ((b.block - 1) // s.share) * s.period + s.slot AS slot
+FROM b JOIN s ON b.source = s.source AND s.nth = (b.block - 1) % s.share + 1""")
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"))
+    return mixing.mix(docs)
