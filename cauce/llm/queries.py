@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cauce.llm import bpe, exact_dedup, langid, mixing, quality, warc
+from cauce.llm import bpe, exact_dedup, langid, minhash, mixing, quality, warc
 from cauce.llm.common import materialise, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -130,3 +130,9 @@ FROM b JOIN s ON b.source = s.source AND s.nth = (b.block - 1) % s.share + 1""")
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"))
     return mixing.mix(docs)
+
+
+# --------------------------------------------------------- MinHash near-dedup
+@register("op7_near_dedup")
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
