@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cauce.llm import bpe, exact_dedup, html_extract, langid, minhash, mixing, quality, warc
+from cauce.llm import bpe, exact_dedup, html_extract, langid, lbl, minhash, mixing, quality, warc
 from cauce.llm.common import materialise, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -143,3 +143,9 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_extract.extract_main(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", "n_chars")
+
+
+# ---------------------------------------------------------------- LM scoring
+@register("op6_lm_score")
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lbl.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
