@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cauce.llm import bpe, exact_dedup, html_extract, langid, lbl, minhash, mixing, quality, warc
+from cauce.llm import bpe, exact_dedup, html_extract, langid, lbl, line_chunks, minhash, mixing, quality, warc
 from cauce.llm.common import materialise, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -149,3 +149,37 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_lm_score")
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lbl.score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# ---------------------------------------------------------------- line dedup
+def _line_dedup_sql() -> str:
+    """The chunkings of :mod:`line_chunks` over one row per line."""
+    cuts, runs = [], []
+    for k, (window, modulus, seed) in enumerate(line_chunks.CHUNKINGS):
+        back = "coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0) * 17" if window > 1 else "0"
+        cuts.append(f"CASE WHEN ((h * 31 + {back} + {seed}) // 7) % {modulus} = 0 THEN 1 ELSE 0 END AS cut{k}")
+        runs.append(f"""SELECT doc_id, min(i) AS a, max(i) AS b, string_agg(line, chr(10) ORDER BY i) AS chunk,
+            sum(length(trim(line))) AS chars
+          FROM (SELECT *, coalesce(sum(cut{k}) OVER (PARTITION BY doc_id ORDER BY i
+                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM c) GROUP BY doc_id, run""")
+    return f"""
+WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) - 1 AS i FROM s),
+h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::bigint AS h FROM l),
+c AS (SELECT doc_id, i, line, {', '.join(cuts)} FROM h),
+k AS (SELECT DISTINCT doc_id, a, b, chunk FROM ({' UNION ALL '.join(runs)})
+      WHERE b - a + 1 >= {line_chunks.MIN_LINES} AND chars >= {line_chunks.MIN_CHARS}),
+g AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY doc_id, a) AS nth FROM k),
+gone AS (SELECT DISTINCT l.doc_id, l.i FROM l JOIN g ON l.doc_id = g.doc_id AND l.i BETWEEN g.a AND g.b WHERE g.nth > 1),
+kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.i) AS text
+         FROM l ANTI JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY l.doc_id),
+n AS (SELECT l.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed
+      FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kept.text, '') END AS text,
+       coalesce(n.n_lines, 0) AS n_lines, coalesce(n.n_removed, 0) AS n_removed
+FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)"""
+
+
+@register("op5_line_dedup", _line_dedup_sql())
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_chunks.remove_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
