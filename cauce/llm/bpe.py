@@ -22,6 +22,7 @@ from __future__ import annotations
 import json
 from array import array
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -37,11 +38,21 @@ LEAF = 2048
 #: Tokens of each side in the first window around a join, and tokens that must agree on each side.
 WINDOW, AGREE = 8, 2
 #: Runs kept per worker with their encoding, and the longest run kept.
-CACHE_RUNS, CACHE_BYTES = 200_000, 64
+CACHE_RUNS, CACHE_BYTES = 300_000, 64
 #: Text bytes per output batch.
 BATCH_BYTES = 1 << 21
 
 
+_PUNCTUATION = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def _ends_word(head: bytes) -> bool:
+    """Whether the last character is a letter or an ASCII digit."""
+    if head[-1] < 128:
+        return head[-1:].isalnum()
+    return head[-4:].decode("utf-8", "ignore")[-1:].isalpha()
+
+
 class TreeEncoder:
     """Encoder and decoder of one tokenizer file; results equal the library's own."""
 
@@ -64,8 +75,9 @@ class TreeEncoder:
         self.tokens = [self.tok.id_to_token(i) or "" for i in range(size)]
         self.width = [len(t.removesuffix(self.suffix) if self.suffix else t) for t in self.tokens]
         self.leaf = leaf
+        self.marks = [m.encode() for m in self.special]
+        self.lowers = '"Lowercase"' in json.dumps(spec["normalizer"])
         self.cache: dict[bytes, tuple[bytes, str]] = {}
-        self.older: dict[bytes, tuple[bytes, str]] = {}
 
     # ---------------------------------------------------------------- pieces
     def _piece(self, text: str, last: bool) -> list[int]:
@@ -123,45 +135,69 @@ class TreeEncoder:
         return out
 
     # ----------------------------------------------------------------- texts
-    def _learn(self, runs: set[bytes]) -> dict[bytes, tuple[bytes, str]]:
-        """Encodings of runs that are not cached: int32 ids as bytes, and their decoding."""
-        ids = {r: self._long_run(r.decode()) for r in runs if len(r) > self.leaf or self.mark.encode() in r}
-        short = [r for r in runs if r not in ids]
+    def _learn(self, runs: list[bytes]) -> dict[bytes, tuple[bytes, str]]:
+        """Encodings of runs: int32 ids as bytes, and their decoding."""
+        mark = self.mark.encode()  # a special token stands between runs
+        ids = {r: self._long_run(r.decode()) for r in runs if len(r) > self.leaf or mark in r}
+        short = [r for r in runs if r not in ids] if ids else runs
         groups = [short[i:i + 256] for i in range(0, len(short), 256)]
         # many runs in one call, told apart by a special token that none of them contains
-        glue = f" {self.mark} "
-        codes = self.tok.encode_batch_fast([glue.join([r.decode() for r in g]) for g in groups], add_special_tokens=False)
+        glue = f" {self.mark} ".encode()
+        codes = self.tok.encode_batch_fast([glue.join(g).decode() for g in groups], add_special_tokens=False)
+        stop, tokens = self.special[self.mark], self.tokens
+        new = {r: (array("i", i).tobytes(), " ".join([tokens[x] for x in i])) for r, i in ids.items()}
         for group, code in zip(groups, codes, strict=True):
+            flat = array("i", code.ids)
+            words = " ".join([tokens[x] for x in flat]).split(f" {self.mark} ") if len(group) > 1 else None
             at = 0
-            flat = code.ids
-            for r in group[:-1]:
-                end = flat.index(self.special[self.mark], at)
-                ids[r] = flat[at:end]
+            for n, r in enumerate(group):
+                end = flat.index(stop, at) if n + 1 < len(group) else len(flat)
+                new[r] = (flat[at:end].tobytes(),
+                          words[n] if words and len(words) == len(group) else " ".join([tokens[x] for x in flat[at:end]]))
                 at = end + 1
-            ids[group[-1]] = flat[at:]
-        return {r: self._entry(i) for r, i in ids.items()}
-
-    def _entry(self, ids: list[int]) -> tuple[bytes, str]:
-        return array("i", ids).tobytes(), " ".join([self.tokens[x] for x in ids])
-
-    def _keep(self, used: dict[bytes, tuple[bytes, str]]) -> None:
-        """Remember the runs of a batch; of two generations the older one goes when the younger is full."""
-        if len(self.cache) > CACHE_RUNS:
-            self.older, self.cache = self.cache, {}
-        self.cache.update((r, v) for r, v in used.items() if len(r) <= CACHE_BYTES)
+        return new
+
+    def _complete(self, runs: set[bytes]) -> list[bytes]:
+        """Put the encodings of all runs into the cache; returns those too long to stay there.
+
+        A run that ends in ASCII punctuation after a letter or digit is two pre-tokens or more, and its
+        encoding is that of the part before followed by that of the punctuation.
+        """
+        cache = self.cache
+        missing, parts = set(), []
+        new = runs - cache.keys()
+        for r in new:
+            head = r.rstrip(_PUNCTUATION)
+            if head and len(head) < len(r) <= self.leaf and _ends_word(head) and not any(m in r for m in self.marks):
+                tail = r[len(head):]
+                parts.append((r, head, tail))
+                missing.add(head)
+                missing.add(tail)
+            else:
+                missing.add(r)
+        cache.update(self._learn(list(missing - cache.keys())))
+        for r, head, tail in parts:
+            (a, b), (c, d) = cache[head], cache[tail]
+            cache[r] = (a + c, f"{b} {d}")
+        return [r for r in new | missing if len(r) > CACHE_BYTES]
 
     def encode(self, texts: list[bytes]) -> tuple[list[bytes], list[str]]:
         """Ids (int32 bytes) and decoded text of each UTF-8 text."""
+        if len(self.cache) > CACHE_RUNS:
+            self.cache = {}
+        if self.lowers:  # the tokenizer lowers letters itself, after it has looked for special tokens
+            lowered = [t.lower() for t in texts]
+            texts = [t if any(m in low for m in self.marks) else low for t, low in zip(texts, lowered, strict=True)]
         split = [t.split() for t in texts]
-        runs = set().union(*split)
-        known = {r: v for r in runs if (v := self.cache.get(r) or self.older.get(r))}
-        known |= self._learn(runs - known.keys())
-        self._keep(known)
+        passing = self._complete(set().union(*split))
+        find, first, second = self.cache.__getitem__, itemgetter(0), itemgetter(1)
         ids, decoded = [], []
-        for runs in split:
-            found = [known[r] for r in runs]
-            ids.append(b"".join([f[0] for f in found]))
-            decoded.append(" ".join([f[1] for f in found if f[1]]))
+        for words in split:
+            found = list(map(find, words))
+            ids.append(b"".join(map(first, found)))
+            decoded.append(" ".join(filter(None, map(second, found))))
+        for r in passing:
+            del self.cache[r]
         return ids, decoded
 
 
