@@ -37,7 +37,7 @@ MIN_PROBABILITY = 0.5
 #: Hash space of each of the two feature kinds, and the character n-gram length.
 BITS, NGRAM = 18, 4
 #: Largest number of labelled rows fitted on, and the share of them kept for calibration.
-SAMPLE_ROWS, CALIBRATION_SHARE = 4000, 0.25
+SAMPLE_ROWS, CALIBRATION_SHARE = 3000, 0.25
 STEPS, RATE, L2 = 150, 1.0, 1e-6
 
 _SYMBOL = np.zeros(256, bool)
@@ -148,35 +148,37 @@ def train(texts: list[bytes], labels: list[int]) -> QualityModel | None:
     held = np.arange(len(y)) % max(2, round(1 / CALIBRATION_SHARE)) == 0
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held = np.zeros(len(y), bool)
-    doc_parts, id_parts, value_parts = [], [], []
+    kinds: list[list[tuple]] = [[], []]  # words, n-grams: (document, feature, share), by document
     for i, j in blocks(texts):
         block = Block(texts[i:j])
         start, end, first = block.words()
         word, gram, gram_first = _features(texts[i:j], block.hashes(start, end))
-        for ids, at, shift in ((word, first, 0), (gram, gram_first, _SIZE)):
+        for kind, (ids, at) in enumerate(((word, first), (gram, gram_first))):
             doc = doc_of(at)
-            key, n = np.unique(doc * (2 * _SIZE) + ids[:len(doc)] + shift, return_counts=True)
-            doc_parts.append(key // (2 * _SIZE) + i)
-            id_parts.append(key % (2 * _SIZE))
-            value_parts.append(n / np.diff(at)[key // (2 * _SIZE)])
-    doc, ids, value = np.concatenate(doc_parts), np.concatenate(id_parts), np.concatenate(value_parts)
-    order = np.argsort(doc, kind="stable")
-    doc, ids, value = doc[order], ids[order], value[order]
-    first = np.searchsorted(doc, np.arange(len(y) + 1))
+            key, n = np.unique(doc * _SIZE + ids[:len(doc)], return_counts=True)
+            doc, ids = key // _SIZE, key % _SIZE
+            kinds[kind].append(((doc + i).astype(np.int32), ids.astype(np.int32), (n / np.diff(at)[doc]).astype(np.float32)))
+    rows = [tuple(np.concatenate([p[k] for p in parts]) for k in range(3)) for parts in kinds]
+    del kinds
+    firsts = [np.searchsorted(doc, np.arange(len(y) + 1)) for doc, _, _ in rows]
     weight = np.where(held, 0.0, np.where(y > 0, 0.5 / y[~held].sum(), 0.5 / (1 - y[~held]).sum()))
-    w, bias = np.zeros(2 * _SIZE), 0.0
-    square, square_bias = np.full(2 * _SIZE, 1e-8), 1e-8
+    w, bias = [np.zeros(_SIZE), np.zeros(_SIZE)], 0.0
+    square, square_bias = [np.full(_SIZE, 1e-8), np.full(_SIZE, 1e-8)], 1e-8
+
+    def margins() -> np.ndarray:
+        return sum(_sums(w[k][ids] * value, firsts[k]) for k, (_, ids, value) in enumerate(rows)) + bias
+
     for _ in range(STEPS):  # full-batch Adagrad
-        margin = _sums(w[ids] * value, first) + bias
-        slope = weight * (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - y)
-        grad = np.bincount(ids, weights=slope[doc] * value, minlength=2 * _SIZE) + L2 * w
-        square += grad * grad
+        slope = weight * (1 / (1 + np.exp(-np.clip(margins(), -50, 50))) - y)
+        for k, (doc, ids, value) in enumerate(rows):
+            grad = np.bincount(ids, weights=slope[doc] * value, minlength=_SIZE) + L2 * w[k]
+            square[k] += grad * grad
+            w[k] -= RATE * grad / np.sqrt(square[k])
         square_bias += slope.sum() ** 2
-        w -= RATE * grad / np.sqrt(square)
         bias -= 0.1 * RATE * slope.sum() / np.sqrt(square_bias)
-    margin = _sums(w[ids] * value, first) + bias
+    margin = margins()
     fit = held if held.any() else ~held
-    return QualityModel(w[:_SIZE].astype(np.float32), w[_SIZE:].astype(np.float32), float(bias),
+    return QualityModel(w[0].astype(np.float32), w[1].astype(np.float32), float(bias),
                         *_platt(margin[fit], y[fit]))
 
 
