@@ -133,18 +133,16 @@ def exact_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, salts: int = SALTS) -> DataFrame:
-    """``docs`` with one row of each group of equal texts; texts without copies are not moved.
-
-    Columns named like internal ones (``_digest``, ``_rank``, ...) are not supported in ``docs``.
-    """
+    """``docs`` with one row of each group of equal texts; texts without copies are not moved."""
     buckets = _buckets(_slim(docs, salts))
     merged = _merge(docs, buckets, salts)
     collided = _collided(merged)
-    rows = _keyed(docs, salts)
-    single = rows.join(buckets, "_bucket", "left_anti").select(*docs.columns)
+    packed = docs.select(F.struct("*").alias("_row"), "doc_id", "text")
+    rows = _keyed(packed, salts).drop("text", "_content")
+    single = rows.join(buckets, "_bucket", "left_anti").select("_row.*")
     shared = rows.join(buckets, "_bucket", "left_semi")
     if collided.isEmpty():
-        return single.unionByName(_judge(shared, merged, collided, "inner").where("kept").select(*docs.columns))
+        return single.unionAll(_judge(shared, merged, collided, "inner").where("kept").select("_row.*"))
     shared = shared.join(collided, "_digest", "left_anti")
-    return (single.unionByName(_judge(shared, merged, collided, "inner").where("kept").select(*docs.columns))
-            .unionByName(_judge_collisions(docs, merged, collided, salts).where("kept").select(*docs.columns)))
+    return (single.unionAll(_judge(shared, merged, collided, "inner").where("kept").select("_row.*"))
+            .unionAll(_judge_collisions(packed, merged, collided, salts).where("kept").select("_row.*")))

@@ -42,6 +42,7 @@ _KIND = {"p": 1, "pre": 1, "blockquote": 1, "li": 3, "dt": 3, "dd": 3, "ul": 4,
 ATTR_BUCKETS = 24
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^"'>]++|"[^"]*"|'[^']*'|["'])*?)>|<[!?][^>]*>""", re.S)
+_OPENING = re.compile(r"</?[a-zA-Z]|<[!?]")
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?]")
@@ -92,7 +93,10 @@ def parse(page: str) -> list[Node]:
     last = page.rfind(">")
     while pos < size:
         start = page.find("<", pos)
-        if start < 0 or start > last:
+        if start < 0:
+            start = size
+        elif start > last:  # no tag can end: a tag or comment cut off, or plain text
+            size = next((i for i in range(start, size) if page[i] == "<" and _OPENING.match(page, i)), size)
             start = size
         if start > pos:
             piece = page[pos:start]

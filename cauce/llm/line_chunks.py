@@ -99,15 +99,17 @@ def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
     key = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("_text_key"))
     spans = materialise(repeated_spans(docs).withColumn("_key", F.xxhash64(key)).groupBy("_key", "doc_id", "_text_key")
                         .agg(F.collect_set(F.struct("a", "b")).alias("_spans")), "line-spans")
-    rows = (docs.select(*own).withColumn("_text_key", F.xxhash64("text")).withColumn("_key", F.xxhash64(key))
+    rows = (docs.select(F.struct(*own).alias("_row"), "doc_id", "text")
+            .withColumn("_text_key", F.xxhash64("text")).withColumn("_key", F.xxhash64(key))
             .withColumn("_b", _bucket("_key")))
     hit = F.broadcast(spans.select(_bucket("_key").alias("_b")).distinct())
     lines = F.split("text", "\n", -1)
     total = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("bigint")
-    whole = rows.join(hit, "_b", "left_anti").select(*own, total.alias("n_lines"), F.lit(0).cast("bigint").alias("n_removed"))
+    whole = rows.join(hit, "_b", "left_anti").select("_row.*", total.alias("n_lines"), F.lit(0).cast("bigint").alias("n_removed"))
     verdict = spans.select(F.col("_key").alias("_k"), F.col("doc_id").alias("_id"), F.col("_text_key").alias("_tk"), "_spans")
     same = (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_tk"))
-    met = (rows.join(hit, "_b", "left_semi").join(verdict, same, "left")
+    met = (rows.join(hit, "_b", "left_semi").drop("text").join(verdict, same, "left")
+           .withColumn("text", F.col("_row")["text"])
            .withColumn("_lines", lines)
            .withColumn("_gone", F.expr("array_distinct(flatten(transform(_spans, s -> sequence(s.a, s.b))))"))
            .withColumn("_left", F.expr("array_except(sequence(0, size(_lines) - 1), _gone)"))
@@ -115,5 +117,5 @@ def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
                F.array_join(F.expr("transform(_left, i -> _lines[i])"), "\n")))
            .withColumn("n_lines", total)
            .withColumn("n_removed", F.when(F.col("_spans").isNull(), 0).otherwise(F.size("_gone")).cast("bigint")))
-    return whole.unionByName(met.select(*[F.col("_new").alias("text") if c == "text" else F.col(c) for c in own],
-                                        "n_lines", "n_removed"))
+    return whole.unionAll(met.select(*[F.col("_new").alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in own],
+                                     "n_lines", "n_removed"))

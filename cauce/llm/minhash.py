@@ -42,7 +42,9 @@ from cauce.llm.textnum import Block, blocks, doc_of, keyed, mix64, sequence_hash
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
 #: Share of texts up to which a shingle has full weight; weight of a shingle of every text.
-COMMON, FLOOR = 0.05, 0.05
+COMMON, FLOOR = 0.1, 0.05
+#: Texts without common shingles that are added in thought, so that shares in small tables mean little.
+PRIOR_TEXTS = 1000
 #: Hash buckets of the document-frequency table, and of the broadcast filter of candidate texts.
 DF_BITS, FILTER_BUCKETS = 18, 1 << 18
 #: Members of a block in the exact comparison of a bucket's rest.
@@ -103,8 +105,9 @@ def document_frequencies(texts: DataFrame) -> Idf:
 
     counts = materialise(texts.mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")), "df")
     n = counts.where("bucket = -1").agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    frequent = counts.where(F.col("bucket") >= 0).where(F.col("n") > max(1, COMMON * n)).toPandas()  # at most 2^DF_BITS rows
-    share = np.minimum(1.0, frequent["n"].to_numpy(float) / max(1, n))
+    whole = n + PRIOR_TEXTS
+    frequent = counts.where(F.col("bucket") >= 0).where(F.col("n") > COMMON * whole).toPandas()  # at most 2^DF_BITS rows
+    share = np.minimum(1.0, frequent["n"].to_numpy(float) / whole)
     return Idf(frequent["bucket"].to_numpy(np.int64), np.maximum(FLOOR, np.log(1 / share) / np.log(1 / COMMON)))
 
 
@@ -367,11 +370,11 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
     bucket = F.pmod(F.xxhash64("_node"), F.lit(FILTER_BUCKETS)).cast("int")
     wanted = F.broadcast(verdicts.select(F.pmod(F.xxhash64("node"), F.lit(FILTER_BUCKETS)).cast("int").alias("_bucket"))
                          .distinct())  # at most FILTER_BUCKETS rows
-    rows = docs.withColumn("_node", _node()).withColumn("_bucket", bucket)
-    alone = rows.join(wanted, "_bucket", "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct("*").alias("_row"), "doc_id", _node().alias("_node")).withColumn("_bucket", bucket)
+    alone = rows.join(wanted, "_bucket", "left_anti").select("_row.*")
     met = rows.join(wanted, "_bucket", "left_semi").withColumn("_salt", salt_of("doc_id"))
     judged = salted_lookup(met, verdicts.withColumnRenamed("node", "_node"), ["_node"], "_salt")
     nth = F.row_number().over(Window.partitionBy("_node", "_salt", "doc_id").orderBy("_bucket"))
     keep = F.col("keep_node").isNull() | ((F.col("_node") == F.col("keep_node"))
                                           & F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("_nth") == 1))
-    return alone.unionByName(judged.withColumn("_nth", nth).where(keep).select(*docs.columns))
+    return alone.unionAll(judged.withColumn("_nth", nth).where(keep).select("_row.*"))

@@ -95,7 +95,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: in
     Without ``weights`` the targets are proportional to the square root of each source's size.
     """
     own = [c for c in docs.columns if c not in ADDED]
-    rows = (docs.select(*own)
+    rows = (docs.select(F.struct(*own).alias("_row"), "doc_id", "source")
             .withColumn("_source", F.coalesce("source", F.lit("")))
             .withColumn("_hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
             .withColumn("_bucket", F.substring("_hash", 1, _HEX)))
@@ -115,7 +115,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: in
             .withColumn("release", F.expr("((block - 1) * period) div share"))
             .withColumn("deadline", F.expr("(block * period + share - 1) div share"))
             .withColumn("slot", turn * F.col("period") + F.expr("element_at(slots, cast((block - 1) % share + 1 as int))"))
-            .select(*own, *ADDED))
+            .select("_row.*", *ADDED))
 
 
 def interleave(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS) -> DataFrame:

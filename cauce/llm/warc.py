@@ -259,7 +259,7 @@ def field(parts: str, name: str) -> Column:
     """Value of a warc-fields entry in the first of a capture's metadata records that has it."""
     entries = F.flatten(F.transform(parts, lambda r: F.coalesce(r["fields"], F.expr("array()").cast(
         "array<struct<key:string,value:string>>"))))
-    return F.filter(entries, lambda e: e["key"] == name)[0]["value"]
+    return F.get(F.filter(entries, lambda e: e["key"] == name), F.lit(0))["value"]
 
 
 def archive_pages(pages: DataFrame, path: str | None = None) -> str:
