@@ -13,10 +13,9 @@ SF_SMALL = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from cauce.session import build_session
-    s = build_session("local[4]", 8, app_name="cauce-tests")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        # tests only: a local folder when the session names no shared one
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="cauce-test-ckpt-"))
+    # tests only: a local folder as the shared one
+    s = build_session("local[4]", 8, app_name="cauce-tests",
+                      extra={"spark.checkpoint.dir": tempfile.mkdtemp(prefix="cauce-test-ckpt-")})
     yield s
     s.stop()
 
