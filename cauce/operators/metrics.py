@@ -23,6 +23,9 @@ from cauce.operators import quality as Q
 from cauce.operators.ordering import cumulative_below
 
 
+MAX_CLASSES = 100  # classes whose box statistics are planned and broadcast at most
+
+
 def _safe_div(a, b):
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
@@ -34,16 +37,18 @@ def confusion(df: DataFrame, label: str = "label", pred: str = "pred") -> DataFr
                   F.count_if((y == 1) & (p == 0)).alias("fn"), F.count_if((y == 1) & (p == 1)).alias("tp"))
 
 
+def _rates(decimals: int) -> list:
+    """accuracy, precision, recall, f1 from columns tp, fp, fn, tn (0 on zero division)."""
+    tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
+    return [F.round(_safe_div(tp + tn, tp + tn + fp + fn), decimals).alias("accuracy"),
+            F.round(_safe_div(tp, tp + fp), decimals).alias("precision"),
+            F.round(_safe_div(tp, tp + fn), decimals).alias("recall"),
+            F.round(_safe_div(2 * tp, 2 * tp + fp + fn), decimals).alias("f1")]
+
+
 def class_metrics(df: DataFrame, label: str = "label", pred: str = "pred", decimals: int = 4) -> DataFrame:
     """accuracy, precision, recall, F1 (0 on zero division), rounded."""
-    c = confusion(df, label, pred)
-    tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
-    prec = _safe_div(tp, tp + fp)
-    rec = _safe_div(tp, tp + fn)
-    f1 = _safe_div(2 * tp, 2 * tp + fp + fn)
-    acc = _safe_div(tp + tn, tp + tn + fp + fn)
-    return c.select(F.round(acc, decimals).alias("accuracy"), F.round(prec, decimals).alias("precision"),
-                    F.round(rec, decimals).alias("recall"), F.round(f1, decimals).alias("f1"))
+    return confusion(df, label, pred).select(*_rates(decimals))
 
 
 def score_groups(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
@@ -60,28 +65,59 @@ def running_below(groups: DataFrame, order: str, cols) -> DataFrame:
 
 
 def auc_gini(df: DataFrame, label: str = "label", score: str = "score", decimals: int = 4) -> DataFrame:
-    """Exact ROC-AUC with ties counted as 1/2 (Mann-Whitney), Gini = 2·AUC − 1.
+    """Exact ROC-AUC with ties counted as 1/2 (Mann-Whitney), Gini = 2·AUC − 1; null when a class is missing.
 
     AUC = (2·Σ pos·neg_below + Σ pos·neg) / (2·P·N), summed as exact decimals.
     """
-    g = running_below(score_groups(df, label, score), "score", ["neg"])
+    return auc_of_groups(score_groups(df, label, score), decimals)
+
+
+def auc_of_groups(groups: DataFrame, decimals: int = 4) -> DataFrame:
+    """:func:`auc_gini` from one row per distinct score (score, pos, neg)."""
+    g = running_below(groups, "score", ["neg"])
     dec = "decimal(38,0)"
     s = g.agg((2 * F.sum((F.col("pos") * F.col("neg_below")).cast(dec))
                + F.sum((F.col("pos") * F.col("neg")).cast(dec))).alias("num"),
               F.sum("pos").alias("P"), F.sum("neg").alias("N"))
-    auc = F.col("num").cast("double") / (2 * F.col("P").cast("double") * F.col("N").cast("double"))
+    auc = F.try_divide(F.col("num").cast("double"), 2 * F.col("P").cast("double") * F.col("N").cast("double"))
     return s.select(F.round(auc, decimals).alias("roc_auc"), F.round(2 * auc - 1, decimals).alias("gini"))
 
 
+def threshold_table(df: DataFrame, thresholds: dict, label: str = "label", score: str = "score",
+                    decimals: int = 4) -> DataFrame:
+    """One row per named threshold classifier (score >= t): modelo, orden, the four class
+    metrics and the common AUC and Gini — all from one pass that groups the scores."""
+    groups = score_groups(df, label, score)
+    auc = auc_of_groups(groups, decimals).select(F.struct("roc_auc", "gini")).scalar()
+    zero = F.lit(0)
+    parts = []
+    for i, (name, t) in enumerate(thresholds.items()):
+        hit = F.col("score") >= t
+        parts.append(F.struct(
+            F.lit(name).alias("modelo"), F.lit(i).alias("orden"),
+            F.sum(F.when(hit, F.col("pos")).otherwise(zero)).alias("tp"),
+            F.sum(F.when(hit, F.col("neg")).otherwise(zero)).alias("fp"),
+            F.sum(F.when(hit, zero).otherwise(F.col("pos"))).alias("fn"),
+            F.sum(F.when(hit, zero).otherwise(F.col("neg"))).alias("tn")))
+    counted = groups.agg(F.array(*parts).alias("p")).select(F.explode("p").alias("s")).select("s.*")
+    return counted.select("modelo", "orden", *_rates(decimals), auc["roc_auc"].alias("roc_auc"), auc["gini"].alias("gini"))
+
+
 def roc_points(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """(umbral, fpr, tpr, tp, fp) for every distinct score used as threshold (score >= t)."""
-    g = running_below(score_groups(df, label, score), "score", ["pos", "neg"])
-    P = df.agg(F.count_if(F.col(label) == 1)).scalar()
-    N = df.agg(F.count_if(F.col(label) != 1)).scalar()
-    tp = P - F.col("pos_below")
-    fp = N - F.col("neg_below")
-    return g.select(F.col("score").alias("umbral"), (fp / N).alias("fpr"), (tp / P).alias("tpr"),
-                    tp.alias("tp"), fp.alias("fp"))
+    """(umbral, fpr, tpr, tp, fp) for every distinct score used as threshold (score >= t),
+    after the curve's origin (no threshold, 0, 0); rates are null when a class is missing."""
+    groups = score_groups(df, label, score)
+    g = running_below(groups, "score", ["pos", "neg"])
+    total = groups.agg(F.struct(F.sum("pos").alias("P"), F.sum("neg").alias("N"))).scalar()
+    tp = total["P"] - F.col("pos_below")
+    fp = total["N"] - F.col("neg_below")
+    points = g.select(F.col("score").alias("umbral"), F.try_divide(fp, total["N"]).alias("fpr"),
+                      F.try_divide(tp, total["P"]).alias("tpr"), tp.alias("tp"), fp.alias("fp"))
+    kinds = dict(points.dtypes)
+    origin = df.sparkSession.range(1).select(
+        F.lit(None).cast(kinds["umbral"]).alias("umbral"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"),
+        F.lit(0).cast(kinds["tp"]).alias("tp"), F.lit(0).cast(kinds["fp"]).alias("fp"))
+    return origin.unionByName(points)
 
 
 def class_report(df: DataFrame, label: str = "label", pred: str = "pred", decimals: int = 4) -> DataFrame:
@@ -120,7 +156,7 @@ def correlation(df: DataFrame, cols, decimals: int = 4) -> DataFrame:
     pairs = [(a, b) for a in cols for b in cols]
     aggs = [F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}")
             for a, b in pairs if a < b]
-    row = df.agg(*aggs) if aggs else None
+    row = df.agg(*aggs) if aggs else df.sparkSession.range(1)
     structs = []
     for a, b in pairs:
         if a == b:
@@ -167,7 +203,10 @@ def boxplot(df: DataFrame, cols, target: str) -> DataFrame:
     feature × class series in the same passes); whiskers and outliers are
     one more grouped aggregate.
     """
-    classes = [r[0] for r in df.select(target).distinct().filter(F.col(target).isNotNull()).collect()]
+    classes = [r[0] for r in df.select(target).distinct().filter(F.col(target).isNotNull())
+               .limit(MAX_CLASSES + 1).collect()]
+    if len(classes) > MAX_CLASSES:
+        raise ValueError(f"{target} has more than {MAX_CLASSES} classes")
     series = {f"{c}|{k}": F.when(F.col(target) == k, F.col(c)) for c in cols for k in classes}
     qs = Q.quantiles_long(Q.to_long(df, series), [0.25, 0.5, 0.75])
     rows = []

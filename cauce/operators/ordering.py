@@ -1,58 +1,72 @@
 """Global order without a single-partition window.
 
 ``range_bucket`` maps a row's order tuple to one of ~N ordered buckets whose
-bounds come from a bounded sample (at most ``sample_rows`` tuples reach the
-driver).  Bounds cover the whole order tuple, so a leading value shared by a
-third of the rows is still split by the following columns.  The bucket is a
-pure function of the values, so it does not depend on physical partitioning
-or AQE coalescing and is stable under recompute.
+bounds come from a sample in proportion to the buckets (the driver sees some
+``SAMPLES_PER_BUCKET`` tuples of each, whatever the size of the data).
+Bounds cover the whole order tuple, nulls being the lowest values, so a
+leading value (or null) shared by a third of the rows is still split by the
+following columns.  A row finds its bucket in two steps, first among the √N
+group bounds and then inside the group.  The bucket is a pure function of the
+values, so it does not depend on physical partitioning or AQE coalescing and
+is stable under recompute.
 Cumulative quantities then need only per-bucket totals (N rows) plus a
 window *partitioned by bucket* — each bucket a balanced slice of the order.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_ROWS = 100000  # upper bound on sampled tuples reaching the driver
-SAMPLES_PER_BUCKET = 100
+SAMPLES_PER_BUCKET = 50
+
+
+def _order_key(values: tuple) -> tuple:
+    """Python's order of a tuple as Spark orders it: nulls first, NaN last."""
+    return tuple((0, 0) if v is None else (2, 0) if isinstance(v, float) and math.isnan(v) else (1, v) for v in values)
 
 
-def bucket_bounds(df: DataFrame, cols, n_buckets: int, sample_rows: int | None = None) -> list:
+def bucket_bounds(df: DataFrame, cols, n_buckets: int, samples: int = SAMPLES_PER_BUCKET) -> list:
     """Up to n_buckets-1 increasing bounds of the ``cols`` tuple from a seeded
-    sample of ~100 tuples per bucket (rows whose leading value is null are
-    left out: they sort first)."""
+    sample of ~``samples`` tuples per bucket."""
     cols = [cols] if isinstance(cols, str) else list(cols)
-    if sample_rows is None:
-        sample_rows = min(SAMPLE_ROWS, max(1000, SAMPLES_PER_BUCKET * n_buckets))
-    keyed = df.filter(F.col(cols[0]).isNotNull()).select(F.struct(*[F.col(c) for c in cols]).alias("k"))
+    keyed = df.select(*cols)
     n = keyed.count()
     if n == 0 or n_buckets <= 1:
         return []
-    frac = min(1.0, sample_rows / n)
-    s = keyed.sample(False, frac, seed=7) if frac < 1.0 else keyed
-    vals = [tuple(r[0]) for r in s.orderBy("k").limit(int(sample_rows * 1.2) + 10).collect()]
-    bounds = []
+    share = min(1.0, samples * n_buckets / n)
+    drawn = keyed.sample(False, share, seed=7) if share < 1.0 else keyed
+    values = sorted((tuple(r) for r in drawn.collect()), key=_order_key)
+    bounds: list = []
     for i in range(1, n_buckets):
-        v = vals[min(len(vals) - 1, int(len(vals) * i / n_buckets))] if vals else None
-        if v is not None and None not in v and (not bounds or v > bounds[-1]):
-            bounds.append(v)
+        if values:
+            v = values[min(len(values) - 1, len(values) * i // n_buckets)]
+            if not bounds or _order_key(v) > _order_key(bounds[-1]):
+                bounds.append(v)
     return bounds
 
 
 def range_bucket(cols, bounds: list, types: dict) -> F.Column:
-    """Number of bounds strictly below the row's ``cols`` tuple; a row whose
-    leading value is null goes to bucket -1 (nulls sort first).  Tuples
-    compare lexicographically with nulls first (struct ordering), so a hot
-    leading value is split by the next columns."""
+    """Number of bounds strictly below the row's ``cols`` tuple (tuples compare
+    lexicographically, nulls first): the bounds are cut into ~√N groups, whose
+    first bounds are searched first."""
     cols = [cols] if isinstance(cols, str) else list(cols)
-    any_null = F.col(cols[0]).isNull()
     if not bounds:
-        return F.when(any_null, F.lit(-1)).otherwise(F.lit(0))
+        return F.lit(0)
     key = F.struct(*[F.col(c) for c in cols])
-    arr = F.array(*[F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(cols, b)]) for b in bounds])
-    return F.when(any_null, F.lit(-1)).otherwise(F.size(F.filter(arr, lambda b: b < key)))
+    width = max(1, math.isqrt(len(bounds)))
+    groups = [bounds[i:i + width] for i in range(0, len(bounds), width)]
+
+    def literal(rows):
+        return F.array(*[F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(cols, b)]) for b in rows])
+
+    def below(arr):
+        return F.size(F.filter(arr, lambda b: b < key))
+    group = below(literal([g[0] for g in groups]))  # groups that begin below the row
+    inside = F.element_at(F.array(*[literal(g) for g in groups]), F.greatest(group, F.lit(1)))
+    return F.when(group == 0, F.lit(0)).otherwise((group - 1) * width + below(inside))
 
 
 def default_buckets(df: DataFrame) -> int:

@@ -1,8 +1,8 @@
 """Procurement operators: best quote, request enrichment, quote rules, updates.
 
-All operators are DataFrame → DataFrame.  Whole-table statistics (median,
-min, max) are scalar subqueries, so they are computed once as a tiny
-aggregate and folded into the projection without a join.
+All operators are DataFrame → DataFrame.  Whole-table minima and maxima are
+scalar subqueries, computed once as a tiny aggregate and folded into the
+projection without a join; the median is an exact distributed selection.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cauce.functions import rules as R
+from cauce.operators.quality import exact_quantiles
 
 # Tie-break for "first row on ties": price, then line, product, supplier.
 QUOTE_ORDER = ("precio_total", "linea", "producto_id", "proveedor_id")
@@ -70,17 +71,18 @@ def quotes_by_supplier(quotes: DataFrame, name_col: str = "proveedor_nombre") ->
 
 
 def normalize_prices(quotes: DataFrame, col: str = "precio_total") -> DataFrame:
-    """Impute null prices with the column median, then min-max scale to [0,1].
+    """Impute missing prices (null or NaN) with the column median, then min-max scale to [0,1].
 
-    A constant column scales to 0.  Median, min and max are exact scalar
-    subqueries over the whole column (``median`` is a sort-based percentile;
-    ``approx=True`` variants belong to the profiling module).
+    A constant column scales to 0.  The exact median comes from distributed
+    selection (no column in one task); it lies inside [min, max], so these are
+    plain aggregates of the given prices.
     """
-    med = quotes.agg(F.median(col)).scalar()
-    filled = quotes.withColumn(col, F.coalesce(F.col(col), med))
-    lo = quotes.agg(F.min(F.coalesce(F.col(col), med))).scalar()
-    hi = quotes.agg(F.max(F.coalesce(F.col(col), med))).scalar()
-    span = hi - lo
+    known = F.when(~F.isnan(F.col(col).cast("double")), F.col(col))
+    clean = quotes.withColumn(col, known)
+    med = F.lit(exact_quantiles(clean, col, [0.5])[0.5])
+    bounds = clean.agg(F.struct(F.min(col).alias("lo"), F.max(col).alias("hi"))).scalar()
+    lo, span = bounds["lo"], bounds["hi"] - bounds["lo"]
+    filled = clean.withColumn(col, F.coalesce(F.col(col), med.cast(dict(quotes.dtypes)[col])))
     return filled.withColumn(
         "precio_norm", F.when(span == 0, F.lit(0.0)).otherwise((F.col(col) - lo) / span))
 

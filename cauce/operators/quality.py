@@ -7,8 +7,8 @@ Designed so no operator gathers a whole column into one task:
 * mode: ``groupBy(value).count()`` (hot values collapse map-side) then a
   partial ``min_by`` over the distinct values;
 * exact quantiles: distributed selection — histogram passes narrow a value
-  interval around each requested rank until few candidates remain, and only
-  those (a bounded number) reach the driver.  ``method="approx"`` uses the
+  interval around each requested rank until it is one value; only bin counts
+  reach the driver.  ``method="approx"`` uses the
   Greenwald-Khanna sketch (``percentile_approx``) instead.
 """
 
@@ -25,9 +25,9 @@ from pyspark.sql import types as T
 NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
                  T.DecimalType)
 
-# candidates allowed to reach the driver in the last selection step
-SELECTION_LIMIT = 20000
 HISTOGRAM_BINS = 1000
+# narrower bins are not told apart by division: the interval then holds few doubles
+MIN_WIDTH = 1e-320
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -38,74 +38,80 @@ def numeric_columns(df: DataFrame) -> list[str]:
 # exact quantiles by distributed selection
 # ---------------------------------------------------------------------------
 
+def series_stats(base: DataFrame) -> dict:
+    """Per series: rows below, inside and above the finite values, and their extremes."""
+    inf = F.lit(float("inf"))
+    finite = (F.col("v") > -inf) & (F.col("v") < inf)
+    return {r["sid"]: r for r in base.groupBy("sid").agg(
+        F.min(F.when(finite, F.col("v"))).alias("lo"), F.max(F.when(finite, F.col("v"))).alias("hi"),
+        F.count_if(F.col("v") == -inf).alias("low"), F.count_if(finite).alias("n"),
+        F.count(F.lit(1)).alias("total")).collect()}
+
+
 def order_statistics(long: DataFrame, wanted: dict, stats: dict | None = None) -> dict:
     """Exact order statistics for many series at once.
 
     ``long`` has columns ``sid`` (series id) and ``v`` (double); ``wanted``
     maps sid → list of 0-based ranks.  Returns {(sid, rank): value}.
 
-    Each open (sid, rank) keeps an interval [lo, hi] of values and the count
-    below lo.  Every pass is ONE scan: rows are matched to the open intervals
-    of their series (a literal array filtered per row), binned, and reduced by
-    ``groupBy(key, bin)`` to (count, min, max) — at most HISTOGRAM_BINS rows
-    per open rank reach the driver.  The interval becomes the exact
-    [min, max] of the bin holding the rank (bins are monotone in the value).
-    Intervals with at most SELECTION_LIMIT values are fetched and read.
+    Infinite values are only counted.  Each open (sid, rank) keeps an interval
+    [lo, hi] of finite values and the count below lo.  Every pass is ONE scan:
+    rows are matched to the open intervals of their series (a literal array
+    filtered per row), binned, and reduced by ``groupBy(key, bin)`` to (count,
+    min, max) — at most HISTOGRAM_BINS rows per open rank reach the driver,
+    never the values of a column.  The interval becomes the exact [min, max]
+    of the bin holding the rank (bins are monotone in the value, and the
+    extremes fall into different bins), until it is a single value.  Where the
+    interval is too narrow to be divided, only some thousand doubles fit into
+    it, and the bins are the values themselves.
     """
-    base = long.filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    st = stats if stats is not None else {r["sid"]: r for r in base.groupBy("sid").agg(
-        F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")).collect()}
-    state = {}
+    base = long.filter(F.col("v").isNotNull() & ~F.isnan("v")).withColumn("v", F.col("v") + F.lit(0.0))
+    st = stats if stats is not None else series_stats(base)
+    result: dict = {}
+    state: dict = {}
     for sid, ranks in wanted.items():
         if sid in st:
+            low, n = st[sid]["low"], st[sid]["n"]
             for r in set(ranks):
-                state[(sid, r)] = (st[sid]["lo"], st[sid]["hi"], 0, st[sid]["n"])
-    result: dict = {}
+                if r < low:
+                    result[(sid, r)] = -math.inf
+                elif r >= low + n:
+                    result[(sid, r)] = math.inf
+                else:
+                    state[(sid, r)] = (st[sid]["lo"], st[sid]["hi"], low)
     while state:
-        fetch = {}
-        for key, (lo, hi, below, inside) in list(state.items()):
-            width = (hi - lo) / HISTOGRAM_BINS
+        for key, (lo, hi, _) in list(state.items()):
             if lo == hi:
                 result[key] = lo
                 del state[key]
-            elif inside <= SELECTION_LIMIT or not (width > 0 and math.isfinite(width)):
-                fetch[key] = (lo, hi, below)
-                del state[key]
-        if fetch:
-            cond = reduce(lambda a, b: a | b, [
-                (F.col("sid") == sid) & (F.col("v") >= lo) & (F.col("v") <= hi)
-                for (sid, _), (lo, hi, _b) in fetch.items()])
-            got: dict = {}
-            for row in base.filter(cond).collect():
-                got.setdefault(row["sid"], []).append(row["v"])
-            for (sid, r), (lo, hi, below) in fetch.items():
-                vals = sorted(v for v in got.get(sid, []) if lo <= v <= hi)
-                result[(sid, r)] = vals[r - below]
         if not state:
             break
         keys = list(state)
-        # sid → that series' open intervals: each row only tests its own
+        # sid → that series' open intervals: each row only tests its own; halves cannot overflow
         by_sid: dict = {}
         for i, (sid, r) in enumerate(keys):
+            lo, hi, _ = state[(sid, r)]
             by_sid.setdefault(sid, []).append(F.struct(
-                F.lit(i).alias("k"), F.lit(state[(sid, r)][0]).alias("lo"), F.lit(state[(sid, r)][1]).alias("hi")))
+                F.lit(i).alias("k"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"),
+                F.lit((hi / 2 - lo / 2) / HISTOGRAM_BINS).alias("width")))
         specs = F.element_at(F.create_map(*[x for sid, arr in by_sid.items()
                                             for x in (F.lit(sid), F.array(*arr))]), F.col("sid"))
         hits = F.filter(specs, lambda s: (F.col("v") >= s["lo"]) & (F.col("v") <= s["hi"]))
         ex = base.select("v", F.explode(hits).alias("s"))
-        width = (F.col("s.hi") - F.col("s.lo")) / HISTOGRAM_BINS
-        b = F.least(F.floor((F.col("v") - F.col("s.lo")) / width), F.lit(HISTOGRAM_BINS - 1)).cast("int")
+        half = F.col("v") / 2 - F.col("s.lo") / 2
+        b = F.when(F.col("s.width") >= F.lit(MIN_WIDTH),
+                   F.least(F.floor(half / F.col("s.width")), F.lit(HISTOGRAM_BINS - 1)).cast("double")
+                   ).otherwise(F.col("v"))
         hist = (ex.select(F.col("s.k").alias("k"), b.alias("b"), "v").groupBy("k", "b")
                 .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect())
         by_key: dict = {}
         for row in hist:
-            by_key.setdefault(row["k"], []).append((row["b"], row["n"], row["lo"], row["hi"]))
+            by_key.setdefault(row["k"], []).append((row["lo"], row["hi"], row["n"]))
         for i, key in enumerate(keys):
-            lo, hi, below, inside = state[key]
-            acc = below
-            for b_, n, blo, bhi in sorted(by_key.get(i, [])):
+            acc = state[key][2]
+            for lo, hi, n in sorted(by_key.get(i, [])):
                 if acc + n > key[1]:
-                    state[key] = (blo, bhi, acc, n)
+                    state[key] = (lo, hi, acc)
                     break
                 acc += n
     return result
@@ -120,9 +126,8 @@ def quantiles_long(long: DataFrame, probs) -> dict:
     """
     base = long.filter(F.col("v").isNotNull() & ~F.isnan("v")).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        stats = {r["sid"]: r for r in base.groupBy("sid").agg(
-            F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("n")).collect()}
-        counts = {sid: r["n"] for sid, r in stats.items()}
+        stats = series_stats(base)
+        counts = {sid: r["total"] for sid, r in stats.items()}
         need, wanted = {}, {}
         for sid, n in counts.items():
             for p in probs:
@@ -136,7 +141,7 @@ def quantiles_long(long: DataFrame, probs) -> dict:
     out = {}
     for (sid, p), (a, b, frac) in need.items():
         lo, hi = found[(sid, a)], found[(sid, b)]
-        out[(sid, p)] = lo * (1 - frac) + hi * frac
+        out[(sid, p)] = lo if a == b or lo == hi else lo * (1 - frac) + hi * frac
     return out
 
 
@@ -176,9 +181,15 @@ def shape(df: DataFrame) -> DataFrame:
         "n_filas", F.lit(len(df.columns)).alias("n_columnas"), names.alias("columnas"), types.alias("tipos"))
 
 
+def is_missing(df: DataFrame, c: str):
+    """Null, or NaN in a floating column (T2: NaN counts as null)."""
+    kind = dict(df.dtypes)[c]
+    return (F.col(c).isNull() | F.isnan(c)) if kind in ("float", "double") else F.col(c).isNull()
+
+
 def null_counts(df: DataFrame) -> DataFrame:
     """(columna, nulos) for every column, from one aggregate pass."""
-    counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns])
+    counts = df.agg(*[F.count_if(is_missing(df, c)).alias(c) for c in df.columns])
     return counts.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("columna"), F.col(c).alias("nulos")) for c in df.columns])).alias("s")
     ).select("s.*")
@@ -186,7 +197,7 @@ def null_counts(df: DataFrame) -> DataFrame:
 
 def completeness(df: DataFrame) -> DataFrame:
     """(1 - nulls/cells) * 100 rounded to 2; 0 for an empty frame."""
-    cells_null = reduce(lambda a, b: a + b, [F.count_if(F.col(c).isNull()) for c in df.columns])
+    cells_null = reduce(lambda a, b: a + b, [F.count_if(is_missing(df, c)) for c in df.columns])
     n = F.count(F.lit(1))
     return df.agg(
         F.when(n == 0, F.lit(0.0))
@@ -219,12 +230,6 @@ def mode_table(df: DataFrame, cols=None) -> DataFrame:
         F.min_by(F.col("t"), F.struct(-F.col("_n"), F.col("x"), F.col("t"))).alias("moda"))
 
 
-def mode_value(df: DataFrame, c: str):
-    """Scalar Column: the mode of ``c`` (smallest on ties)."""
-    vc = df.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n"))
-    return vc.agg(F.min_by(F.col(c), F.struct(-F.col("_n"), F.col(c)))).scalar()
-
-
 def describe(df: DataFrame, cols=None, method: str = "exact", decimals: int = 3) -> DataFrame:
     """count, mean, std (n−1), min, p25, p50, p75, max, median per numeric column.
 
@@ -242,10 +247,8 @@ def describe(df: DataFrame, cols=None, method: str = "exact", decimals: int = 3)
     m = df.agg(*aggs).first()
     probs = [0.25, 0.5, 0.75]
     if method == "approx":
-        qs = {}
-        for c in cols:
-            vals = df.agg(F.percentile_approx(c, probs, 10000)).first()[0] or [None] * 3
-            qs.update({(c, p): v for p, v in zip(probs, vals)})
+        found = df.agg(*[F.percentile_approx(c, probs, 10000).alias(c) for c in cols]).first() if cols else {}
+        qs = {(c, p): v for c in cols for p, v in zip(probs, found[c] or [None] * 3)}
     else:
         qs = quantiles_long(to_long(df, {c: c for c in cols}), probs)
     rows = []
@@ -272,41 +275,46 @@ def imbalance_ratio(df: DataFrame, target: str) -> DataFrame:
     return vc.agg(F.round(F.max("n") / F.min("n"), 2).alias("ratio_desbalance"))
 
 
-def impute_all(df: DataFrame, method: str = "exact") -> DataFrame:
-    """Columns with nulls: numeric → median, others → mode; others untouched.
+def fit_imputation(df: DataFrame, method: str = "exact") -> dict:
+    """{column: fill value} for the columns with missing values: numeric → median, others → mode.
 
-    Null presence per column is one aggregate; all medians come from one
-    batched selection (or the sketch), all modes from one grouped pass; the
-    fills are literals / scalars applied in one projection (no join).
+    Presence per column is one aggregate; all medians come from one batched
+    selection (or one sketch aggregate), all modes from one grouped pass.
     """
-    nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns]).first()
+    missing = df.agg(*[F.count_if(is_missing(df, c)).alias(c) for c in df.columns]).first()
     numeric = set(numeric_columns(df))
-    need_num = [c for c in df.columns if nulls[c] > 0 and c in numeric]
-    medians = {}
+    need_num = [c for c in df.columns if missing[c] > 0 and c in numeric]
+    need_other = [c for c in df.columns if missing[c] > 0 and c not in numeric]
+    fills = dict.fromkeys(need_num + need_other)
     if need_num and method == "exact":
         q = quantiles_long(to_long(df, {c: c for c in need_num}), [0.5])
-        medians = {c: F.lit(q.get((c, 0.5))) for c in need_num}
+        fills.update({c: q.get((c, 0.5)) for c in need_num})
     elif need_num:
-        medians = {c: quantile_column(df, c, 0.5, method) for c in need_num}
-    need_other = [c for c in df.columns if nulls[c] > 0 and c not in numeric]
-    modes = {}
+        row = df.agg(*[F.percentile_approx(c, 0.5, 10000).cast("double").alias(c) for c in need_num]).first()
+        fills.update({c: row[c] for c in need_num})
     if need_other:  # all modes in one pass; one (bounded) row per column
-        modes = {r.columna: F.lit(r.moda) for r in mode_table(df, need_other).collect()}
-    types = dict(df.dtypes)
-    fills = {}
-    for c in df.columns:
-        if nulls[c] == 0:
-            continue
-        fill = medians[c] if c in numeric else modes.get(c, F.lit(None))
-        fills[c] = F.coalesce(F.col(c), fill.cast(types[c]))
-    return df.withColumns(fills) if fills else df
-
-
-def minmax_scale(df: DataFrame, col: str, out: str) -> DataFrame:
-    """(x-min)/(max-min); a constant column → 0."""
-    lo = df.agg(F.min(col)).scalar()
-    hi = df.agg(F.max(col)).scalar()
-    return df.withColumn(out, F.when(hi == lo, F.lit(0.0)).otherwise((F.col(col) - lo) / (hi - lo)))
+        fills.update({r.columna: r.moda for r in mode_table(df, need_other).collect()})
+    return fills
+
+
+def apply_imputation(df: DataFrame, fills: dict) -> DataFrame:
+    """Fill missing values with fitted ones.  A filled integer column becomes
+    double, since a median can lie between two integers."""
+    numeric, types = set(numeric_columns(df)), dict(df.dtypes)
+    out = {}
+    for c, value in fills.items():
+        if c in numeric:
+            x = F.col(c).cast("double")
+            x = F.when(F.isnan(x), F.lit(None)).otherwise(x)
+            out[c] = F.coalesce(x, F.lit(value).cast("double"))
+        else:
+            out[c] = F.coalesce(F.col(c), F.lit(value).cast(types[c]))
+    return df.withColumns(out) if out else df
+
+
+def impute_all(df: DataFrame, method: str = "exact") -> DataFrame:
+    """Columns with missing values: numeric → median, others → mode; others untouched."""
+    return apply_imputation(df, fit_imputation(df, method))
 
 
 def quality_report(df: DataFrame, target: str) -> DataFrame:

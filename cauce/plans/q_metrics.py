@@ -62,7 +62,7 @@ SELECT score AS umbral,
   ((SELECT sum(pos) FROM g) - pos_below) / CAST((SELECT sum(pos) FROM g) AS DOUBLE) AS tpr,
   CAST((SELECT sum(pos) FROM g) - pos_below AS BIGINT) AS tp,
   CAST((SELECT sum(neg) FROM g) - neg_below AS BIGINT) AS fp
-FROM c""", views=("scored_lines",))
+FROM c UNION ALL SELECT NULL, 0.0, 0.0, 0, 0""", views=("scored_lines",))
 def agg_roc_points(spark, d):
     return M.roc_points(_lines(spark, d))
 
@@ -71,7 +71,7 @@ def agg_roc_points(spark, d):
 WITH {_AUC_CTE}
 SELECT score AS umbral, CAST((SELECT sum(pos) FROM g) - pos_below AS BIGINT) AS tp,
   CAST((SELECT sum(neg) FROM g) - neg_below AS BIGINT) AS fp
-FROM c""", views=("scored_lines",))
+FROM c UNION ALL SELECT NULL, 0, 0""", views=("scored_lines",))
 def win_cumulative(spark, d):
     return M.roc_points(_lines(spark, d)).select("umbral", "tp", "fp")
 
@@ -100,16 +100,7 @@ THRESHOLDS = {"umbral_0.3": 0.3, "umbral_0.5": 0.5, "umbral_0.7": 0.7}
 
 
 def _model_rows(spark, d):
-    lines = _lines(spark, d)
-    auc = M.auc_gini(lines)
-    parts = []
-    for i, (name, t) in enumerate(THRESHOLDS.items()):
-        m = M.class_metrics(lines.withColumn("pred", (F.col("score") >= t).cast("int")))
-        parts.append(m.select(F.lit(name).alias("modelo"), F.lit(i).alias("orden"), "*"))
-    table = parts[0]
-    for p in parts[1:]:
-        table = table.unionByName(p)
-    return table.join(F.broadcast(auc), how="left")  # auc: one row (bounded)
+    return M.threshold_table(_lines(spark, d), THRESHOLDS)
 
 
 def _model_sql():

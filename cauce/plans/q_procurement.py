@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cauce.functions import rules as R
 from cauce.operators import procurement as P
+from cauce.operators.quality import exact_quantiles
 from cauce.plans import oracle as O
 from cauce.plans.registry import register
 from cauce.sources import tables as T
@@ -87,9 +88,9 @@ SELECT solicitud_id, linea, producto_id, proveedor_id,
           views=("quotes",))
 def impute_median_price(spark, d):
     q = T.quotes(spark, d)
-    med = q.agg(F.median("precio_total")).scalar()
+    med = exact_quantiles(q, "precio_total", [0.5])[0.5]
     return q.select("solicitud_id", "linea", "producto_id", "proveedor_id",
-                    F.coalesce(F.col("precio_total"), med).alias("precio_total"))
+                    F.coalesce(F.col("precio_total"), F.lit(med)).alias("precio_total"))
 
 
 @register("scale_minmax", """

@@ -77,11 +77,13 @@ def agg_duplicates(spark, d):
 
 
 @register("agg_shape", f"""
-SELECT count(*) AS n_filas, {len(PROFILE_COLS)} AS n_columnas, '{",".join(PROFILE_COLS)}' AS columnas
+SELECT count(*) AS n_filas, {len(PROFILE_COLS)} AS n_columnas, '{",".join(PROFILE_COLS)}' AS columnas,
+  'edad:int,anos_cliente:int,uso_datos_gb:double,llamadas_mes:int,reclamos:int,plan_premium:int,abandona:int' AS tipos
 FROM portfolio""", views=("portfolio",))
 def agg_shape(spark, d):
     sh = Q.shape(_profile(spark, d))
-    return sh.select("n_filas", "n_columnas", F.array_join("columnas", ",").alias("columnas"))
+    types = F.array_join(F.transform("columnas", lambda c: F.concat(c, F.lit(":"), F.element_at("tipos", c))), ",")
+    return sh.select("n_filas", "n_columnas", F.array_join("columnas", ",").alias("columnas"), types.alias("tipos"))
 
 
 def _mode_sql(c):
@@ -89,14 +91,21 @@ def _mode_sql(c):
             f"ORDER BY count(*) DESC, {c} LIMIT 1)")
 
 
+# every fifth sale has no visit count; the others 0, 1, 6 or 7, so that the median lies between
+_VISITS = ("CASE WHEN CAST(id AS BIGINT) % 5 = 0 THEN NULL WHEN CAST(id AS BIGINT) % 5 < 3 "
+           "THEN CAST(id AS BIGINT) % 2 ELSE 6 + CAST(id AS BIGINT) % 2 END")
+
+
 @register("agg_impute_all", f"""
 SELECT id, coalesce(fecha, {_mode_sql('fecha')}) AS fecha, producto,
   coalesce(cantidad, {_mode_sql('cantidad')}) AS cantidad, precio,
   coalesce(ciudad, {_mode_sql('ciudad')}) AS ciudad,
-  coalesce(descuento, (SELECT quantile_cont(descuento, 0.5) FROM sales_raw)) AS descuento
+  coalesce(descuento, (SELECT quantile_cont(descuento, 0.5) FROM sales_raw)) AS descuento,
+  coalesce({_VISITS}, (SELECT quantile_cont({_VISITS}, 0.5) FROM sales_raw)) AS visitas
 FROM sales_raw""", views=("sales_raw",))
 def agg_impute_all(spark, d):
-    return Q.impute_all(T.sales_raw(spark, d).select(*RAW_COLS))
+    """All columns of the raw sales, plus an integer one with missing values (its median may be x.5)."""
+    return Q.impute_all(T.sales_raw(spark, d).select(*RAW_COLS, F.expr(_VISITS).cast("int").alias("visitas")))
 
 
 @register("agg_balance_pct", """
@@ -128,8 +137,14 @@ def agg_class_weight(spark, d):
 SELECT count(*) AS n_filas, {len(PROFILE_COLS)} AS n_columnas,
   {" + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in PROFILE_COLS)} AS total_nulos,
   count(*) - (SELECT count(*) FROM (SELECT DISTINCT {", ".join(PROFILE_COLS)} FROM portfolio) t) AS duplicados,
+  (SELECT string_agg(abandona || '=' || printf('%.2f', pct), ',' ORDER BY abandona) FROM (
+     SELECT abandona, round(count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM portfolio) * 100, 2) AS pct
+     FROM portfolio GROUP BY abandona) b) AS balance_pct,
   (SELECT round(max(n) / min(n), 2) FROM (SELECT count(*) AS n FROM portfolio GROUP BY abandona) t)
     AS ratio_desbalance
 FROM portfolio""", views=("portfolio",))
 def agg_quality_report(spark, d):
-    return Q.quality_report(_profile(spark, d), T.TARGET).drop("balance_pct")
+    report = Q.quality_report(_profile(spark, d), T.TARGET)
+    share = F.transform(F.array_sort(F.map_entries("balance_pct")),
+                        lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.2f", e["value"])))
+    return report.withColumn("balance_pct", F.array_join(share, ","))

@@ -8,21 +8,41 @@ from cauce.operators import quality as Q
 
 
 @settings(max_examples=8, deadline=None)
-@given(st.lists(st.one_of(st.integers(-5, 5).map(float), st.floats(-1e6, 1e6, allow_nan=False)),
+@given(st.lists(st.one_of(st.integers(-5, 5).map(float), st.floats(-1e6, 1e6, allow_nan=False), st.floats(allow_nan=False),
+                          st.sampled_from([float("inf"), -float("inf"), 5e-324, -5e-324, 2.5e-323, -0.0, 1.7e308, -1.7e308])),
                 min_size=1, max_size=300))
 def test_exact_quantiles_match_numpy(spark, vals):
-    old = (Q.SELECTION_LIMIT, Q.HISTOGRAM_BINS)
-    Q.SELECTION_LIMIT, Q.HISTOGRAM_BINS = 7, 5  # force several selection passes
+    old = Q.HISTOGRAM_BINS
+    Q.HISTOGRAM_BINS = 20  # force several selection passes
     try:
         df = spark.createDataFrame([(v,) for v in vals], "x double")
         got = Q.exact_quantiles(df, "x", [0.0, 0.25, 0.5, 0.75, 1.0])
     finally:
-        Q.SELECTION_LIMIT, Q.HISTOGRAM_BINS = old
-    s = np.sort(np.array(vals))
+        Q.HISTOGRAM_BINS = old
+    s = sorted(vals)
     for p, v in got.items():
         h = (len(s) - 1) * p
         a, b = int(np.floor(h)), int(np.ceil(h))
-        assert v == s[a] * (1 - (h - a)) + s[b] * (h - a)
+        want = s[a] if s[a] == s[b] else s[a] * (1 - (h - a)) + s[b] * (h - a)
+        assert v == want or (np.isnan(v) and np.isnan(want))
+
+
+def test_selection_sends_only_bins_to_the_driver(spark):
+    """A third of the rows are one value, some are infinite: counts arrive, never the column."""
+    rows = [(7.0,)] * 3000 + [(float("inf"),)] * 500 + [(float(i) / 7,) for i in range(5500)]
+    df = spark.createDataFrame(rows, "x double")
+    s = sorted(r[0] for r in rows)
+    got = Q.order_statistics(Q.to_long(df, {"x": "x"}), {"x": [0, 1234, 4000, 8499, 8500, 8999]})
+    assert {r: got[("x", r)] for r in (0, 1234, 4000, 8499, 8500, 8999)} == {r: s[r] for r in (0, 1234, 4000, 8499, 8500, 8999)}
+
+
+def test_integer_medians_and_nan(spark):
+    df = spark.createDataFrame([(1, 1.0), (2, float("nan")), (None, 3.0), (3, None), (4, 5.0)], "i int, x double")
+    out = Q.impute_all(df)
+    assert dict(out.dtypes)["i"] == "double"
+    assert sorted(r.i for r in out.collect()) == [1.0, 2.0, 2.5, 3.0, 4.0]
+    assert sorted(r.x for r in out.collect()) == [1.0, 3.0, 3.0, 3.0, 5.0]
+    assert {r.columna: r.nulos for r in Q.null_counts(df).collect()} == {"i": 1, "x": 2}
 
 
 def test_mode_smallest_on_ties(spark):
