@@ -8,11 +8,10 @@ Chunks of at least two lines that occur more than once in the corpus are
 compared byte by byte, and all occurrences but the first (smallest ``doc_id``,
 then first line) are removed.
 
-All steps are Spark expressions.  Chunk counts travel as hashes; chunk texts
-move only for hashes in a broadcast set of at most ``FILTER_BUCKETS`` buckets,
-and whole texts only for documents that lose lines (same bound).  A chunk that
-a third of all documents hold is a partial aggregate first and is looked up on
-(hash, salt) after.
+All steps are Spark expressions.  Chunk counts travel as hashes; the texts are
+dealt out once by row, chunk texts move only for hashes that occur more than
+once.  A chunk that a third of all documents hold is a partial aggregate first
+and is looked up on (hash, salt) after.
 
 Defined cases: null texts stay null with no lines; an empty text is one empty
 line; a null ``doc_id`` comes after all others; rows that repeat ``doc_id`` and
@@ -32,7 +31,6 @@ from cauce.llm.common import materialise, salt_of, salted_lookup
 CHUNKINGS = ((1, 2, 11), (1, 2, 23), (2, 2, 37), (2, 4, 53))
 #: Characters (spaces at line ends not counted) that a chunk needs, and lines.
 MIN_CHARS, MIN_LINES = 40, 2
-FILTER_BUCKETS = 1 << 18
 
 _NULL_ID = str(1 << 63)
 
@@ -62,31 +60,43 @@ def _chunks(docs: DataFrame) -> DataFrame:
             .where(F.expr(f"aggregate(slice(len, a + 1, b - a + 1), 0, (s, x) -> s + x) >= {MIN_CHARS}")))
 
 
-def _bucket(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(FILTER_BUCKETS)).cast("int")
-
-
 def _rank() -> Column:
     """Order of occurrences: doc_id, then first line, in one decimal (so that min() hash-aggregates)."""
     doc = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.expr(f"cast({_NULL_ID}BD as decimal(20,0))"))
     return (doc * F.expr("cast(2147483648BD as decimal(10,0))") + F.col("a")).cast("decimal(38,0)")
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
+def _key() -> Column:
+    """A row's key for the joins: its doc_id and text, hashed."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("_text_key"))
+
+
+def _same_row(left: str, right: str) -> Column:
+    return ((F.col(f"{left}._key") == F.col(f"{right}._key")) & (F.col(f"{left}._text_key") == F.col(f"{right}._text_key"))
+            & F.col(f"{left}.doc_id").eqNullSafe(F.col(f"{right}.doc_id")))
+
+
+def _per_row(spans: DataFrame, name: str, *cols: str) -> DataFrame:
+    """The spans of each row as one array (bounded by its lines)."""
+    return spans.withColumn("_key", _key()).groupBy("_key", "doc_id", "_text_key").agg(
+        F.collect_set(F.struct(*cols)).alias(name))
+
+
+def _repeated_spans(slim: DataFrame, rows: DataFrame) -> DataFrame:
     """doc_id, _text_key, a, b of every repeated chunk occurrence that is not the chunk's first."""
-    chunk_hash = F.xxhash64(F.slice("h", F.col("a") + 1, F.col("b") - F.col("a") + 1))
-    found = _chunks(docs).withColumn("_h", chunk_hash)
-    slim = materialise(found.select("doc_id", "_text_key", "a", "b", "_h"), "line-chunks")
-    often = slim.groupBy("_h").agg(F.count("*").alias("n")).where("n > 1")
-    buckets = F.broadcast(often.select(_bucket("_h").alias("_b")).distinct())
-    # byte comparison: group by the whole chunk text
-    text = F.array_join(F.slice("lines", F.col("a") + 1, F.col("b") - F.col("a") + 1), "\n")
-    groups = (found.withColumn("_b", _bucket("_h")).join(buckets, "_b", "left_semi")
-              .select("_h", text.alias("_chunk"), _rank().alias("_r"))
+    often = slim.groupBy("_h").agg(F.count("*").alias("n")).where("n > 1").select("_h")
+    salted = slim.withColumn("_salt", salt_of("doc_id", "a"))
+    wanted = _per_row(salted_lookup(salted, often, ["_h"], "_salt", "inner"), "_wanted", "a", "b", "_h")
+    # byte comparison: group by the whole chunk text, of hashes that occur more than once only
+    chunks = (rows.alias("r").join(wanted.alias("w"), _same_row("r", "w"))
+              .select("r.doc_id", F.split("r.text", "\n", -1).alias("lines"), F.explode("w._wanted").alias("s"))
+              .select("doc_id", "s.a", "s._h",
+                      F.array_join(F.slice("lines", F.col("s.a") + 1, F.col("s.b") - F.col("s.a") + 1), "\n").alias("_chunk")))
+    groups = (chunks.select("_h", "_chunk", _rank().alias("_r"))
               .groupBy("_h", "_chunk").agg(F.min("_r").alias("_first"), F.count("*").alias("n")))
     verdict = (groups.groupBy("_h").agg(F.count("*").alias("_texts"), F.min("_first").alias("_first"), F.sum("n").alias("n"))
                .where("_texts = 1 AND n > 1").select("_h", "_first"))
-    marked = salted_lookup(slim.withColumn("_salt", salt_of("doc_id", "a")), verdict, ["_h"], "_salt", "inner")
+    marked = salted_lookup(salted, verdict, ["_h"], "_salt", "inner")
     return marked.where(_rank() != F.col("_first")).select("doc_id", "_text_key", "a", "b")
 
 
@@ -96,26 +106,21 @@ def remove_repeated_chunks(docs: DataFrame) -> DataFrame:
     Columns named like the added ones are replaced.
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    key = F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("_text_key"))
-    spans = materialise(repeated_spans(docs).withColumn("_key", F.xxhash64(key)).groupBy("_key", "doc_id", "_text_key")
-                        .agg(F.collect_set(F.struct("a", "b")).alias("_spans")), "line-spans")
-    rows = (docs.select(F.struct(*own).alias("_row"), "doc_id", "text")
-            .withColumn("_text_key", F.xxhash64("text")).withColumn("_key", F.xxhash64(key))
-            .withColumn("_b", _bucket("_key")))
-    hit = F.broadcast(spans.select(_bucket("_key").alias("_b")).distinct())
-    lines = F.split("text", "\n", -1)
-    total = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("bigint")
-    whole = rows.join(hit, "_b", "left_anti").select("_row.*", total.alias("n_lines"), F.lit(0).cast("bigint").alias("n_removed"))
-    verdict = spans.select(F.col("_key").alias("_k"), F.col("doc_id").alias("_id"), F.col("_text_key").alias("_tk"), "_spans")
-    same = (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_tk"))
-    met = (rows.join(hit, "_b", "left_semi").drop("text").join(verdict, same, "left")
-           .withColumn("text", F.col("_row")["text"])
-           .withColumn("_lines", lines)
-           .withColumn("_gone", F.expr("array_distinct(flatten(transform(_spans, s -> sequence(s.a, s.b))))"))
-           .withColumn("_left", F.expr("array_except(sequence(0, size(_lines) - 1), _gone)"))
-           .withColumn("_new", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(
-               F.array_join(F.expr("transform(_left, i -> _lines[i])"), "\n")))
-           .withColumn("n_lines", total)
-           .withColumn("n_removed", F.when(F.col("_spans").isNull(), 0).otherwise(F.size("_gone")).cast("bigint")))
-    return whole.unionAll(met.select(*[F.col("_new").alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in own],
-                                     "n_lines", "n_removed"))
+    chunk_hash = F.xxhash64(F.slice("h", F.col("a") + 1, F.col("b") - F.col("a") + 1))
+    slim = materialise(_chunks(docs).select("doc_id", "_text_key", "a", "b", chunk_hash.alias("_h")), "line-chunks")
+    # dealt by row key once: the fetch of chunk texts and the removal read the same shuffle
+    other = {c: f"_other{i}" for i, c in enumerate(own) if c not in ("doc_id", "text")}
+    rows = (docs.select("doc_id", "text", *[F.col(c).alias(name) for c, name in other.items()])
+            .withColumn("_text_key", F.xxhash64("text")).withColumn("_key", _key()).repartition("_key"))
+    spans = _per_row(_repeated_spans(slim, rows), "_spans", "a", "b")
+    lines = F.split(F.col("r.text"), "\n", -1)
+    found = rows.alias("r").join(spans.alias("w"), _same_row("r", "w"), "left").select(
+        "r.doc_id", "r.text", *[f"r.{name}" for name in other.values()], lines.alias("_lines"),
+        F.expr("array_distinct(flatten(transform(w._spans, s -> sequence(s.a, s.b))))").alias("_gone"))
+    left = F.expr("array_except(sequence(0, size(_lines) - 1), _gone)")
+    new = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(
+        F.array_join(F.transform(left, lambda i: F.get("_lines", i)), "\n"))
+    return found.select(
+        *[new.alias("text") if c == "text" else F.col(other.get(c, c)).alias(c) for c in own],
+        F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("bigint").alias("n_lines"),
+        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("bigint").alias("n_removed"))
