@@ -23,6 +23,7 @@ def main(argv=None) -> int:
     ap.add_argument("--run-id", default=None)
     ap.add_argument("--master", default=None, help="only for local runs")
     ap.add_argument("--grid", action="store_true", help="churn: also tune the forest by grid search")
+    ap.add_argument("--model-dir", default=None, help="procurement: output folder of the churn run whose model scores")
     a = ap.parse_args(argv)
 
     from cauce.plans import jobs as J
@@ -32,7 +33,7 @@ def main(argv=None) -> int:
     try:
         ensure_checkpoint_dir(spark, local_fallback=bool(a.master and a.master.startswith("local")))
         if a.job == "procurement":
-            out = J.run_procurement(spark, a.sf_dir, a.out, a.run_id)
+            out = J.run_procurement(spark, a.sf_dir, a.out, a.run_id, model_dir=a.model_dir)
         elif a.job == "churn":
             out = J.run_churn(spark, a.sf_dir, a.out, a.run_id, with_grid=a.grid)
         else:

@@ -66,14 +66,16 @@ PRICE_RANGES = [
 # Pseudonym: first 16 hex characters of SHA-256("<salt>:<value>").
 PSEUDONYM_HEX_CHARS = 16
 # The salt is configuration (a secret in production): ``cauce.privacy.salt``
-# in the session conf; this demo value is used only when none is given.
-DEFAULT_SALT = "cauce-demo-salt"
+# in the session conf; jobs refuse to run without one.
 SALT_CONF = "cauce.privacy.salt"
 
 
 def salt_from(spark) -> str:
-    """The pseudonymisation salt configured on the session (or the demo one)."""
-    return spark.conf.get(SALT_CONF, DEFAULT_SALT)
+    """The pseudonymisation salt configured on the session."""
+    salt = spark.conf.get(SALT_CONF, None)
+    if not salt:
+        raise ValueError(f"{SALT_CONF} is not set: pseudonyms need a secret salt")
+    return salt
 
 # Numeric text accepted by the validators (Python float() grammar without
 # underscores, inf or nan; see SURVEY §8 T3), applied after whitespace is
@@ -225,7 +227,7 @@ def at_risk_flag(prob) -> Column:
 # Privacy rules
 # ---------------------------------------------------------------------------
 
-def pseudonym(c, salt: str = DEFAULT_SALT) -> Column:
+def pseudonym(c, salt: str) -> Column:
     """First 16 hex of sha256('salt:value'); null stays null."""
     txt = F.concat(F.lit(f"{salt}:"), _c(c).cast("string"))
     return F.substring(F.sha2(txt, 256), 1, PSEUDONYM_HEX_CHARS)

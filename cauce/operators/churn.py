@@ -8,16 +8,19 @@ Metrics reuse the exact aggregates of ``cauce.operators.metrics``.
 
 from __future__ import annotations
 
+import json
 import time
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cauce.functions import rules as R
@@ -43,11 +46,27 @@ _LEHMER_M = 2147483647
 def split_uniform(key, seed: int = SEED, a: int = _LEHMER_A):
     """Deterministic pseudo-uniform in [0,1) from an integer key and a seed."""
     k = F.col(key) if isinstance(key, str) else key
-    x = F.pmod(k * a + F.lit(seed), F.lit(_LEHMER_M))
+    # the key is reduced first, so that no key overflows
+    x = F.pmod(F.pmod(k, F.lit(_LEHMER_M)).cast("bigint") * a + F.lit(seed), F.lit(_LEHMER_M))
     x = F.pmod(x * a, F.lit(_LEHMER_M))
     return x / F.lit(float(_LEHMER_M))
 
 
+def key_number(df: DataFrame, key: str) -> F.Column:
+    """The key as an integer: itself, or its 64-bit hash when it is not an integer."""
+    integral = dict(df.dtypes)[key] in ("tinyint", "smallint", "int", "bigint")
+    return F.col(key) if integral else F.xxhash64(key)
+
+
+def class_counts(df: DataFrame, target: str) -> dict:
+    """Rows per non-null class; more than MAX_CLASSES classes are an error."""
+    rows = (df.filter(F.col(target).isNotNull()).groupBy(target).agg(F.count(F.lit(1)).alias("n"))
+            .limit(M.MAX_CLASSES + 1).collect())
+    if len(rows) > M.MAX_CLASSES:
+        raise ValueError(f"{target} has more than {M.MAX_CLASSES} classes")
+    return {r[0]: r[1] for r in rows}
+
+
 def stratified_split(df: DataFrame, key: str, target: str, test_fraction: float = TEST_FRACTION,
                      seed: int = SEED, exact: bool = False) -> DataFrame:
     """Add ``es_test``.
@@ -63,12 +82,14 @@ def stratified_split(df: DataFrame, key: str, target: str, test_fraction: float
     (bounded driver traffic), so membership stays a per-row predicate.
     Keys must be distinct (the draw is then distinct too).
     """
-    u = split_uniform(key, seed)
+    u = split_uniform(key_number(df, key), seed)
     if not exact:
         return df.withColumn("es_test", u < test_fraction)
     from cauce.operators.quality import order_statistics
-    counts = {r[0]: r[1] for r in df.groupBy(target).agg(F.count(F.lit(1))).collect()}
+    counts = class_counts(df, target)
     n = sum(counts.values())
+    if not n:
+        return df.withColumn("es_test", F.lit(False))
     n_test = -(-int(round(test_fraction * n * 1e9)) // int(1e9))  # ceil, robust to float noise
     base = {c: (n_test * k) // n for c, k in counts.items()}
     rest = n_test - sum(base.values())
@@ -88,24 +109,22 @@ def stratified_split(df: DataFrame, key: str, target: str, test_fraction: float
 def with_folds(df: DataFrame, key: str, n_folds: int = N_FOLDS, seed: int = FOLD_SEED) -> DataFrame:
     """Add ``fold`` in [0, n_folds): a per-key deterministic draw, the same
     distribution in every class (stratified in expectation)."""
-    return df.withColumn("fold", F.floor(split_uniform(key, seed, _LEHMER_FOLD_A) * n_folds).cast("int"))
+    u = split_uniform(key_number(df, key), seed, _LEHMER_FOLD_A)
+    return df.withColumn("fold", F.floor(u * n_folds).cast("int"))
 
 
-ROWS_PER_PARTITION = 250000
+ROWS_PER_PARTITION = 10000
 
 
-def sized_for_fitting(df: DataFrame, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
-    """Repartition a training frame to ~rows_per_partition rows per task
-    (at most 4× the default parallelism) and persist it (memory and disk).
+def sized_for_fitting(df: DataFrame, key: str, rows_per_partition: int = ROWS_PER_PARTITION) -> DataFrame:
+    """Training rows in partitions of ~``rows_per_partition``, persisted (memory and disk).
 
-    Iterative learners run many jobs over the same rows (GBT: several per
-    round); shuffle-sized partitioning of a small frame makes each job pay
-    for many empty tasks, while a huge frame keeps full parallelism.
+    Iterative learners run many jobs over the same rows, each with a task per
+    partition.  Rows are dealt by a hash of the key, so bagging does not depend
+    on the cluster, only on the rows.
     """
     n = df.count()
-    par = df.sparkSession.sparkContext.defaultParallelism
-    k = max(1, min(par * 4, -(-n // rows_per_partition)))
-    return df.repartition(k).persist(StorageLevel.MEMORY_AND_DISK)
+    return df.repartition(max(2, -(-n // rows_per_partition)), key).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def class_weights(df: DataFrame, target: str) -> DataFrame:
@@ -117,9 +136,12 @@ def class_weights(df: DataFrame, target: str) -> DataFrame:
 
 
 def with_class_weight(df: DataFrame, target: str, col: str = "peso") -> DataFrame:
-    """Attach the balanced class weight to every row (a 2-row lookup, broadcast)."""
-    w = class_weights(df, target).select(F.col("clase").alias(target), F.col("peso").alias(col))
-    return df.join(F.broadcast(w), target, "left")  # one row per class: bounded
+    """Attach the balanced class weight to every row (one literal per class, no join)."""
+    counts = class_counts(df, target)
+    n, weight = sum(counts.values()), F.lit(None).cast("double")
+    for c, k in counts.items():
+        weight = F.when(F.col(target) == c, F.lit(n / (len(counts) * k))).otherwise(weight)
+    return df.withColumn(col, weight)
 
 
 def standardize(train: DataFrame, other: DataFrame | None, cols) -> tuple[DataFrame, DataFrame | None, dict]:
@@ -164,34 +186,50 @@ def evaluate(scored: DataFrame, label: str = "label") -> DataFrame:
     s = scored.select(F.col(label).cast("int").alias("label"),
                       F.col("prediction").cast("int").alias("pred"),
                       probability_of_churn(scored).alias("score"))
-    return M.class_metrics(s).join(M.auc_gini(s), how="left")  # two one-row frames
+    auc = M.auc_gini(s).select(F.struct("roc_auc", "gini")).scalar()
+    return M.class_metrics(s).select("*", auc["roc_auc"].alias("roc_auc"), auc["gini"].alias("gini"))
 
 
 def assemble(cols, out: str = "features") -> VectorAssembler:
     return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="keep")
 
 
+def prepare(df: DataFrame, features, target: str, key: str) -> dict:
+    """Exact stratified split, then imputation, scaling and class weights fitted on its train part.
+
+    Returns the persisted frames ``train`` and ``test`` (features, ``*_esc``
+    columns, ``label``; weights in ``train``), ``fills`` and ``params``.
+    """
+    from cauce.operators.quality import apply_imputation, fit_imputation
+    split = stratified_split(df.select(key, *features, target), key, target, exact=True).persist(
+        StorageLevel.MEMORY_AND_DISK)
+    fills = fit_imputation(split.filter(~F.col("es_test")).select(*features))
+    filled = apply_imputation(split, fills).withColumn("label", F.col(target).cast("double"))
+    train, test, params = standardize(filled.filter(~F.col("es_test")), filled.filter(F.col("es_test")), features)
+    train = sized_for_fitting(with_class_weight(train, target), key)
+    test = test.persist(StorageLevel.MEMORY_AND_DISK)
+    train.count(), test.count()  # both are filled from the split before it is released
+    split.unpersist()
+    return {"train": train, "test": test, "fills": fills, "params": params}
+
+
 def train_models(df: DataFrame, features, target: str, key: str, scaled_models=("Regresión Logística",),
-                 models: dict | None = None) -> dict:
+                 models: dict | None = None, data: dict | None = None) -> dict:
     """Fit every candidate on the train split and evaluate on the test split.
 
     Returns {name: {"model": PipelineModel, "metrics": Row, "seconds": float,
-    "scaled": bool}} in the candidates' order.  The training frame is
-    persisted once (MEMORY_AND_DISK, recomputable from source if an executor
-    is lost); ``seconds`` is each fit's wall time while sharing the cluster.
+    "scaled": bool, "params": dict, "fills": dict}} in the candidates' order.
+    ``data`` is a :func:`prepare` result to reuse; ``seconds`` is each fit's
+    wall time while sharing the cluster.
     """
     spark = df.sparkSession
     if spark.conf.get("spark.checkpoint.dir", None):
         # GBT rounds checkpoint their state there every checkpointInterval
         ensure_checkpoint_dir(spark)
-    split = stratified_split(df, key, target)
-    train = with_class_weight(split.filter(~F.col("es_test")), target).withColumn(
-        "label", F.col(target).cast("double"))
-    test = split.filter(F.col("es_test")).withColumn("label", F.col(target).cast("double"))
-    train_s, test_s, params = standardize(train, test, features)
-    train_s = sized_for_fitting(train_s)
-    n_w = train_s.agg(F.sum("peso")).first()[0]
-    cands = models or candidate_models(n_w)
+    own = data is None
+    data = data or prepare(df, features, target, key)
+    train, test = data["train"], data["test"]
+    cands = models or candidate_models(train.agg(F.sum("peso")).first()[0])
 
     def fit(item):
         name, est = item
@@ -199,24 +237,23 @@ def train_models(df: DataFrame, features, target: str, key: str, scaled_models=(
         cols = [f"{c}_esc" for c in features] if scaled else list(features)
         pipe = Pipeline(stages=[assemble(cols), est])
         t0 = time.perf_counter()
-        model = pipe.fit(train_s)
+        model = pipe.fit(train)
         secs = time.perf_counter() - t0
-        metrics = evaluate(model.transform(test_s)).first()
-        return name, {"model": model, "metrics": metrics, "seconds": round(secs, 4), "scaled": scaled,
-                      "params": params}
+        return name, {"model": model, "metrics": evaluate(model.transform(test)).first(), "seconds": round(secs, 4),
+                      "scaled": scaled, "params": data["params"], "fills": data["fills"]}
 
     # the candidates are independent: their Spark jobs run concurrently
     # (one driver thread each), so wall time is close to the slowest fit
     with ThreadPoolExecutor(max_workers=max(1, len(cands))) as pool:
         fitted = dict(pool.map(fit, cands.items()))
-    out = {name: fitted[name] for name in cands}  # keep the listing order
-    train_s.unpersist()
-    return out
+    if own:
+        train.unpersist()
+        test.unpersist()
+    return {name: fitted[name] for name in cands}  # keep the listing order
 
 
 def model_table(results: dict) -> DataFrame:
     """models × 6 metrics (and order of listing) as a DataFrame."""
-    from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
     rows = [(name, i, *[float(r["metrics"][k]) for k in ("accuracy", "precision", "recall", "f1",
                                                           "roc_auc", "gini")], r["seconds"])
@@ -233,7 +270,6 @@ def select_best(table: DataFrame) -> DataFrame:
 
 def importances(model: PipelineModel, features) -> DataFrame:
     """Tree importances or linear coefficients per feature."""
-    from pyspark.sql import SparkSession
     spark = SparkSession.getActiveSession()
     est = model.stages[-1]
     if hasattr(est, "featureImportances"):
@@ -247,13 +283,17 @@ def importances(model: PipelineModel, features) -> DataFrame:
 
 
 def score(df: DataFrame, model: PipelineModel, features, params: dict | None = None,
-          scaled: bool = False) -> DataFrame:
+          scaled: bool = False, fills: dict | None = None) -> DataFrame:
     """Add prob_abandono (4 decimals), segmento_riesgo (unrounded p) and
-    accion_retencion; input columns kept.  Missing model columns → error."""
+    accion_retencion; input columns kept.  Missing model columns → error;
+    missing values are filled with the train split's statistics (``fills``)."""
     missing = [c for c in features if c not in df.columns]
     if missing:
         raise ValueError(f"Faltan columnas requeridas por el modelo: {missing}")
     x = df
+    if fills:
+        from cauce.operators.quality import apply_imputation
+        x = apply_imputation(df, {c: v for c, v in fills.items() if c in features})
     if scaled and params:
         x = x.withColumns({f"{c}_esc": F.when(F.lit(params[c][1]) == 0, F.lit(0.0))
                            .otherwise((F.col(c) - F.lit(params[c][0])) / F.lit(params[c][1]))
@@ -266,80 +306,142 @@ def score(df: DataFrame, model: PipelineModel, features, params: dict | None = N
         "accion_retencion", R.retention_action("segmento_riesgo"))
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
+def save_model(model: PipelineModel, path: str, features=None, params: dict | None = None, scaled: bool = False,
+               fills: dict | None = None) -> None:
+    """The pipeline and, beside it, what rows need before it (train statistics), as one JSON row."""
+    model.write().overwrite().save(f"{path}/pipeline")
+    prep = json.dumps({"features": list(features or []), "params": params or {}, "scaled": scaled, "fills": fills or {}})
+    spark = SparkSession.getActiveSession()
+    spark.range(1).select(F.lit(prep).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/preparation")
+
 
+def load_model(path: str) -> tuple[PipelineModel, dict]:
+    """(pipeline, keyword arguments for :func:`score`)."""
+    prep = json.loads(SparkSession.getActiveSession().read.text(f"{path}/preparation").first()[0])
+    prep["params"] = {c: tuple(v) for c, v in prep["params"].items()}
+    return PipelineModel.load(f"{path}/pipeline"), prep
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
 
+# ------------------------------------------------------------------ the grid
+#: Labelled rows that the grid search is fitted on at most (by the smallest hash of the key).
+GRID_MAX_ROWS = 20000
 
-def grid_search(train: DataFrame, features, weight: str = "peso", parallelism: int = 16):
-    """CrossValidator over the reference's forest grid, scored by recall of
-    class 1, on the ``fold`` column; refits the best on the whole train."""
-    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
-    # deep grid trees (depth up to 30): node ids stay with the rows between
-    # levels instead of re-shipping the trees (same model, ~2× faster fits)
-    rf = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol=weight, seed=SEED,
-                                cacheNodeIds=True)
-    grid = (ParamGridBuilder()
-            .addGrid(rf.numTrees, GRID_TREES)
-            .addGrid(rf.maxDepth, [d if d is not None else SPARK_MAX_DEPTH for d in GRID_DEPTH])
-            .addGrid(rf.minInstancesPerNode, GRID_MIN_LEAF).build())
-    ev = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction",
-                                           metricName="recallByLabel", metricLabel=1.0)
+def leaf_probabilities(nodes: DataFrame, depths) -> DataFrame:
+    """(tree, leaf, p_<i>) from a saved forest's nodes: the probability of class 1 at the leaf's
+    ancestor at each depth limit (the leaf itself where it is not deeper).
+
+    A tree grown to a limit is the deeper tree cut there, since trees grow from
+    the top.  Leaves are numbered in node order, as ``leafCol`` numbers them.
+    """
+    def one_tree(rows):
+        rows = rows.sort_values("id")
+        left, right = rows["leftChild"].tolist(), rows["rightChild"].tolist()
+        p = [float(v[1] / sum(v)) if sum(v) else 0.0 for v in rows["impurityStats"]]
+        out, todo = [], [(0, 0, {})]
+        found = {}
+        while todo:
+            i, depth, cut = todo.pop()
+            cut = {**cut, depth: p[i]} if depth in depths else cut
+            if left[i] < 0:
+                found[i] = [cut.get(d, p[i]) if d is not None else p[i] for d in depths]
+            else:
+                todo += [(left[i], depth + 1, cut), (right[i], depth + 1, cut)]
+        for leaf, i in enumerate(sorted(found)):
+            out.append((int(rows["treeID"].iloc[0]), leaf, *found[i]))
+        return pd.DataFrame(out, columns=["tree", "leaf", *[f"p_{k}" for k in range(len(depths))]])
+
+    schema = "tree int, leaf int, " + ", ".join(f"p_{k} double" for k in range(len(depths)))
+    flat = nodes.select("treeID", "nodeData.id", "nodeData.leftChild", "nodeData.rightChild", "nodeData.impurityStats")
+    return flat.groupBy("treeID").applyInPandas(one_tree, schema)
+
+
+def grid_recalls(forest, valid: DataFrame, path: str) -> dict:
+    """{(trees, depth): recall of class 1} of a forest's prefixes and depth cuts on ``valid``."""
+    forest.write().overwrite().save(path)
+    spark = valid.sparkSession
+    table = leaf_probabilities(spark.read.parquet(f"{path}/data"), GRID_DEPTH)
+    rows = forest.transform(valid).select("label", "leaf").withColumn("row", F.monotonically_increasing_id())
+    votes = (rows.select("label", "row", F.posexplode(vector_to_array("leaf")).alias("tree", "leaf"))
+             .withColumn("leaf", F.col("leaf").cast("int")).join(table, ["tree", "leaf"]))
+    sums = votes.groupBy("row", "label").agg(*[
+        F.sum(F.when(F.col("tree") < n, F.col(f"p_{k}"))).alias(f"s_{n}_{k}") for n in GRID_TREES for k in range(len(GRID_DEPTH))])
+    positive = F.col("label") == 1
+    row = sums.agg(F.count_if(positive).alias("p"), *[
+        F.count_if(positive & (F.col(f"s_{n}_{k}") > n / 2)).alias(f"t_{n}_{k}") for n in GRID_TREES for k in range(len(GRID_DEPTH))]).first()
+    return {(n, d): row[f"t_{n}_{k}"] / row["p"] if row["p"] else 0.0 for n in GRID_TREES for k, d in enumerate(GRID_DEPTH)}
+
+
+def grid_search(train: DataFrame, features, weight: str = "peso", parallelism: int = 4):
+    """The reference's forest grid by recall of class 1 over the ``fold`` column; refits the best.
+
+    One forest with the most trees and no depth limit is fitted per minimum
+    leaf size and fold; its first trees, cut at each depth, stand for the other
+    points of the grid, so 15 fits give all 36 × 5 recalls.
+    """
+    spark = train.sparkSession
+    base = f"{ensure_checkpoint_dir(spark, local_fallback=True)}/grid-{uuid.uuid4().hex}"
     assembled = assemble(features).transform(train)
-    cv = CrossValidator(estimator=rf, estimatorParamMaps=grid, evaluator=ev, foldCol="fold", numFolds=N_FOLDS,
-                        parallelism=parallelism, seed=SEED)
-    model = cv.fit(assembled)
+
+    def forest(trees, depth, leaf):
+        return RandomForestClassifier(featuresCol="features", labelCol="label", weightCol=weight, seed=SEED, numTrees=trees,
+                                      maxDepth=SPARK_MAX_DEPTH if depth is None else depth, minInstancesPerNode=leaf,
+                                      cacheNodeIds=True, maxMemoryInMB=1024)
+
+    def point(item):
+        leaf, fold = item
+        model = forest(max(GRID_TREES), None, leaf).setLeafCol("leaf").fit(assembled.filter(F.col("fold") != fold))
+        return leaf, grid_recalls(model, assembled.filter(F.col("fold") == fold), f"{base}/{leaf}-{fold}")
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        found = list(pool.map(point, [(leaf, fold) for leaf in GRID_MIN_LEAF for fold in range(N_FOLDS)]))
     rows = []
-    for pm, metric in zip(grid, model.avgMetrics):
-        d = {p.name: v for p, v in pm.items()}
-        rows.append((int(d["numTrees"]), int(d["maxDepth"]), int(d["minInstancesPerNode"]), float(metric)))
-    spark = train.sparkSession
+    for trees in GRID_TREES:
+        for depth in GRID_DEPTH:
+            for leaf in GRID_MIN_LEAF:
+                recalls = [r[(trees, depth)] for at, r in found if at == leaf]
+                rows.append((trees, SPARK_MAX_DEPTH if depth is None else depth, leaf, sum(recalls) / len(recalls)))
     table = spark.createDataFrame(rows, "num_trees int, max_depth int, min_leaf int, recall_cv double")
-    best = PipelineModel(stages=[assemble(features), model.bestModel])
-    best_i = max(range(len(rows)), key=lambda i: (rows[i][3], -i))
-    return best, table, rows[best_i]
+    best_row = max(enumerate(rows), key=lambda x: (x[1][3], -x[0]))[1]
+    best = PipelineModel(stages=[assemble(features), forest(*best_row[:3]).fit(assembled)])
+    return best, table, best_row
+
+
+def tune_forest(data: dict, features, key: str) -> tuple:
+    """Grid search on (a bounded sample of) the train rows of a :func:`prepare` result."""
+    train = data["train"]
+    bounded = train.orderBy(F.xxhash64(key), key).limit(GRID_MAX_ROWS)
+    folded = sized_for_fitting(with_folds(bounded, key), key)
+    try:
+        return grid_search(folded, features)
+    finally:
+        folded.unpersist()
 
 
 def train_and_select(df: DataFrame, features, target: str, key: str, with_grid: bool = False) -> dict:
     """Fit the candidates (and optionally the tuned forest), evaluate on the
     test split and select by recall then F1 (first listed on ties)."""
-    results = train_models(df, features, target, key)
+    data = prepare(df, features, target, key)
+    results = train_models(df, features, target, key, data=data)
     out = {"grid": None}
     if with_grid:
-        split = with_folds(stratified_split(df, key, target), key)
-        train = sized_for_fitting(with_class_weight(split.filter(~F.col("es_test")), target).withColumn(
-            "label", F.col(target).cast("double")))
-        test = split.filter(F.col("es_test")).withColumn("label", F.col(target).cast("double"))
         t0 = time.perf_counter()
-        best, table, best_row = grid_search(train, features)
-        metrics = evaluate(best.transform(test)).first()
+        best, out["grid"], out["grid_best"] = tune_forest(data, features, key)
         results["Random Forest (optimizado)"] = {
-            "model": best, "metrics": metrics, "seconds": round(time.perf_counter() - t0, 4),
-            "scaled": False, "params": next(iter(results.values()))["params"]}
-        out["grid"] = table
-        out["grid_best"] = best_row
-        train.unpersist()
+            "model": best, "metrics": evaluate(best.transform(data["test"])).first(),
+            "seconds": round(time.perf_counter() - t0, 4), "scaled": False, "params": data["params"], "fills": data["fills"]}
     names = list(results)
     best_name = max(names, key=lambda n: (results[n]["metrics"]["recall"], results[n]["metrics"]["f1"],
                                           -names.index(n)))
     b = results[best_name]
-    split = stratified_split(df, key, target)
-    test = split.filter(F.col("es_test")).withColumn("label", F.col(target).cast("double"))
-    test_x = test
-    if b["scaled"]:  # apply the train statistics of the selected model
-        test_x = test.withColumns({f"{c}_esc": F.when(F.lit(b["params"][c][1]) == 0, F.lit(0.0))
-                                   .otherwise((F.col(c) - F.lit(b["params"][c][0])) / F.lit(b["params"][c][1]))
-                                   for c in features})
-    scored = b["model"].transform(test_x).select(F.col("label").cast("int").alias("label"),
-                                                  F.col("prediction").cast("int").alias("pred"))
-    out.update(results=results, best_name=best_name, best_model=b["model"], params=b["params"],
+    scored = b["model"].transform(data["test"]).select(F.col("label").cast("int").alias("label"),
+                                                       F.col("prediction").cast("int").alias("pred"))
+    conf = M.confusion(scored).first()
+    out.update(results=results, best_name=best_name, best_model=b["model"], params=b["params"], fills=b["fills"],
                scaled=b["scaled"], feature_cols=[f"{c}_esc" for c in features] if b["scaled"] else list(features),
-               confusion=M.confusion(scored))
+               confusion=df.sparkSession.createDataFrame([tuple(conf)], "tn bigint, fp bigint, fn bigint, tp bigint"))
+    data["train"].unpersist()
+    data["test"].unpersist()
     return out
 
 

@@ -84,7 +84,7 @@ def kpi_report(spark: SparkSession, *, requests: DataFrame, quotes: DataFrame, q
 
     ``price_flags`` has a boolean ``precio_valido``; ``scored`` a
     ``segmento_riesgo``; ``load_summary`` one row with ``total_filas`` and
-    ``duracion_s``; ``model_metrics`` one row (modelo, recall, gini) of the
+    the whole load's ``duracion_s``; ``model_metrics`` one row (modelo, recall, gini) of the
     selected model.  Every value is a scalar subquery, so the report is one
     small projection over a one-row frame; ``only`` (a set of KPI names)
     builds just those indicators and runs just their subqueries.
@@ -102,7 +102,7 @@ def kpi_report(spark: SparkSession, *, requests: DataFrame, quotes: DataFrame, q
         if load_summary is None:
             return F.lit(0)
         return once("load", lambda: load_summary.agg(F.struct(
-            F.sum("total_filas").alias("t"), (F.sum("duracion_s") * 1000).alias("ms"))).scalar())["t"]
+            F.sum("total_filas").alias("t"), (F.max("duracion_s") * 1000).alias("ms"))).scalar())["t"]
 
     def load_ms():
         if load_summary is None:

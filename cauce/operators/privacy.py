@@ -1,8 +1,8 @@
 """Privacy operators: salted pseudonyms, generalised ages, role views, audit.
 
-The salt comes from the caller (configuration / secret), never from a
-literal inside a logged plan; ``DEFAULT_SALT`` exists only for the demo and
-tests (SURVEY §8 T14).
+The salt comes from the caller (configuration / secret).  It becomes a literal
+of the plan, so plans with pseudonyms must not be logged where the salt is a
+secret (SURVEY §8 T14).
 """
 
 from __future__ import annotations
@@ -23,12 +23,12 @@ SENSITIVE_COLUMNS = ["edad"]
 SCORING_COLUMNS = ["prob_abandono", "segmento_riesgo", "accion_retencion"]
 
 
-def pseudonymize(df: DataFrame, cols, salt: str = R.DEFAULT_SALT, suffix: str = "") -> DataFrame:
+def pseudonymize(df: DataFrame, cols, salt: str, suffix: str = "") -> DataFrame:
     """Replace (or, with ``suffix``, add) each column by its salted pseudonym."""
     return df.withColumns({f"{c}{suffix}": R.pseudonym(c, salt) for c in cols})
 
 
-def add_rut_hash(suppliers: DataFrame, salt: str = R.DEFAULT_SALT, drop_original: bool = False) -> DataFrame:
+def add_rut_hash(suppliers: DataFrame, salt: str, drop_original: bool = False) -> DataFrame:
     """Suppliers gain ``rut_hash``; ``rut`` is kept unless ``drop_original``."""
     if "rut" not in suppliers.columns:
         return suppliers
@@ -61,16 +61,6 @@ def can_export(role: str) -> bool:
     return ROLES.get(role, {}).get("exportar", False)
 
 
-def register_role_views(df: DataFrame, name: str) -> list[str]:
-    """Register one temp view per role (``<name>_<role>``); returns the names."""
-    names = []
-    for role in ROLES:
-        v = f"{name}_{role}"
-        role_view(df, role).createOrReplaceTempView(v)
-        names.append(v)
-    return names
-
-
 AUDIT_SCHEMA = "ts timestamp, accion string, modulo string, tabla string, filas long, extra string"
 
 

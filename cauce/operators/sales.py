@@ -66,6 +66,15 @@ def clean_sales(raw: DataFrame, cols=RAW_COLUMNS) -> DataFrame:
     return df.withColumn("total", F.col("cantidad") * F.col("precio"))
 
 
+def cleaned_text(raw: DataFrame, cols=RAW_COLUMNS) -> DataFrame:
+    """The rows that :func:`clean_sales` keeps, with their fields still as text and
+    the other columns (the discount) of the delivery: what validation takes."""
+    keep = [c for c in raw.columns if c in cols or c == "descuento"]
+    rows = raw.select(*keep).dropDuplicates().na.drop("any", subset=list(cols))
+    parses = R.to_double("precio").isNotNull() & R.to_double("cantidad").isNotNull() & R.to_iso_date("fecha").isNotNull()
+    return rows.filter(parses)
+
+
 # ---------------------------------------------------------------------------
 # validation (notebook 2)
 # ---------------------------------------------------------------------------

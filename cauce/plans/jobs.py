@@ -2,7 +2,7 @@
 
 Each job builds lazy DataFrames stage by stage and acts only at sinks.
 Outputs go to ``<out>/<table>/run=<run_id>`` (a new version per run); a
-rerun of a failed run rewrites its own version only.  Entry points take a
+rerun of a run rewrites its own version only.  Entry points take a
 session so ``spark-submit`` wrappers stay one line.
 """
 
@@ -29,10 +29,13 @@ def new_run_id() -> str:
     return time.strftime("%Y%m%dT%H%M%S") + "-" + uuid.uuid4().hex[:6]
 
 
-def _summary(spark: SparkSession, counts: dict, seconds: float) -> DataFrame:
-    rows = [(k, int(v)) for k, v in counts.items()]
-    df = spark.createDataFrame(rows, "tabla string, filas long")
-    return df.withColumn("duracion_s", F.lit(round(seconds, 3)))
+def _summary(spark: SparkSession, counts: dict) -> DataFrame:
+    return spark.createDataFrame([(k, int(v)) for k, v in counts.items()], "tabla string, filas long")
+
+
+def load_summary(spark: SparkSession, counts: dict, seconds: float) -> DataFrame:
+    """The load's one-row summary: total rows and seconds of the whole load."""
+    return spark.createDataFrame([(sum(counts.values()), round(float(seconds), 3))], "total_filas long, duracion_s double")
 
 
 # ---------------------------------------------------------------------------
@@ -83,34 +86,78 @@ def load_all(store: dict, out_dir: str, run_id: str) -> dict:
             out[name] = out[name].sparkSession.read.parquet(path)
             counts[name.lower()] = out[name].count()
     spark = next(iter(store.values())).sparkSession
-    out["Resumen_Carga"] = _summary(spark, counts, time.perf_counter() - t0).select(
-        "tabla", F.col("filas").alias("total_filas"), "duracion_s")
+    out["Filas_Cargadas"] = _summary(spark, counts)
+    out["Resumen_Carga"] = load_summary(spark, counts, time.perf_counter() - t0)
     return out
 
 
+def latest_run(spark: SparkSession, base: str) -> str | None:
+    """The newest ``run=`` folder below ``base``, or None."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    runs = [str(f.getPath().getName()) for f in fs.listStatus(path)] if fs.exists(path) else []
+    runs = sorted(r for r in runs if r.startswith("run="))
+    return f"{base}/{runs[-1]}" if runs else None
+
+
+def score_portfolio(spark: SparkSession, sf_dir: str, out_dir: str, run_id: str, model_dir: str | None) -> tuple:
+    """Stage 4: score the portfolio with the newest saved model and write it.
+
+    Without a saved model the documented fallback segment is written and the
+    KPIs report no model.  Returns (written scores, selected model's metrics or None).
+    """
+    portfolio = T.portfolio(spark, sf_dir)
+    saved = latest_run(spark, f"{model_dir}/modelo") if model_dir else None
+    metrics = None
+    if saved:
+        model, prep = C.load_model(saved)
+        scored = C.score(portfolio, model, prep["features"], prep["params"], prep["scaled"], prep["fills"])
+        doc = latest_run(spark, f"{model_dir}/metricas")
+        if doc:
+            chosen = F.col("metricas_por_modelo")[F.col("modelo_seleccionado")]
+            metrics = W.read_metrics_doc(spark, doc).select(
+                F.col("modelo_seleccionado").alias("modelo"), chosen["recall"].alias("recall"), chosen["gini"].alias("gini"))
+    else:
+        scored = portfolio.withColumn("prob_abandono", F.lit(None).cast("double")).withColumn(
+            "segmento_riesgo", R.fallback_segment("reclamos"))
+        scored = scored.withColumn("accion_retencion", R.retention_action("segmento_riesgo"))
+    path = W.write_version(scored, f"{out_dir}/clientes_scoreados", run_id)
+    return spark.read.parquet(path), metrics
+
+
 def run_procurement(spark: SparkSession, sf_dir: str, out_dir: str, run_id: str | None = None,
-                    salt: str | None = None) -> DataFrame:
+                    salt: str | None = None, model_dir: str | None = None) -> DataFrame:
+    """The whole procurement run; ``model_dir`` is the output folder of a churn run whose model scores
+    the portfolio.  Returns the rows loaded per table."""
     run_id = run_id or new_run_id()
     salt = salt or R.salt_from(spark)
     q = T.quotes(spark, sf_dir, with_names=True)
     store = {"Solicitudes": T.requests(spark, sf_dir), "Proveedores": T.suppliers(spark, sf_dir),
-             "Cotizaciones_Raw": q, "Cotizaciones": q, "Negociaciones": T.negotiations(spark, sf_dir)}
+             "Cotizaciones_Raw": q, "Cotizaciones": parsed_quotes(q), "Negociaciones": T.negotiations(spark, sf_dir)}
     store = transform_all(store)
     store = validate_all(store)
+    scored, model_metrics = score_portfolio(spark, sf_dir, out_dir, run_id, model_dir)
     store["Proveedores"] = PV.add_rut_hash(store["Proveedores"], salt)
     audit = PV.audit_record(spark, "SEUDONIMIZAR", "cauce.plans.jobs.run_procurement", "proveedores.rut",
                             store["Proveedores"].agg(F.count(F.lit(1))).scalar(), "metodo=SHA256+sal")
     W.append(audit, f"{out_dir}/auditoria", run_id)
+    enriched = store["Solicitudes"]
     store = load_all(store, out_dir, run_id)
-    scored = T.scored_lines(spark, sf_dir).select(R.risk_segment("score").alias("segmento_riesgo"))
-    report = K.kpi_report(spark, requests=T.requests(spark, sf_dir), quotes=store["Cotizaciones"],
+    W.append(store["Resumen_Carga"], f"{out_dir}/resumen_carga", run_id)
+    report = K.kpi_report(spark, requests=enriched, quotes=store["Cotizaciones"],
                           quotes_raw=store["Cotizaciones_Raw"],
                           price_flags=store["Cotizaciones"].select("precio_valido"), scored=scored,
-                          load_summary=store["Resumen_Carga"], negotiations=store["Negociaciones"],
+                          load_summary=store["Resumen_Carga"], model_metrics=model_metrics,
+                          negotiations=store["Negociaciones"],
                           catalog_size=T.suppliers(spark, sf_dir).agg(F.count(F.lit(1))).scalar())
     W.append(report, f"{out_dir}/kpi", run_id)
     W.append(K.alerts(report, K.rule_table(spark)), f"{out_dir}/alertas", run_id)
-    return store["Resumen_Carga"]
+    return store["Filas_Cargadas"]
+
+
+def parsed_quotes(quotes: DataFrame) -> DataFrame:
+    """Quotes that parse: a price and a lead time."""
+    return quotes.filter(F.col("precio_total").isNotNull() & ~F.isnan("precio_total") & F.col("plazo_dias").isNotNull())
 
 
 # ---------------------------------------------------------------------------
@@ -125,7 +172,7 @@ def run_churn(spark: SparkSession, sf_dir: str, out_dir: str, run_id: str | None
     t = C.train_and_select(portfolio, T.FEATURES, T.TARGET, "cliente_id", with_grid=with_grid)
     table = C.model_table(t["results"])
     W.write_csv(table.coalesce(1), f"{out_dir}/comparacion_modelos/run={run_id}")
-    C.save_model(t["best_model"], f"{out_dir}/modelo/run={run_id}")
+    C.save_model(t["best_model"], f"{out_dir}/modelo/run={run_id}", T.FEATURES, t["params"], t["scaled"], t["fills"])
     best = t["results"][t["best_name"]]["metrics"]
     conf = t["confusion"].first()
     metrics_row = spark.range(1).select(
@@ -134,13 +181,13 @@ def run_churn(spark: SparkSession, sf_dir: str, out_dir: str, run_id: str | None
         F.to_json(F.array(F.array(F.lit(conf["tn"]), F.lit(conf["fp"])),
                           F.array(F.lit(conf["fn"]), F.lit(conf["tp"])))).alias("matriz_confusion"),
         F.lit(t["best_name"]).alias("modelo"),
-        F.lit(portfolio.count()).cast("int").alias("n_samples"),
+        F.lit(portfolio.count()).cast("bigint").alias("n_samples"),
         F.lit(round(time.perf_counter() - t0, 3)).alias("tiempo_total_s"))
     W.append(metrics_row, f"{out_dir}/ml_metricas", run_id)
     profile = portfolio.select(*T.FEATURES, T.TARGET)
     doc = C.metrics_document(t, Q.quality_report(profile, T.TARGET), time.perf_counter() - t0)
     W.write_json(doc.coalesce(1), f"{out_dir}/metricas/run={run_id}")
-    scored = C.score(Q.impute_all(portfolio), t["best_model"], T.FEATURES, t["params"], t["scaled"])
+    scored = C.score(portfolio, t["best_model"], T.FEATURES, t["params"], t["scaled"], t["fills"])
     # score once: write the scored table, then derive the prediction records from it
     path = W.write_version(scored, f"{out_dir}/clientes_scoreados", run_id, partition_by="segmento_riesgo")
     records = W.prediction_records(spark.read.parquet(path))
@@ -154,10 +201,14 @@ def run_churn(spark: SparkSession, sf_dir: str, out_dir: str, run_id: str | None
 
 def run_sales(spark: SparkSession, sf_dir: str, out_dir: str, run_id: str | None = None,
               source: str = S.SOURCE_TAG) -> DataFrame:
-    """Validates the raw rows (the cleaning step is a separate operator whose
-    output does not feed validation in the reference either, D15)."""
+    """Clean, validate, quarantine, check and load the raw sales (D15).
+
+    Cleaning drops repeated deliveries, rows with missing fields and rows whose
+    numbers or date do not parse; validation judges what is left.
+    """
     run_id = run_id or new_run_id()
-    flagged = S.validate_sales(T.sales_raw(spark, sf_dir), keep_parsed=True)
+    cleaned = S.cleaned_text(T.sales_raw(spark, sf_dir))
+    flagged = S.validate_sales(cleaned, keep_parsed=True)
     flagged_path = W.write_version(flagged, f"{out_dir}/ventas_validadas", run_id)  # one pass, reused twice
     flagged = spark.read.parquet(flagged_path)
     valid, bad = S.split_quarantine(flagged)
@@ -171,4 +222,4 @@ def run_sales(spark: SparkSession, sf_dir: str, out_dir: str, run_id: str | None
             counts[name] = spark.read.parquet(f"{out_dir}/{name}").filter(F.col("run") == run_id).count()
         else:
             counts[name] = 0
-    return _summary(spark, counts, 0.0).drop("duracion_s")
+    return _summary(spark, counts)

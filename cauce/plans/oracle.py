@@ -104,9 +104,10 @@ scored_lines AS (
 
 VIEWS["negotiations"] = """
 negotiations AS (
-  SELECT conv_id * 100 + turn AS id, conv_id AS cotizacion_id,
-    CAST(floor(turn / 2) + 1 AS INTEGER) AS ronda, text AS email_enviado
-  FROM conversations WHERE role = 'user')"""
+  SELECT conv_id * 100000 + ronda AS id, conv_id AS cotizacion_id, ronda,
+    min(text) FILTER (WHERE role = 'user') AS email_enviado,
+    min(text) FILTER (WHERE role = 'assistant') AS email_recibido
+  FROM (SELECT *, CAST(floor(turn / 2) + 1 AS INTEGER) AS ronda FROM conversations) t GROUP BY conv_id, ronda)"""
 
 # views that depend on others
 _DEPS = {"quotes_named": ["quotes"]}
@@ -189,5 +190,8 @@ def sql_to_date(c: str) -> str:
             f"THEN TRY_CAST(try_strptime({c}, '%Y-%m-%d') AS DATE) END")
 
 
-def sql_pseudonym(c: str, salt: str = R.DEFAULT_SALT) -> str:
+DEMO_SALT = "cauce-demo-salt"  # of the registered queries, which run on invented data
+
+
+def sql_pseudonym(c: str, salt: str = DEMO_SALT) -> str:
     return f"substr(sha256('{salt}:' || CAST({c} AS VARCHAR)), 1, {R.PSEUDONYM_HEX_CHARS})"

@@ -8,6 +8,7 @@ oracle-checked.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cauce.operators import churn as C
@@ -107,31 +108,52 @@ def val_profile(spark, d):
 _CACHE: dict = {}
 
 
-def trained(spark, d, grid: bool = False):
-    """Train (once per session and input) the candidates, pick the best."""
-    key = (spark.sparkContext.applicationId, d, grid)
+def trained(spark, d):
+    """The candidates trained on the portfolio at ``d``, the best picked.
+
+    Trained once per session and content: every call reads the portfolio and
+    compares its row count and hash, so changed data are trained anew.
+    """
+    p = T.portfolio(spark, d)
+    mark = tuple(p.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*p.columns).cast("decimal(38,0)"))).first())
+    key = (spark.sparkContext.applicationId, mark)
     if key not in _CACHE:
-        _CACHE[key] = C.train_and_select(T.portfolio(spark, d), T.FEATURES, T.TARGET, "cliente_id",
-                                         with_grid=grid)
+        _CACHE.clear()
+        _CACHE[key] = C.train_and_select(p, T.FEATURES, T.TARGET, "cliente_id")
     return _CACHE[key]
 
 
+def _score(spark, d, rows):
+    t = trained(spark, d)
+    return C.score(rows, t["best_model"], T.FEATURES, t["params"], t["scaled"], t["fills"])
+
+
 _TRAIN = f"NOT ({_u_sql('cliente_id', C.SEED)} < {C.TEST_FRACTION})"
+# the portfolio as it arrives: every eleventh customer's data use and every seventh's complaints are unknown
+_GAPS = {"uso_datos_gb": 11, "reclamos": 7}
+_GAP_COLS = ", ".join(f"CASE WHEN cliente_id % {_GAPS[c]} = 0 THEN NULL ELSE {c} END AS {c}" if c in _GAPS else c
+                      for c in T.FEATURES)
+_FILLED = ", ".join(f"coalesce(CAST({c} AS DOUBLE), (SELECT quantile_cont(CAST({c} AS DOUBLE), 0.5) FROM gaps WHERE {_TRAIN})) AS {c}"
+                    if c in _GAPS else c for c in T.FEATURES)
 _PREP_STATS = ", ".join(f"avg(CAST({c} AS DOUBLE)) AS m_{c}, stddev_pop(CAST({c} AS DOUBLE)) AS s_{c}"
                         for c in T.FEATURES)
 
 
 @register("ml_prepare", f"""
-WITH st AS (SELECT {_PREP_STATS} FROM portfolio WHERE {_TRAIN})
+WITH gaps AS (SELECT cliente_id, {T.TARGET}, {_GAP_COLS} FROM portfolio),
+filled AS (SELECT cliente_id, {T.TARGET}, {_FILLED} FROM gaps),
+st AS (SELECT {_PREP_STATS} FROM filled WHERE {_TRAIN})
 SELECT cliente_id, {_u_sql('cliente_id', C.SEED)} < {C.TEST_FRACTION} AS es_test, {T.TARGET},
   {", ".join(f"round(CASE WHEN s_{c} = 0 THEN 0.0 ELSE ({c} - m_{c}) / s_{c} END, 6) AS {c}_esc"
              for c in T.FEATURES)}
-FROM portfolio, st""", views=("portfolio",))
+FROM filled, st""", views=("portfolio",))
 def ml_prepare(spark, d):
-    """Imputed, split and standardised rows (statistics fitted on the train split)."""
-    p = Q.impute_all(T.portfolio(spark, d))
+    """Split, then impute and standardise with the train split's statistics (D9)."""
+    p = T.portfolio(spark, d).withColumns({
+        c: F.when(F.col("cliente_id") % n != 0, F.col(c)) for c, n in _GAPS.items()})
     s = C.stratified_split(p, "cliente_id", T.TARGET)
-    train, test, _ = C.standardize(s.filter(~F.col("es_test")), s.filter(F.col("es_test")), T.FEATURES)
+    filled = Q.apply_imputation(s, Q.fit_imputation(s.filter(~F.col("es_test")).select(*T.FEATURES)))
+    train, test, _ = C.standardize(filled.filter(~F.col("es_test")), filled.filter(F.col("es_test")), T.FEATURES)
     both = train.unionByName(test)
     return both.select("cliente_id", "es_test", T.TARGET,
                        *[F.round(f"{c}_esc", 6).alias(f"{c}_esc") for c in T.FEATURES])
@@ -177,8 +199,11 @@ def ml_importance(spark, d):
 
 @register("sort_importance")
 def sort_importance(spark, d):
+    """Importances with their rank, largest first (names break ties)."""
     t = trained(spark, d)
-    return C.importances(t["best_model"], t["feature_cols"]).orderBy(F.desc("importancia"))
+    rows = C.importances(t["best_model"], t["feature_cols"])
+    rank = F.row_number().over(Window.orderBy(F.desc("importancia"), "variable"))  # one row per feature
+    return rows.select(rank.alias("puesto"), "variable", "importancia").orderBy("puesto")
 
 
 @register("ml_confusion_best")
@@ -188,35 +213,30 @@ def ml_confusion_best(spark, d):
 
 @register("ml_score")
 def ml_score(spark, d):
-    t = trained(spark, d)
-    return C.score(T.portfolio(spark, d), t["best_model"], T.FEATURES, t["params"], t["scaled"])
+    return _score(spark, d, T.portfolio(spark, d))
 
 
 @register("ml_score_batch")
 def ml_score_batch(spark, d):
-    """quality check → impute → score → segment summary."""
-    t = trained(spark, d)
-    p = Q.impute_all(T.portfolio(spark, d))
-    s = C.score(p, t["best_model"], T.FEATURES, t["params"], t["scaled"])
+    """Impute with the train statistics → score → segment summary."""
+    s = _score(spark, d, T.portfolio(spark, d))
     return s.groupBy("segmento_riesgo").agg(F.count(F.lit(1)).alias("clientes"))
 
 
 @register("ml_score_profiles")
 def ml_score_profiles(spark, d):
     """Valid submitted profiles scored; invalid ones are quarantined (not scored)."""
-    t = trained(spark, d)
     p = _profiles(spark, d).withColumns(profile_flags())
     ok = F.lit(True)
     for c in PROFILE_RULES:
         ok = ok & F.col(f"ok_{c}")
     good = p.filter(ok).select("cliente_id", *T.FEATURES)
-    return C.score(good, t["best_model"], T.FEATURES, t["params"], t["scaled"])
+    return _score(spark, d, good)
 
 
 @register("top_risk_scored")
 def top_risk_scored(spark, d):
-    t = trained(spark, d)
-    s = C.score(T.portfolio(spark, d), t["best_model"], T.FEATURES, t["params"], t["scaled"])
+    s = _score(spark, d, T.portfolio(spark, d))
     cols = ["edad", "anos_cliente", "reclamos", "plan_premium", "prob_abandono", "segmento_riesgo",
             "accion_retencion"]
     return s.orderBy(F.desc("prob_abandono"), "cliente_id").limit(5).select(*cols)
@@ -224,16 +244,16 @@ def top_risk_scored(spark, d):
 
 @register("ml_grid")
 def ml_grid(spark, d):
-    """Random-forest grid (3×4×3) with 5 stratified folds, recall of class 1."""
-    t = trained(spark, d, grid=True)
-    return t["grid"]
+    """Random-forest grid (3×4×3) with 5 stratified folds, recall of class 1; no other model is trained."""
+    data = C.prepare(T.portfolio(spark, d), T.FEATURES, T.TARGET, "cliente_id")
+    return C.tune_forest(data, T.FEATURES, "cliente_id")[1]
 
 
 @register("ml_tuned_forest")
 def ml_tuned_forest(spark, d):
     """The grid's refitted forest evaluated on the test split, and the
     selection over all five candidates (recall, then F1, first listed)."""
-    t = trained(spark, d, grid=True)
+    t = C.train_and_select(T.portfolio(spark, d), T.FEATURES, T.TARGET, "cliente_id", with_grid=True)
     table = C.model_table(t["results"]).drop("tiempo_entrenamiento_s")
     return table.withColumn("seleccionado", F.col("modelo") == F.lit(t["best_name"]))
 

@@ -1,5 +1,5 @@
 """Documented-only rules: age clamp, {0,1} filter, Latin
-alphabet filter, no-model fallback segment, retried reads."""
+alphabet filter, no-model fallback segment."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from cauce.functions import rules as R
 from cauce.plans.registry import register
-from cauce.sources import files as FS
 from cauce.sources import tables as T
 
 
@@ -46,20 +45,3 @@ SELECT CASE WHEN reclamos > {R.FALLBACK_COMPLAINTS} THEN 'ALTO' WHEN reclamos IS
 def fallback_segment(spark, d):
     p = T.portfolio(spark, d).select(R.fallback_segment("reclamos").alias("segmento_riesgo"))
     return p.groupBy("segmento_riesgo").agg(F.count(F.lit(1)).alias("n"))
-
-
-@register("read_retry", "SELECT count(*) AS filas FROM supplier")
-def read_retry(spark, d):
-    """A read that fails twice then succeeds (backoff waits are recorded, not slept)."""
-    calls = {"n": 0}
-    waits = []
-
-    def flaky():
-        calls["n"] += 1
-        if calls["n"] < 3:
-            raise OSError("source unavailable")
-        return T.table(spark, d, "supplier")
-
-    df = FS.with_retry(flaky, sleep=waits.append)
-    assert waits == [1.0, 2.0]
-    return df.agg(F.count(F.lit(1)).alias("filas"))

@@ -33,13 +33,13 @@ def agg_rut_valid(spark, d):
 SELECT {O.sql_pseudonym('cliente_id')} AS cliente_id, edad, reclamos FROM portfolio""", views=("portfolio",))
 def mask_pseudonym(spark, d):
     p = T.portfolio(spark, d).select("cliente_id", "edad", "reclamos")
-    return PV.pseudonymize(p, ["cliente_id"])
+    return PV.pseudonymize(p, ["cliente_id"], O.DEMO_SALT)
 
 
 @register("mask_rut", f"""
 SELECT *, {O.sql_pseudonym('rut')} AS rut_hash FROM suppliers""", views=("suppliers",))
 def mask_rut(spark, d):
-    return PV.add_rut_hash(T.suppliers(spark, d))
+    return PV.add_rut_hash(T.suppliers(spark, d), O.DEMO_SALT)
 
 
 @register("mask_age_band", f"""
@@ -139,15 +139,21 @@ def win_row_id(spark, d):
 
 
 @register("map_entity", f"""
-SELECT 'CLIENTE' AS entidad, CAST(cliente_id AS VARCHAR) AS entidad_id, uso_datos_gb / 100.0 AS score,
-  uso_datos_gb / 100.0 AS probabilidad, {O.sql_segment('uso_datos_gb / 100.0')} AS prediccion FROM portfolio""",
+WITH p AS (SELECT CASE WHEN cliente_id % 50 = 0 THEN NULL ELSE 'C-' || CAST(cliente_id AS VARCHAR) END AS cliente_id,
+  uso_datos_gb / 100.0 AS prob, {O.sql_segment('uso_datos_gb / 100.0')} AS prediccion, cliente_id AS orden FROM portfolio),
+n AS (SELECT *, row_number() OVER (ORDER BY cliente_id IS NULL, cliente_id, orden) AS fila FROM p)
+SELECT fila, 'CLIENTE' AS entidad, coalesce(cliente_id, CAST(fila AS VARCHAR)) AS entidad_id, prob AS score,
+  prob AS probabilidad, prediccion FROM n""",
           views=("portfolio",))
 def map_entity(spark, d):
+    """Text ids; every fiftieth customer has none and is named by its row number."""
     from cauce.sinks.writers import prediction_records
     p = T.portfolio(spark, d)
     prob = F.col("uso_datos_gb") / 100.0
-    scored = p.select("cliente_id", prob.alias("prob_abandono"), R.risk_segment(prob).alias("segmento_riesgo"))
-    return prediction_records(scored).drop("fila")
+    ident = F.when(F.col("cliente_id") % 50 != 0, F.concat(F.lit("C-"), F.col("cliente_id").cast("string")))
+    scored = p.select(ident.alias("cliente_id"), F.col("cliente_id").alias("orden"), prob.alias("prob_abandono"),
+                      R.risk_segment(prob).alias("segmento_riesgo"))
+    return prediction_records(scored)
 
 
 _SOLICITUDES_SPEC = [

@@ -99,7 +99,10 @@ WITH f AS (
     AND coalesce({O.sql_to_double('precio')} > 0, false)
     AND (descuento IS NULL OR coalesce(descuento >= 0 AND descuento <= 100, false))
     AND NOT (producto IS NULL OR length({O.sql_strip('producto')}) = 0)
-    AND NOT (ciudad IS NULL OR length({O.sql_strip('ciudad')}) = 0) AS ok FROM sales_raw)
+    AND NOT (ciudad IS NULL OR length({O.sql_strip('ciudad')}) = 0) AS ok FROM (SELECT DISTINCT id, fecha, producto, cantidad, precio, ciudad, descuento FROM sales_raw
+    WHERE id IS NOT NULL AND fecha IS NOT NULL AND producto IS NOT NULL AND cantidad IS NOT NULL AND precio IS NOT NULL
+      AND ciudad IS NOT NULL AND {O.sql_to_double('precio')} IS NOT NULL AND {O.sql_to_double('cantidad')} IS NOT NULL
+      AND {O.sql_to_date('fecha')} IS NOT NULL) c)
 SELECT CASE WHEN ok THEN 'valido' ELSE 'error' END AS estado_calidad, count(*) AS count FROM f GROUP BY 1""",
           views=("sales_raw",))
 def src_valid_invalid(spark, d):
@@ -113,7 +116,10 @@ def src_valid_invalid(spark, d):
 
 @register("src_jdbc_query", f"""
 WITH flags AS (SELECT 1) SELECT 'python_notebook' AS fuente, count(*) AS total FROM (
-  SELECT * FROM sales_raw WHERE
+  SELECT * FROM (SELECT DISTINCT id, fecha, producto, cantidad, precio, ciudad, descuento FROM sales_raw
+    WHERE id IS NOT NULL AND fecha IS NOT NULL AND producto IS NOT NULL AND cantidad IS NOT NULL AND precio IS NOT NULL
+      AND ciudad IS NOT NULL AND {O.sql_to_double('precio')} IS NOT NULL AND {O.sql_to_double('cantidad')} IS NOT NULL
+      AND {O.sql_to_date('fecha')} IS NOT NULL) c WHERE
     coalesce({O.sql_to_date('fecha')} IS NOT NULL, false)
     AND {O.sql_is_numeric('cantidad')} AND {O.sql_is_numeric('precio')}
     AND coalesce({O.sql_to_double('cantidad')} > 0 AND {O.sql_to_double('cantidad')} <= {S.QUANTITY_MAX}, false)
@@ -181,7 +187,10 @@ WITH f AS (
     AND coalesce({O.sql_to_double('precio')} > 0, false)
     AND (descuento IS NULL OR coalesce(descuento >= 0 AND descuento <= 100, false))
     AND NOT (producto IS NULL OR length({O.sql_strip('producto')}) = 0)
-    AND NOT (ciudad IS NULL OR length({O.sql_strip('ciudad')}) = 0) AS ok FROM sales_raw)
+    AND NOT (ciudad IS NULL OR length({O.sql_strip('ciudad')}) = 0) AS ok FROM (SELECT DISTINCT id, fecha, producto, cantidad, precio, ciudad, descuento FROM sales_raw
+    WHERE id IS NOT NULL AND fecha IS NOT NULL AND producto IS NOT NULL AND cantidad IS NOT NULL AND precio IS NOT NULL
+      AND ciudad IS NOT NULL AND {O.sql_to_double('precio')} IS NOT NULL AND {O.sql_to_double('cantidad')} IS NOT NULL
+      AND {O.sql_to_date('fecha')} IS NOT NULL) c)
 SELECT 'ventas_clean' AS tabla, count(*) FILTER (WHERE ok) AS filas FROM f
 UNION ALL SELECT 'ventas_error', count(*) FILTER (WHERE NOT ok) FROM f""", views=("sales_raw",))
 def job_sales(spark, d):
@@ -189,13 +198,13 @@ def job_sales(spark, d):
 
 
 @register("job_procurement", """
-SELECT 'proveedores' AS tabla, count(*) AS total_filas FROM suppliers
+SELECT 'proveedores' AS tabla, count(*) AS filas FROM suppliers
 UNION ALL SELECT 'solicitudes', count(*) FROM requests
 UNION ALL SELECT 'cotizaciones', count(*) FROM quotes
 UNION ALL SELECT 'negociaciones', count(*) FROM negotiations""",
           views=("suppliers", "requests", "quotes", "negotiations"))
 def job_procurement(spark, d):
-    return J.run_procurement(spark, d, _scratch(spark, "job_procurement"), "r1").drop("duracion_s")
+    return J.run_procurement(spark, d, _scratch(spark, "job_procurement"), "r1", salt=O.DEMO_SALT)
 
 
 @register("job_churn")

@@ -3,6 +3,8 @@ driver-derived rows through the sink under test and reads them back."""
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from cauce.functions import rules as R
@@ -70,11 +72,13 @@ def sink_layout(spark, d):
 @register("sink_append", f"""
 WITH {_SCORED_SQL} SELECT segmento_riesgo, 2 * count(*) AS filas FROM scored GROUP BY 1""", views=("portfolio",))
 def sink_append(spark, d):
-    """Two runs appended to the same table; both are kept (run partitions)."""
+    """Two runs appended to the same table; both are kept (run partitions), and
+    running the second one again does not double it."""
     path = _scratch(spark, "scored_append")
     s = _scored_portfolio(spark, d)
     W.append(s, path, "r1")
     W.append(s, path, "r2")
+    W.append(s, path, "r2")
     return spark.read.parquet(path).groupBy("segmento_riesgo").agg(F.count(F.lit(1)).alias("filas"))
 
 
@@ -94,7 +98,7 @@ SELECT 'SEUDONIMIZAR' AS accion, 'cauce.plans.q_sinks' AS modulo, 'proveedores.r
   count(*) AS filas, 'metodo=SHA256+sal' AS extra FROM suppliers""", views=("suppliers",))
 def sink_audit(spark, d):
     path = _scratch(spark, "audit")
-    s = PV.add_rut_hash(T.suppliers(spark, d))
+    s = PV.add_rut_hash(T.suppliers(spark, d), O.DEMO_SALT)
     rec = PV.audit_record(spark, "SEUDONIMIZAR", "cauce.plans.q_sinks", "proveedores.rut",
                           s.agg(F.count(F.lit(1))).scalar(), "metodo=SHA256+sal")
     W.append(rec, path, "r1")
@@ -188,18 +192,24 @@ def sink_model(spark, d):
     from cauce.plans.q_churn import trained
     t = trained(spark, d)
     path = _scratch(spark, "model")
-    C.save_model(t["best_model"], path)
-    m = C.load_model(path)
-    return C.score(T.portfolio(spark, d), m, T.FEATURES, t["params"], t["scaled"]).groupBy(
+    C.save_model(t["best_model"], path, T.FEATURES, t["params"], t["scaled"], t["fills"])
+    m, prep = C.load_model(path)
+    return C.score(T.portfolio(spark, d), m, prep["features"], prep["params"], prep["scaled"], prep["fills"]).groupBy(
         "segmento_riesgo").agg(F.count(F.lit(1)).alias("clientes"))
 
 
-@register("tag_now")
+@register("tag_now", "SELECT count(*) AS filas, 1 AS sellos, count(*) AS textos_iguales, TRUE AS reciente FROM requests",
+          views=("requests",))
 def tag_now(spark, d):
-    """Rows stamped with the run timestamp (UTC) and its local text form."""
-    r = T.requests(spark, d).select("id")
-    return r.withColumn("ts", F.current_timestamp()).withColumn(
+    """Rows stamped with the run timestamp and its text form, reduced to what must hold:
+    one stamp for all rows, a text equal to it, and a time of this hour."""
+    stamped = T.requests(spark, d).select("id").withColumn("ts", F.current_timestamp()).withColumn(
         "ts_texto", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    same = F.to_timestamp("ts_texto", "yyyy-MM-dd HH:mm:ss") == F.date_trunc("second", "ts")
+    started = F.lit(datetime.datetime.now(datetime.timezone.utc))
+    return stamped.agg(F.count(F.lit(1)).alias("filas"), F.count_distinct("ts").cast("int").alias("sellos"),
+                       F.count_if(same).alias("textos_iguales"),
+                       (F.abs(F.unix_timestamp(F.max("ts")) - F.unix_timestamp(started)) < 3600).alias("reciente"))
 
 
 @register("agg_load_summary", """
@@ -210,25 +220,47 @@ WITH c AS (SELECT 'proveedores' AS tabla, count(*) AS filas FROM suppliers
 SELECT * FROM c UNION ALL SELECT 'total', CAST(sum(filas) AS BIGINT) FROM c""",
           views=("suppliers", "requests", "quotes", "negotiations"))
 def agg_load_summary(spark, d):
-    s = J.run_procurement(spark, d, _scratch(spark, "load_summary"), "r1").select(
-        "tabla", F.col("total_filas").alias("filas"))
+    s = J.run_procurement(spark, d, _scratch(spark, "load_summary"), "r1", salt=O.DEMO_SALT)
     return s.unionByName(s.agg(F.lit("total").alias("tabla"), F.sum("filas").alias("filas")))
 
 
+_SUPPLIER_NAMED = ("(SELECT q.*, s.s_name AS proveedor_nombre FROM quotes q LEFT JOIN supplier s "
+                   "ON q.proveedor_id = s.s_suppkey)")
+
+
 @register("transform_all", f"""
 WITH best AS (
   SELECT solicitud_id, proveedor_id, precio_total FROM (
     SELECT solicitud_id, proveedor_id, precio_total,
       row_number() OVER (PARTITION BY solicitud_id ORDER BY precio_total, linea, producto_id, proveedor_id) AS rn
-    FROM quotes) t WHERE rn = 1)
-SELECT r.id, {O.sql_urgency_category('r.urgencia')} AS urgencia_categoria, b.precio_total AS mejor_precio,
-  round((r.presupuesto_max - b.precio_total) / r.presupuesto_max * 100, 2) AS ahorro_pct
-FROM requests r LEFT JOIN best b ON r.id = b.solicitud_id""", views=("requests", "quotes"))
+    FROM quotes) t WHERE rn = 1),
+b AS (SELECT min(precio_total) AS lo, max(precio_total) AS hi FROM quotes)
+SELECT 'solicitud' AS fuente, CAST(r.id AS VARCHAR) AS clave, {O.sql_urgency_category('r.urgencia')} AS texto,
+  round(b.precio_total, 2) AS v1, round((r.presupuesto_max - b.precio_total) / r.presupuesto_max * 100, 2) AS v2, 1 AS n
+FROM requests r LEFT JOIN best b ON r.id = b.solicitud_id
+UNION ALL
+SELECT 'cotizacion', CAST(solicitud_id AS VARCHAR), {O.sql_right_closed('plazo_dias', R.LEAD_TIME_BINS)},
+  round(min((precio_total - lo) / (hi - lo)), 6), round(max((precio_total - lo) / (hi - lo)), 6), count(*)
+FROM quotes, b GROUP BY 2, 3
+UNION ALL
+SELECT 'resumen', proveedor_nombre, NULL, NULL, NULL, count(*) FROM {_SUPPLIER_NAMED} x
+WHERE proveedor_nombre IS NOT NULL GROUP BY proveedor_nombre""", views=("requests", "quotes"))
 def transform_all(spark, d):
-    store = {"Solicitudes": T.requests(spark, d), "Cotizaciones": T.quotes(spark, d),
+    """All outputs of the transform stage: requests, quotes (scaled price, lead-time band) and supplier counts."""
+    store = {"Solicitudes": T.requests(spark, d), "Cotizaciones": T.quotes(spark, d, with_names=True),
              "Proveedores": T.suppliers(spark, d)}
     out = J.transform_all(store)
-    return out["Solicitudes"].select("id", "urgencia_categoria", "mejor_precio", "ahorro_pct")
+    none = F.lit(None)
+    req = out["Solicitudes"].select(
+        F.lit("solicitud").alias("fuente"), F.col("id").cast("string").alias("clave"), F.col("urgencia_categoria").alias("texto"),
+        F.round("mejor_precio", 2).alias("v1"), F.col("ahorro_pct").alias("v2"), F.lit(1).cast("bigint").alias("n"))
+    quo = (out["Cotizaciones"].groupBy(F.col("solicitud_id").cast("string").alias("clave"), F.col("plazo_categoria").alias("texto"))
+           .agg(F.round(F.min("precio_norm"), 6).alias("v1"), F.round(F.max("precio_norm"), 6).alias("v2"),
+                F.count(F.lit(1)).alias("n")).withColumn("fuente", F.lit("cotizacion")))
+    res = out["Resumen_Cotizaciones"].select(
+        F.lit("resumen").alias("fuente"), F.col("proveedor_nombre").alias("clave"), none.cast("string").alias("texto"),
+        none.cast("double").alias("v1"), none.cast("double").alias("v2"), F.col("cotizaciones").alias("n"))
+    return req.unionByName(quo).unionByName(res)
 
 
 @register("validate_all", f"""

@@ -42,14 +42,14 @@ SELECT producto_id, proveedor_id AS mejor_proveedor_id, precio_total AS mejor_pr
   FROM quotes) t WHERE rn = 1""", views=("quotes",))
 def stream_best_quote(spark, d):
     s = S.best_quote_stream(S.quote_stream(spark, d, max_files_per_trigger=1))
-    return spark.read.parquet(S.run_to_table(s, "best_quote", "complete"))
+    return S.read_updates(spark, S.run_to_table(s, "best_quote", "update"), "producto_id")
 
 
 @register("stream_supplier_counts", """
 SELECT proveedor_id, count(*) AS cotizaciones FROM quotes GROUP BY proveedor_id""", views=("quotes",))
 def stream_supplier_counts(spark, d):
     s = S.supplier_counts_stream(S.quote_stream(spark, d))
-    return spark.read.parquet(S.run_to_table(s, "supplier_counts", "complete"))
+    return S.read_updates(spark, S.run_to_table(s, "supplier_counts", "update"), "proveedor_id")
 
 
 @register("stream_score")
@@ -67,5 +67,5 @@ def stream_score(spark, d):
     for c in PROFILE_RULES:
         ok = ok & F.col(f"ok_{c}")
     stream = stream.withColumn("perfil_valido", ok).drop(*[f"ok_{c}" for c in PROFILE_RULES])
-    scored = S.score_stream(stream, t["best_model"], FEATURES, t["params"], t["scaled"])
+    scored = S.score_stream(stream, t["best_model"], FEATURES, t["params"], t["scaled"], t["fills"])
     return spark.read.parquet(S.run_to_table(scored, "score", "append"))

@@ -8,10 +8,12 @@ is for scripts, tests and the bench; on a cluster the session comes from
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 # SQL settings the operators are designed around.  AQE re-plans joins at
 # runtime (broadcast only when the measured side is under
@@ -22,6 +24,9 @@ SQL_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    # streaming state on local disk with checkpoints, not in executor heaps
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
@@ -49,30 +54,28 @@ def build_session(
     return spark
 
 
+#: By application: the temporary folder of a local session that names no shared one.
+_local_dirs: dict = {}
+
+
 def ensure_checkpoint_dir(spark: SparkSession, local_fallback: bool = False) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this must be a shared filesystem path set by the operator of
-    the cluster.  A machine-local temporary folder is only created when
-    ``local_fallback`` is requested (tests, local bench) and the setting is
-    unset.
+    the cluster; without it this fails.  Only a local master (tests, bench) may
+    fall back to a temporary folder, which is removed when Python ends.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        if not local_fallback:
+        master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+        local = master.startswith("local") and not master.startswith("local-cluster")
+        if not (local_fallback and local):
             raise RuntimeError(
                 "spark.checkpoint.dir is not set; point it at a shared folder"
             )
-        path = tempfile.mkdtemp(prefix="cauce-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", path)
+        if app not in _local_dirs:
+            _local_dirs[app] = tempfile.mkdtemp(prefix="cauce-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+            atexit.register(shutil.rmtree, _local_dirs[app], ignore_errors=True)
+        path = _local_dirs[app]
     spark.sparkContext.setCheckpointDir(path)
     return path
-
-
-def cut_lineage(df: DataFrame, local_fallback: bool = False) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder (reliable checkpoint).
-
-    Survives executor loss, unlike a local checkpoint.
-    """
-    ensure_checkpoint_dir(df.sparkSession, local_fallback=local_fallback)
-    return df.checkpoint(eager=True)

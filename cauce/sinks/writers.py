@@ -9,6 +9,7 @@ driver; manifests are one-row aggregates written by Spark.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,24 +51,38 @@ def read_latest(spark: SparkSession, base: str) -> DataFrame:
 
 
 def append(df: DataFrame, base: str, run_id: str, partition_by=None) -> None:
-    """Append rows as a new run partition (append-only table)."""
-    cols = [F.lit(run_id).alias("run")]
-    write_parquet(df.select("*", *cols), base, "append", ["run"] + ([partition_by] if partition_by else []))
+    """Append rows as the run's own partition of an append-only table; running
+    the same run id again rewrites that partition, so rows are never doubled."""
+    write_parquet(df, f"{base}/run={run_id}", "overwrite", partition_by)
+
+
+def is_missing(error: AnalysisException) -> bool:
+    """Whether a read failed because there is no table (no path, or no file in it)."""
+    return error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
 def append_if_empty(df: DataFrame, base: str, run_id: str) -> bool:
-    """Load ``df`` only when the table at ``base`` has no rows; returns loaded?"""
-    spark = df.sparkSession
+    """Load ``df`` only when the table at ``base`` has no rows; returns loaded?
+    A table that exists but cannot be read is an error, not an empty table."""
     try:
-        existing = spark.read.parquet(base)
-        empty = existing.isEmpty()
-    except Exception:  # noqa: BLE001 - a missing table is an empty one
+        empty = df.sparkSession.read.parquet(base).isEmpty()
+    except AnalysisException as error:
+        if not is_missing(error):
+            raise
         empty = True
     if empty:
         append(df, base, run_id)
     return empty
 
 
+def export(df: DataFrame, role: str, path: str, writer=None) -> None:
+    """Write the role's view of ``df``; a role without export permission is refused."""
+    from cauce.operators import privacy as PV
+    if not PV.can_export(role):
+        raise PermissionError(f"El rol no puede exportar: {role}")
+    (writer or write_csv)(PV.role_view(df, role), path)
+
+
 def id_column(df: DataFrame) -> str | None:
     """First column that looks like an identifier (name set, *_id, id_*)."""
     for c in df.columns:
@@ -79,23 +94,22 @@ def id_column(df: DataFrame) -> str | None:
 
 def prediction_records(scored: DataFrame, entity: str = "CLIENTE", prob: str = "prob_abandono",
                        segment: str = "segmento_riesgo") -> DataFrame:
-    """Rows of the predictions table: entidad, entidad_id (the id column, or
-    the 1-based row number where there is none / it is null), score,
-    probabilidad, prediccion.  Row numbers follow the id then all columns;
-    when every row has an id, ``fila`` is the id and nothing is sorted."""
+    """Rows of the predictions table: fila, entidad, entidad_id, score, probabilidad, prediccion.
+
+    ``fila`` is always the 1-based row number (rows in the order of the id, rows
+    without one last, then all columns); ``entidad_id`` is the id as text, of
+    any type, or the row number where there is no id."""
     idc = id_column(scored)
-    out = [F.lit(entity).alias("entidad"), None, F.col(prob).alias("score"), F.col(prob).alias("probabilidad"),
-           F.col(segment).alias("prediccion")]
-    if idc is not None and scored.agg(F.count_if(F.col(idc).isNull())).first()[0] == 0:
-        # every row has its id: no numbering (and no sort) needed
-        out[1] = F.col(idc).cast("string").alias("entidad_id")
-        return scored.select(F.col(idc).cast("long").alias("fila"), *out)
-    order = ([idc] if idc else []) + [c for c in scored.columns if c != idc]
-    numbered = sequential_ids(scored, order, col="fila")
-    ident = F.col("fila").cast("string") if idc is None else \
-        F.coalesce(F.col(idc).cast("string"), F.col("fila").cast("string"))
-    out[1] = ident.alias("entidad_id")
-    return numbered.select("fila", *out)
+    order = [c for c in scored.columns if c != idc]
+    rows = scored
+    if idc:
+        rows = scored.withColumn("_no_id", F.col(idc).isNull().cast("int"))
+        order = ["_no_id", idc, *order]
+    numbered = sequential_ids(rows, order, col="fila")
+    row = F.col("fila").cast("string")
+    ident = F.coalesce(F.col(idc).cast("string"), row) if idc else row
+    return numbered.select("fila", F.lit(entity).alias("entidad"), ident.alias("entidad_id"), F.col(prob).alias("score"),
+                           F.col(prob).alias("probabilidad"), F.col(segment).alias("prediccion"))
 
 
 def write_predictions(records: DataFrame, base: str) -> None:
@@ -116,8 +130,8 @@ def read_predictions(spark: SparkSession, base: str, limit: int | None = 50,
         df = spark.read.json(f"{base}/predicciones")
         df.schema  # noqa: B018 - resolves the path
         df = df.orderBy("fila")
-    except Exception:  # noqa: BLE001
-        if csv_fallback is None:
+    except AnalysisException as error:
+        if csv_fallback is None or not is_missing(error):
             raise
         r = spark.read.option("header", True)
         df = (r.schema(csv_schema) if csv_schema else r).csv(csv_fallback)
@@ -135,8 +149,12 @@ METRICS_DOC_SCHEMA = (
 
 
 def read_metrics_doc(spark: SparkSession, path: str) -> DataFrame:
-    """The metrics document; an empty frame with the schema when missing or bad."""
+    """The metrics document; an empty frame with the schema when it is missing or malformed."""
     try:
-        return spark.read.schema(METRICS_DOC_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
-    except Exception:  # noqa: BLE001
+        docs = spark.read.schema(METRICS_DOC_SCHEMA).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    except AnalysisException as error:
+        if not is_missing(error):
+            raise
         return spark.createDataFrame([], METRICS_DOC_SCHEMA)
+    # a malformed document parses to nulls throughout
+    return docs.filter(F.col("modelo_seleccionado").isNotNull())

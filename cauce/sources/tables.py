@@ -108,7 +108,8 @@ def rut_text(key) -> F.Column:
     whitespace (valid after a full strip), otherwise NN.NNN.NNN-D.
     """
     k = F.col(key) if isinstance(key, str) else key
-    body = F.lit(5000000) + F.pmod(k * 7919, F.lit(90000000))
+    # the key is reduced first, so that no key overflows
+    body = F.lit(5000000) + F.pmod(F.pmod(k, F.lit(90000000)) * 7919, F.lit(90000000))
     head = F.floor(body / 1000000).cast("string")
     mid = F.lpad(F.pmod(F.floor(body / 1000), F.lit(1000)).cast("string"), 3, "0")
     tail = F.lpad(F.pmod(body, F.lit(1000)).cast("string"), 3, "0")
@@ -245,16 +246,17 @@ def scored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def negotiations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Negotiation rounds (negociaciones) from ``conversations``.
+    """Negotiation rounds (negociaciones) from all turns of ``conversations``.
 
-    Each conversation is one negotiation over quote ``conv_id``; every
-    buyer ('user') turn is an offer sent in round turn/2 + 1 and the next
-    'assistant' turn's text is not needed for the KPIs.
+    Each conversation is one negotiation over quote ``conv_id``; round
+    floor(turn / 2) + 1 pairs the mail sent (the buyer's 'user' turn) with the
+    mail received (the 'assistant' turn).  The pairing is a grouped aggregate.
     """
     c = table(spark, sf_dir, "conversations")
-    return c.filter(F.col("role") == "user").select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("id"),
-        F.col("conv_id").alias("cotizacion_id"),
-        (F.floor(F.col("turn") / 2) + 1).cast("int").alias("ronda"),
-        F.col("text").alias("email_enviado"),
-    )
+    ronda = (F.floor(F.col("turn") / 2) + 1).cast("int")
+    sent = F.min(F.when(F.col("role") == "user", F.col("text")))
+    received = F.min(F.when(F.col("role") == "assistant", F.col("text")))
+    return (c.groupBy(F.col("conv_id").alias("cotizacion_id"), ronda.alias("ronda"))
+            .agg(sent.alias("email_enviado"), received.alias("email_recibido"))
+            .select((F.col("cotizacion_id") * 100000 + F.col("ronda")).alias("id"), "cotizacion_id", "ronda",
+                    "email_enviado", "email_recibido"))

@@ -6,13 +6,14 @@ a file stream with a declared schema (no inference), event time
 
 * ``quote_rules_stream``: stateless rules on each quote (append);
 * ``best_quote_stream``: running cheapest quote per product — a streaming
-  aggregate with ``min_by`` kept in the state store (complete/update);
-* ``supplier_counts_stream``: running quotes per supplier (complete);
+  aggregate with ``min_by`` kept in the state store;
+* ``supplier_counts_stream``: running quotes per supplier;
 * ``score_stream``: score arriving profiles with a trained model, quarantine
   invalid ones, via ``foreachBatch`` (idempotent per batch id).
 
-Complete-mode results are written by ``foreachBatch`` as a full rewrite of
-a Parquet table under the shared checkpoint folder (no driver memory sink).
+Running results are written in update mode: each micro-batch writes only its
+changed keys to its own folder under the shared checkpoint folder, and
+``read_updates`` takes the newest row of each key.
 """
 
 from __future__ import annotations
@@ -65,34 +66,52 @@ def _run_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "streams", f"{name}-{uuid.uuid4().hex[:12]}")
 
 
-def run_to_table(df: DataFrame, name: str, mode: str = "append") -> str:
+def _update_sink(out: str, mode: str):
+    """``foreachBatch`` writer, idempotent when a batch is retried: update mode rewrites
+    the folder of its own batch id, complete mode the table."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={batch_id}")
+    return sink
+
+
+def run_to_table(df: DataFrame, name: str, mode: str = "append", root: str | None = None) -> str:
     """Run a stream to completion (availableNow) and return the table path.
 
-    append: a Parquet file sink (exactly-once via its commit log);
-    complete/update: ``foreachBatch`` rewrites the table with the batch's
-    result (complete) or writes the batch's updated keys to its own
-    ``batch=<id>`` folder (update); both are idempotent when a batch is
-    retried.
+    append: a Parquet file sink (exactly-once via its commit log); update: each
+    micro-batch's changed keys go to a ``batch=<id>`` folder, which
+    :func:`read_updates` reads; complete rewrites the whole result.  ``root``
+    (a folder of an earlier run) continues from its checkpoint.
     """
-    spark = df.sparkSession
-    root = _run_dir(spark, name)
-    out, ckpt = os.path.join(root, "table"), os.path.join(root, "checkpoint")
+    root = root or _run_dir(df.sparkSession, name)
+    out, ckpt = f"{root}/table", f"{root}/checkpoint"
     w = df.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
     if mode == "append":
         q = w.outputMode("append").format("parquet").option("path", out).start()
     else:
-        def sink(batch: DataFrame, batch_id: int) -> None:
-            # idempotent on retry: complete mode rewrites the table, update
-            # mode rewrites the folder of its own batch id
-            batch.write.mode("overwrite").parquet(
-                out if mode == "complete" else os.path.join(out, f"batch={batch_id}"))
-        q = w.outputMode(mode).foreachBatch(sink).start()
+        q = w.outputMode(mode).foreachBatch(_update_sink(out, mode)).start()
     q.awaitTermination()
     if q.exception():
         raise RuntimeError(str(q.exception()))
     return out
 
 
+def read_updates(spark: SparkSession, out: str, keys) -> DataFrame:
+    """The table of an update-mode stream: for each key its row of the newest batch
+    (a partial aggregate; no row is read into one place)."""
+    rows = spark.read.parquet(out)
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    cols = [c for c in rows.columns if c not in (*keys, "batch")]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*cols), "batch").alias("_r"))
+    return newest.select(*keys, "_r.*")
+
+
+def compact_updates(spark: SparkSession, out: str, keys, version: str) -> str:
+    """Write the current table as a new version beside the batches; readers switch by its path."""
+    path = f"{out.rstrip('/')}-compacted/run={version}"
+    read_updates(spark, out, keys).write.mode("overwrite").parquet(path)
+    return path
+
+
 def start(df: DataFrame, out: str, checkpoint: str, mode: str = "append", every: str = "10 seconds"):
     """Start a continuous query (processing-time trigger) on a long-running
     feed; returns the StreamingQuery.  ``out`` and ``checkpoint`` must be on
@@ -101,19 +120,16 @@ def start(df: DataFrame, out: str, checkpoint: str, mode: str = "append", every:
     w = df.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=every)
     if mode == "append":
         return w.outputMode("append").format("parquet").option("path", out).start()
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out if mode == "complete" else os.path.join(out, f"batch={batch_id}"))
-    return w.outputMode(mode).foreachBatch(sink).start()
+    return w.outputMode(mode).foreachBatch(_update_sink(out, mode)).start()
 
 
 def score_stream(profiles: DataFrame, model, features, params=None, scaled: bool = False,
-                 valid_col: str = "perfil_valido") -> DataFrame:
+                 fills=None, valid_col: str = "perfil_valido") -> DataFrame:
     """Score valid arriving profiles; invalid ones pass through unscored
     (``prob_abandono`` null) so the sink can quarantine them."""
     from cauce.operators.churn import score
     good = profiles.filter(F.col(valid_col))
-    scored = score(good, model, features, params, scaled)
+    scored = score(good, model, features, params, scaled, fills)
     bad = profiles.filter(~F.col(valid_col)).select(
         *profiles.columns, F.lit(None).cast("double").alias("prob_abandono"),
         F.lit(None).cast("string").alias("segmento_riesgo"), F.lit(None).cast("string").alias("accion_retencion"))

@@ -46,6 +46,42 @@ def test_versions_appends_and_if_empty(spark):
     assert spark.read.parquet(app).count() == 2
 
 
+def test_appends_are_idempotent_and_unreadable_tables_are_errors(spark):
+    app = _tmp("idem")
+    for _ in range(2):
+        W.append(spark.range(3), app, "r1")
+    W.append(spark.range(4), app, "r2")
+    assert spark.read.parquet(app).count() == 7
+    broken = _tmp("broken")
+    os.makedirs(f"{broken}/run=a")
+    with open(f"{broken}/run=a/part-0.parquet", "w") as f:
+        f.write("not parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        W.append_if_empty(spark.range(2), broken, "b")
+    doc = _tmp("doc")
+    os.makedirs(doc)
+    with open(f"{doc}/m.json", "w") as f:
+        f.write("{broken")
+    assert W.read_metrics_doc(spark, doc).count() == 0 and W.read_metrics_doc(spark, _tmp("none")).count() == 0
+
+
+def test_export_is_refused_by_role(spark):
+    df = spark.createDataFrame([(1, 22, 0.9)], "cliente_id long, edad int, prob_abandono double")
+    for role in ("auditor", "retencion"):
+        with pytest.raises(PermissionError):
+            W.export(df, role, _tmp("export"))
+    path = _tmp("export")
+    W.export(df, "analista", path)
+    assert spark.read.option("header", True).csv(path).first().edad == "18-24"
+
+
+def test_prediction_records_with_text_ids(spark):
+    df = spark.createDataFrame([("b", 0.7, "ALTO"), (None, 0.1, "BAJO"), ("a", 0.4, "MEDIO")],
+                               "cliente_id string, prob_abandono double, segmento_riesgo string")
+    got = [(r.fila, r.entidad_id, r.score) for r in W.prediction_records(df).orderBy("fila").collect()]
+    assert got == [(1, "a", 0.4), (2, "b", 0.7), (3, "3", 0.1)]
+
+
 def test_prediction_records_number_missing_ids(spark):
     df = spark.createDataFrame([(None, 0.7, "ALTO"), (5, 0.1, "BAJO"), (None, 0.4, "MEDIO")],
                                "cliente_id int, prob_abandono double, segmento_riesgo string")

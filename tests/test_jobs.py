@@ -3,8 +3,11 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
+from cauce.operators import kpi as K
+from cauce.operators import sales as S
 from cauce.plans import jobs as J
 from cauce.sinks import writers as W
 from cauce.sources import tables as T
@@ -13,22 +16,41 @@ from cauce.sources import tables as T
 def test_sales_job_counts(spark, sf_small):
     out = tempfile.mkdtemp(prefix="cauce-job-sales-")
     summary = {r.tabla: r.filas for r in J.run_sales(spark, sf_small, out, "r1").collect()}
-    raw = T.sales_raw(spark, sf_small).count()
-    assert summary["ventas_clean"] + summary["ventas_error"] == raw
+    kept = S.clean_sales(T.sales_raw(spark, sf_small).select(*S.RAW_COLUMNS, "descuento"), [*S.RAW_COLUMNS]).count()
+    assert summary["ventas_clean"] + summary["ventas_error"] == kept and summary["ventas_error"] > 0
+    clean = spark.read.parquet(f"{out}/ventas_clean")
+    assert clean.select("id").distinct().count() == clean.count()  # repeated deliveries are gone
+    J.run_sales(spark, sf_small, out, "r1")  # the same run again changes nothing
+    assert spark.read.parquet(f"{out}/ventas_clean").count() == summary["ventas_clean"]
     err = spark.read.parquet(f"{out}/ventas_error")
     assert err.filter(F.col("observacion") == "Registro válido").count() == 0
 
 
 def test_procurement_job_outputs(spark, sf_small):
     out = tempfile.mkdtemp(prefix="cauce-job-proc-")
-    summary = {r.tabla: r.total_filas for r in J.run_procurement(spark, sf_small, out, "r1").collect()}
+    with pytest.raises(ValueError, match="salt"):
+        J.run_procurement(spark, sf_small, out, "r1")
+    summary = {r.tabla: r.filas for r in J.run_procurement(spark, sf_small, out, "r1", salt="s").collect()}
     assert summary["solicitudes"] == T.requests(spark, sf_small).count()
     req = W.read_latest(spark, f"{out}/solicitudes")
     assert req.filter((F.col("estado") == "pendiente") & F.col("proveedor_elegido_id").isNotNull()).count() == 0
     sup = W.read_latest(spark, f"{out}/proveedores")
     assert "rut_hash" in sup.columns and "rut_valido" in sup.columns
-    kpis = {r.kpi for r in spark.read.parquet(f"{out}/kpi").collect()}
-    assert {"completitud_datos", "filas_cargadas_neon", "timestamp"} <= kpis
+    kpis = {r.kpi: r for r in spark.read.parquet(f"{out}/kpi").collect()}
+    load = spark.read.parquet(f"{out}/resumen_carga").collect()
+    assert len(load) == 1 and load[0].total_filas == sum(summary.values()) and load[0].duracion_s > 0
+    fallback = spark.read.parquet(f"{out}/clientes_scoreados/run=r1")
+    high = fallback.filter("segmento_riesgo = 'ALTO'").count()
+    quotes = spark.read.parquet(f"{out}/cotizaciones/run=r1")
+    want = {"filas_cargadas_neon": sum(summary.values()), "latencia_ingesta_ms": load[0].duracion_s * 1000, "recall_modelo": 0.0,
+            "gini_modelo": 0.0, "clientes_alto_riesgo": high, "tasa_riesgo_alto": round(high / fallback.count() * 100, 2),
+            "disponibilidad_api": 1.0, "errores_validacion": quotes.filter(~F.col("precio_valido")).count(),
+            "tasa_parsing_exitoso": 100.0,
+            "tasa_respuesta_proveedores": round(quotes.select("proveedor_id").distinct().count() / summary["proveedores"] * 100, 1),
+            "rondas_negociacion_prom": round(spark.read.parquet(f"{out}/negociaciones/run=r1").agg(F.avg("ronda")).first()[0], 1)}
+    for name, value in want.items():
+        assert kpis[name].valor == pytest.approx(value), name
+    assert kpis["modelo_activo"].texto == K.NO_MODEL and 0 < kpis["completitud_datos"].valor < 100 and "timestamp" in kpis
     assert os.path.isdir(f"{out}/auditoria")
 
 
@@ -39,6 +61,13 @@ def test_churn_job_and_stream_score(spark, sf_small):
     n = T.portfolio(spark, sf_small).count()
     doc = W.read_metrics_doc(spark, f"{out}/metricas/run=r1").first()
     assert doc.modelo_seleccionado in doc.metricas_por_modelo and len(doc.matriz_confusion) == 2
+    proc = tempfile.mkdtemp(prefix="cauce-job-proc-")  # the saved model scores the procurement run's portfolio
+    J.run_procurement(spark, sf_small, proc, "r1", salt="s", model_dir=out)
+    kpis = {r.kpi: r for r in spark.read.parquet(f"{proc}/kpi").collect()}
+    assert kpis["modelo_activo"].texto == doc.modelo_seleccionado
+    assert kpis["recall_modelo"].valor == doc.metricas_por_modelo[doc.modelo_seleccionado].recall
+    assert kpis["clientes_alto_riesgo"].valor == spark.read.parquet(
+        f"{out}/clientes_scoreados/run=r1").filter("segmento_riesgo = 'ALTO'").count()
     man = spark.read.json(f"{out}/predicciones/run=r1/manifiesto").first()
     assert man.total == n
     loaded = spark.read.parquet(f"{out}/clientes_scoreados/run=r1")

@@ -11,11 +11,85 @@ from cauce.streaming import quotes as S
 
 def test_stream_best_quote_equals_batch(spark, sf_small):
     s = S.best_quote_stream(S.quote_stream(spark, sf_small, max_files_per_trigger=1))
-    got = spark.read.parquet(S.run_to_table(s, "t_best", "complete"))
+    got = S.read_updates(spark, S.run_to_table(s, "t_best", "update"), "producto_id")
     exp = P.best_quote_per_product(T.quotes(spark, sf_small))
     assert got.exceptAll(exp).count() == 0 and exp.exceptAll(got).count() == 0
 
 
+def test_running_tables_over_several_files_and_a_restart(spark, sf_small, tmp_path):
+    """Three files in four micro-batches, the last after a restart from the checkpoint: the
+    tables hold one row per key, equal to the batch result after each run."""
+    lines = spark.read.parquet(f"{sf_small}/lineitem.parquet")
+    feed = tmp_path / "feed"
+    feed.mkdir()
+
+    def arrive(i):
+        lines.filter(F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(4)) == i).coalesce(1).write.parquet(f"{tmp_path}/part{i}")
+        (name,) = [p for p in (tmp_path / f"part{i}").iterdir() if p.suffix == ".parquet"]
+        name.rename(feed / f"lineitem-{i}.parquet")
+
+    def check(root_best, root_counts):
+        s = S.quote_stream(spark, str(feed), max_files_per_trigger=1)
+        best = S.read_updates(spark, S.run_to_table(S.best_quote_stream(s), "b", "update", root_best), "producto_id")
+        counts = S.read_updates(spark, S.run_to_table(S.supplier_counts_stream(s), "c", "update", root_counts), "proveedor_id")
+        seen = T.quotes_from(spark.read.parquet(str(feed)))
+        want = P.best_quote_per_product(seen)
+        assert best.exceptAll(want).count() == 0 and want.exceptAll(best).count() == 0
+        want = S.supplier_counts_stream(seen)
+        assert counts.exceptAll(want).count() == 0 and want.exceptAll(counts).count() == 0
+        return best
+
+    roots = str(tmp_path / "best"), str(tmp_path / "counts")
+    for i in range(3):
+        arrive(i)
+    check(*roots)
+    arrive(3)
+    best = check(*roots)  # a new query on the same checkpoint
+    batches = spark.read.parquet(f"{roots[0]}/table").select("batch").distinct().count()
+    assert batches == 4
+    path = S.compact_updates(spark, f"{roots[0]}/table", "producto_id", "v1")
+    assert spark.read.parquet(path).count() == best.count()
+
+
+def test_training_imputes_with_train_statistics_and_saves_them(spark, sf_small, tmp_path):
+    p = T.portfolio(spark, sf_small).withColumn("reclamos", F.when(F.col("cliente_id") % 6 != 0, F.col("reclamos")))
+    models = {"Regresión Logística": C.LogisticRegression(maxIter=20, weightCol="peso", featuresCol="features", labelCol="label")}
+    data = C.prepare(p, T.FEATURES, T.TARGET, "cliente_id")
+    n, n_test = p.count(), data["test"].count()
+    assert n_test == -(-n // 5) and data["train"].count() == n - n_test  # an exact split
+    train = data["train"].join(p.select("cliente_id", F.col("reclamos").alias("raw")), "cliente_id").filter("raw IS NOT NULL")
+    import numpy as np
+    assert data["fills"] == {"reclamos": float(np.median([r.raw for r in train.collect()]))}
+    r = C.train_models(p, T.FEATURES, T.TARGET, "cliente_id", models=models, data=data)["Regresión Logística"]
+    scored = C.score(p, r["model"], T.FEATURES, r["params"], r["scaled"], r["fills"])
+    assert scored.filter("prob_abandono IS NULL OR isnan(prob_abandono)").count() == 0
+    C.save_model(r["model"], str(tmp_path / "m"), T.FEATURES, r["params"], r["scaled"], r["fills"])
+    model, prep = C.load_model(str(tmp_path / "m"))
+    again = C.score(p, model, prep["features"], prep["params"], prep["scaled"], prep["fills"])
+    assert scored.exceptAll(again).count() == 0
+
+
+def test_split_takes_large_and_text_keys(spark):
+    df = spark.createDataFrame([((1 << 60) + i, f"k{i}", i % 2) for i in range(400)], "big long, text string, y int")
+    for key in ("big", "text"):
+        assert C.stratified_split(df, key, "y", exact=True).filter("es_test").count() == 80
+        assert C.with_folds(df, key).select("fold").distinct().count() == 5
+
+
+def test_grid_points_equal_forests_of_their_own(spark, sf_small, monkeypatch, tmp_path):
+    """Leaf tables reproduce the forest's own probabilities, so its prefixes and depth cuts are forests too."""
+    monkeypatch.setattr(C, "GRID_TREES", [5, 10])
+    monkeypatch.setattr(C, "GRID_DEPTH", [2, None])
+    data = C.prepare(T.portfolio(spark, sf_small), T.FEATURES, T.TARGET, "cliente_id")
+    train, test = (C.assemble(T.FEATURES).transform(data[k]) for k in ("train", "test"))
+    forest = C.RandomForestClassifier(numTrees=10, maxDepth=30, weightCol="peso", seed=1, leafCol="leaf").fit(train)
+    recalls = C.grid_recalls(forest, test, str(tmp_path / "f"))
+    got = forest.transform(test).filter("label = 1").agg(F.avg((F.col("prediction") == 1).cast("double"))).first()[0]
+    assert recalls[(10, None)] == pytest.approx(got) and set(recalls) == {(5, 2), (5, None), (10, 2), (10, None)}
+    table, _ = C.tune_forest(data, T.FEATURES, "cliente_id")[1:]
+    assert table.count() == 2 * 2 * 3 and table.filter("recall_cv BETWEEN 0 AND 1").count() == 12
+
+
 def test_churn_train_score(spark, sf_small):
     models = {"Árbol de Décision": C.DecisionTreeClassifier(maxDepth=5, weightCol="peso", seed=C.SEED,
                                                            featuresCol="features", labelCol="label")}
