@@ -70,6 +70,16 @@ def quotes_by_supplier(quotes: DataFrame, name_col: str = "proveedor_nombre") ->
             .groupBy(name_col).agg(F.count(F.lit(1)).alias("cotizaciones")))
 
 
+def quotes_by_named_supplier(quotes: DataFrame, suppliers: DataFrame) -> DataFrame:
+    """:func:`quotes_by_supplier` from quotes without names: counted by supplier id first, so that one
+    row per supplier, not every quote, meets the names (``id``, ``nombre``)."""
+    counts = quotes.groupBy("proveedor_id").agg(F.count(F.lit(1)).alias("n"))
+    named = counts.join(suppliers.select(F.col("id").alias("proveedor_id"), F.col("nombre").alias("proveedor_nombre")),
+                        "proveedor_id")
+    return (named.filter(F.col("proveedor_nombre").isNotNull())
+            .groupBy("proveedor_nombre").agg(F.sum("n").alias("cotizaciones")))
+
+
 def normalize_prices(quotes: DataFrame, col: str = "precio_total") -> DataFrame:
     """Impute missing prices (null or NaN) with the column median, then min-max scale to [0,1].
 

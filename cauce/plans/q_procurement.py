@@ -136,7 +136,7 @@ def join_rule_table(spark, d):
 SELECT proveedor_nombre, count(*) AS cotizaciones FROM quotes_named
 WHERE proveedor_nombre IS NOT NULL GROUP BY proveedor_nombre""", views=("quotes_named",))
 def agg_quotes_by_supplier(spark, d):
-    return P.quotes_by_supplier(T.quotes(spark, d, with_names=True))
+    return P.quotes_by_named_supplier(T.quotes(spark, d), T.suppliers(spark, d))
 
 
 @register("src_quotes", """
