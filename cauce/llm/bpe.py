@@ -20,25 +20,29 @@ row; columns named like the added ones are replaced.
 from __future__ import annotations
 
 import json
+import os
+import re
 from array import array
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cauce.llm.common import ship
-from cauce.llm.textnum import blocks
+from cauce.llm.textnum import blocks, parts_of, release, utf8
 
 #: Symbols of a leaf of the tree; pre-tokens up to this length are encoded at once.
 LEAF = 2048
 #: Tokens of each side in the first window around a join, and tokens that must agree on each side.
 WINDOW, AGREE = 8, 2
 #: Runs kept per worker with their encoding, and the longest run kept.
-CACHE_RUNS, CACHE_BYTES = 300_000, 64
+CACHE_RUNS, CACHE_BYTES = 150_000, 64
+#: Threads that encode the leaves of a long word.
+LEAF_THREADS = 2
 #: Text bytes per output batch.
 BATCH_BYTES = 1 << 21
 
@@ -57,7 +61,8 @@ class TreeEncoder:
     """Encoder and decoder of one tokenizer file; results equal the library's own."""
 
     def __init__(self, path: str, leaf: int = LEAF):
-        from tokenizers import Tokenizer, models
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task per core
+        from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_padding()
@@ -68,18 +73,29 @@ class TreeEncoder:
         self.suffix = model.get("end_of_word_suffix") or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.mark = next(iter(self.special))
-        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        # pieces that end inside a word carry no end-of-word mark
-        self.inner = models.BPE(vocab=model["vocab"], merges=merges)
+        self.path = path
+        self._inner = None
         size = self.tok.get_vocab_size(with_added_tokens=True)
         self.tokens = [self.tok.id_to_token(i) or "" for i in range(size)]
         self.width = [len(t.removesuffix(self.suffix) if self.suffix else t) for t in self.tokens]
         self.leaf = leaf
-        self.marks = [m.encode() for m in self.special]
+        self.special_in = re.compile(b"|".join(re.escape(m.encode()) for m in self.special)).search
         self.lowers = '"Lowercase"' in json.dumps(spec["normalizer"])
         self.cache: dict[bytes, tuple[bytes, str]] = {}
 
     # ---------------------------------------------------------------- pieces
+    @property
+    def inner(self):
+        """The model for pieces that end inside a word: without end-of-word marks (made when first needed)."""
+        if self._inner is None:
+            from tokenizers import models
+
+            with open(self.path, encoding="utf-8") as f:
+                model = json.load(f)["model"]
+            merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+            self._inner = models.BPE(vocab=model["vocab"], merges=merges)
+        return self._inner
+
     def _piece(self, text: str, last: bool) -> list[int]:
         return [t.id for t in (self.tok.model if last else self.inner).tokenize(text)]
 
@@ -103,7 +119,8 @@ class TreeEncoder:
         """Encoding of one long pre-token (already mapped to byte symbols)."""
         cuts = list(range(0, len(text), self.leaf))
         parts = [(a, min(a + self.leaf, len(text))) for a in cuts]
-        codes = [self._piece(text[a:b], b == len(text)) for a, b in parts]
+        with ThreadPoolExecutor(LEAF_THREADS) as pool:
+            codes = list(pool.map(lambda p: self._piece(text[p[0]:p[1]], p[1] == len(text)), parts))
         while len(parts) > 1:  # one level of the tree
             spans, joined = [], []
             for i in range(0, len(parts) - 1, 2):
@@ -168,7 +185,7 @@ class TreeEncoder:
         new = runs - cache.keys()
         for r in new:
             head = r.rstrip(_PUNCTUATION)
-            if head and len(head) < len(r) <= self.leaf and _ends_word(head) and not any(m in r for m in self.marks):
+            if head and len(head) < len(r) <= self.leaf and _ends_word(head) and not self.special_in(r):
                 tail = r[len(head):]
                 parts.append((r, head, tail))
                 missing.add(head)
@@ -183,11 +200,9 @@ class TreeEncoder:
 
     def encode(self, texts: list[bytes]) -> tuple[list[bytes], list[str]]:
         """Ids (int32 bytes) and decoded text of each UTF-8 text."""
-        if len(self.cache) > CACHE_RUNS:
-            self.cache = {}
         if self.lowers:  # the tokenizer lowers letters itself, after it has looked for special tokens
             lowered = [t.lower() for t in texts]
-            texts = [t if any(m in low for m in self.marks) else low for t, low in zip(texts, lowered, strict=True)]
+            texts = [t if self.special_in(low) else low for t, low in zip(texts, lowered, strict=True)]
         split = [t.split() for t in texts]
         passing = self._complete(set().union(*split))
         find, first, second = self.cache.__getitem__, itemgetter(0), itemgetter(1)
@@ -198,6 +213,8 @@ class TreeEncoder:
             decoded.append(" ".join(filter(None, map(second, found))))
         for r in passing:
             del self.cache[r]
+        if len(self.cache) > CACHE_RUNS:  # frequent runs are in every batch: keep this one's
+            self.cache = {r: v for r in set().union(*split) if (v := self.cache.get(r))}
         return ids, decoded
 
 
@@ -215,23 +232,25 @@ def encode_documents(docs: DataFrame, path: str, leaf: int = LEAF, text: str = "
     """``docs`` with ``token_ids`` (array<int>) and ``decoded`` (string) added, in one narrow pass."""
     ship(docs.sparkSession)
     keep = [c for c in docs.columns if c not in ("token_ids", "decoded")]
-    source = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_bytes"))
-    schema = docs.select(*keep).schema
+    source, at = docs.select(*keep), keep.index(text)
+    schema = source.schema
     schema = T.StructType([*schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType())),
                            T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, leaf)
-        for batch in batches:
-            column = batch.column(batch.num_columns - 1).to_pylist()
+        for batch in (part for whole in batches for part in parts_of(whole)):
+            column = utf8(batch.column(at))
             for i, j in blocks(column, BATCH_BYTES):
                 ids, decoded = enc.encode(column[i:j])
                 ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
                 values = pa.array(np.frombuffer(b"".join(ids), np.int32))
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), values), pa.array(decoded, pa.string())],
+                    [*part.columns, pa.ListArray.from_arrays(pa.array(ends), values), pa.array(decoded, pa.string())],
                     names=[*keep, "token_ids", "decoded"])
+        enc.cache = {}  # the worker outlives the task
+        release()
 
     return source.mapInArrow(run, schema)
 

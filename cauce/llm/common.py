@@ -16,6 +16,9 @@ DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Number of salts a hot key is spread over.
 SALTS = 32
 
+#: Bytes of an Arrow batch sent to a Python worker.
+ARROW_BYTES = 8 << 20
+
 #: By application: the temporary folder of a local master without a shared one.
 _local_dirs: dict[str, str] = {}
 #: Applications whose workers have this package.
@@ -40,7 +43,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers (once per application), as ``--py-files`` would."""
+    """Send this package to the Python workers (once per application), as ``--py-files`` would.
+
+    Unless the session says otherwise, Arrow batches are kept to ``ARROW_BYTES``, so that a worker
+    holds few texts at a time.
+    """
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(setting) in ("64MB", "67108864", "67108864b"):
+        spark.conf.set(setting, ARROW_BYTES)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from cauce.llm.common import ship
 from cauce.llm.html_dom import Node, decode, features, parse
-from cauce.llm.textnum import blocks
+from cauce.llm.textnum import blocks, parts_of, release, utf8
 
 #: Generated pages, and the most given pages, that the trees are trained on.
 GENERATED_PAGES, SAMPLE_PAGES = 800, 400
@@ -298,19 +298,20 @@ def extract(pages: DataFrame, trees: Trees) -> DataFrame:
     """``pages`` with ``text`` and ``n_chars`` (code points) added."""
     ship(pages.sparkSession)
     keep = [c for c in pages.columns if c not in ("text", "n_chars")]
-    schema = T.StructType([*pages.select(*keep).schema.fields, T.StructField("text", T.StringType()),
+    source, at = pages.select(*keep), keep.index("html")
+    schema = T.StructType([*source.schema.fields, T.StructField("text", T.StringType()),
                            T.StructField("n_chars", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(len(keep)).to_pylist()
+        for batch in (part for whole in batches for part in parts_of(whole)):
+            column = utf8(batch.column(at))
             for i, j in blocks(column, BATCH_BYTES):
                 texts = extract_texts([b.decode("utf-8", "replace") for b in column[i:j]], trees)
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.slice(i, j - i).columns[:-1], pa.array(texts, pa.string()),
+                    [*batch.slice(i, j - i).columns, pa.array(texts, pa.string()),
                      pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 
-    source = pages.select(*keep, F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("_bytes"))
+        release()
     return source.mapInArrow(run, schema)
 
 

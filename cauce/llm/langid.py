@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cauce.llm.common import ship
-from cauce.llm.textnum import blocks
+from cauce.llm.textnum import blocks, parts_of, release, utf8
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -169,15 +169,14 @@ def predict(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType())])
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    source = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_bytes"),
-                         has_letter.alias("_letter"))
+    source, at = docs.select(*keep, has_letter.alias("_letter")), keep.index("text")
     names = np.array(model.labels, object)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model.tables()
-        for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
-            letter = np.array(batch.column(len(keep) + 1).to_pylist(), bool)
+        for batch in (part for whole in batches for part in parts_of(whole)):
+            texts = utf8(batch.column(at))
+            letter = np.array(batch.column(len(keep)).to_pylist(), bool)
             for i, j in blocks(texts):
                 parts = [windows_of(t) for t in texts[i:j]]
                 logs = model.log_probs(np.concatenate(parts), tables)
@@ -196,6 +195,7 @@ def predict(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
                      pa.array(np.where(known, prob[np.arange(j - i), best], 0.0))],
                     names=[*keep, "lang_pred", "score"])
 
+        release()
     return source.mapInArrow(run, schema)
 
 

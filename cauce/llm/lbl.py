@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from cauce.llm.common import materialise, ship
 from cauce.llm.langid import held_out
-from cauce.llm.textnum import Block, blocks, doc_of
+from cauce.llm.textnum import Block, blocks, doc_of, parts_of, release
 
 OWN, TAILS, DIM, NOISE, BATCH = 192, 64, 16, 24, 8192
 CLASSES = OWN + TAILS
@@ -45,6 +45,8 @@ START = CLASSES  # context before the first token
 #: Words whose counts are broadcast at most.
 TABLE = 1 << 16
 RATE = 0.1
+#: Partial counts that a task holds before it merges them.
+MERGE_TOKENS = 600_000
 #: Passes over a task's texts: more than one only while it has fewer minibatches than this.
 MIN_STEPS, MAX_PASSES = 200, 10
 END = 1  # the end token's hash
@@ -123,18 +125,19 @@ def count_tokens(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(part[0].view(np.int64)), pa.array(part[1]), pa.array(part[2])],
                                               names=["hash", "tail", "c"])
         parts: list[tuple] = []
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_of(whole)):
             column = batch.column(0).to_pylist()
             for i, j in blocks(column):
                 h, t, _ = tokens(column[i:j])
                 u, at, c = np.unique(h, return_index=True, return_counts=True)
                 parts.append((u, t[at], c))
-                if sum(len(p[0]) for p in parts) > 1_500_000:
+                if sum(len(p[0]) for p in parts) > MERGE_TOKENS:
                     parts = [merged(parts)]
-                    if len(parts[0][0]) > 1_000_000:
+                    if len(parts[0][0]) > MERGE_TOKENS // 2:
                         yield out(parts.pop())
         if parts:
             yield out(merged(parts))
+        release()
 
     rows = docs.where(~held_out(parts=PARTS, part=HELD)).select(F.coalesce("text", F.lit("")).cast("binary").alias("b"))
     counted = rows.mapInArrow(run, "hash bigint, tail bigint, c bigint")
@@ -262,7 +265,7 @@ def train(docs: DataFrame, vocab: Vocabulary) -> LogBilinear:
         model, voc = shared.value
         trainer = NceTrainer(model, voc.class_total, seed=7)
         seen, small = 0, []
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_of(whole)):
             column = batch.column(0).to_pylist()
             for i, j in blocks(column):
                 h, t, first = tokens(column[i:j])
@@ -285,6 +288,7 @@ def train(docs: DataFrame, vocab: Vocabulary) -> LogBilinear:
             flat = trainer.m.flat()
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * seen),
                                               pa.array(np.full(len(flat), float(seen)))], names=["i", "v", "w"])
+        release()
 
     rows = docs.where(~held_out(parts=PARTS, part=HELD)).select(F.coalesce("text", F.lit("")).cast("binary").alias("b"))
     fitted = (rows.mapInArrow(run, "i bigint, v double, w double").groupBy("i")
@@ -310,7 +314,7 @@ def _partial_scores(docs: DataFrame, vocab: Vocabulary, model: LogBilinear) -> D
         table = fitted.log_probs()
         log_count = np.append(np.log10(voc.counts + 1.0), 0.0)
         log_tail = np.log10(voc.tail_total + voc.tail_distinct + 1)
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_of(whole)):
             column = batch.column(2).to_pylist()
             for i, j in blocks(column):
                 h, t, first = tokens(column[i:j])
@@ -328,6 +332,8 @@ def _partial_scores(docs: DataFrame, vocab: Vocabulary, model: LogBilinear) -> D
                     [*part.columns[:2], pa.array(np.diff(first)), pa.array(np.add.reduceat(hit.astype(np.int64), heads)),
                      pa.array(np.add.reduceat(seen, heads)), pa.array(np.add.reduceat(model_part.astype(float), heads)),
                      pa.ListArray.from_arrays(pa.array(ends), pa.array(h[rare].view(np.int64)))], names=schema.names)
+        del table
+        release()
 
     source = docs.select("doc_id", held_out(parts=PARTS, part=HELD).alias("held_out"),
                          F.coalesce("text", F.lit("")).cast("binary").alias("b"))

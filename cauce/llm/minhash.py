@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 
 from cauce.llm.common import materialise, salt_of, salted_lookup, ship
 from cauce.llm.components import components
-from cauce.llm.textnum import Block, blocks, doc_of, keyed, mix64, sequence_hashes, windows_inside
+from cauce.llm.textnum import Block, blocks, doc_of, keyed, mix64, parts_of, release, sequence_hashes, windows_inside
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
@@ -89,7 +89,7 @@ def document_frequencies(texts: DataFrame) -> Idf:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n, seen = np.zeros(size, np.int64), 0, set()
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_of(whole)):
             column = []
             for t in batch.column(0).to_pylist():
                 h = hash(t)
@@ -102,6 +102,7 @@ def document_frequencies(texts: DataFrame) -> Idf:
                 n += j - i
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], names=["bucket", "n"])
+        release()
 
     counts = materialise(texts.mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")), "df")
     n = counts.where("bucket = -1").agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
@@ -158,7 +159,7 @@ def sign(docs: DataFrame, idf: Idf) -> DataFrame:
     draws = _draws()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_of(whole)):
             column = batch.column(2).to_pylist()
             for i, j in blocks(column):
                 bands = signatures(column[i:j], idf, draws)
@@ -166,6 +167,7 @@ def sign(docs: DataFrame, idf: Idf) -> DataFrame:
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.ListArray.from_arrays(ends, pa.array(bands.ravel()))],
                                                  names=["doc_id", "node", "bands"])
+        release()
 
     return source.mapInArrow(run, schema)
 
@@ -196,13 +198,14 @@ def verify(pairs: DataFrame, idf: Idf, threshold: float) -> DataFrame:
     """Of pairs (a, b, text_a, text_b) those whose similarity reaches the threshold: a, b, sim."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts_of(whole)):
             one, two = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for i, j in blocks([x + y for x, y in zip(one, two, strict=True)]):
                 sim = similarities(one[i:j], two[i:j], idf)
                 part = batch.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(sim)], names=["a", "b", "sim"]).filter(
                     pa.array(sim >= threshold - 1e-9))
+        release()
 
     cols = [F.col("a"), F.col("b"), F.col("text_a").cast("binary"), F.col("text_b").cast("binary")]
     return pairs.select(*cols).mapInArrow(run, "a string, b string, sim double")

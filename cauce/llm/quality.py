@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cauce.llm.common import ship
-from cauce.llm.textnum import Block, blocks, doc_of, keyed, sequence_hashes, windows_inside
+from cauce.llm.textnum import Block, blocks, doc_of, keyed, parts_of, release, sequence_hashes, utf8, windows_inside
 
 #: Base rules.
 MIN_WORDS, REPEAT_WINDOW, MAX_REPEAT_PERCENT = 20, 8, 30
@@ -207,12 +207,12 @@ def score(docs: DataFrame, model: QualityModel | None, threshold: float = MIN_PR
     schema = T.StructType([*docs.select(*keep).schema.fields, *[T.StructField(c, T.LongType()) for c in _ADDED],
                            T.StructField("base_failed", T.BooleanType()), T.StructField("quality_prob", T.DoubleType()),
                            T.StructField("kept", T.BooleanType())])
-    source = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_bytes"))
+    source, at = docs.select(*keep), keep.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
-        for batch in batches:
-            column = batch.column(len(keep)).to_pylist()
+        for batch in (part for whole in batches for part in parts_of(whole)):
+            column = utf8(batch.column(at))
             for i, j in blocks(column):
                 texts = column[i:j]
                 counts, word, first = _counts(Block(texts))
@@ -226,9 +226,10 @@ def score(docs: DataFrame, model: QualityModel | None, threshold: float = MIN_PR
                     p = fitted.probability(fitted.margin(words, first, grams, gram_first))
                     prob, kept = pa.array(p), ~failed & (p >= threshold)
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.slice(i, j - i).columns[:-1], *[pa.array(counts[c].astype(np.int64)) for c in _ADDED],
+                    [*batch.slice(i, j - i).columns, *[pa.array(counts[c].astype(np.int64)) for c in _ADDED],
                      pa.array(failed), prob, pa.array(kept)], names=[*keep, *added])
 
+        release()
     return source.mapInArrow(run, schema)
 
 

@@ -8,9 +8,12 @@ single document).
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 BLOCK_BYTES = 1 << 20
 
@@ -58,6 +61,24 @@ def blocks(texts: list[bytes], limit: int = BLOCK_BYTES) -> Iterator[tuple[int,
         yield at, len(texts)
 
 
+def release() -> None:
+    """Give freed memory back to the system: a Python worker outlives its task, and idles beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def parts_of(batch, rows: int = 512) -> Iterator:
+    """An Arrow batch in slices of at most ``rows`` rows, so that few texts are Python objects at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def utf8(column) -> list[bytes]:
+    """The values of an Arrow string or binary column as bytes; null counts as empty."""
+    return [b"" if v is None else v for v in column.cast("binary").to_pylist()]
+
+
 class Block:
     """Documents joined by a newline, as bytes; ``lo[i]:hi[i]`` are the bytes of document i."""
 
