@@ -69,14 +69,23 @@ def supplier_response(quotes: DataFrame, catalog_size=SUPPLIER_CATALOG_SIZE) ->
     return quotes.agg(F.round(F.count_distinct("proveedor_id") / catalog_size * 100, 1)).scalar()
 
 
+def quote_stats(quotes: DataFrame, parsed: F.Column, price_ok: F.Column) -> DataFrame:
+    """One pass over the quotes for every indicator about them: raw and parsed rows, price errors,
+    suppliers that answered."""
+    return quotes.agg(F.count(F.lit(1)).alias("n_raw"), F.count_if(parsed).alias("n_ok"),
+                      F.count_if(~price_ok).alias("errors"),
+                      F.count_distinct(F.when(parsed, F.col("proveedor_id"))).alias("suppliers"))
+
+
 def mean_rounds(negotiations: DataFrame | None) -> F.Column:
     if negotiations is None:
         return F.lit(0.0)
     return negotiations.agg(F.coalesce(F.round(F.avg("ronda"), 1), F.lit(0.0))).scalar()
 
 
-def kpi_report(spark: SparkSession, *, requests: DataFrame, quotes: DataFrame, quotes_raw: DataFrame,
-               price_flags: DataFrame, scored: DataFrame, load_summary: DataFrame | None = None,
+def kpi_report(spark: SparkSession, *, requests: DataFrame, scored: DataFrame, quotes: DataFrame | None = None,
+               quotes_raw: DataFrame | None = None, price_flags: DataFrame | None = None,
+               stats: DataFrame | None = None, load_summary: DataFrame | None = None,
                model_metrics: DataFrame | None = None, negotiations: DataFrame | None = None,
                catalog_size=SUPPLIER_CATALOG_SIZE, with_timestamp: bool = True,
                only=None) -> DataFrame:
@@ -85,7 +94,8 @@ def kpi_report(spark: SparkSession, *, requests: DataFrame, quotes: DataFrame, q
     ``price_flags`` has a boolean ``precio_valido``; ``scored`` a
     ``segmento_riesgo``; ``load_summary`` one row with ``total_filas`` and
     the whole load's ``duracion_s``; ``model_metrics`` one row (modelo, recall, gini) of the
-    selected model.  Every value is a scalar subquery, so the report is one
+    selected model; ``stats``, a :func:`quote_stats` row, stands for ``quotes``,
+    ``quotes_raw`` and ``price_flags``.  Every value is a scalar subquery, so the report is one
     small projection over a one-row frame; ``only`` (a set of KPI names)
     builds just those indicators and runs just their subqueries.
     """
@@ -118,11 +128,30 @@ def kpi_report(spark: SparkSession, *, requests: DataFrame, quotes: DataFrame, q
     def hr(field):
         return once("hr", lambda: high_risk(scored).select(F.struct("*")).scalar())[field]
 
+    def quote(field):
+        return once("quotes", lambda: stats.select(F.struct("*")).scalar())[field]
+
+    def parse():
+        if stats is None:
+            return parse_rate(quotes, quotes_raw)
+        return F.when(quote("n_raw") == 0, F.lit(100.0)).otherwise(F.round(quote("n_ok") / quote("n_raw") * 100, 2))
+
+    def price_errors():
+        return (quote("errors") if stats is not None
+                else price_flags.agg(F.count_if(~F.col("precio_valido"))).scalar())
+
+    def available():
+        return (quote("n_ok") >= 1) if stats is not None else quotes.agg(F.count(F.lit(1)) >= 1).scalar()
+
+    def response():
+        return (F.round(quote("suppliers") / catalog_size * 100, 1) if stats is not None
+                else supplier_response(quotes, catalog_size))
+
     builders = {  # name → (value, text); built lazily
         "completitud_datos": lambda: (completeness_of(requests).scalar(), None),
-        "tasa_parsing_exitoso": lambda: (parse_rate(quotes, quotes_raw), None),
-        "errores_validacion": lambda: (price_flags.agg(F.count_if(~F.col("precio_valido"))).scalar(), None),
-        "disponibilidad_api": lambda: (quotes.agg(F.count(F.lit(1)) >= 1).scalar().cast("double"), None),
+        "tasa_parsing_exitoso": lambda: (parse(), None),
+        "errores_validacion": lambda: (price_errors(), None),
+        "disponibilidad_api": lambda: (available().cast("double"), None),
         "filas_cargadas_neon": lambda: (load_total(), None),
         "latencia_ingesta_ms": lambda: (load_ms(), None),
         "modelo_activo": lambda: (F.lit(None), model_field("modelo", NO_MODEL)),
@@ -130,7 +159,7 @@ def kpi_report(spark: SparkSession, *, requests: DataFrame, quotes: DataFrame, q
         "gini_modelo": lambda: (model_field("gini", 0.0), None),
         "clientes_alto_riesgo": lambda: (hr("clientes_alto_riesgo"), None),
         "tasa_riesgo_alto": lambda: (hr("tasa_riesgo_alto"), None),
-        "tasa_respuesta_proveedores": lambda: (supplier_response(quotes, catalog_size), None),
+        "tasa_respuesta_proveedores": lambda: (response(), None),
         "rondas_negociacion_prom": lambda: (mean_rounds(negotiations), None),
     }
     structs = []

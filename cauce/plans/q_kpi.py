@@ -20,9 +20,9 @@ LOAD_ROWS_PER_SECOND = 20000.0
 _VIEWS = ("requests", "quotes", "suppliers", "negotiations", "scored_lines")
 
 
-def _parsed(q):
+def _parsed():
     """Quotes that parse: a positive price and a lead time."""
-    return q.filter((F.col("precio_total") > 0) & F.col("plazo_dias").isNotNull())
+    return F.coalesce((F.col("precio_total") > 0) & F.col("plazo_dias").isNotNull(), F.lit(False))
 
 
 def _inputs(spark, d):
@@ -36,8 +36,7 @@ def _inputs(spark, d):
     best = _model_rows(spark, d).orderBy(F.desc("recall"), F.desc("f1"), F.asc("orden")).limit(1)
     n_cat = sup.agg(F.count(F.lit(1))).scalar()
     return dict(
-        requests=req, quotes=_parsed(q), quotes_raw=q,
-        price_flags=q.select(R.price_in_range("precio_total", "producto").alias("precio_valido")),
+        requests=req, stats=K.quote_stats(q, _parsed(), R.price_in_range("precio_total", "producto")),
         scored=T.scored_lines(spark, d).select(R.risk_segment("score").alias("segmento_riesgo")),
         load_summary=load, model_metrics=best.select("modelo", "recall", "gini"), negotiations=neg,
         catalog_size=n_cat)
