@@ -57,15 +57,14 @@ def _validated(spark, d):
     return S.validate_sales(T.sales_raw(spark, d))
 
 
-@register("src_raw_landing", "SELECT count(*) + 1 AS lineas FROM sales_raw", views=("sales_raw",))
+@register("src_raw_landing", "SELECT count(*) AS lineas FROM sales_raw", views=("sales_raw",))
 def src_raw_landing(spark, d):
-    """The raw CSV is copied unchanged into the raw zone before parsing; the
-    landed copy has the header plus one line per raw row."""
+    """The raw CSV is landed line by line in the raw zone before parsing, by as
+    many tasks as it has files; the landed copy has one line per raw row."""
     from cauce.plans.q_io import _scratch
-    from cauce.sinks.writers import write_csv
     from cauce.sources.files import land_raw
     src = _scratch(spark, "raw_src")
-    write_csv(T.sales_raw(spark, d).select(*S.RAW_COLUMNS).coalesce(1), src)
+    T.sales_raw(spark, d).select(*S.RAW_COLUMNS).write.option("header", False).csv(src)
     landed = land_raw(spark, src, _scratch(spark, "raw_zone"))
     return spark.read.text(landed).agg(F.count(F.lit(1)).alias("lineas"))
 

@@ -69,7 +69,8 @@ def read_typed_text(spark: SparkSession, path: str, int_cols=(), float_cols=(),
 
 
 def land_raw(spark: SparkSession, src: str, raw_zone: str) -> str:
-    """Copy the raw text file(s) into the raw zone unchanged; returns the path."""
+    """Write the lines of the raw text file(s) into the raw zone, task by task; returns the path.
+    (Line ends become \\n; the text of the lines is unchanged.)"""
     spark.read.text(src).write.mode("overwrite").text(raw_zone)
     return raw_zone
 
@@ -83,7 +84,10 @@ def read_quotes(spark: SparkSession, path: str, fmt: str = "json", schema: str =
 def with_retry(read, attempts: int = 3, base_delay: float = 1.0, fallback=None, sleep=None):
     """Call ``read()`` with exponential backoff (1 s, 2 s, 4 s …); after the
     last failure return ``fallback()`` (e.g. the last successful run's
-    table) when given, else re-raise."""
+    table) when given, else re-raise.
+
+    Reads are lazy: for failures while the data are read to be retried too,
+    ``read`` must end in an action, as :func:`land_with_retry` does."""
     import time as _time
     pause = sleep or _time.sleep
     for i in range(attempts):
@@ -96,3 +100,13 @@ def with_retry(read, attempts: int = 3, base_delay: float = 1.0, fallback=None,
                 raise
             pause(base_delay * (2 ** i))
     return None
+
+
+def land_with_retry(read, path: str, attempts: int = 3, base_delay: float = 1.0, sleep=None) -> DataFrame:
+    """Read a source and write it to ``path`` as Parquet, retrying the whole of it (planning and
+    reading); returns the landed table."""
+    def landed() -> DataFrame:
+        df = read()
+        df.write.mode("overwrite").parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
+    return with_retry(landed, attempts, base_delay, sleep=sleep)

@@ -95,6 +95,20 @@ def test_prediction_records_number_missing_ids(spark):
     assert W.read_predictions(spark, base, limit=1).count() == 1
 
 
+def test_a_read_that_fails_while_running_is_retried(spark):
+    waits, src, path = [], _tmp("late.csv"), _tmp("landed")
+    with open(src, "w") as f:
+        f.write("a\nbad\n")
+
+    def pause(seconds):  # the source is repaired between the attempts
+        waits.append(seconds)
+        if len(waits) == 2:
+            with open(src, "w") as f:
+                f.write("a\n1\n2\n")
+    got = FS.land_with_retry(lambda: FS.read_csv_strict(spark, src, "a int"), path, sleep=pause)
+    assert waits == [1.0, 2.0] and sorted(r.a for r in got.collect()) == [1, 2]
+
+
 def test_retry_backoff_and_fallback():
     waits = []
 
