@@ -33,12 +33,13 @@ MESSAGES = {
     "val_producto": "Producto vacío o nulo",
     "val_ciudad": "Ciudad vacía o nula",
 }
+# FIXED VALUES — the valid-row text, the separator of messages, the quantity limit, the source tag.
 VALID_TEXT = "Registro válido"
 MESSAGE_SEPARATOR = " | "
 QUANTITY_MAX = 500
 SOURCE_TAG = "python_notebook"
 
-# Target table layouts (load step).
+# FIXED VALUES — target table layouts (load step) and their required columns.
 CLEAN_COLUMNS = ["id", "fecha", "producto", "cantidad", "precio", "ciudad", "total",
                  "estado_calidad", "fuente"]
 ERROR_COLUMNS = ["id", "fecha", "producto", "cantidad", "precio", "ciudad", "estado_calidad",
