@@ -81,6 +81,9 @@ class TreeEncoder:
         self.leaf = leaf
         self.special_in = re.compile(b"|".join(re.escape(m.encode()) for m in self.special)).search
         self.lowers = '"Lowercase"' in json.dumps(spec["normalizer"])
+        # whether a run of a-z is one pre-token that the model takes as it stands
+        steps = json.dumps(spec["pre_tokenizer"])
+        self.plain_words = self.lowers and "p{L}]+" in steps and '"add_prefix_space": false' in steps
         self.cache: dict[bytes, tuple[bytes, str]] = {}
 
     # ---------------------------------------------------------------- pieces
@@ -156,13 +159,17 @@ class TreeEncoder:
         """Encodings of runs: int32 ids as bytes, and their decoding."""
         mark = self.mark.encode()  # a special token stands between runs
         ids = {r: self._long_run(r.decode()) for r in runs if len(r) > self.leaf or mark in r}
-        short = [r for r in runs if r not in ids] if ids else runs
+        plain, tokenize = {}, self.tok.model.tokenize
+        if self.plain_words:
+            plain = {r: [t.id for t in tokenize(r.decode())] for r in runs
+                     if r.isalpha() and r.isascii() and r.islower() and len(r) <= self.leaf}
+        short = [r for r in runs if r not in ids and r not in plain]
         groups = [short[i:i + 256] for i in range(0, len(short), 256)]
         # many runs in one call, told apart by a special token that none of them contains
         glue = f" {self.mark} ".encode()
         codes = self.tok.encode_batch_fast([glue.join(g).decode() for g in groups], add_special_tokens=False)
         stop, tokens = self.special[self.mark], self.tokens
-        new = {r: (array("i", i).tobytes(), " ".join([tokens[x] for x in i])) for r, i in ids.items()}
+        new = {r: (array("i", i).tobytes(), " ".join([tokens[x] for x in i])) for part in (ids, plain) for r, i in part.items()}
         for group, code in zip(groups, codes, strict=True):
             flat = array("i", code.ids)
             words = " ".join([tokens[x] for x in flat]).split(f" {self.mark} ") if len(group) > 1 else None
