@@ -2,7 +2,7 @@
 
 Works on (a, b) string pairs; every round is written to the shared folder, and
 no component, hub or edge list is ever gathered in one task or the driver:
-minima are partial aggregates and return to the edges by salted lookups.
+minima are partial aggregates and return to the edges by a join.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cauce.llm.common import materialise, salt_of, salted_lookup
+from cauce.llm.common import materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -19,8 +19,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     if large:
         both = both.unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    moved = salted_lookup(both.withColumn("_salt", salt_of("v")), least, ["u"], "_salt")
-    pairs = moved.where("v > u" if large else "v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
+    # a plain sort-merge join of slim rows: Spark splits the partition of a hub (adaptive skew join)
+    pairs = both.join(least, "u").where("v > u" if large else "v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
     if not large:
         pairs = pairs.unionByName(least.select(F.col("u").alias("hi"), F.col("m").alias("lo")))
     return pairs.where("hi <> lo").distinct()

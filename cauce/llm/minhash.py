@@ -306,11 +306,10 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
     banded = materialise(
         nodes.select("node", F.posexplode("bands").alias("band", "key")).where("key <> 0")
         .withColumn("rank", F.xxhash64("node", "band")).withColumn("salt", salt_of("node")), "banded")
-    leaders = (banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("rank").alias("least")).where("n > 1"))
+    leaders = (banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(F.struct("rank", "node")).alias("least"))
+               .where("n > 1").select("band", "key", "n", F.col("least.node").alias("leader")))
     members = materialise(salted_lookup(banded, leaders, ["band", "key"], "salt", "inner"), "members")
-    leader = (members.where(F.col("rank") == F.col("least")).groupBy("band", "key").agg(F.min("node").alias("leader")))
-    with_leader = salted_lookup(members, leader, ["band", "key"], "salt")
-    pairs = (with_leader.where("node <> leader")
+    pairs = (members.where("node <> leader")
              .select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct())
     pairs = materialise(pairs, "pairs")
     texts = materialise(_texts_of(docs, members.select("node").distinct()), "texts")
