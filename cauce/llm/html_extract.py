@@ -289,9 +289,13 @@ def extract_texts(pages: list[str], trees: Trees) -> list[str]:
 
 
 def sample_pages(pages: DataFrame, rows: int = SAMPLE_PAGES) -> list[str]:
-    """At most ``rows`` pages, chosen by a hash of the id."""
-    chosen = pages.where("html IS NOT NULL").select("html", F.xxhash64("page_id", F.lit("html")).alias("h"))
-    return [r["html"] for r in chosen.orderBy("h", "html").limit(rows).collect()]
+    """At most ``rows`` pages, those with the smallest hashes of id and url (the hashes are ranked
+    first, so that no task sends pages that are not chosen)."""
+    hashed = pages.where("html IS NOT NULL").select("html", F.xxhash64("page_id", "url", F.lit("html")).alias("h"))
+    smallest = [r["h"] for r in hashed.select("h").orderBy("h").limit(rows).collect()]
+    if not smallest:
+        return []
+    return sorted(r["html"] for r in hashed.where(F.col("h") <= smallest[-1]).limit(rows).collect())
 
 
 def extract(pages: DataFrame, trees: Trees) -> DataFrame:

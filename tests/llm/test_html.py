@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cauce.llm import html_dom, html_extract
 
@@ -93,9 +94,9 @@ def test_given_pages(spark, sf_small):
 def test_edges(spark, trees):
     rows = [(1, None, "a"), (2, "", None), (3, "<article><h1>T</h1>" + "<p>Some words of a long text, here.</p>" * 3000 + "</article>", "x"),
             (3, "<nav><a href=x>l</a></nav>", "x")]
-    pages = spark.createDataFrame(rows, "page_id long, html string, text string")
+    pages = spark.createDataFrame(rows, "page_id long, html string, text string").withColumn("url", F.lit("u"))
     out = html_extract.extract(pages, trees)
-    assert out.columns == ["page_id", "html", "text", "n_chars"]
+    assert out.columns == ["page_id", "html", "url", "text", "n_chars"]
     got = [(r["page_id"], r["text"], r["n_chars"]) for r in out.collect()]
     assert (1, "", 0) in got and (2, "", 0) in got and len(got) == 4
     assert max(n for _, _, n in got) > 3000 * 30
