@@ -5,19 +5,19 @@ decides after which lines a chunk ends, so boundaries move with the content
 and survive lines inserted elsewhere.  Several such chunkings (``CHUNKINGS``)
 run side by side, since a short passage may lie across the boundaries of one.
 Chunks of at least two lines that occur more than once in the corpus are
-compared byte by byte, and all occurrences but the first (smallest ``doc_id``,
-then first line) are removed.
+told apart by the SHA-256 of their text, and all occurrences but the first
+(smallest ``doc_id``, then first line) are removed.
 
 All steps are Spark expressions.  Chunk counts travel as hashes; the texts are
-dealt out once by row, chunk texts move only for hashes that occur more than
-once.  A chunk that a third of all documents hold is a partial aggregate first
+dealt out once by row, and digests are taken only for hashes that occur more
+than once.  A chunk that a third of all documents hold is a partial aggregate first
 and is looked up on (hash, salt) after.
 
 Defined cases: null texts stay null with no lines; an empty text is one empty
 line; a null ``doc_id`` comes after all others; rows that repeat ``doc_id`` and
 text lose the same lines; a text that loses all its lines becomes ``""``; a
-hash that stands for two different chunk texts removes nothing; the first
-holder of a chunk always keeps it; other columns pass through.
+hash that stands for two different chunk texts is judged for each text; the
+first holder of a chunk always keeps it; other columns pass through.
 """
 
 from __future__ import annotations
@@ -86,17 +86,16 @@ def _repeated_spans(slim: DataFrame, rows: DataFrame) -> DataFrame:
     """doc_id, _text_key, a, b of every repeated chunk occurrence that is not the chunk's first."""
     often = slim.groupBy("_h").agg(F.count("*").alias("n")).where("n > 1").select("_h")
     salted = slim.withColumn("_salt", salt_of("doc_id", "a"))
-    wanted = _per_row(salted_lookup(salted, often, ["_h"], "_salt", "inner"), "_wanted", "a", "b", "_h")
-    # byte comparison: group by the whole chunk text, of hashes that occur more than once only
+    wanted = _per_row(salted_lookup(salted, often, ["_h"], "_salt", "inner"), "_wanted", "a", "b")
+    # chunks are told apart by the SHA-256 of their text, of hashes that occur more than once only
+    chunk = F.array_join(F.slice("lines", F.col("s.a") + 1, F.col("s.b") - F.col("s.a") + 1), "\n")
     chunks = (rows.alias("r").join(wanted.alias("w"), _same_row("r", "w"))
-              .select("r.doc_id", F.split("r.text", "\n", -1).alias("lines"), F.explode("w._wanted").alias("s"))
-              .select("doc_id", "s.a", "s._h",
-                      F.array_join(F.slice("lines", F.col("s.a") + 1, F.col("s.b") - F.col("s.a") + 1), "\n").alias("_chunk")))
-    groups = (chunks.select("_h", "_chunk", _rank().alias("_r"))
-              .groupBy("_h", "_chunk").agg(F.min("_r").alias("_first"), F.count("*").alias("n")))
-    verdict = (groups.groupBy("_h").agg(F.count("*").alias("_texts"), F.min("_first").alias("_first"), F.sum("n").alias("n"))
-               .where("_texts = 1 AND n > 1").select("_h", "_first"))
-    marked = salted_lookup(salted, verdict, ["_h"], "_salt", "inner")
+              .select("r.doc_id", "r._text_key", F.split("r.text", "\n", -1).alias("lines"), F.explode("w._wanted").alias("s"))
+              .select("doc_id", "_text_key", "s.a", "s.b", F.unhex(F.sha2(chunk, 256)).alias("_digest")))
+    chunks = materialise(chunks, "line-digests")
+    verdict = (chunks.select("_digest", _rank().alias("_r")).groupBy("_digest")
+               .agg(F.min("_r").alias("_first"), F.count("*").alias("n")).where("n > 1").select("_digest", "_first"))
+    marked = salted_lookup(chunks.withColumn("_salt", salt_of("doc_id", "a")), verdict, ["_digest"], "_salt", "inner")
     return marked.where(_rank() != F.col("_first")).select("doc_id", "_text_key", "a", "b")
 
 

@@ -77,3 +77,14 @@ def test_boundaries_move_with_the_content(spark, at):
     docs = spark.createDataFrame([(1, PASSAGE + "\nend"), (2, other + "\nother end")], "doc_id long, text string")
     out = {r["doc_id"]: r["n_removed"] for r in line_chunks.remove_repeated_chunks(docs).collect()}
     assert out[1] == 0 and out[2] >= 5
+
+
+def test_chunks_that_share_a_hash_are_judged_apart(spark):
+    """Two lines with equal 32-bit hashes beside the same partner line: each chunk's copies go."""
+    one, two = (f"paragraph number {n} with some more words so that it is long enough" for n in (85473, 90931))
+    assert len({hashlib.md5(x.encode()).hexdigest()[:8] for x in (one, two)}) == 1
+    data = [(1, f"{one}\n"), (2, f"{one}\n"), (3, f"{two}\n"), (4, f"{one}\nlicence"), (5, f"{two}\nlicence"), (6, f"{two}\nlicence")]
+    out = line_chunks.remove_repeated_chunks(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_removed"]) for r in out}
+    assert got == brute(data)
+    assert [got[i][2] for i in range(1, 7)] == [0, 2, 0, 0, 0, 2]
