@@ -4,13 +4,18 @@ A text is the weighted set of its shingles of five words (A-Z lowered; a text
 of one to four words is a single shingle): weight = term frequency times an
 inverse document frequency that is 1 up to ``COMMON`` of the texts and falls
 to ``FLOOR`` for shingles of all texts, so boilerplate counts less.  Document
-frequencies cover all texts, in a table of hash buckets of fixed size.
+frequencies cover all texts, in a table of hash buckets of fixed size.  Near
+copies make each other's shingles frequent, so a pair also counts when its
+similarity without these weights reaches the threshold.
 
 * Signatures: improved consistent weighted sampling (Ioffe 2010), ``BANDS`` x
-  ``ROWS`` samples; a band is a hash of its samples.
+  ``ROWS`` samples; a band is a hash of its samples.  A text that loses more
+  than ``MAX_LOSS`` of its weight to the document frequencies has the bands of
+  plain weights too, in the same buckets.
 * Candidates: texts that share a band form a bucket.  Each member is paired
   with the bucket's leader (another one in each band), pairs are verified by
-  the exact weighted Jaccard similarity, and links are joined to classes.
+  the exact Jaccard similarity, weighted or plain, and links are joined to
+  classes.
 * Rest: a bucket that still holds more than one class is finished exactly: the
   members outside its largest class are compared with all others in blocks,
   and only links leave a block.  So any two texts that share a band and reach
@@ -45,6 +50,8 @@ BANDS, ROWS = 16, 4
 COMMON, FLOOR = 0.1, 0.05
 #: Texts without common shingles that are added in thought, so that shares in small tables mean little.
 PRIOR_TEXTS = 1000
+#: Share of a text's weight that document frequencies may take before it gets plain bands as well.
+MAX_LOSS = 0.05
 #: Hash buckets of the document-frequency table, and of the broadcast filter of candidate texts.
 DF_BITS, FILTER_BUCKETS = 18, 1 << 18
 #: Members of a block in the exact comparison of a bucket's rest.
@@ -66,6 +73,10 @@ class Idf:
         return table[(shingle >> np.uint64(64 - DF_BITS)).astype(np.int64)]
 
 
+#: All weights 1.
+PLAIN = Idf(np.zeros(0, np.int64), np.zeros(0))
+
+
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, shingle, term frequency), ordered by document; every shingle once per document."""
     block = Block(texts, lower=True)
@@ -152,8 +163,23 @@ def signatures(texts: list[bytes], idf: Idf, draws: tuple[np.ndarray, ...]) -> n
     return out.view(np.int64)
 
 
+def all_bands(texts: list[bytes], idf: Idf, draws: tuple[np.ndarray, ...]) -> list[np.ndarray]:
+    """Band hashes of each text: ``BANDS`` weighted ones, and as many plain ones if it loses more than ``MAX_LOSS``."""
+    out = list(signatures(texts, idf, draws))
+    if not len(idf.bucket):
+        return out
+    doc, shingle, tf = features(texts)
+    full = np.bincount(doc, weights=tf, minlength=len(texts))
+    left = np.bincount(doc, weights=tf * idf.of(shingle), minlength=len(texts))
+    light = np.flatnonzero(left < (1 - MAX_LOSS) * full)
+    if len(light):
+        for at, plain in zip(light, signatures([texts[i] for i in light], PLAIN, draws), strict=True):
+            out[at] = np.append(out[at], plain)
+    return out
+
+
 def sign(docs: DataFrame, idf: Idf) -> DataFrame:
-    """(doc_id, node, bands) of every row: node names the text, bands are its band hashes."""
+    """(doc_id, node, bands) of every row: node names the text, bands are its band hashes (see :func:`all_bands`)."""
     source = docs.select("doc_id", _node().alias("node"), F.coalesce("text", F.lit("")).cast("binary").alias("b"))
     schema = T.StructType([*source.schema.fields[:2], T.StructField("bands", T.ArrayType(T.LongType()))])
     draws = _draws()
@@ -162,10 +188,10 @@ def sign(docs: DataFrame, idf: Idf) -> DataFrame:
         for batch in (part for whole in batches for part in parts_of(whole)):
             column = batch.column(2).to_pylist()
             for i, j in blocks(column):
-                bands = signatures(column[i:j], idf, draws)
-                ends = pa.array(np.arange(j - i + 1, dtype=np.int32) * BANDS)
+                bands = all_bands(column[i:j], idf, draws)
+                ends = pa.array(np.append(0, np.cumsum([len(b) for b in bands])).astype(np.int32))
                 part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.ListArray.from_arrays(ends, pa.array(bands.ravel()))],
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.ListArray.from_arrays(ends, pa.array(np.concatenate(bands)))],
                                                  names=["doc_id", "node", "bands"])
         release()
 
@@ -178,20 +204,17 @@ def _node() -> Column:
 
 # -------------------------------------------------------------- verification
 def similarities(left: list[bytes], right: list[bytes], idf: Idf) -> np.ndarray:
-    """Exact weighted Jaccard similarity of the texts at equal positions."""
-    keys, weights, total = [], [], np.zeros(len(left))
-    for side in (left, right):
-        doc, shingle, tf = features(side)
-        w = tf * idf.of(shingle)
-        keys.append(keyed(doc, shingle))
-        weights.append(w)
-        total += np.bincount(doc, weights=w, minlength=len(left))
-        if side is left:
-            doc_left = doc
-    _, x, y = np.intersect1d(keys[0], keys[1], assume_unique=True, return_indices=True)
-    common = np.bincount(doc_left[x], weights=np.minimum(weights[0][x], weights[1][y]), minlength=len(left))
-    union = total - common
-    return np.divide(common, union, out=np.zeros(len(left)), where=union > 0)
+    """Exact Jaccard similarity of the texts at equal positions: the larger of the weighted and the plain one."""
+    (doc_left, shingle_left, tf_left), (doc_right, shingle_right, tf_right) = features(left), features(right)
+    _, x, y = np.intersect1d(keyed(doc_left, shingle_left), keyed(doc_right, shingle_right), assume_unique=True, return_indices=True)
+    best = np.zeros(len(left))
+    for weights in (idf, PLAIN) if len(idf.bucket) else (PLAIN,):
+        one, two = tf_left * weights.of(shingle_left), tf_right * weights.of(shingle_right)
+        total = np.bincount(doc_left, weights=one, minlength=len(left)) + np.bincount(doc_right, weights=two, minlength=len(left))
+        common = np.bincount(doc_left[x], weights=np.minimum(one[x], two[y]), minlength=len(left))
+        union = total - common
+        best = np.maximum(best, np.divide(common, union, out=np.zeros(len(left)), where=union > 0))
+    return best
 
 
 def verify(pairs: DataFrame, idf: Idf, threshold: float) -> DataFrame:
@@ -212,7 +235,7 @@ def verify(pairs: DataFrame, idf: Idf, threshold: float) -> DataFrame:
 
 
 def block_links(left: list[bytes], right: list[bytes], idf: Idf, threshold: float) -> list[tuple[int, int, float]]:
-    """All (i, j, sim) with similarity of left[i] and right[j] at the threshold or above, exactly.
+    """All (i, j, sim) with similarity of left[i] and right[j], weighted or plain, at the threshold or above, exactly.
 
     A weighted set with frequencies is a plain set of (shingle, occurrence) whose members weigh the
     shingle's idf, so the sum of minima is a matrix product.  Members that occur once among both sides
@@ -221,9 +244,18 @@ def block_links(left: list[bytes], right: list[bytes], idf: Idf, threshold: floa
     doc, shingle, tf = features(left + right)
     member_doc, member = np.repeat(doc, tf), np.repeat(shingle, tf)
     nth = np.arange(len(member)) - np.repeat(np.append(0, np.cumsum(tf)[:-1]), tf)
-    weight = idf.of(member)
-    key = keyed(nth, member)
-    total = np.bincount(member_doc, weights=weight, minlength=len(left) + len(right))
+    weight, key = idf.of(member), keyed(nth, member)
+    found = _links_of(member_doc, key, np.ones(len(member)), len(left), len(right), threshold)
+    if (weight != 1).any():
+        for pair, sim in _links_of(member_doc, key, weight, len(left), len(right), threshold).items():
+            found[pair] = max(sim, found.get(pair, 0.0))
+    return [(i, j, sim) for (i, j), sim in sorted(found.items())]
+
+
+def _links_of(member_doc: np.ndarray, key: np.ndarray, weight: np.ndarray, n_left: int, n_right: int,
+              threshold: float) -> dict[tuple[int, int], float]:
+    """Similarity by (i, j) of the pairs of :func:`block_links`, for one weight of each member."""
+    total = np.bincount(member_doc, weights=weight, minlength=n_left + n_right)
     alive = total > 0
     while True:  # drop texts that cannot reach the threshold until nothing changes
         use = alive[member_doc]
@@ -234,11 +266,11 @@ def block_links(left: list[bytes], right: list[bytes], idf: Idf, threshold: floa
         if (left_over == alive).all():
             break
         alive = left_over
-    rows_l, rows_r = np.flatnonzero(alive[:len(left)]), np.flatnonzero(alive[len(left):])
+    rows_l, rows_r = np.flatnonzero(alive[:n_left]), np.flatnonzero(alive[n_left:])
     if not len(rows_l) or not len(rows_r):
-        return []
+        return {}
     place = np.full(len(total), -1)
-    place[rows_l], place[len(left) + rows_r] = np.arange(len(rows_l)), np.arange(len(rows_r))
+    place[rows_l], place[n_left + rows_r] = np.arange(len(rows_l)), np.arange(len(rows_r))
     docs, keys, weights = member_doc[use][shared], inverse[shared], weight[use][shared]
     common = np.zeros((len(rows_l), len(rows_r)))
     width = 4096
@@ -249,13 +281,13 @@ def block_links(left: list[bytes], right: list[bytes], idf: Idf, threshold: floa
         lo, hi = np.searchsorted(keys, [at, at + width])
         d, k, w = docs[lo:hi], keys[lo:hi] - at, weights[lo:hi]
         x, y = np.zeros((len(rows_l), width), np.float32), np.zeros((len(rows_r), width), np.float32)
-        is_left = d < len(left)
+        is_left = d < n_left
         x[place[d[is_left]], k[is_left]] = w[is_left]
         y[place[d[~is_left]], k[~is_left]] = 1
         common += x @ y.T
-    union = total[rows_l][:, None] + total[len(left) + rows_r][None] - common
+    union = total[rows_l][:, None] + total[n_left + rows_r][None] - common
     i, j = np.nonzero(common >= (threshold - 1e-6) * union)
-    return [(int(rows_l[p]), int(rows_r[q]), float(common[p, q] / union[p, q])) for p, q in zip(i, j, strict=True)]
+    return {(int(rows_l[p]), int(rows_r[q])): float(common[p, q] / union[p, q]) for p, q in zip(i, j, strict=True)}
 
 
 def _rest_links(members: DataFrame, texts: DataFrame, idf: Idf, threshold: float) -> DataFrame:
@@ -304,7 +336,8 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
     signed = materialise(sign(docs, idf), "signed")
     nodes = signed.groupBy("node").agg(F.first("bands").alias("bands"))
     banded = materialise(
-        nodes.select("node", F.posexplode("bands").alias("band", "key")).where("key <> 0")
+        nodes.select("node", F.expr(f"inline(array_distinct(transform(bands, (k, i) -> struct(i % {BANDS} AS band, k AS key))))"))
+        .where("key <> 0")
         .withColumn("rank", F.xxhash64("node", "band")).withColumn("salt", salt_of("node")), "banded")
     leaders = (banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(F.struct("rank", "node")).alias("least"))
                .where("n > 1").select("band", "key", "n", F.col("least.node").alias("leader")))

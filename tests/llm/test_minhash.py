@@ -149,3 +149,16 @@ def test_boilerplate_weighs_less(spark):
     docs = spark.createDataFrame([(f"{shared} {make(rng, 10)}",) for _ in range(4000)], "text string")
     idf = minhash.document_frequencies(docs.select(F.col("text").cast("binary")))
     assert 20 <= len(idf.bucket) < 40 and np.allclose(idf.weight, np.log(5 / 4) / np.log(10), atol=0.01)
+
+
+def test_large_family_holds_together(spark):
+    """Near copies that make up a third of the table, with production parameters: all are linked by their original."""
+    rng = random.Random(12)
+    base = make(rng, 110)
+    family = [base, *(edit(rng, base, 2) for _ in range(1199))]
+    assert min(weighted_jaccard(base, t) for t in family) >= 0.8 > weighted_jaccard(family[1], family[2])
+    rows = list(enumerate(family + [make(rng, 60) for _ in range(2400)]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(docs).collect()}
+    assert got == {i: 0 if i < len(family) else i for i, _ in rows}
+    assert minhash.drop_near_duplicates(docs).count() == 2401
