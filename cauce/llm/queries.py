@@ -44,11 +44,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------------ BPE
-def token_digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens and the digests of ids and decoded text, from :func:`bpe.encode_documents`."""
+def token_digests(encoded: DataFrame, *carry: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and decoded text, from :func:`bpe.encode_documents`, then columns ``carry``."""
     ids = F.concat_ws(" ", F.col("token_ids").cast("array<string>"))
     return encoded.select("doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"),
-                          F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+                          F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), *carry)
 
 
 def public_vocabulary(name: str) -> str:

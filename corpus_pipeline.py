@@ -4,6 +4,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 a stage's result as Parquet to the shared folder and hands the next stage what
 it reads back, so a lost executor never costs more than one stage.  All stages
 but the last return the columns of ``documents``.
+
+Files that are read again have no order, so ``run`` puts the mixing schedule
+beside the tokens: ``source``, ``source_rank`` and ``slot``.
 """
 
 from __future__ import annotations
@@ -51,6 +54,13 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return token_digests(encoded)
 
 
+def tokenize_scheduled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As :func:`tokenize`, with each row's source, rank in its source and slot: ordered by slot and rank, the mix."""
+    carry = ["source", "source_rank", "slot"]
+    mixed = mixing.mix(docs.select(*DOCUMENT_COLUMNS)).select("doc_id", "text", *carry)
+    return token_digests(bpe.encode_documents(mixed, public_vocabulary("word_bpe_49k.json")), *carry)
+
+
 STAGES = [("language_id", language), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("bpe", tokenize)]
 
 #: The classifier and the signatures have no SQL form; tests compare the stages with brute force.
@@ -60,5 +70,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        if stage is tokenize:
+            stage = tokenize_scheduled
         docs = materialise(stage(spark, docs, sf_dir), name)
     return docs

@@ -62,6 +62,25 @@ def test_run_and_rejections(spark, sf_planted):
     assert minhash.THRESHOLD == 0.8 and langid.UNKNOWN == "und"
 
 
+def test_run_returns_the_schedule(spark, sf_planted):
+    path, _, _ = sf_planted
+    out = corpus_pipeline.run(spark, path)
+    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "source", "source_rank", "slot"]
+    by_source, by_slot = {}, {}
+    for r in sorted(out.collect(), key=lambda r: (r["slot"], r["source_rank"])):
+        by_source.setdefault(r["source"] or "", []).append((r["source_rank"], r["slot"]))
+        by_slot.setdefault(r["slot"], set()).add(r["source"])
+    assert len(by_source) > 1 and all(len(s) == 1 for s in by_slot.values())
+    root = {s: int(len(x) ** 0.5 * 1000) for s, x in by_source.items()}
+    share = {s: max(1, 1000 * r // sum(root.values())) for s, r in root.items()}
+    period = sum(share.values())
+    for s, ranks in by_source.items():
+        assert [r for r, _ in ranks] == list(range(1, len(ranks) + 1))
+        for rank, slot in ranks:  # each block inside its window: less than one block from the target
+            block = (rank - 1) // 8 + 1
+            assert (block - 1) * period // share[s] <= slot < -(-block * period // share[s])
+
+
 def test_empty_documents(spark, tmp_path, sf_small):
     schema = spark.read.parquet(f"{sf_small}/documents.parquet").schema
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/documents.parquet")
