@@ -3,7 +3,9 @@
 Inline elements are not nodes: their text belongs to the block around them
 (link text is counted).  Unclosed and misnested tags are taken as browsers
 do for the common cases (a new ``p`` or ``li`` ends the open one, an end tag closes
-up to its element or is ignored).
+up to its element or is ignored).  Text in controls, drawings and fallbacks
+(``HIDDEN``) is not text of the page, if they have an end tag of their own;
+where it is missing the start tag is ignored and what follows is kept.
 """
 
 from __future__ import annotations
@@ -16,9 +18,12 @@ import numpy as np
 
 # FIXED VALUES: names of HTML elements by role.
 INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q
-    rp rt ruby s samp small span strike strong sub sup time tt u var wbr""".split())
+    rp rt ruby s samp small span strike strong sub sup time tt u var wbr object math annotation annotation-xml maction
+    menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt
+    mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg object math select button".split())
+RAW = frozenset("script style textarea title".split())
+HIDDEN = frozenset("noscript iframe template svg select button".split())
 CLOSES = {"li": ("ul", "ol", "menu"), "p": None, "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"),
           "th": ("tr", "table"), "option": ("select",)}
 ENDS_P = frozenset("""address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3
@@ -42,6 +47,8 @@ _KIND = {"p": 1, "pre": 1, "blockquote": 1, "li": 3, "dt": 3, "dd": 3, "ul": 4,
 ATTR_BUCKETS = 24
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^"'>]++|"[^"]*"|'[^']*'|["'])*?)>|<[!?][^>]*>""", re.S)
+_HIDDEN_START = re.compile(rf"<(?:{'|'.join(sorted(HIDDEN))})", re.I)
+_RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _OPENING = re.compile(r"</?[a-zA-Z]|<[!?]")
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -71,6 +78,45 @@ def _tokens(attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+def _hidden_ends(page: str) -> dict[int, int]:
+    """Of each ``HIDDEN`` element with an end tag of its own: end of its start tag -> end of its end tag.
+
+    An end tag closes the last open element of its name and all that were opened in it.
+    """
+    ends: dict[int, int] = {}
+    if not _HIDDEN_START.search(page):
+        return ends
+    stack: list[tuple[str, int]] = []
+    count: dict[str, int] = {}
+    pos, last = 0, page.rfind(">")
+    while 0 <= (start := page.find("<", pos)) <= last:
+        m = _TOKEN.match(page, start)
+        if m is None:
+            pos = start + 1
+            continue
+        pos = m.end()
+        if m.group(2) is None:
+            continue
+        name = m.group(2).lower()
+        if m.group(1):
+            while count.get(name):
+                top, at = stack.pop()
+                count[top] -= 1
+                if top == name:
+                    if name in HIDDEN:
+                        ends[at] = pos
+                    break
+        elif name in RAW:
+            end = _RAW_END[name].search(page, pos)
+            if end is None:
+                break
+            pos = end.end()
+        elif name not in VOID and name not in INLINE and not (name == "svg" and m.group(3).endswith("/")):
+            stack.append((name, pos))
+            count[name] = count.get(name, 0) + 1
+    return ends
+
+
 def parse(page: str) -> list[Node]:
     """All nodes in document order; the first is the root.  Text sits in leaves only."""
     root = Node("#root", None)
@@ -78,6 +124,7 @@ def parse(page: str) -> list[Node]:
     run: Node | None = None
     in_link = False
     pos, size = 0, len(page)
+    hidden_ends = _hidden_ends(page)
 
     def text_node() -> Node:
         nonlocal run
@@ -129,11 +176,16 @@ def parse(page: str) -> list[Node]:
                     run = None
             continue
         if name in RAW:  # its content is not text of the page
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, pos)
+            end = _RAW_END[name].search(page, pos)
             if name in CONTROLS:
                 stack[-1].controls += 1
             pos = end.end() if end else size
             continue
+        if name in HIDDEN:
+            if name in CONTROLS:
+                stack[-1].controls += 1
+            pos = hidden_ends.get(pos, pos)
+            continue
         if name in VOID:
             if name == "br":
                 if run is not None:

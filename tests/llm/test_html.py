@@ -30,6 +30,24 @@ def test_parse(page, want):
     assert want is None or got == want
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<header><svg width='1'/></header><p>a</p><svg><text>n</text></svg><p>b</p>", ["a", "b"]),
+    ("<header><button>Menu</header><p>a</p><button>n</button><p>b</p>", ["Menu", "a", "b"]),
+    ("<body><button>Menu<article><p>a</p>b <button>n</button> c</article></body>", ["Menu", "a", "b c"]),
+    ("<object data='x'><p>a</p><p>b</p>", ["a", "b"]), ("<p>if <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then</p>", ["if x=1 then"]),
+    ("<math/><p>a</p>", ["a"]), ("<p>see <object data='x'>the picture</object> here</p>", ["see the picture here"]),
+    ("<div><noscript></div><p>a</p><noscript><p>n</p></noscript>", ["a"]), ("<iframe src='x'><p>a</p>", ["a"]),
+    ("<nav><select><option>o</nav><p>a</p><select><option>n</select>", ["o", "a"]), ("<template><p>a</p>", ["a"]),
+    ("<svg><svg></svg><p>n</p></svg><template><div><p>n</p></div></template><p>a <button><p>n</button>b</p>", ["a b"])])
+def test_unclosed_elements_swallow_nothing(page, want):
+    assert texts(page) == want
+
+
+def test_hidden_elements_are_matched_in_linear_time():
+    for piece in ("<svg>", "<button>", "<div><select>", "</svg>", "<svg", "<noscript><p "):
+        assert len(html_dom.parse(piece * 30_000 + "</svg></button>>")) >= 1
+
+
 def test_parse_is_linear_on_hostile_input():
     for piece in ("<a ", "<", "<div>", "<!--", "</p>", "<p \"", "&", "<b"):
         nodes = html_dom.parse(piece * 30_000 + ">")
