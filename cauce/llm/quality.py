@@ -89,7 +89,7 @@ def _counts(block: Block) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray
 
 
 def _features(texts: list[bytes], word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashed word features, hashed character n-gram features, first n-gram of each document."""
+    """Hashed word features, hashed character n-gram features, first n-gram of each document; none runs past its text."""
     points = np.frombuffer("\n".join([t.decode("utf-8", "replace") for t in texts]).encode("utf-32-le"), np.uint32)
     gram = points[:max(0, len(points) - NGRAM + 1)].copy()
     for j in range(1, NGRAM):
@@ -97,7 +97,9 @@ def _features(texts: list[bytes], word: np.ndarray) -> tuple[np.ndarray, np.ndar
         gram += points[j:len(gram) + j]
     gram *= np.uint32(0x85EBCA77)
     size = np.fromiter((len(t.decode("utf-8", "replace")) + 1 for t in texts), np.int64, len(texts))
-    first = np.minimum(np.append(0, np.cumsum(size)), len(gram))
+    inside = np.arange(NGRAM, len(gram) + NGRAM) < np.repeat(np.cumsum(size), size)[:len(gram)]
+    gram = gram[inside]
+    first = np.append(0, np.cumsum(np.maximum(0, size - NGRAM)))
     return (word >> np.uint64(64 - BITS)).astype(np.int64), (gram >> np.uint32(32 - BITS)).astype(np.int64), first
 
 

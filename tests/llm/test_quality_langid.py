@@ -107,3 +107,14 @@ def test_pair_tables_equal_plain_convolution():
     z = np.concatenate(pooled, 1) @ model.out + model.out_bias
     want = z - np.log(np.exp(z).sum(1, keepdims=True))
     assert np.allclose(model.log_probs(windows, model.tables()), want, atol=1e-4)
+
+
+def test_ngrams_end_with_their_text():
+    """A text's n-grams, and so its probability, are the same whatever stands beside it in a block."""
+    texts = ["short words of a text", "", "abc", "é ü ñ\nß four", "abcd", "another one"]
+    none = np.zeros(0, np.uint64)
+    _, grams, first = quality._features([t.encode() for t in texts], none)
+    assert list(np.diff(first)) == [max(0, len(t) - quality.NGRAM + 1) for t in texts] and first[-1] == len(grams)
+    for i, t in enumerate(texts):
+        _, alone, _ = quality._features([t.encode()], none)
+        assert np.array_equal(grams[first[i]:first[i + 1]], alone)
