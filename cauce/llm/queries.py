@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cauce.llm import bpe, exact_dedup, html_extract, langid, lbl, line_chunks, minhash, mixing, quality, warc
+from cauce.llm import (
+    bpe,
+    exact_dedup,
+    html_extract,
+    langid,
+    lbl,
+    lexical_search,
+    line_chunks,
+    minhash,
+    mixing,
+    quality,
+    token_cache,
+    warc,
+    whitening,
+)
 from cauce.llm.common import materialise, table
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -183,3 +197,55 @@ FROM documents d LEFT JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)"""
 @register("op5_line_dedup", _line_dedup_sql())
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.remove_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# ------------------------------------------------------------- lexical search
+@register("op11_lexical_search", """
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS terms
+  FROM documents WHERE text IS NOT NULL),
+n AS (SELECT r, doc_id, len(terms)::bigint AS n FROM d WHERE len(terms) > 0),
+tot AS (SELECT count(*)::bigint AS n_docs, sum(n)::bigint AS n_terms FROM n),
+i AS (
+  SELECT item_id, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term
+  FROM benchmark),
+q AS (SELECT item_id, term, count(*)::bigint AS q FROM i GROUP BY ALL),
+f AS (
+  SELECT r, term, count(*)::bigint AS tf
+  FROM (SELECT r, unnest(terms) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (
+  SELECT term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * df + 1)::double))::bigint AS w
+  FROM (SELECT term, count(*)::bigint AS df FROM f GROUP BY term), tot),
+s AS (
+  SELECT q.item_id, n.r, n.doc_id,
+         sum(q.q * w.w * ((1000000000 * f.tf) // (1000 * f.tf + 12 * (100 - 25 + (25 * n.n * tot.n_docs) // tot.n_terms))))::bigint AS score
+  FROM q JOIN f USING (term) JOIN w USING (term) JOIN n ON n.r = f.r, tot
+  GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::integer AS rank, doc_id, score FROM k WHERE rank <= 20""")
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                 table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+# ---------------------------------------------------------------- token counts
+#: Texts of more tokens are over the limit.
+TOKEN_LIMIT = 4096
+
+
+@register("op12_token_counts")
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each call starts with an empty cache, so its cost is that of every distinct text."""
+    counted = token_cache.token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                                       public_vocabulary("piece_bpe_32k.model"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+# -------------------------------------------------------------------- whitening
+@register("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
