@@ -26,22 +26,27 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return pairs.where("hi <> lo").distinct()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def _flat(pairs: DataFrame) -> bool:
+    """Whether every node has one pair as ``hi`` and no ``lo`` is another pair's ``hi``: all point at their roots."""
+    twice = pairs.groupBy("hi").agg(F.count("*").alias("n")).where("n > 1").select("hi")
+    inner = pairs.select(F.col("lo").alias("hi")).distinct().join(pairs.select("hi"), "hi", "left_semi")
+    return twice.unionByName(inner).isEmpty()
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int | None = None) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b); the root is the smallest node of its component.
 
-    Self-loops are allowed; an edge with a null end is ignored.
+    Self-loops are allowed; an edge with a null end is ignored.  With ``rounds`` the work may end early, and
+    nodes of one component can then have different roots (each a node of the component).
     """
     given = (edges.where(f"{a} IS NOT NULL AND {b} IS NOT NULL")
              .select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")))
     loops = given.where("hi = lo").select(F.col("hi").alias("node"), F.col("hi").alias("root"))
     now = materialise(given.where("hi <> lo").distinct(), "edges")
-    mark = None
-    while True:
-        row = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)")).alias("s")).first()
-        if row["n"] == 0 or (row["n"], row["s"]) == mark:
-            break
-        mark = (row["n"], row["s"])
+    done = 0
+    while done != rounds and not _flat(now):
         now = materialise(_star(_star(now, True), False), "edges")
+        done += 1
     found = now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     roots = now.select(F.col("lo").alias("node"), F.col("lo").alias("root"))
     return (found.unionByName(roots).unionByName(loops)

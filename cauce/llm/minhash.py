@@ -4,10 +4,13 @@ A text is the weighted set of its shingles of five words (A-Z lowered; a text
 of one to four words is a single shingle): weight = term frequency times an
 inverse document frequency that is 1 up to ``COMMON`` of the texts and falls
 to ``FLOOR`` for shingles of all texts, so boilerplate counts less.  Document
-frequencies cover all texts, in a table of hash buckets of fixed size.  Near
+frequencies count every distinct text once, in a table of hash buckets that is
+``BUCKETS_PER_SHINGLE`` times as long as a text has shingles on average.  Near
 copies make each other's shingles frequent, so a pair also counts when its
 similarity without these weights reaches the threshold.
 
+* Texts: rows are reduced to distinct texts first.  A text of one row stays where
+  it is; only rows in a broadcast set of hash buckets, those of repeated texts, move.
 * Signatures: improved consistent weighted sampling (Ioffe 2010), ``BANDS`` x
   ``ROWS`` samples; a band is a hash of its samples.  A text that loses more
   than ``MAX_LOSS`` of its weight to the document frequencies has the bands of
@@ -16,16 +19,23 @@ similarity without these weights reaches the threshold.
   with the bucket's leader (another one in each band), pairs are verified by
   the exact Jaccard similarity, weighted or plain, and links are joined to
   classes.
-* Rest: a bucket that still holds more than one class is finished exactly: the
-  members outside its largest class are compared with all others in blocks,
-  and only links leave a block.  So any two texts that share a band and reach
-  the threshold end in one class, and no bucket is capped.
-
-Equal texts are one node from the start; copies never multiply pairs.
+* More leaders: in a bucket that still holds more than one class, the members
+  outside its largest class are compared with ``LEADERS`` members of that class,
+  again as long as that links a fair part of them.
+* Rest: what is left of a bucket is finished exactly: the members outside its
+  largest class are compared with all others in blocks, and a block returns one
+  spanning forest of the links between its classes, fewer links than members.  So
+  any two texts that share a band and reach the threshold end in one class, and no
+  bucket is capped.  Bands are finished in ``PHASES`` one after the other, since
+  what one band links need not be compared in the next.
+
+Equal texts are one node from the start; copies never multiply pairs.  Classes
+depend on the texts alone, not on how rows are dealt to tasks.
 
 Defined cases: null and empty texts are equal texts and link to nothing else,
 as do texts without words; a class is named by its smallest ``doc_id`` (null
-only if all are null); an empty table gives an empty result.
+only if all are null); an empty table gives an empty result.  Only ``doc_id`` and
+``text`` are read; where rows are returned, their other columns keep any name.
 """
 
 from __future__ import annotations
@@ -42,20 +52,23 @@ from pyspark.sql import types as T
 
 from cauce.llm.common import materialise, salt_of, salted_lookup, ship
 from cauce.llm.components import components
-from cauce.llm.textnum import Block, blocks, doc_of, keyed, mix64, parts_of, release, sequence_hashes, windows_inside
+from cauce.llm.textnum import Block, blocks, doc_of, keyed, mix64, parts_of, release, sequence_hashes, utf8, windows_inside
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 16, 4
 #: Share of texts up to which a shingle has full weight; weight of a shingle of every text.
 COMMON, FLOOR = 0.1, 0.05
-#: Texts without common shingles that are added in thought, so that shares in small tables mean little.
-PRIOR_TEXTS = 1000
 #: Share of a text's weight that document frequencies may take before it gets plain bands as well.
 MAX_LOSS = 0.05
-#: Hash buckets of the document-frequency table, and of the broadcast filter of candidate texts.
-DF_BITS, FILTER_BUCKETS = 18, 1 << 18
-#: Members of a block in the exact comparison of a bucket's rest.
-BLOCK_MEMBERS = 512
+#: Buckets of the document-frequency table: per shingle of a mean text (at least 2^MIN_BITS, at most 2^MAX_BITS).
+BUCKETS_PER_SHINGLE, MIN_BITS, MAX_BITS = 256, 18, 24
+#: Hash buckets of the broadcast filters of texts.
+FILTER_BUCKETS = 1 << 18
+#: Leaders a round in buckets of several classes; share of the compared members that a round must link to be repeated.
+LEADERS, FAIR = 4, 0.25
+#: Members and bytes of a block in the exact comparison of a bucket's rest; the bands of each phase.
+BLOCK_MEMBERS, BLOCK_BYTES = 512, 32 << 20
+PHASES = (range(0, 2), range(2, BANDS))
 _DRAW_BITS = 16
 
 
@@ -66,11 +79,14 @@ class Idf:
 
     bucket: np.ndarray
     weight: np.ndarray
+    bits: int = MIN_BITS
 
     def of(self, shingle: np.ndarray) -> np.ndarray:
-        table = np.ones(1 << DF_BITS)
-        table[self.bucket] = self.weight
-        return table[(shingle >> np.uint64(64 - DF_BITS)).astype(np.int64)]
+        if not len(self.bucket):
+            return np.ones(len(shingle))
+        key = (shingle >> np.uint64(64 - self.bits)).astype(np.int64)
+        at = np.minimum(np.searchsorted(self.bucket, key), len(self.bucket) - 1)
+        return np.where(self.bucket[at] == key, self.weight[at], 1.0)
 
 
 #: All weights 1.
@@ -94,22 +110,22 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc[index][order], shingle[index][order], tf[order]
 
 
-def document_frequencies(texts: DataFrame) -> Idf:
-    """Inverse document frequencies over all ``text`` values (equal texts of one task count once)."""
-    size = 1 << DF_BITS
+def document_frequencies(texts: DataFrame, mean_bytes: float = 0.0) -> Idf:
+    """Inverse document frequencies over the ``text`` values, which are distinct; mean_bytes sizes the table.
+
+    A bucket holds less than a 1 / ``BUCKETS_PER_SHINGLE`` part of the texts by chance, up to ``MAX_BITS``.
+    """
+    bits = int(min(MAX_BITS, max(MIN_BITS, np.ceil(np.log2(1 + BUCKETS_PER_SHINGLE * mean_bytes / 6)))))
+    size = 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n, seen = np.zeros(size, np.int64), 0, set()
+        total, n = np.zeros(size, np.int64), 0
         for batch in (part for whole in batches for part in parts_of(whole)):
-            column = []
-            for t in batch.column(0).to_pylist():
-                h = hash(t)
-                if h not in seen:
-                    seen.add(h)
-                    column.append(t)
+            column = utf8(batch.column(0))
             for i, j in blocks(column):
-                _, shingle, _ = features(column[i:j])
-                total += np.bincount((shingle >> np.uint64(64 - DF_BITS)).astype(np.int64), minlength=size)
+                doc, shingle, _ = features(column[i:j])
+                key = np.unique(doc.astype(np.int64) * size + (shingle >> np.uint64(64 - bits)).astype(np.int64))
+                total += np.bincount(key % size, minlength=size)  # a text counts once in a bucket
                 n += j - i
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], names=["bucket", "n"])
@@ -117,10 +133,10 @@ def document_frequencies(texts: DataFrame) -> Idf:
 
     counts = materialise(texts.mapInArrow(count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")), "df")
     n = counts.where("bucket = -1").agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    whole = n + PRIOR_TEXTS
-    frequent = counts.where(F.col("bucket") >= 0).where(F.col("n") > COMMON * whole).toPandas()  # at most 2^DF_BITS rows
-    share = np.minimum(1.0, frequent["n"].to_numpy(float) / whole)
-    return Idf(frequent["bucket"].to_numpy(np.int64), np.maximum(FLOOR, np.log(1 / share) / np.log(1 / COMMON)))
+    # shares above COMMON belong to less than (shingles of a mean text) / COMMON buckets, whatever the number of texts
+    frequent = counts.where(F.col("bucket") >= 0).where(F.col("n") > COMMON * n).orderBy("bucket").toPandas()
+    share = frequent["n"].to_numpy(float) / max(n, 1)
+    return Idf(frequent["bucket"].to_numpy(np.int64), np.maximum(FLOOR, np.log(1 / share) / np.log(1 / COMMON)), bits)
 
 
 # ---------------------------------------------------------------- signatures
@@ -178,24 +194,22 @@ def all_bands(texts: list[bytes], idf: Idf, draws: tuple[np.ndarray, ...]) -> li
     return out
 
 
-def sign(docs: DataFrame, idf: Idf) -> DataFrame:
-    """(doc_id, node, bands) of every row: node names the text, bands are its band hashes (see :func:`all_bands`)."""
-    source = docs.select("doc_id", _node().alias("node"), F.coalesce("text", F.lit("")).cast("binary").alias("b"))
-    schema = T.StructType([*source.schema.fields[:2], T.StructField("bands", T.ArrayType(T.LongType()))])
+def sign(texts: DataFrame, idf: Idf) -> DataFrame:
+    """(node, bands) of distinct (node, text) rows: the text's band hashes (see :func:`all_bands`)."""
+    source = texts.select("node", F.col("text").cast("binary").alias("b"))
     draws = _draws()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in parts_of(whole)):
-            column = batch.column(2).to_pylist()
+            column = batch.column(1).to_pylist()
             for i, j in blocks(column):
                 bands = all_bands(column[i:j], idf, draws)
                 ends = pa.array(np.append(0, np.cumsum([len(b) for b in bands])).astype(np.int32))
-                part = batch.slice(i, j - i)
-                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.ListArray.from_arrays(ends, pa.array(np.concatenate(bands)))],
-                                                 names=["doc_id", "node", "bands"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(bands)))], names=["node", "bands"])
         release()
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, "node string, bands array<bigint>")
 
 
 def _node() -> Column:
@@ -290,87 +304,171 @@ def _links_of(member_doc: np.ndarray, key: np.ndarray, weight: np.ndarray, n_lef
     return {(int(rows_l[p]), int(rows_r[q])): float(common[p, q] / union[p, q]) for p, q in zip(i, j, strict=True)}
 
 
+def _forest(found: list[tuple[int, int, float]], one: np.ndarray, two: np.ndarray) -> list[tuple[str, str]]:
+    """Links that join the same classes as all links do, without a circle: fewer than there are classes."""
+    parent: dict[str, str] = {}
+
+    def top(x: str) -> str:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    out = []
+    for i, j, _ in found:
+        a, b = top(one[i]), top(two[j])
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((one[i], two[j]))
+    return out
+
+
 def _rest_links(members: DataFrame, texts: DataFrame, idf: Idf, threshold: float) -> DataFrame:
-    """Links within buckets between members of different classes.
+    """(a, b) classes that links within buckets join.
 
-    members: bucket columns (band, key), node, comp, major (the bucket's largest class), n (its size).
+    members: bucket columns (band, key), node, comp, size (bytes), major (the bucket's largest class).
     Members outside the largest class are compared with all members, block by block.
     """
-    blocks_of = F.ceil(F.col("n") / BLOCK_MEMBERS).cast("int")
-    dealt = (members.withColumn("m", blocks_of)
+    sizes = members.groupBy("band", "key").agg(
+        F.ceil(F.greatest(F.count("*") / BLOCK_MEMBERS, F.sum("size") / BLOCK_BYTES)).cast("int").alias("m"))
+    dealt = (salted_lookup(members.withColumn("_salt", salt_of("node")), sizes, ["band", "key"], "_salt")
              .withColumn("block", F.pmod(F.xxhash64("node", "band"), F.col("m")).cast("int")))
-    every = F.sequence(F.lit(0), F.col("m") - 1)
     minor = dealt.where("comp <> major")
-    left = minor.select("band", "key", F.col("block").alias("lb"), F.explode(every).alias("rb"), "node", "comp", F.lit(0).alias("side"))
-    minor_blocks = minor.select("band", "key", "block").distinct().groupBy("band", "key").agg(F.collect_set("block").alias("lbs"))
-    right = (salted_lookup(dealt.withColumn("_salt", salt_of("node")), minor_blocks, ["band", "key"], "_salt", "inner")
-             .select("band", "key", F.explode("lbs").alias("lb"), F.col("block").alias("rb"), "node", "comp", F.lit(1).alias("side")))
+    lefts = minor.select("band", "key", F.col("block").alias("lb")).distinct()
+    left = minor.select("band", "key", F.col("block").alias("lb"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("rb"),
+                        "node", "comp", F.lit(0).alias("side"))
+    per_bucket = lefts.groupBy("band", "key").agg(F.collect_set("lb").alias("lbs"))  # numbers of blocks
+    right = (salted_lookup(dealt, per_bucket, ["band", "key"], "_salt", "inner")
+             .select("band", "key", F.explode("lbs").alias("lb"), F.col("block").alias("rb"), "node", "comp", "major")
+             .where("comp = major OR rb >= lb")  # two blocks of minor members meet once
+             .select("band", "key", "lb", "rb", "node", "comp", F.lit(1).alias("side")))
     rows = left.unionByName(right).withColumn("_salt", salt_of("band", "key", "lb", "rb"))
-    rows = salted_lookup(rows, texts, ["node"], "_salt", "inner").select(
+    rows = salted_lookup(rows, texts.select("node", "text"), ["node"], "_salt", "inner").select(
         "band", "key", "lb", "rb", "side", "node", "comp", F.col("text").cast("binary").alias("text"))
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         one, two = group[group.side == 0], group[group.side == 1]
         found = block_links(list(one.text), list(two.text), idf, threshold)
-        a, b = one.node.to_numpy(), two.node.to_numpy()
-        ca, cb = one.comp.to_numpy(), two.comp.to_numpy()
-        return pd.DataFrame([(a[i], b[j], s) for i, j, s in found if ca[i] != cb[j]], columns=["a", "b", "sim"])
+        return pd.DataFrame(_forest(found, one.comp.to_numpy(), two.comp.to_numpy()), columns=["a", "b"])
 
-    return rows.groupBy("band", "key", "lb", "rb").applyInPandas(run, "a string, b string, sim double")
+    return rows.groupBy("band", "key", "lb", "rb").applyInPandas(run, "a string, b string")
 
 
 # ------------------------------------------------------------------- classes
-def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _bucket(node: str) -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(FILTER_BUCKETS)).cast("int")
+
+
+def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows: doc_id, node, size in bytes; texts: node, text of every distinct text)."""
+    text = F.coalesce("text", F.lit("")).alias("text")
+    rows = materialise(docs.select("doc_id", _node().alias("node"), F.octet_length(text).alias("size")), "nodes")
+    repeated = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
+    wanted = F.broadcast(repeated.select(_bucket("node").alias("bucket")).distinct())  # at most FILTER_BUCKETS rows
+    every = docs.select(_node().alias("node"), text).withColumn("bucket", _bucket("node"))
+    met = materialise(every.join(wanted, "bucket", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "met-texts")
+    return rows, every.join(wanted, "bucket", "left_anti").select("node", "text").unionByName(met)
+
+
+def _texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text) of the given nodes; only texts in a broadcast set of hash buckets are moved."""
-    bucket = F.pmod(F.xxhash64("node"), F.lit(FILTER_BUCKETS)).cast("int")
-    wanted = F.broadcast(nodes.select(bucket.alias("bucket")).distinct())  # at most FILTER_BUCKETS rows
-    rows = docs.select(_node().alias("node"), F.coalesce("text", F.lit("")).alias("text")).withColumn("bucket", bucket)
-    return (rows.join(wanted, "bucket", "left_semi").groupBy("node", "text").agg(F.count("*").alias("_n"))
+    wanted = F.broadcast(nodes.select(_bucket("node").alias("bucket")).distinct())  # at most FILTER_BUCKETS rows
+    return (texts.withColumn("bucket", _bucket("node")).join(wanted, "bucket", "left_semi")
             .join(nodes.select("node"), "node", "left_semi").select("node", "text"))
 
 
+def _verified(pairs: DataFrame, texts: DataFrame, idf: Idf, threshold: float) -> DataFrame:
+    """Of (a, b) node pairs those whose texts are similar enough."""
+    one = salted_lookup(pairs.withColumn("_salt", salt_of("b")), texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")),
+                        ["a"], "_salt", "inner")
+    two = salted_lookup(one.withColumn("_salt", salt_of("a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")),
+                        ["b"], "_salt", "inner")
+    return materialise(verify(two, idf, threshold), "links")
+
+
+def _open_buckets(members: DataFrame) -> DataFrame:
+    """The members (band, key, node, comp, size) of buckets that hold several classes, with the largest class (major)."""
+    per_class = members.groupBy("band", "key", "comp").agg(F.count("*").alias("c"))
+    mixed = (per_class.groupBy("band", "key").agg(F.max(F.struct("c", "comp"))["comp"].alias("major"), F.count("*").alias("classes"))
+             .where("classes > 1").select("band", "key", "major"))
+    found = salted_lookup(members.drop("major").withColumn("_salt", salt_of("node")), mixed, ["band", "key"], "_salt", "inner")
+    return materialise(found.select("band", "key", "node", "comp", "size", "major"), "open")
+
+
+def _joined(more: DataFrame) -> DataFrame:
+    """(comp, to) after links (a, b) between classes; one round, since names that stay apart only cost comparisons."""
+    return components(more, rounds=1).select(F.col("node").alias("comp"), F.col("root").alias("to"))
+
+
+def _renamed(members: DataFrame, joined: DataFrame) -> DataFrame:
+    """members with the classes that links joined; a class may hold many members, so the lookup is salted."""
+    found = salted_lookup(members.withColumn("_salt", salt_of("node")), joined, ["comp"], "_salt")
+    return found.withColumn("comp", F.coalesce("to", "comp")).drop("to", "_salt")
+
+
+def _more_leaders(members: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b, ca, cb) of each member outside its bucket's largest class with members of that class."""
+    rank = F.xxhash64("node", "band", F.lit(turn))
+    major = members.where("comp = major").groupBy("band", "key", F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("nth")).agg(
+        F.min(F.struct(rank.alias("rank"), "node"))["node"].alias("leader"))
+    leaders = major.groupBy("band", "key").agg(F.collect_list("leader").alias("leaders"))  # at most LEADERS
+    met = salted_lookup(members.where("comp <> major").withColumn("_salt", salt_of("node")), leaders, ["band", "key"], "_salt", "inner")
+    pairs = met.select(F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("major").alias("cb"), F.explode("leaders").alias("b"))
+    return materialise(pairs.distinct(), "pairs")
+
+
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(signed rows: doc_id, node; classes: node, class, of every node linked to another)."""
+    """(rows: doc_id, node; classes: node, class, of every node linked to another)."""
     ship(docs.sparkSession)
-    idf = document_frequencies(docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("b")))
-    signed = materialise(sign(docs, idf), "signed")
-    nodes = signed.groupBy("node").agg(F.first("bands").alias("bands"))
+    rows, distinct = distinct_texts(docs)
+    mean = rows.agg(F.coalesce(F.avg("size"), F.lit(0.0))).first()[0]
+    idf = document_frequencies(distinct.select(F.col("text").cast("binary").alias("text")), mean)
     banded = materialise(
-        nodes.select("node", F.expr(f"inline(array_distinct(transform(bands, (k, i) -> struct(i % {BANDS} AS band, k AS key))))"))
-        .where("key <> 0")
-        .withColumn("rank", F.xxhash64("node", "band")).withColumn("salt", salt_of("node")), "banded")
+        sign(distinct, idf).select("node", F.expr(f"inline(array_distinct(transform(bands, (k, i) -> struct(i % {BANDS} AS band, k AS key))))"))
+        .where("key <> 0").withColumn("rank", F.xxhash64("node", "band")).withColumn("salt", salt_of("node")), "banded")
     leaders = (banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(F.struct("rank", "node")).alias("least"))
                .where("n > 1").select("band", "key", "n", F.col("least.node").alias("leader")))
     members = materialise(salted_lookup(banded, leaders, ["band", "key"], "salt", "inner"), "members")
     pairs = (members.where("node <> leader")
              .select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct())
-    pairs = materialise(pairs, "pairs")
-    texts = materialise(_texts_of(docs, members.select("node").distinct()), "texts")
-    one = salted_lookup(pairs.withColumn("_salt", salt_of("b")), texts.withColumnRenamed("node", "a"), ["a"], "_salt", "inner")
-    two = salted_lookup(one.withColumnRenamed("text", "text_a").withColumn("_salt", salt_of("a")),
-                        texts.withColumnRenamed("node", "b"), ["b"], "_salt", "inner")
-    links = materialise(verify(two.withColumnRenamed("text", "text_b"), idf, threshold), "links")
-    first = materialise(components(links), "classes")
-
-    # buckets that still hold several classes: exact comparison of what is left
-    placed = (members.where("n > 2").join(first, "node", "left")
-              .withColumn("comp", F.coalesce("root", "node")).drop("root"))
-    per_class = placed.groupBy("band", "key", "comp").agg(F.count("*").alias("c"))
-    mixed = (per_class.groupBy("band", "key").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.count("*").alias("classes"))
-             .where("classes > 1").select("band", "key", "major"))
-    rest = salted_lookup(placed, mixed, ["band", "key"], "salt", "inner")
-    more = materialise(_rest_links(rest, texts, idf, threshold), "more-links")
-    if more.isEmpty():
-        return signed.drop("bands"), first.withColumnRenamed("root", "class")
-    root = first.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-    contracted = (more.join(root, "a", "left").join(root.select(F.col("a").alias("b"), F.col("ra").alias("rb")), "b", "left")
-                  .select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
-    joined = components(contracted)
-    loose = joined.join(first, "node", "left_anti").select("node", F.col("root").alias("class"))
-    moved = (first.withColumnRenamed("node", "leaf").join(joined.select(F.col("node").alias("root"), F.col("root").alias("class")), "root", "left")
-             .select(F.col("leaf").alias("node"), F.coalesce("class", "root").alias("class")))
-    classes = moved.unionByName(loose).groupBy("node").agg(F.min("class").alias("class"))
-    return signed.drop("bands"), materialise(classes, "classes")
+    texts = materialise(_texts_of(distinct, members.select("node").distinct()), "texts")
+    first = materialise(components(_verified(materialise(pairs, "pairs"), texts, idf, threshold)), "classes")
+
+    # buckets that still hold several classes
+    size = texts.select("node", F.octet_length("text").alias("size"))
+    left = _open_buckets(members.where("n > 2").join(first, "node", "left").join(size, "node")
+                         .select("band", "key", "node", F.coalesce("root", "node").alias("comp"), "size"))
+    if left.isEmpty():
+        return rows, first.withColumnRenamed("root", "class")
+    texts = materialise(_texts_of(texts, left.select("node").distinct()), "open-texts")
+    merges: list[DataFrame] = []  # links between classes, each in the names of its time
+    for turn in range(1, 1 << 30):
+        pairs = _more_leaders(left, turn)
+        near = _verified(pairs.select("a", "b").distinct(), texts, idf, threshold).select("a", "b")
+        links = materialise(pairs.join(near, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "class-links")
+        linked, compared = links.count(), pairs.count()
+        if linked:
+            merges.append(links)
+            left = _open_buckets(_renamed(left, _joined(links)))
+        if linked <= FAIR * compared / LEADERS or left.isEmpty():
+            break
+    for bands in PHASES:
+        now = left.where(F.col("band").isin(list(bands)))
+        if now.isEmpty():
+            continue
+        links = materialise(_rest_links(now, texts, idf, threshold), "rest-links")
+        if not links.isEmpty():
+            merges.append(links)
+            left = _open_buckets(_renamed(left, _joined(links)))
+    if not merges:
+        return rows, first.withColumnRenamed("root", "class")
+    edges = merges[0]
+    for more in merges[1:]:
+        edges = edges.unionByName(more)
+    joined = components(edges).select(F.col("node").alias("root"), F.col("root").alias("class"))
+    moved = salted_lookup(first.withColumn("_salt", salt_of("node")), joined, ["root"], "_salt").select(
+        "node", F.coalesce("class", "root").alias("class"))
+    loose = joined.join(first.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), "class")
+    return rows, materialise(moved.unionByName(loose), "classes")
 
 
 def _verdicts(signed: DataFrame, classes: DataFrame) -> DataFrame:
@@ -389,8 +487,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     ``kept`` marks the row with the class's smallest ``doc_id`` (one of them, if rows repeat it).
     """
-    signed, classes = near_classes(docs, threshold)
-    rows = salted_lookup(signed.withColumn("_salt", salt_of("doc_id")), _verdicts(signed, classes), ["node"], "_salt")
+    rows_of, classes = near_classes(docs, threshold)
+    rows = salted_lookup(rows_of.withColumn("_salt", salt_of("doc_id")), _verdicts(rows_of, classes), ["node"], "_salt")
     nth = F.row_number().over(Window.partitionBy("node", "_salt", "doc_id").orderBy("class_size"))
     return (rows.withColumn("_nth", nth)
             .select("doc_id", "class_id", "class_size", "text_copies",
@@ -400,8 +498,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each class; texts alone in their class are not moved."""
-    signed, classes = near_classes(docs, threshold)
-    verdicts = materialise(_verdicts(signed, classes).where("class_size > 1").select("node", "class_id", "keep_node"), "verdicts")
+    rows_of, classes = near_classes(docs, threshold)
+    verdicts = materialise(_verdicts(rows_of, classes).where("class_size > 1").select("node", "class_id", "keep_node"), "verdicts")
     bucket = F.pmod(F.xxhash64("_node"), F.lit(FILTER_BUCKETS)).cast("int")
     wanted = F.broadcast(verdicts.select(F.pmod(F.xxhash64("node"), F.lit(FILTER_BUCKETS)).cast("int").alias("_bucket"))
                          .distinct())  # at most FILTER_BUCKETS rows

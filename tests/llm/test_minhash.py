@@ -132,6 +132,34 @@ def test_rest_of_a_bucket_is_compared_exactly(spark, monkeypatch):
     assert got == truth(rows, 0.8)
 
 
+def test_production_weights_find_what_all_pairs_find(spark):
+    """Links of all pairs, weighted (document frequencies of the table) or plain, against the operator's classes."""
+    rows = [r for r in corpus() if r[0] < 9000]
+    texts = sorted({t for _, t in rows})
+    idf = minhash.document_frequencies(spark.createDataFrame([(t.encode(),) for t in texts], "text binary"))
+    assert len(idf.bucket)  # the large family makes its shingles frequent
+    left = [t.encode() for t in texts]
+    links = [(texts[i], texts[j]) for i, j, _ in minhash.block_links(left, left, idf, 0.8) if i < j]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    of = {t: got[i] for i, t in rows}
+    assert len(links) > 500 and np.mean([of[a] == of[b] for a, b in links]) >= 0.99
+    root = roots(links)
+    assert all(root[a] == root[b] for a in root for b in root if of[a] == of[b])  # nothing else is joined
+
+
+def test_classes_do_not_depend_on_the_layout(spark):
+    docs = spark.createDataFrame([r for r in corpus() if r[0] >= 1060], "doc_id long, text string")
+    found = [sorted(map(str, minhash.near_duplicates(docs.repartition(n)).collect())) for n in (1, 50)]
+    assert found[0] == found[1]
+
+
+def test_a_block_returns_fewer_links_than_members():
+    found = [(i, j, 1.0) for i in range(40) for j in range(40)]
+    classes = np.array([f"{i:02}" for i in range(40)], object)
+    tree = minhash._forest(found, classes, classes)
+    assert len(tree) == 39 and set(roots(tree).values()) == {"00"}
+
+
 def test_drop_and_edges(spark):
     rows = [(1, "a b c d e f g h", "k"), (1, "a b c d e f g h", "k"), (2, "a b c d e f g h", None), (None, "other text of words", "z"),
             (3, None, "n"), (4, "", "n")]
@@ -148,7 +176,7 @@ def test_boilerplate_weighs_less(spark):
     shared = make(rng, 30)
     docs = spark.createDataFrame([(f"{shared} {make(rng, 10)}",) for _ in range(4000)], "text string")
     idf = minhash.document_frequencies(docs.select(F.col("text").cast("binary")))
-    assert 20 <= len(idf.bucket) < 40 and np.allclose(idf.weight, np.log(5 / 4) / np.log(10), atol=0.01)
+    assert 20 <= len(idf.bucket) < 40 and np.allclose(idf.weight, minhash.FLOOR)
 
 
 def test_large_family_holds_together(spark):
