@@ -152,7 +152,8 @@ def class_report(df: DataFrame, label: str = "label", pred: str = "pred", decima
 
 
 def correlation(df: DataFrame, cols, decimals: int = 4) -> DataFrame:
-    """Pearson matrix in long form (col_a, col_b, corr) from one aggregate."""
+    """Pearson matrix in long form (col_a, col_b, corr) from one aggregate; a pair skips rows that lack a value."""
+    df = Q.nan_as_null(df, cols)
     pairs = [(a, b) for a in cols for b in cols]
     aggs = [F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}")
             for a, b in pairs if a < b]
@@ -173,8 +174,9 @@ def histogram(df: DataFrame, cols, bins: int = 20) -> DataFrame:
     """(columna, bin, n): equal-width bins over [min, max], last bin closed.
 
     One aggregate gives every column's min and max; one pass then unpivots
-    (columna, bin) pairs and counts them with a single grouped aggregate.
+    (columna, bin) pairs and counts them with a single grouped aggregate.  Null and NaN are in no bin.
     """
+    df = Q.nan_as_null(df, cols)
     mm = df.agg(*[F.min(F.col(c).cast("double")).alias(f"{c}__lo") for c in cols],
                 *[F.max(F.col(c).cast("double")).alias(f"{c}__hi") for c in cols]).first()
     structs = []
@@ -191,6 +193,7 @@ def histogram(df: DataFrame, cols, bins: int = 20) -> DataFrame:
 
 
 def column_means(df: DataFrame, cols, decimals: int = 4) -> DataFrame:
+    df = Q.nan_as_null(df, cols)
     m = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in cols])
     return m.select(F.explode(F.array(*[F.struct(F.lit(c).alias("columna"), F.round(F.col(c), decimals)
                                                   .alias("media")) for c in cols])).alias("s")).select("s.*")
@@ -203,12 +206,14 @@ def boxplot(df: DataFrame, cols, target: str) -> DataFrame:
     feature × class series in the same passes); whiskers and outliers are
     one more grouped aggregate.
     """
-    classes = [r[0] for r in df.select(target).distinct().filter(F.col(target).isNotNull())
-               .limit(MAX_CLASSES + 1).collect()]
+    df = Q.nan_as_null(df, [*cols, target])
+    known = df.filter(F.col(target).isNotNull()).select(F.col(target).cast("string").alias("clase"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("columna"), F.col(c).cast("double").alias("v")) for c in cols])).alias("s")
+    ).select("clase", "s.columna", "s.v").filter(F.col("v").isNotNull())
+    classes = [r[0] for r in known.select("clase").distinct().limit(MAX_CLASSES + 1).collect()]
     if len(classes) > MAX_CLASSES:
         raise ValueError(f"{target} has more than {MAX_CLASSES} classes")
-    series = {f"{c}|{k}": F.when(F.col(target) == k, F.col(c)) for c in cols for k in classes}
-    qs = Q.quantiles_long(Q.to_long(df, series), [0.25, 0.5, 0.75])
+    qs = Q.quantiles_long(known.select(F.concat_ws("|", "columna", "clase").alias("sid"), "v"), [0.25, 0.5, 0.75])
     rows = []
     for c in cols:
         for k in classes:
@@ -216,14 +221,11 @@ def boxplot(df: DataFrame, cols, target: str) -> DataFrame:
             if (sid, 0.25) in qs:
                 q1, med, q3 = qs[(sid, 0.25)], qs[(sid, 0.5)], qs[(sid, 0.75)]
                 iqr = q3 - q1
-                rows.append((c, str(k), q1, med, q3, q1 - 1.5 * iqr, q3 + 1.5 * iqr))
+                rows.append((c, k, q1, med, q3, q1 - 1.5 * iqr, q3 + 1.5 * iqr))
     spark = df.sparkSession
     box = spark.createDataFrame(rows, "columna string, clase string, q1 double, mediana double, q3 double, "
                                       "lim_inf double, lim_sup double")
-    long = df.select(F.col(target).cast("string").alias("clase"), F.explode(F.array(*[
-        F.struct(F.lit(c).alias("columna"), F.col(c).cast("double").alias("v")) for c in cols])).alias("s")
-    ).select("clase", "s.columna", "s.v")
-    j = long.join(F.broadcast(box), ["columna", "clase"])  # box: features × classes rows (bounded)
+    j = known.join(F.broadcast(box), ["columna", "clase"])  # box: features × classes rows (bounded)
     inside = (F.col("v") >= F.col("lim_inf")) & (F.col("v") <= F.col("lim_sup"))
     return j.groupBy("columna", "clase", "q1", "mediana", "q3").agg(
         F.min(F.when(inside, F.col("v"))).alias("bigote_inf"),

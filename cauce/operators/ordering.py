@@ -1,14 +1,18 @@
 """Global order without a single-partition window.
 
-``range_bucket`` maps a row's order tuple to one of ~N ordered buckets whose
+``with_buckets`` maps a row's order tuple to one of ~N ordered buckets whose
 bounds come from a sample in proportion to the buckets (the driver sees some
 ``SAMPLES_PER_BUCKET`` tuples of each, whatever the size of the data).
 Bounds cover the whole order tuple, nulls being the lowest values, so a
 leading value (or null) shared by a third of the rows is still split by the
-following columns.  A row finds its bucket in two steps, first among the √N
-group bounds and then inside the group.  The bucket is a pure function of the
-values, so it does not depend on physical partitioning or AQE coalescing and
-is stable under recompute.
+following columns.
+
+The bounds are data, not plan: one sorted array in a one-row table, which the
+plan reads as a scalar subquery (computed once per query, whatever the number
+of tasks), and a row finds its bucket by a binary search of that array, log2 N
+comparisons.  So the plan is the same for 64 buckets and for 65,536.  The bucket
+is a pure function of the values, so it does not depend on physical partitioning
+or AQE coalescing and is stable under recompute.
 Cumulative quantities then need only per-bucket totals (N rows) plus a
 window *partitioned by bucket* — each bucket a balanced slice of the order.
 """
@@ -17,10 +21,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-SAMPLES_PER_BUCKET = 50
+SAMPLES_PER_BUCKET = 20
 
 
 def _order_key(values: tuple) -> tuple:
@@ -48,25 +53,24 @@ def bucket_bounds(df: DataFrame, cols, n_buckets: int, samples: int = SAMPLES_PE
     return bounds
 
 
-def range_bucket(cols, bounds: list, types: dict) -> F.Column:
-    """Number of bounds strictly below the row's ``cols`` tuple (tuples compare
-    lexicographically, nulls first): the bounds are cut into ~√N groups, whose
-    first bounds are searched first."""
-    cols = [cols] if isinstance(cols, str) else list(cols)
-    if not bounds:
-        return F.lit(0)
-    key = F.struct(*[F.col(c) for c in cols])
-    width = max(1, math.isqrt(len(bounds)))
-    groups = [bounds[i:i + width] for i in range(0, len(bounds), width)]
+def bounds_column(df: DataFrame, cols, bounds: list) -> Column:
+    """The sorted bounds as one array value, from a one-row table: a scalar subquery of every plan that uses it."""
+    fields = [T.StructField(f"_{i}", df.schema[c].dataType) for i, c in enumerate(cols)]
+    one_row = T.StructType([T.StructField("bounds", T.ArrayType(T.StructType(fields), False), False)])
+    return df.sparkSession.createDataFrame([(bounds,)], one_row).scalar()
+
 
-    def literal(rows):
-        return F.array(*[F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(cols, b)]) for b in rows])
+def bounds_below(bounds: Column, n: int, cols) -> Column:
+    """How many of the n sorted bounds lie strictly below the row's ``cols`` tuple (tuples compare
+    lexicographically, nulls first).  A binary search: ``at`` bounds are known to be below, and each step
+    tries to add the next smaller power of two."""
+    key = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(cols)])
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(n.bit_length()))])
 
-    def below(arr):
-        return F.size(F.filter(arr, lambda b: b < key))
-    group = below(literal([g[0] for g in groups]))  # groups that begin below the row
-    inside = F.element_at(F.array(*[literal(g) for g in groups]), F.greatest(group, F.lit(1)))
-    return F.when(group == 0, F.lit(0)).otherwise((group - 1) * width + below(inside))
+    def step(at: Column, width: Column) -> Column:
+        there = at + width
+        return F.when((there <= n) & (F.get(bounds, there - 1) < key), there).otherwise(at)
+    return F.aggregate(steps, F.lit(0), step)
 
 
 def default_buckets(df: DataFrame) -> int:
@@ -74,8 +78,13 @@ def default_buckets(df: DataFrame) -> int:
 
 
 def with_buckets(df: DataFrame, cols, n_buckets: int | None = None) -> DataFrame:
+    cols = [cols] if isinstance(cols, str) else list(cols)
     bounds = bucket_bounds(df, cols, n_buckets or default_buckets(df))
-    return df.withColumn("_bkt", range_bucket(cols, bounds, dict(df.dtypes)))
+    if not bounds:
+        return df.withColumn("_bkt", F.lit(0))
+    # a subquery may not stand inside a higher-order function, so the bounds pass through a column
+    attached = df.withColumn("_bounds", bounds_column(df, cols, bounds))
+    return attached.withColumn("_bkt", bounds_below(F.col("_bounds"), len(bounds), cols)).drop("_bounds")
 
 
 def cumulative_below(df: DataFrame, order, cols, n_buckets: int | None = None) -> DataFrame:

@@ -117,6 +117,13 @@ def order_statistics(long: DataFrame, wanted: dict, stats: dict | None = None) -
     return result
 
 
+def _between(lo: float, hi: float, share: float) -> float:
+    """(1 - share)·lo + share·hi, the sum rounded once."""
+    if math.isinf(lo) or math.isinf(hi):
+        return lo * (1 - share) + hi * share
+    return math.fma(1 - share, lo, hi * share)
+
+
 def quantiles_long(long: DataFrame, probs) -> dict:
     """{(sid, p): value} with linear interpolation, (1-d)·lo + d·hi (DuckDB quantile_cont).
 
@@ -141,7 +148,7 @@ def quantiles_long(long: DataFrame, probs) -> dict:
     out = {}
     for (sid, p), (a, b, frac) in need.items():
         lo, hi = found[(sid, a)], found[(sid, b)]
-        out[(sid, p)] = lo if a == b or lo == hi else lo * (1 - frac) + hi * frac
+        out[(sid, p)] = lo if a == b or lo == hi else _between(lo, hi, frac)
     return out
 
 
@@ -187,6 +194,18 @@ def is_missing(df: DataFrame, c: str):
     return (F.col(c).isNull() | F.isnan(c)) if kind in ("float", "double") else F.col(c).isNull()
 
 
+def value_of(df: DataFrame, c: str):
+    """The column, null where it is NaN."""
+    return F.when(~F.isnan(c), F.col(c)) if dict(df.dtypes)[c] in ("float", "double") else F.col(c)
+
+
+def nan_as_null(df: DataFrame, cols=None) -> DataFrame:
+    """``df`` with null for every NaN of its floating columns, which every statistic leaves out."""
+    kinds = dict(df.dtypes)
+    floating = [c for c in (cols or df.columns) if kinds[c] in ("float", "double")]
+    return df.withColumns({c: value_of(df, c) for c in floating}) if floating else df
+
+
 def null_counts(df: DataFrame) -> DataFrame:
     """(columna, nulos) for every column, from one aggregate pass."""
     counts = df.agg(*[F.count_if(is_missing(df, c)).alias(c) for c in df.columns])
@@ -220,6 +239,7 @@ def mode_table(df: DataFrame, cols=None) -> DataFrame:
     value is one row per task), and ``min_by`` picks each column's mode.
     """
     cols = cols or df.columns
+    df = nan_as_null(df, cols)
     numeric = set(numeric_columns(df))
     long = df.select(F.explode(F.array(*[F.struct(
         F.lit(c).alias("columna"), F.col(c).cast("string").alias("t"),
@@ -237,6 +257,7 @@ def describe(df: DataFrame, cols=None, method: str = "exact", decimals: int = 3)
     (or the sketch with ``method="approx"``).  Values rounded to ``decimals``.
     """
     cols = cols or numeric_columns(df)
+    df = nan_as_null(df, cols)
     spark = df.sparkSession
     aggs = []
     for c in cols:
@@ -263,7 +284,8 @@ def describe(df: DataFrame, cols=None, method: str = "exact", decimals: int = 3)
 
 
 def class_balance(df: DataFrame, target: str) -> DataFrame:
-    """(clase, conteo, pct) with pct = share ×100 rounded to 2; nulls dropped."""
+    """(clase, conteo, pct) with pct = share ×100 rounded to 2; nulls and NaN dropped."""
+    df = nan_as_null(df, [target])
     vc = df.filter(F.col(target).isNotNull()).groupBy(target).agg(F.count(F.lit(1)).alias("conteo"))
     total = df.filter(F.col(target).isNotNull()).agg(F.count(F.lit(1))).scalar()
     return vc.select(F.col(target).alias("clase"), "conteo",
@@ -271,6 +293,7 @@ def class_balance(df: DataFrame, target: str) -> DataFrame:
 
 
 def imbalance_ratio(df: DataFrame, target: str) -> DataFrame:
+    df = nan_as_null(df, [target])
     vc = df.filter(F.col(target).isNotNull()).groupBy(target).agg(F.count(F.lit(1)).alias("n"))
     return vc.agg(F.round(F.max("n") / F.min("n"), 2).alias("ratio_desbalance"))
 
@@ -319,7 +342,7 @@ def impute_all(df: DataFrame, method: str = "exact") -> DataFrame:
 
 def quality_report(df: DataFrame, target: str) -> DataFrame:
     """One-row summary: rows, columns, total nulls, duplicates, balance and ratio."""
-    total_nulls = reduce(lambda a, b: a + b, [F.count_if(F.col(c).isNull()) for c in df.columns])
+    total_nulls = reduce(lambda a, b: a + b, [F.count_if(is_missing(df, c)) for c in df.columns])
     base = df.agg(F.count(F.lit(1)).alias("n_filas"), total_nulls.alias("total_nulos"))
     dup = duplicates(df).select("duplicados").scalar()
     bal = class_balance(df, target)

@@ -2,7 +2,9 @@
 
 Each job builds lazy DataFrames stage by stage and acts only at sinks.
 Outputs go to ``<out>/<table>/run=<run_id>`` (a new version per run); a
-rerun of a run rewrites its own version only.  Entry points take a
+rerun of a run rewrites its own version only.  A run is listed in the manifest
+``<out>/corridas`` as its last step, and readers of the newest version see
+listed runs only, so a job that dies halfway leaves nothing they would read.  Entry points take a
 session so ``spark-submit`` wrappers stay one line.
 """
 
@@ -52,6 +54,8 @@ def transform_all(store: dict) -> dict:
         out["Cotizaciones"] = q
         if "proveedor_nombre" in q.columns:
             out["Resumen_Cotizaciones"] = P.quotes_by_supplier(q)
+        elif "Proveedores" in out:  # names meet one row per supplier, not every quote
+            out["Resumen_Cotizaciones"] = P.quotes_by_named_supplier(q, out["Proveedores"])
     if "Solicitudes" in out and "Cotizaciones" in out:
         out["Solicitudes"] = P.enrich_requests(out["Solicitudes"], out["Cotizaciones"], out.get("Proveedores"))
     elif "Solicitudes" in out and "urgencia" in out["Solicitudes"].columns:
@@ -91,15 +95,6 @@ def load_all(store: dict, out_dir: str, run_id: str) -> dict:
     return out
 
 
-def latest_run(spark: SparkSession, base: str) -> str | None:
-    """The newest ``run=`` folder below ``base``, or None."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    runs = [str(f.getPath().getName()) for f in fs.listStatus(path)] if fs.exists(path) else []
-    runs = sorted(r for r in runs if r.startswith("run="))
-    return f"{base}/{runs[-1]}" if runs else None
-
-
 def score_portfolio(spark: SparkSession, sf_dir: str, out_dir: str, run_id: str, model_dir: str | None) -> tuple:
     """Stage 4: score the portfolio with the newest saved model and write it.
 
@@ -107,12 +102,12 @@ def score_portfolio(spark: SparkSession, sf_dir: str, out_dir: str, run_id: str,
     KPIs report no model.  Returns (written scores, selected model's metrics or None).
     """
     portfolio = T.portfolio(spark, sf_dir)
-    saved = latest_run(spark, f"{model_dir}/modelo") if model_dir else None
+    saved = W.latest_run(spark, f"{model_dir}/modelo") if model_dir else None
     metrics = None
     if saved:
         model, prep = C.load_model(saved)
         scored = C.score(portfolio, model, prep["features"], prep["params"], prep["scaled"], prep["fills"])
-        doc = latest_run(spark, f"{model_dir}/metricas")
+        doc = W.latest_run(spark, f"{model_dir}/metricas")
         if doc:
             chosen = F.col("metricas_por_modelo")[F.col("modelo_seleccionado")]
             metrics = W.read_metrics_doc(spark, doc).select(
@@ -131,7 +126,8 @@ def run_procurement(spark: SparkSession, sf_dir: str, out_dir: str, run_id: str
     the portfolio.  Returns the rows loaded per table."""
     run_id = run_id or new_run_id()
     salt = salt or R.salt_from(spark)
-    q = T.quotes(spark, sf_dir, with_names=True)
+    W.begin_run(spark, out_dir, run_id)
+    q = T.quotes(spark, sf_dir)
     store = {"Solicitudes": T.requests(spark, sf_dir), "Proveedores": T.suppliers(spark, sf_dir),
              "Cotizaciones_Raw": q, "Cotizaciones": parsed_quotes(q), "Negociaciones": T.negotiations(spark, sf_dir)}
     store = transform_all(store)
@@ -152,6 +148,7 @@ def run_procurement(spark: SparkSession, sf_dir: str, out_dir: str, run_id: str
                           catalog_size=T.suppliers(spark, sf_dir).agg(F.count(F.lit(1))).scalar())
     W.append(report, f"{out_dir}/kpi", run_id)
     W.append(K.alerts(report, K.rule_table(spark)), f"{out_dir}/alertas", run_id)
+    W.commit_run(spark, out_dir, run_id, "procurement")
     return store["Filas_Cargadas"]
 
 
@@ -167,6 +164,7 @@ def parsed_quotes(quotes: DataFrame) -> DataFrame:
 def run_churn(spark: SparkSession, sf_dir: str, out_dir: str, run_id: str | None = None,
               with_grid: bool = False) -> DataFrame:
     run_id = run_id or new_run_id()
+    W.begin_run(spark, out_dir, run_id)
     t0 = time.perf_counter()
     portfolio = T.portfolio(spark, sf_dir)
     t = C.train_and_select(portfolio, T.FEATURES, T.TARGET, "cliente_id", with_grid=with_grid)
@@ -192,6 +190,7 @@ def run_churn(spark: SparkSession, sf_dir: str, out_dir: str, run_id: str | None
     path = W.write_version(scored, f"{out_dir}/clientes_scoreados", run_id, partition_by="segmento_riesgo")
     records = W.prediction_records(spark.read.parquet(path))
     W.write_predictions(records, f"{out_dir}/predicciones/run={run_id}")
+    W.commit_run(spark, out_dir, run_id, "churn")
     return table
 
 
@@ -207,6 +206,7 @@ def run_sales(spark: SparkSession, sf_dir: str, out_dir: str, run_id: str | None
     numbers or date do not parse; validation judges what is left.
     """
     run_id = run_id or new_run_id()
+    W.begin_run(spark, out_dir, run_id)
     cleaned = S.cleaned_text(T.sales_raw(spark, sf_dir))
     flagged = S.validate_sales(cleaned, keep_parsed=True)
     flagged_path = W.write_version(flagged, f"{out_dir}/ventas_validadas", run_id)  # one pass, reused twice
@@ -222,4 +222,5 @@ def run_sales(spark: SparkSession, sf_dir: str, out_dir: str, run_id: str | None
             counts[name] = spark.read.parquet(f"{out_dir}/{name}").filter(F.col("run") == run_id).count()
         else:
             counts[name] = 0
+    W.commit_run(spark, out_dir, run_id, "sales")
     return _summary(spark, counts)

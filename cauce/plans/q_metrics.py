@@ -127,21 +127,21 @@ def best_model(spark, d):
 @register("agg_correlation", "\nUNION ALL\n".join(
     f"SELECT '{a}' AS col_a, '{b}' AS col_b, "
     + ("1.0 AS corr" if a == b else
-       f"round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 4) AS corr FROM portfolio")
+       f"round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 4) AS corr FROM portfolio_gaps")
     for a in T.FEATURES + [T.TARGET] for b in T.FEATURES + [T.TARGET]),
-    views=("portfolio",))
+    views=("portfolio_gaps",))
 def agg_correlation(spark, d):
-    return M.correlation(T.portfolio(spark, d), T.FEATURES + [T.TARGET])
+    return M.correlation(T.portfolio_gaps(spark, d), T.FEATURES + [T.TARGET])
 
 
 @register("agg_histogram", "\nUNION ALL\n".join(f"""
 SELECT '{c}' AS columna, b AS bin, count(*) AS n FROM (
   SELECT CAST(CASE WHEN s.hi = s.lo THEN 0 ELSE least(floor((CAST({c} AS DOUBLE) - s.lo) / (s.hi - s.lo) * 20), 19) END
     AS INTEGER) AS b
-  FROM portfolio, (SELECT CAST(min({c}) AS DOUBLE) AS lo, CAST(max({c}) AS DOUBLE) AS hi FROM portfolio) s
-  WHERE {c} IS NOT NULL) t GROUP BY b""" for c in T.FEATURES), views=("portfolio",))
+  FROM portfolio_gaps, (SELECT CAST(min({c}) AS DOUBLE) AS lo, CAST(max({c}) AS DOUBLE) AS hi FROM portfolio_gaps) s
+  WHERE {c} IS NOT NULL) t GROUP BY b""" for c in T.FEATURES), views=("portfolio_gaps",))
 def agg_histogram(spark, d):
-    return M.histogram(T.portfolio(spark, d), T.FEATURES)
+    return M.histogram(T.portfolio_gaps(spark, d), T.FEATURES)
 
 
 @register("agg_feature_means", "\nUNION ALL\n".join(
@@ -158,12 +158,12 @@ def _box_sql():
 SELECT '{c}' AS columna, CAST(abandona AS VARCHAR) AS clase,
   quantile_cont(CAST({c} AS DOUBLE), 0.25) AS q1, quantile_cont(CAST({c} AS DOUBLE), 0.5) AS mediana,
   quantile_cont(CAST({c} AS DOUBLE), 0.75) AS q3
-FROM portfolio GROUP BY abandona""")
+FROM portfolio_gaps GROUP BY abandona""")
     return f"""
 WITH q AS ({" UNION ALL ".join(parts)}),
 lim AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lim_inf, q3 + 1.5 * (q3 - q1) AS lim_sup FROM q),
 long AS ({" UNION ALL ".join(
-        f"SELECT '{c}' AS columna, CAST(abandona AS VARCHAR) AS clase, CAST({c} AS DOUBLE) AS v FROM portfolio"
+        f"SELECT '{c}' AS columna, CAST(abandona AS VARCHAR) AS clase, CAST({c} AS DOUBLE) AS v FROM portfolio_gaps"
         for c in T.FEATURES)})
 SELECT l.columna, l.clase, q1, mediana, q3,
   min(CASE WHEN v >= lim_inf AND v <= lim_sup THEN v END) AS bigote_inf,
@@ -173,9 +173,9 @@ FROM long l JOIN lim ON l.columna = lim.columna AND l.clase = lim.clase
 GROUP BY l.columna, l.clase, q1, mediana, q3"""
 
 
-@register("agg_boxplot", _box_sql(), views=("portfolio",))
+@register("agg_boxplot", _box_sql(), views=("portfolio_gaps",))
 def agg_boxplot(spark, d):
-    return M.boxplot(T.portfolio(spark, d), T.FEATURES, T.TARGET)
+    return M.boxplot(T.portfolio_gaps(spark, d), T.FEATURES, T.TARGET)
 
 
 # --- churn rules on a probability column -----------------------------------

@@ -21,15 +21,20 @@ def _profile(spark, d):
     return T.portfolio(spark, d).select(*PROFILE_COLS)
 
 
+def _measured(spark, d):
+    """The profile with NaN among its values, which no statistic counts."""
+    return T.portfolio_gaps(spark, d).select(*PROFILE_COLS)
+
+
 @register("agg_describe", _union([f"""
 SELECT '{c}' AS columna, CAST(count({c}) AS DOUBLE) AS count, round(avg(CAST({c} AS DOUBLE)), 3) AS mean,
   round(stddev_samp(CAST({c} AS DOUBLE)), 3) AS std, round(CAST(min({c}) AS DOUBLE), 3) AS min,
   round(quantile_cont(CAST({c} AS DOUBLE), 0.25), 3) AS p25, round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 3) AS p50,
   round(quantile_cont(CAST({c} AS DOUBLE), 0.75), 3) AS p75, round(CAST(max({c}) AS DOUBLE), 3) AS max,
   round(quantile_cont(CAST({c} AS DOUBLE), 0.5), 3) AS mediana
-FROM portfolio""" for c in PROFILE_COLS]), views=("portfolio",))
+FROM portfolio_gaps""" for c in PROFILE_COLS]), views=("portfolio_gaps",))
 def agg_describe(spark, d):
-    return Q.describe(_profile(spark, d))
+    return Q.describe(_measured(spark, d))
 
 
 _DESCRIBE_WIDE = "\nUNION ALL\n".join(f"""
@@ -48,10 +53,10 @@ def agg_describe_long(spark, d):
 
 
 @register("agg_mode", _union([f"""
-SELECT * FROM (SELECT '{c}' AS columna, CAST({c} AS VARCHAR) AS moda FROM portfolio WHERE {c} IS NOT NULL
-  GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)""" for c in PROFILE_COLS]), views=("portfolio",))
+SELECT * FROM (SELECT '{c}' AS columna, CAST({c} AS VARCHAR) AS moda FROM portfolio_gaps WHERE {c} IS NOT NULL
+  GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)""" for c in PROFILE_COLS]), views=("portfolio_gaps",))
 def agg_mode(spark, d):
-    return Q.mode_table(_profile(spark, d))
+    return Q.mode_table(_measured(spark, d))
 
 
 @register("agg_nulls", _union([f"""
@@ -136,15 +141,15 @@ def agg_class_weight(spark, d):
 @register("agg_quality_report", f"""
 SELECT count(*) AS n_filas, {len(PROFILE_COLS)} AS n_columnas,
   {" + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in PROFILE_COLS)} AS total_nulos,
-  count(*) - (SELECT count(*) FROM (SELECT DISTINCT {", ".join(PROFILE_COLS)} FROM portfolio) t) AS duplicados,
+  count(*) - (SELECT count(*) FROM (SELECT DISTINCT {", ".join(PROFILE_COLS)} FROM portfolio_gaps) t) AS duplicados,
   (SELECT string_agg(abandona || '=' || printf('%.2f', pct), ',' ORDER BY abandona) FROM (
-     SELECT abandona, round(count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM portfolio) * 100, 2) AS pct
-     FROM portfolio GROUP BY abandona) b) AS balance_pct,
-  (SELECT round(max(n) / min(n), 2) FROM (SELECT count(*) AS n FROM portfolio GROUP BY abandona) t)
+     SELECT abandona, round(count(*) / (SELECT CAST(count(*) AS DOUBLE) FROM portfolio_gaps) * 100, 2) AS pct
+     FROM portfolio_gaps GROUP BY abandona) b) AS balance_pct,
+  (SELECT round(max(n) / min(n), 2) FROM (SELECT count(*) AS n FROM portfolio_gaps GROUP BY abandona) t)
     AS ratio_desbalance
-FROM portfolio""", views=("portfolio",))
+FROM portfolio_gaps""", views=("portfolio_gaps",))
 def agg_quality_report(spark, d):
-    report = Q.quality_report(_profile(spark, d), T.TARGET)
+    report = Q.quality_report(_measured(spark, d), T.TARGET)
     share = F.transform(F.array_sort(F.map_entries("balance_pct")),
                         lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.2f", e["value"])))
     return report.withColumn("balance_pct", F.array_join(share, ","))

@@ -1,9 +1,9 @@
 """Sinks: files, versioned tables, prediction records, manifests, appends.
 
 Rewrites never modify files in place: a new version is written under
-``<base>/run=<run_id>`` and readers pick the newest run with a scalar
-subquery on the partition column (partition pruning keeps the read to one
-run).  Appends add a new ``run=`` partition.  Nothing is collected to the
+``<base>/run=<run_id>`` and readers pick the newest run that is complete: a job
+lists its run in a manifest after its last table (``begin_run``, ``commit_run``,
+``latest_run``).  Appends add a new ``run=`` partition.  Nothing is collected to the
 driver; manifests are one-row aggregates written by Spark.
 """
 
@@ -43,11 +43,59 @@ def write_version(df: DataFrame, base: str, run_id: str, partition_by=None) -> s
     return path
 
 
+#: Folder of a job's output that lists its complete runs, one ``run=`` folder each.
+MANIFEST = "corridas"
+
+
+def _folder(spark: SparkSession, path: str):
+    """(file system, path) of a folder, in whatever store it lies."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _runs(spark: SparkSession, base: str, done: bool = False) -> list[str]:
+    """Names of the ``run=`` folders below ``base``, oldest first; ``done``: only those whose write was committed."""
+    fs, path = _folder(spark, base)
+    names = sorted(str(f.getPath().getName()) for f in fs.listStatus(path)) if fs.exists(path) else []
+    return [n for n in names if n.startswith("run=") and (not done or fs.exists(_folder(spark, f"{base}/{n}/_SUCCESS")[1]))]
+
+
+def begin_run(spark: SparkSession, out_dir: str, run_id: str) -> None:
+    """Take a run off the manifest before its tables are written (again), and start the manifest of a new output."""
+    fs, entry = _folder(spark, f"{out_dir}/{MANIFEST}/run={run_id}")
+    fs.delete(entry, True)
+    fs.mkdirs(entry.getParent())
+
+
+def commit_run(spark: SparkSession, out_dir: str, run_id: str, job: str) -> None:
+    """List a run whose tables are all written: the last step of a job."""
+    done = spark.range(1).select(F.lit(job).alias("trabajo"), F.current_timestamp().alias("terminada"))
+    write_parquet(done.coalesce(1), f"{out_dir}/{MANIFEST}/run={run_id}")
+
+
+def latest_run(spark: SparkSession, base: str) -> str | None:
+    """The newest ``run=`` folder of a table, or None.
+
+    Where the output that holds the table has a manifest, runs that it does not list do not count; without one
+    (a table written by itself) every version whose own write was committed does.  A saved model, whose folder
+    holds several writes, is only safe behind a manifest.
+    """
+    out_dir = base.rstrip("/").rpartition("/")[0]
+    fs, manifest = _folder(spark, f"{out_dir}/{MANIFEST}")
+    if fs.exists(manifest):
+        listed = set(_runs(spark, f"{out_dir}/{MANIFEST}", done=True))
+        runs = [r for r in _runs(spark, base) if r in listed]
+    else:
+        runs = _runs(spark, base, done=True)
+    return f"{base}/{runs[-1]}" if runs else None
+
+
 def read_latest(spark: SparkSession, base: str) -> DataFrame:
-    """Newest version of a versioned table (``run`` pruned by a scalar subquery)."""
-    all_runs = spark.read.option("basePath", base).parquet(base)
-    latest = all_runs.select(F.max("run")).scalar()
-    return all_runs.filter(F.col("run") == latest).drop("run")
+    """Newest complete version of a versioned table; one run's files are listed and read."""
+    found = latest_run(spark, base)
+    if found is None:
+        raise FileNotFoundError(f"no complete run of {base}")
+    return spark.read.parquet(found)
 
 
 def append(df: DataFrame, base: str, run_id: str, partition_by=None) -> None:

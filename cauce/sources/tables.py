@@ -229,6 +229,12 @@ def portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def portfolio_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The portfolio as measured by a source that writes NaN where it knows nothing: every ninth customer's use."""
+    use = F.when(F.col("cliente_id") % 9 == 0, F.lit(float("nan"))).otherwise(F.col("uso_datos_gb"))
+    return portfolio(spark, sf_dir).withColumn("uso_datos_gb", use)
+
+
 def scored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deterministic (label, score) pairs for the metric operators, from ``lineitem``.
 

@@ -78,3 +78,33 @@ def test_churn_job_and_stream_score(spark, sf_small):
     assert scored.count() == n
     assert scored.filter(~F.col("perfil_valido") & F.col("prob_abandono").isNotNull()).count() == 0
     assert scored.filter(F.col("perfil_valido") & F.col("prob_abandono").isNull()).count() == 0
+
+
+def test_a_run_that_died_halfway_is_not_read(spark, tmp_path):
+    out = str(tmp_path / "out")
+    for run, n, dies in (("r1", 3, False), ("r2", 5, True)):
+        W.begin_run(spark, out, run)
+        W.write_version(spark.range(n), f"{out}/tabla", run)
+        if dies:
+            continue  # the second table and the manifest are never written
+        W.write_version(spark.range(n), f"{out}/otra", run)
+        W.commit_run(spark, out, run, "prueba")
+    assert W.read_latest(spark, f"{out}/tabla").count() == W.read_latest(spark, f"{out}/otra").count() == 3
+    assert W.latest_run(spark, f"{out}/modelo") is None
+    W.write_version(spark.range(5), f"{out}/otra", "r2")
+    W.commit_run(spark, out, "r2", "prueba")
+    assert W.read_latest(spark, f"{out}/tabla").count() == 5
+    W.begin_run(spark, out, "r2")  # run again: off the manifest until it is complete
+    assert W.read_latest(spark, f"{out}/tabla").count() == 3
+    W.begin_run(spark, str(tmp_path / "new"), "r1")
+    W.write_version(spark.range(1), str(tmp_path / "new" / "tabla"), "r1")
+    with pytest.raises(FileNotFoundError):
+        W.read_latest(spark, str(tmp_path / "new" / "tabla"))
+
+
+def test_a_version_without_its_success_mark_is_not_read(spark, tmp_path):
+    base = str(tmp_path / "sola" / "tabla")
+    W.write_version(spark.range(2), base, "r1")
+    W.write_version(spark.range(9), base, "r2")
+    os.remove(f"{base}/run=r2/_SUCCESS")
+    assert W.read_latest(spark, base).count() == 2

@@ -57,3 +57,23 @@ def test_conform_expression_default(spark):
     out = MT.conform(df, spec).collect()
     assert [r.estado for r in out] == ["pendiente", "completada"] and all(r.ts is not None for r in out)
     assert MT.conform(df, spec).columns == ["id", "estado", "ts"]
+
+
+def test_bounds_are_data_not_plan(spark):
+    """Planning does not depend on the number of buckets, and the search equals counting the bounds below."""
+    import time
+
+    from cauce.operators import ordering as O
+    rows = [(None if i % 7 == 0 else float("nan") if i % 11 == 0 else -0.0 if i % 13 == 0 else (i * 37 % 101) / 3, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a double, b long").repartition(5)
+    taken, plans = {}, {}
+    for n in (64, 2048):
+        bucketed = O.with_buckets(df, ["a", "b"], n)
+        start = time.time()
+        plans[n] = bucketed._jdf.queryExecution().optimizedPlan().toString()
+        taken[n] = time.time() - start
+        bounds = [O._order_key(b) for b in O.bucket_bounds(df, ["a", "b"], n)]
+        got = bucketed.collect()
+        assert len({r["_bkt"] for r in got}) > n * 0.6
+        assert all(r["_bkt"] == sum(b < O._order_key((r["a"], r["b"])) for b in bounds) for r in got[::29])
+    assert len(plans[2048]) < 2 * len(plans[64]) and taken[2048] < 5 * taken[64] + 1

@@ -71,3 +71,17 @@ def test_describe_approx_close_to_exact(spark):
     for k in ("p25", "p50", "p75"):
         assert abs(exact[k] - approx[k]) < 0.5  # within the sketch's rank error
     assert exact["mean"] == approx["mean"] and exact["std"] == approx["std"]
+
+
+def test_nan_is_missing_in_every_statistic(spark):
+    from cauce.operators import metrics as M
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0, 2.0, 0), (2.0, 4.0, 0), (nan, 9.0, 1), (4.0, nan, 1), (nan, 8.0, None)], "x double, y double, k int")
+    row = {r.columna: r for r in Q.describe(df, ["x"]).collect()}["x"]
+    assert (row["count"], row["max"], row["mean"], row["p50"]) == (3.0, 4.0, round(7 / 3, 3), 2.0)
+    assert {r.columna: r.moda for r in Q.mode_table(df).collect()}["x"] == "1.0"
+    assert Q.quality_report(df, "k").first().total_nulos == 4
+    assert {(r.col_a, r.col_b): r["corr"] for r in M.correlation(df, ["x", "y"]).collect()}["x", "y"] == 1.0
+    assert sum(r.n for r in M.histogram(df, ["x"], 3).collect()) == 3
+    box = {(r.columna, r.clase): r for r in M.boxplot(df, ["x", "y"], "k").collect()}
+    assert box["x", "1"].mediana == 4.0 and box["y", "1"].mediana == 9.0 and sum(r.atipicos for r in box.values()) == 0
