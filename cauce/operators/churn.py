@@ -16,7 +16,7 @@ from concurrent.futures import ThreadPoolExecutor
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
+from pyspark.ml.classification import (DecisionTreeClassificationModel, DecisionTreeClassifier, GBTClassifier, LogisticRegressionModel,
                                        RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from cauce.functions import rules as R
 from cauce.operators import metrics as M
+from cauce.operators.newton import NewtonLogisticRegression, logistic, margin
 from cauce.session import ensure_checkpoint_dir
 
 SEED = 42
@@ -167,9 +168,7 @@ def candidate_models(n_weight: float, features: str = "features", label: str = "
     common = dict(featuresCol=features, labelCol=label)
     trees = common  # shallow trees: caching node ids costs more than it saves
     return {
-        "Regresión Logística": LogisticRegression(
-            maxIter=1000, regParam=1.0 / n_weight, elasticNetParam=0.0, standardization=False,
-            weightCol=weight, **common),
+        "Regresión Logística": NewtonLogisticRegression(regParam=1.0 / n_weight, weightCol=weight, **common),
         "Árbol de Decisión": DecisionTreeClassifier(maxDepth=5, weightCol=weight, seed=SEED, **trees),
         "Random Forest": RandomForestClassifier(numTrees=200, maxDepth=6, weightCol=weight, seed=SEED,
                                                 **trees),
@@ -282,6 +281,37 @@ def importances(model: PipelineModel, features) -> DataFrame:
                                  "variable string, importancia double").orderBy(F.desc("importancia"))
 
 
+#: Nodes up to which a tree is compiled to an expression.
+COMPILED_NODES = 127
+
+
+def compiled_probability(model: PipelineModel, cols: list[str]) -> F.Column | None:
+    """The model's probability of class 1 as an expression of its input columns: a linear model as arithmetic, a
+    decision tree of at most ``COMPILED_NODES`` nodes as nested conditions.  None for other models.
+
+    It stays inside code generation and needs no vectors, so one profile costs one projection.  As in the fitted
+    pipeline a missing input counts as NaN, which is above every threshold.
+    """
+    est = model.stages[-1]
+    xs = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in cols]
+    if isinstance(est, LogisticRegressionModel) and est.numClasses == 2:
+        return logistic(margin(xs, est.coefficients.toArray(), est.intercept))
+    if not isinstance(est, DecisionTreeClassificationModel) or est.numNodes > COMPILED_NODES:
+        return None
+
+    def node(n) -> F.Column:
+        if n.numDescendants() if callable(getattr(n, "numDescendants", None)) else n.subtreeDepth():
+            split = n.split()
+            if not hasattr(split, "threshold"):
+                raise ValueError("categorical split")
+            return F.when(xs[split.featureIndex()] <= F.lit(float(split.threshold())), node(n.leftChild())).otherwise(node(n.rightChild()))
+        stats = n.impurityStats().stats()
+        total = float(sum(stats))
+        return F.lit(float(stats[1]) / total if total else 0.0)
+
+    return node(est._java_obj.rootNode())
+
+
 def score(df: DataFrame, model: PipelineModel, features, params: dict | None = None,
           scaled: bool = False, fills: dict | None = None) -> DataFrame:
     """Add prob_abandono (4 decimals), segmento_riesgo (unrounded p) and
@@ -298,8 +328,10 @@ def score(df: DataFrame, model: PipelineModel, features, params: dict | None = N
         x = x.withColumns({f"{c}_esc": F.when(F.lit(params[c][1]) == 0, F.lit(0.0))
                            .otherwise((F.col(c) - F.lit(params[c][0])) / F.lit(params[c][1]))
                            for c in features})
-    s = model.transform(x)
-    p = probability_of_churn(s)
+    cols = [f"{c}_esc" for c in features] if scaled and params else list(features)
+    compiled = compiled_probability(model, cols)
+    s = model.transform(x) if compiled is None else x.withColumn("_p", compiled)
+    p = probability_of_churn(s) if compiled is None else F.col("_p")
     keep = df.columns
     return s.select(*keep, F.round(p, 4).alias("prob_abandono"),
                     R.risk_segment(p).alias("segmento_riesgo")).withColumn(

@@ -12,6 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cauce.operators import churn as C
+from cauce.operators import newton as N
 from cauce.operators import quality as Q
 from cauce.plans.registry import register
 from cauce.sources import tables as T
@@ -176,6 +177,32 @@ for _qid, _name in {"ml_logreg": "Regresión Logística", "ml_tree": "Árbol de
     register(_qid)(_model_query(_name))
 
 
+_STEP = [0.01 * (i + 1) for i in range(len(T.FEATURES) + 1)]
+
+
+def _newton_sql():
+    xs = [f"CAST({c} AS DOUBLE)" for c in T.FEATURES] + ["1.0"]
+    z = " + ".join(f"{x} * {b!r}" for x, b in zip(xs, (-b / 10 for b in _STEP)))
+    n = len(xs)
+    rows = [f"SELECT 'h' AS suma, {i} AS i, {j} AS j, round(sum(p * (1 - p) * x{i} * x{j}), 3) AS valor FROM t"
+            for i in range(n) for j in range(i, n)]
+    rows += [f"SELECT 'g', {i}, {i}, round(sum((p - y) * x{i}), 3) FROM t" for i in range(n)]
+    cols = ", ".join(f"{x} AS x{i}" for i, x in enumerate(xs))
+    return (f"WITH t AS (SELECT {cols}, CAST(abandona AS DOUBLE) AS y, 1.0 / (1.0 + exp(-({z}))) AS p FROM portfolio)\n"
+            + "\nUNION ALL\n".join(rows))
+
+
+@register("ml_logreg_step", _newton_sql(), views=("portfolio",))
+def ml_logreg_step(spark, d):
+    """The sums of one Newton step of the logistic regression, at given coefficients."""
+    found = N.step_statistics(T.portfolio(spark, d), T.FEATURES, [-b / 10 for b in _STEP], T.TARGET)
+    n = len(T.FEATURES) + 1
+    cells = [("h", i, j, f"h_{i}_{j}") for i in range(n) for j in range(i, n)] + [("g", i, i, f"g_{i}") for i in range(n)]
+    return found.select(F.explode(F.array(*[
+        F.struct(F.lit(k).alias("suma"), F.lit(i).alias("i"), F.lit(j).alias("j"), F.round(c, 3).alias("valor"))
+        for k, i, j, c in cells])).alias("s")).select("s.*")
+
+
 @register("ml_evaluate")
 def ml_evaluate(spark, d):
     return C.model_table(trained(spark, d)["results"])

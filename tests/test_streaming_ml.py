@@ -1,6 +1,7 @@
 """Streaming equals batch; churn models train, score and segment."""
 
 import pytest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
 from cauce.operators import churn as C
@@ -53,7 +54,7 @@ def test_running_tables_over_several_files_and_a_restart(spark, sf_small, tmp_pa
 
 def test_training_imputes_with_train_statistics_and_saves_them(spark, sf_small, tmp_path):
     p = T.portfolio(spark, sf_small).withColumn("reclamos", F.when(F.col("cliente_id") % 6 != 0, F.col("reclamos")))
-    models = {"Regresión Logística": C.LogisticRegression(maxIter=20, weightCol="peso", featuresCol="features", labelCol="label")}
+    models = {"Regresión Logística": LogisticRegression(maxIter=20, weightCol="peso", featuresCol="features", labelCol="label")}
     data = C.prepare(p, T.FEATURES, T.TARGET, "cliente_id")
     n, n_test = p.count(), data["test"].count()
     assert n_test == -(-n // 5) and data["train"].count() == n - n_test  # an exact split
