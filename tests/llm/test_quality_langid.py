@@ -118,3 +118,11 @@ def test_ngrams_end_with_their_text():
     for i, t in enumerate(texts):
         _, alone, _ = quality._features([t.encode()], none)
         assert np.array_equal(grams[first[i]:first[i + 1]], alone)
+
+
+def test_more_labels_than_are_learnt(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGS", 2)
+    rows = [(i, f"alpha beta {i}", "aa") for i in range(40)] + [(100 + i, f"gamma delta {i}", "bb") for i in range(30)]
+    rows += [(200 + i, f"zeta {i}", f"z{i % 9}") for i in range(27)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(langid.labelled_sample(docs)[1]) == {"aa", "bb"}
