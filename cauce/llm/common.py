@@ -78,6 +78,15 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialise` wrote, once everything that read them has been written itself."""
+    for df in tables:
+        path = getattr(df, "_scratch_path", None)
+        if path:
+            at = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
@@ -87,7 +96,9 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
 
 
 def salt_of(*cols: str | Column, salts: int = SALTS) -> Column:

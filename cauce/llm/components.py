@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cauce.llm.common import materialise, salt_of, salted_lookup
+from cauce.llm.common import drop_tables, materialise, salt_of, salted_lookup
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -45,7 +45,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int | None
     now = materialise(given.where("hi <> lo").distinct(), "edges")
     done = 0
     while done != rounds and not _flat(now):
-        now = materialise(_star(_star(now, True), False), "edges")
+        before, now = now, materialise(_star(_star(now, True), False), "edges")
+        drop_tables(before)
         done += 1
     found = now.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     roots = now.select(F.col("lo").alias("node"), F.col("lo").alias("root"))

@@ -20,8 +20,8 @@ similarity without these weights reaches the threshold.
   the exact Jaccard similarity, weighted or plain, and links are joined to
   classes.
 * More leaders: in a bucket that still holds more than one class, the members
-  outside its largest class are compared with ``LEADERS`` members of that class,
-  again as long as that links a fair part of them.
+  outside its largest class are compared with a member of that class, again (with
+  another one) as long as that links a fair part of them.
 * Rest: what is left of a bucket is finished exactly: the members outside its
   largest class are compared with all others in blocks, and a block returns one
   spanning forest of the links between its classes, fewer links than members.  So
@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cauce.llm.common import materialise, salt_of, salted_lookup, ship
+from cauce.llm.common import drop_tables, materialise, salt_of, salted_lookup, ship
 from cauce.llm.components import components
 from cauce.llm.textnum import Block, blocks, doc_of, keyed, mix64, parts_of, release, sequence_hashes, utf8, windows_inside
 
@@ -64,8 +64,8 @@ MAX_LOSS = 0.05
 BUCKETS_PER_SHINGLE, MIN_BITS, MAX_BITS = 256, 18, 24
 #: Hash buckets of the broadcast filters of texts.
 FILTER_BUCKETS = 1 << 18
-#: Leaders a round in buckets of several classes; share of the compared members that a round must link to be repeated.
-LEADERS, FAIR = 4, 0.25
+#: Share of its pairs that a round of further leaders must link to be repeated.
+FAIR = 0.25
 #: Members and bytes of a block in the exact comparison of a bucket's rest; the bands of each phase.
 BLOCK_MEMBERS, BLOCK_BYTES = 512, 32 << 20
 PHASES = (range(0, 2), range(2, BANDS))
@@ -406,13 +406,11 @@ def _renamed(members: DataFrame, joined: DataFrame) -> DataFrame:
 
 
 def _more_leaders(members: DataFrame, turn: int) -> DataFrame:
-    """Pairs (a, b, ca, cb) of each member outside its bucket's largest class with members of that class."""
-    rank = F.xxhash64("node", "band", F.lit(turn))
-    major = members.where("comp = major").groupBy("band", "key", F.pmod(F.xxhash64("node"), F.lit(LEADERS)).alias("nth")).agg(
-        F.min(F.struct(rank.alias("rank"), "node"))["node"].alias("leader"))
-    leaders = major.groupBy("band", "key").agg(F.collect_list("leader").alias("leaders"))  # at most LEADERS
+    """Pairs (a, b, ca, cb) of each member outside its bucket's largest class with a member of that class."""
+    rank = F.xxhash64("node", "band", F.lit(turn)).alias("rank")
+    leaders = members.where("comp = major").groupBy("band", "key").agg(F.min(F.struct(rank, "node"))["node"].alias("leader"))
     met = salted_lookup(members.where("comp <> major").withColumn("_salt", salt_of("node")), leaders, ["band", "key"], "_salt", "inner")
-    pairs = met.select(F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("major").alias("cb"), F.explode("leaders").alias("b"))
+    pairs = met.select(F.col("node").alias("a"), F.col("comp").alias("ca"), F.col("major").alias("cb"), F.col("leader").alias("b"))
     return materialise(pairs.distinct(), "pairs")
 
 
@@ -431,7 +429,10 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
     pairs = (members.where("node <> leader")
              .select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct())
     texts = materialise(_texts_of(distinct, members.select("node").distinct()), "texts")
-    first = materialise(components(_verified(materialise(pairs, "pairs"), texts, idf, threshold)), "classes")
+    pairs = materialise(pairs, "pairs")
+    links = _verified(pairs, texts, idf, threshold)
+    first = materialise(components(links), "classes")
+    drop_tables(banded, pairs, links)
 
     # buckets that still hold several classes
     size = texts.select("node", F.octet_length("text").alias("size"))
@@ -439,17 +440,20 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
                          .select("band", "key", "node", F.coalesce("root", "node").alias("comp"), "size"))
     if left.isEmpty():
         return rows, first.withColumnRenamed("root", "class")
-    texts = materialise(_texts_of(texts, left.select("node").distinct()), "open-texts")
+    every, texts = texts, materialise(_texts_of(texts, left.select("node").distinct()), "open-texts")
+    drop_tables(every, members)
     merges: list[DataFrame] = []  # links between classes, each in the names of its time
     for turn in range(1, 1 << 30):
         pairs = _more_leaders(left, turn)
-        near = _verified(pairs.select("a", "b").distinct(), texts, idf, threshold).select("a", "b")
-        links = materialise(pairs.join(near, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "class-links")
+        near = _verified(pairs.select("a", "b").distinct(), texts, idf, threshold)
+        links = materialise(pairs.join(near.select("a", "b"), ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "class-links")
         linked, compared = links.count(), pairs.count()
+        drop_tables(pairs, near)
         if linked:
             merges.append(links)
-            left = _open_buckets(_renamed(left, _joined(links)))
-        if linked <= FAIR * compared / LEADERS or left.isEmpty():
+            before, left = left, _open_buckets(_renamed(left, _joined(links)))
+            drop_tables(before)
+        if linked <= FAIR * compared or left.isEmpty():
             break
     for bands in PHASES:
         now = left.where(F.col("band").isin(list(bands)))
@@ -458,7 +462,9 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFra
         links = materialise(_rest_links(now, texts, idf, threshold), "rest-links")
         if not links.isEmpty():
             merges.append(links)
-            left = _open_buckets(_renamed(left, _joined(links)))
+            before, left = left, _open_buckets(_renamed(left, _joined(links)))
+            drop_tables(before)
+    drop_tables(texts, left)
     if not merges:
         return rows, first.withColumnRenamed("root", "class")
     edges = merges[0]
