@@ -45,3 +45,14 @@ SELECT CASE WHEN reclamos > {R.FALLBACK_COMPLAINTS} THEN 'ALTO' WHEN reclamos IS
 def fallback_segment(spark, d):
     p = T.portfolio(spark, d).select(R.fallback_segment("reclamos").alias("segmento_riesgo"))
     return p.groupBy("segmento_riesgo").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("read_retry", "SELECT solicitud_id, proveedor_id, precio_total, plazo_dias FROM quotes", views=("quotes",))
+def read_retry(spark, d):
+    """Quotes landed by a retried read: the feed's folder is not there at the first attempt and arrives during the pause."""
+    from cauce.plans.q_io import _scratch
+    from cauce.sources.files import land_with_retry
+    feed = _scratch(spark, "late_feed")
+    quotes = T.quotes(spark, d).select("solicitud_id", "proveedor_id", "precio_total", "plazo_dias")
+    return land_with_retry(lambda: spark.read.parquet(feed), _scratch(spark, "landed_feed"),
+                           sleep=lambda _: quotes.write.parquet(feed))
