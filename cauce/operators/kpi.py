@@ -42,11 +42,18 @@ def rule_table(spark: SparkSession) -> DataFrame:
                                        "crit_txt string, label string, direccion string")
 
 
+def null_cells(columns) -> F.Column:
+    """Aggregate: the null cells of ``columns``."""
+    return reduce(lambda a, b: a + b, [F.count_if(F.col(c).isNull()) for c in columns])
+
+
+def completeness(rows, nulls, n_columns: int) -> F.Column:
+    """Filled cells ×100 (2 decimals) from the counted rows and null cells; 0 without rows."""
+    return F.when(rows == 0, F.lit(0.0)).otherwise(F.round((1 - nulls / (rows * n_columns)) * 100, 2))
+
+
 def completeness_of(df: DataFrame) -> DataFrame:
-    nulls = reduce(lambda a, b: a + b, [F.count_if(F.col(c).isNull()) for c in df.columns])
-    n = F.count(F.lit(1))
-    return df.agg(F.when(n == 0, F.lit(0.0)).otherwise(
-        F.round((1 - nulls / (n * len(df.columns))) * 100, 2)).alias("valor"))
+    return df.agg(completeness(F.count(F.lit(1)), null_cells(df.columns), len(df.columns)).alias("valor"))
 
 
 def parse_rate(parsed: DataFrame, raw: DataFrame) -> F.Column:
@@ -77,13 +84,22 @@ def quote_stats(quotes: DataFrame, parsed: F.Column, price_ok: F.Column) -> Data
                       F.count_distinct(F.when(parsed, F.col("proveedor_id"))).alias("suppliers"))
 
 
+def high_risk_of_groups(groups: DataFrame, segment: F.Column) -> DataFrame:
+    """:func:`high_risk` from one row per distinct score (``filas`` rows each); ``segment`` is the score's."""
+    n = F.coalesce(F.sum("filas"), F.lit(0))
+    alto = F.coalesce(F.sum(F.when(segment == "ALTO", F.col("filas"))), F.lit(0))
+    return groups.agg(alto.alias("clientes_alto_riesgo"),
+                      F.round(alto / F.greatest(n, F.lit(1)) * 100, 2).alias("tasa_riesgo_alto"))
+
+
 def mean_rounds(negotiations: DataFrame | None) -> F.Column:
     if negotiations is None:
         return F.lit(0.0)
     return negotiations.agg(F.coalesce(F.round(F.avg("ronda"), 1), F.lit(0.0))).scalar()
 
 
-def kpi_report(spark: SparkSession, *, requests: DataFrame, scored: DataFrame, quotes: DataFrame | None = None,
+def kpi_report(spark: SparkSession, *, requests: DataFrame | None = None, scored: DataFrame | None = None,
+               complete: F.Column | None = None, risk: DataFrame | None = None, quotes: DataFrame | None = None,
                quotes_raw: DataFrame | None = None, price_flags: DataFrame | None = None,
                stats: DataFrame | None = None, load_summary: DataFrame | None = None,
                model_metrics: DataFrame | None = None, negotiations: DataFrame | None = None,
@@ -95,7 +111,8 @@ def kpi_report(spark: SparkSession, *, requests: DataFrame, scored: DataFrame, q
     ``segmento_riesgo``; ``load_summary`` one row with ``total_filas`` and
     the whole load's ``duracion_s``; ``model_metrics`` one row (modelo, recall, gini) of the
     selected model; ``stats``, a :func:`quote_stats` row, stands for ``quotes``,
-    ``quotes_raw`` and ``price_flags``.  Every value is a scalar subquery, so the report is one
+    ``quotes_raw`` and ``price_flags``, ``complete`` (a completeness) for ``requests`` and ``risk``
+    (a :func:`high_risk` row) for ``scored``.  A summary without seconds gives a null latency.  Every value is a scalar subquery, so the report is one
     small projection over a one-row frame; ``only`` (a set of KPI names)
     builds just those indicators and runs just their subqueries.
     """
@@ -126,7 +143,7 @@ def kpi_report(spark: SparkSession, *, requests: DataFrame, scored: DataFrame, q
         return once("model", lambda: model_metrics.agg(F.first(F.struct("modelo", "recall", "gini"))).scalar())[name]
 
     def hr(field):
-        return once("hr", lambda: high_risk(scored).select(F.struct("*")).scalar())[field]
+        return once("hr", lambda: (high_risk(scored) if risk is None else risk).select(F.struct("*")).scalar())[field]
 
     def quote(field):
         return once("quotes", lambda: stats.select(F.struct("*")).scalar())[field]
@@ -148,7 +165,7 @@ def kpi_report(spark: SparkSession, *, requests: DataFrame, scored: DataFrame, q
                 else supplier_response(quotes, catalog_size))
 
     builders = {  # name → (value, text); built lazily
-        "completitud_datos": lambda: (completeness_of(requests).scalar(), None),
+        "completitud_datos": lambda: (completeness_of(requests).scalar() if complete is None else complete, None),
         "tasa_parsing_exitoso": lambda: (parse(), None),
         "errores_validacion": lambda: (price_errors(), None),
         "disponibilidad_api": lambda: (available().cast("double"), None),

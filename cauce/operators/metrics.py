@@ -52,9 +52,10 @@ def class_metrics(df: DataFrame, label: str = "label", pred: str = "pred", decim
 
 
 def score_groups(df: DataFrame, label: str = "label", score: str = "score") -> DataFrame:
-    """(score, pos, neg) per distinct score."""
+    """(score, pos, neg, filas) per distinct score; ``filas`` counts rows without a label too."""
     return df.groupBy(F.col(score).alias("score")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
+        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"),
+        F.count(F.lit(1)).alias("filas"))
 
 
 def running_below(groups: DataFrame, order: str, cols) -> DataFrame:
@@ -87,7 +88,11 @@ def threshold_table(df: DataFrame, thresholds: dict, label: str = "label", score
                     decimals: int = 4) -> DataFrame:
     """One row per named threshold classifier (score >= t): modelo, orden, the four class
     metrics and the common AUC and Gini — all from one pass that groups the scores."""
-    groups = score_groups(df, label, score)
+    return threshold_table_of_groups(score_groups(df, label, score), thresholds, decimals)
+
+
+def threshold_table_of_groups(groups: DataFrame, thresholds: dict, decimals: int = 4) -> DataFrame:
+    """:func:`threshold_table` from one row per distinct score (:func:`score_groups`)."""
     auc = auc_of_groups(groups, decimals).select(F.struct("roc_auc", "gini")).scalar()
     zero = F.lit(0)
     parts = []

@@ -12,8 +12,9 @@ from __future__ import annotations
 
 import time
 import uuid
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cauce.functions import rules as R
@@ -40,6 +41,31 @@ def load_summary(spark: SparkSession, counts: dict, seconds: float) -> DataFrame
     return spark.createDataFrame([(sum(counts.values()), round(float(seconds), 3))], "total_filas long, duracion_s double")
 
 
+@dataclass
+class Load:
+    """What a load wrote: the written tables, their rows, further counts seen on the way, its seconds."""
+    tables: dict
+    counts: dict
+    seen: dict
+    seconds: float
+
+
+def load_tables(frames: dict, out_dir: str, run_id: str, watch: dict | None = None) -> Load:
+    """Write each frame as a new version.  Rows, and the aggregates that ``watch`` names for a table
+    ({name: Column}, none of them distinct), are observed while the rows pass to the writer, so no table is read
+    again for them; the frames returned read the written versions (lineage ends at a durable table)."""
+    t0 = time.perf_counter()
+    tables, counts, seen = {}, {}, {}
+    for name, df in frames.items():
+        passing = Observation(f"{name}-{uuid.uuid4().hex[:8]}")
+        extra = [c.alias(k) for k, c in (watch or {}).get(name, {}).items()]
+        path = W.write_version(df.observe(passing, F.count(F.lit(1)).alias("filas"), *extra), f"{out_dir}/{name}", run_id)
+        seen[name] = passing.get
+        counts[name] = seen[name]["filas"]
+        tables[name] = df.sparkSession.read.parquet(path)
+    return Load(tables, counts, seen, time.perf_counter() - t0)
+
+
 # ---------------------------------------------------------------------------
 # procurement: ingest → transform → validate → pseudonymise → load → KPIs
 # ---------------------------------------------------------------------------
@@ -74,24 +100,31 @@ def validate_all(store: dict) -> dict:
     return out
 
 
+#: Tables of the procurement load, in writing order.
+LOADED = ("Proveedores", "Solicitudes", "Cotizaciones", "Negociaciones")
+
+
 def load_all(store: dict, out_dir: str, run_id: str) -> dict:
     """Stage 5: write each table as a new version; the best-quote update and
-    the status completion are applied to the requests being written (D2)."""
+    the status completion are applied to the requests being written (D2).
+
+    ``Conteos`` holds what was counted while writing: null cells, as written, of the columns that the requests
+    had before the update, and prices out of their range."""
     out = dict(store)
-    t0 = time.perf_counter()
-    counts = {}
+    watch = {}
+    if "Solicitudes" in out:
+        watch["solicitudes"] = {"nulos": K.null_cells(out["Solicitudes"].columns)}
+    if "Cotizaciones" in out and "precio_valido" in out["Cotizaciones"].columns:
+        watch["cotizaciones"] = {"errores": F.count_if(~F.col("precio_valido"))}
     if "Solicitudes" in out and "Cotizaciones" in out:
-        req = P.complete_status(P.apply_best_quote_update(out["Solicitudes"], out["Cotizaciones"]))
-        out["Solicitudes"] = req
-    for name in ("Proveedores", "Solicitudes", "Cotizaciones", "Negociaciones"):
-        if name in out:
-            path = W.write_version(out[name], f"{out_dir}/{name.lower()}", run_id)
-            # later stages read the written version: lineage ends at a durable table
-            out[name] = out[name].sparkSession.read.parquet(path)
-            counts[name.lower()] = out[name].count()
+        out["Solicitudes"] = P.complete_status(P.apply_best_quote_update(out["Solicitudes"], out["Cotizaciones"]))
+    names = {n.lower(): n for n in LOADED if n in out}
+    load = load_tables({k: out[n] for k, n in names.items()}, out_dir, run_id, watch)
+    out.update({n: load.tables[k] for k, n in names.items()})
     spark = next(iter(store.values())).sparkSession
-    out["Filas_Cargadas"] = _summary(spark, counts)
-    out["Resumen_Carga"] = load_summary(spark, counts, time.perf_counter() - t0)
+    out["Filas_Cargadas"] = _summary(spark, load.counts)
+    out["Resumen_Carga"] = load_summary(spark, load.counts, load.seconds)
+    out["Conteos"] = load.seen
     return out
 
 
@@ -137,24 +170,39 @@ def run_procurement(spark: SparkSession, sf_dir: str, out_dir: str, run_id: str
     audit = PV.audit_record(spark, "SEUDONIMIZAR", "cauce.plans.jobs.run_procurement", "proveedores.rut",
                             store["Proveedores"].agg(F.count(F.lit(1))).scalar(), "metodo=SHA256+sal")
     W.append(audit, f"{out_dir}/auditoria", run_id)
-    enriched = store["Solicitudes"]
+    answered = W.write_version(q.filter(is_parsed()).groupBy("proveedor_id").agg(F.count(F.lit(1)).alias("cotizaciones")),
+                               f"{out_dir}/cotizaciones_por_proveedor", run_id)
+    n_columns, raw = len(store["Solicitudes"].columns), store["Cotizaciones_Raw"]
     store = load_all(store, out_dir, run_id)
     W.append(store["Resumen_Carga"], f"{out_dir}/resumen_carga", run_id)
-    report = K.kpi_report(spark, requests=enriched, quotes=store["Cotizaciones"],
-                          quotes_raw=store["Cotizaciones_Raw"],
-                          price_flags=store["Cotizaciones"].select("precio_valido"), scored=scored,
-                          load_summary=store["Resumen_Carga"], model_metrics=model_metrics,
+    report = K.kpi_report(spark, scored=scored, load_summary=store["Resumen_Carga"], model_metrics=model_metrics,
                           negotiations=store["Negociaciones"],
-                          catalog_size=T.suppliers(spark, sf_dir).agg(F.count(F.lit(1))).scalar())
+                          catalog_size=store["Proveedores"].agg(F.count(F.lit(1))).scalar(),
+                          **counted_kpis(spark, store["Conteos"], n_columns, raw.agg(F.count(F.lit(1))).scalar(),
+                                         spark.read.parquet(answered)))
     W.append(report, f"{out_dir}/kpi", run_id)
     W.append(K.alerts(report, K.rule_table(spark)), f"{out_dir}/alertas", run_id)
     W.commit_run(spark, out_dir, run_id, "procurement")
     return store["Filas_Cargadas"]
 
 
-def parsed_quotes(quotes: DataFrame) -> DataFrame:
+def counted_kpis(spark: SparkSession, seen: dict, n_columns: int, n_raw: F.Column, by_supplier: DataFrame) -> dict:
+    """The KPI inputs that the load counted while writing, without another pass over requests or quotes:
+    completeness, and the row of quote statistics (suppliers from the counts per supplier)."""
+    asked, quoted = seen["solicitudes"], seen["cotizaciones"]
+    stats = spark.range(1).select(
+        n_raw.alias("n_raw"), F.lit(quoted["filas"]).alias("n_ok"), F.lit(quoted["errores"]).alias("errors"),
+        by_supplier.agg(F.count("proveedor_id")).scalar().alias("suppliers"))
+    return {"complete": K.completeness(F.lit(asked["filas"]), F.lit(asked["nulos"]), n_columns), "stats": stats}
+
+
+def is_parsed() -> F.Column:
     """Quotes that parse: a price and a lead time."""
-    return quotes.filter(F.col("precio_total").isNotNull() & ~F.isnan("precio_total") & F.col("plazo_dias").isNotNull())
+    return F.col("precio_total").isNotNull() & ~F.isnan("precio_total") & F.col("plazo_dias").isNotNull()
+
+
+def parsed_quotes(quotes: DataFrame) -> DataFrame:
+    return quotes.filter(is_parsed())
 
 
 # ---------------------------------------------------------------------------
