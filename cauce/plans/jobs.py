@@ -14,7 +14,7 @@ import time
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cauce.functions import rules as R
@@ -43,7 +43,7 @@ def load_summary(spark: SparkSession, counts: dict, seconds: float) -> DataFrame
 
 @dataclass
 class Load:
-    """What a load wrote: the written tables, their rows, further counts seen on the way, its seconds."""
+    """What a load wrote: the written tables, their rows, further counts of them, its seconds."""
     tables: dict
     counts: dict
     seen: dict
@@ -51,18 +51,18 @@ class Load:
 
 
 def load_tables(frames: dict, out_dir: str, run_id: str, watch: dict | None = None) -> Load:
-    """Write each frame as a new version.  Rows, and the aggregates that ``watch`` names for a table
-    ({name: Column}, none of them distinct), are observed while the rows pass to the writer, so no table is read
-    again for them; the frames returned read the written versions (lineage ends at a durable table)."""
+    """Write each frame as a new version; the frames returned read the written versions (lineage ends at a
+    durable table).  Rows, and the aggregates that ``watch`` names for a table ({name: Column}), are one
+    aggregate of the written version that reads only their columns.  (``DataFrame.observe`` would save that read,
+    but it leaves an object in the session that Spark ML's closures cannot serialise afterwards.)"""
     t0 = time.perf_counter()
     tables, counts, seen = {}, {}, {}
     for name, df in frames.items():
-        passing = Observation(f"{name}-{uuid.uuid4().hex[:8]}")
         extra = [c.alias(k) for k, c in (watch or {}).get(name, {}).items()]
-        path = W.write_version(df.observe(passing, F.count(F.lit(1)).alias("filas"), *extra), f"{out_dir}/{name}", run_id)
-        seen[name] = passing.get
+        path = W.write_version(df, f"{out_dir}/{name}", run_id)
+        tables[name] = df.sparkSession.read.schema(df.schema).parquet(path)
+        seen[name] = tables[name].agg(F.count(F.lit(1)).alias("filas"), *extra).first().asDict()
         counts[name] = seen[name]["filas"]
-        tables[name] = df.sparkSession.read.parquet(path)
     return Load(tables, counts, seen, time.perf_counter() - t0)
 
 
@@ -108,7 +108,7 @@ def load_all(store: dict, out_dir: str, run_id: str) -> dict:
     """Stage 5: write each table as a new version; the best-quote update and
     the status completion are applied to the requests being written (D2).
 
-    ``Conteos`` holds what was counted while writing: null cells, as written, of the columns that the requests
+    ``Conteos`` holds what was counted of the written tables: null cells of the columns that the requests
     had before the update, and prices out of their range."""
     out = dict(store)
     watch = {}
@@ -187,7 +187,7 @@ def run_procurement(spark: SparkSession, sf_dir: str, out_dir: str, run_id: str
 
 
 def counted_kpis(spark: SparkSession, seen: dict, n_columns: int, n_raw: F.Column, by_supplier: DataFrame) -> dict:
-    """The KPI inputs that the load counted while writing, without another pass over requests or quotes:
+    """The KPI inputs that the load counted, without another pass over requests or quotes:
     completeness, and the row of quote statistics (suppliers from the counts per supplier)."""
     asked, quoted = seen["solicitudes"], seen["cotizaciones"]
     stats = spark.range(1).select(

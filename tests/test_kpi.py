@@ -17,7 +17,7 @@ def test_alert_levels_and_messages(spark):
     assert "completitud_datos" not in got and "latencia_ingesta_ms" not in got
 
 
-def test_load_counts_what_passes_to_the_writer(spark, tmp_path):
+def test_load_counts_the_written_tables(spark, tmp_path):
     """Rows and watched aggregates equal those of the written tables, for an empty frame too."""
     from pyspark.sql import functions as F
 
