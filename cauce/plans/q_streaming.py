@@ -42,14 +42,14 @@ SELECT producto_id, proveedor_id AS mejor_proveedor_id, precio_total AS mejor_pr
   FROM quotes) t WHERE rn = 1""", views=("quotes",))
 def stream_best_quote(spark, d):
     s = S.best_quote_stream(S.quote_stream(spark, d, max_files_per_trigger=1))
-    return S.read_updates(spark, S.run_to_table(s, "best_quote", "update"), "producto_id")
+    return S.read_updates(spark, S.run_to_table(s, "best_quote", "update", keys="producto_id"), "producto_id")
 
 
 @register("stream_supplier_counts", """
 SELECT proveedor_id, count(*) AS cotizaciones FROM quotes GROUP BY proveedor_id""", views=("quotes",))
 def stream_supplier_counts(spark, d):
     s = S.supplier_counts_stream(S.quote_stream(spark, d))
-    return S.read_updates(spark, S.run_to_table(s, "supplier_counts", "update"), "proveedor_id")
+    return S.read_updates(spark, S.run_to_table(s, "supplier_counts", "update", keys="proveedor_id"), "proveedor_id")
 
 
 @register("stream_score")

@@ -53,11 +53,16 @@ def _folder(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
-def _runs(spark: SparkSession, base: str, done: bool = False) -> list[str]:
-    """Names of the ``run=`` folders below ``base``, oldest first; ``done``: only those whose write was committed."""
+def folder_names(spark: SparkSession, base: str, prefix: str, done: bool = False) -> list[str]:
+    """Names below ``base`` that start with ``prefix``, sorted; ``done``: only those whose write was committed."""
     fs, path = _folder(spark, base)
     names = sorted(str(f.getPath().getName()) for f in fs.listStatus(path)) if fs.exists(path) else []
-    return [n for n in names if n.startswith("run=") and (not done or fs.exists(_folder(spark, f"{base}/{n}/_SUCCESS")[1]))]
+    return [n for n in names if n.startswith(prefix) and (not done or fs.exists(_folder(spark, f"{base}/{n}/_SUCCESS")[1]))]
+
+
+def _runs(spark: SparkSession, base: str, done: bool = False) -> list[str]:
+    """Names of the ``run=`` folders below ``base``, oldest first; ``done``: only those whose write was committed."""
+    return folder_names(spark, base, "run=", done)
 
 
 def begin_run(spark: SparkSession, out_dir: str, run_id: str) -> None:

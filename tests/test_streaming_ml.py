@@ -52,6 +52,37 @@ def test_running_tables_over_several_files_and_a_restart(spark, sf_small, tmp_pa
     assert spark.read.parquet(path).count() == best.count()
 
 
+def test_compaction_every_second_batch(spark, sf_small, tmp_path):
+    """Five files and a restart: a reader opens one version and at most one batch; older parts no longer matter."""
+    import shutil
+    lines = spark.read.parquet(f"{sf_small}/lineitem.parquet")
+    feed = tmp_path / "feed"
+    feed.mkdir()
+    root = str(tmp_path / "best")
+    out = f"{root}/table"
+
+    def run(files):
+        for i in files:
+            lines.filter(F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(5)) == i).coalesce(1).write.parquet(f"{tmp_path}/p{i}")
+            (name,) = [p for p in (tmp_path / f"p{i}").iterdir() if p.suffix == ".parquet"]
+            name.rename(feed / f"lineitem-{i}.parquet")
+        s = S.best_quote_stream(S.quote_stream(spark, str(feed), max_files_per_trigger=1))
+        S.run_to_table(s, "b", "update", root, keys="producto_id", every=2)
+        return P.best_quote_per_product(T.quotes_from(spark.read.parquet(str(feed))))
+
+    def same(want):
+        got = S.read_updates(spark, out, "producto_id")
+        return got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+    assert same(run(range(3))) and S.pending_parts(spark, out) == (1, [2])
+    want = run([3, 4])  # a new query on the same checkpoint
+    assert same(want) and S.pending_parts(spark, out) == (3, [4])
+    assert S.compact_batches(spark, out, "producto_id", 3).endswith("batch=3") and same(want)  # a retried batch
+    (tmp_path / "best" / "table" / "batch=5").mkdir()  # a batch whose write died: no mark, not read
+    shutil.copy(next((tmp_path / "best" / "table" / "batch=0").glob("*.parquet")), tmp_path / "best" / "table" / "batch=5")
+    assert same(want) and S.pending_parts(spark, out) == (3, [4])
+
+
 def test_training_imputes_with_train_statistics_and_saves_them(spark, sf_small, tmp_path):
     p = T.portfolio(spark, sf_small).withColumn("reclamos", F.when(F.col("cliente_id") % 6 != 0, F.col("reclamos")))
     models = {"Regresión Logística": LogisticRegression(maxIter=20, weightCol="peso", featuresCol="features", labelCol="label")}
