@@ -6,6 +6,10 @@ do for the common cases (a new ``p`` or ``li`` ends the open one, an end tag clo
 up to its element or is ignored).  Text in controls, drawings and fallbacks
 (``HIDDEN``) is not text of the page, if they have an end tag of their own;
 where it is missing the start tag is ignored and what follows is kept.
+
+A ``>`` in a quoted attribute value does not end its tag.  From a tag on whose
+quotes leave no ``>`` in the rest of the page, every tag ends at its first ``>``.
+Time is linear in the length of the page, whatever its tags are.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ RAW = frozenset("script style textarea title".split())
 HIDDEN = frozenset("noscript iframe template svg select button".split())
 CLOSES = {"li": ("ul", "ol", "menu"), "p": None, "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"),
           "th": ("tr", "table"), "option": ("select",)}
+SAME = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
 ENDS_P = frozenset("""address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3
     h4 h5 h6 header hr li main menu nav ol p pre section table ul""".split())
 CONTROLS = frozenset("input button select textarea".split())
@@ -46,7 +51,12 @@ _KIND = {"p": 1, "pre": 1, "blockquote": 1, "li": 3, "dt": 3, "dd": 3, "ul": 4,
          **{f"h{i}": 2 for i in range(1, 7)}}
 ATTR_BUCKETS = 24
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^"'>]++|"[^"]*"|'[^']*'|["'])*?)>|<[!?][^>]*>""", re.S)
+_OTHER = r"<!--.*?(?:-->|\Z)|<[!?][^>]*>"
+_NAME = r"<(/?)([a-zA-Z][^\s/>]*+)"
+# possessive throughout: a tag is read once and never again
+_TOKEN = re.compile(rf"""{_OTHER}|{_NAME}((?:[^"'>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|["'=])*+)>""", re.S)
+_PLAIN_TOKEN = re.compile(rf"{_OTHER}|{_NAME}([^>]*+)>", re.S)
+_HEAD_END = re.compile(r"</head\s*>|<body\b", re.I)
 _HIDDEN_START = re.compile(rf"<(?:{'|'.join(sorted(HIDDEN))})", re.I)
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 _OPENING = re.compile(r"</?[a-zA-Z]|<[!?]")
@@ -78,6 +88,39 @@ def _tokens(attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+class _Tags:
+    """Tags, comments and declarations of a page, by their position."""
+
+    def __init__(self, page: str):
+        self.page, self.token = page, _TOKEN
+
+    def at(self, start: int) -> re.Match[str] | None:
+        found = self.token.match(self.page, start)
+        if found is None and self.token is _TOKEN and _PLAIN_TOKEN.match(self.page, start):
+            self.token = _PLAIN_TOKEN  # its quotes hide every ">" up to the end of the page
+            found = self.token.match(self.page, start)
+        return found
+
+
+class _Open:
+    """The stack of open elements, with the places of each tag in it."""
+
+    def __init__(self, root: Node):
+        self.stack, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, tags) -> int:
+        """Place of the innermost open element with one of ``tags``; 0 if there is none."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def close_to(self, place: int) -> None:
+        while len(self.stack) > place:
+            self.places[self.stack.pop().tag].pop()
+
+
 def _hidden_ends(page: str) -> dict[int, int]:
     """Of each ``HIDDEN`` element with an end tag of its own: end of its start tag -> end of its end tag.
 
@@ -88,9 +131,10 @@ def _hidden_ends(page: str) -> dict[int, int]:
         return ends
     stack: list[tuple[str, int]] = []
     count: dict[str, int] = {}
+    tags = _Tags(page)
     pos, last = 0, page.rfind(">")
     while 0 <= (start := page.find("<", pos)) <= last:
-        m = _TOKEN.match(page, start)
+        m = tags.at(start)
         if m is None:
             pos = start + 1
             continue
@@ -120,11 +164,14 @@ def _hidden_ends(page: str) -> dict[int, int]:
 def parse(page: str) -> list[Node]:
     """All nodes in document order; the first is the root.  Text sits in leaves only."""
     root = Node("#root", None)
-    stack = [root]
+    open_ = _Open(root)
+    stack = open_.stack
     run: Node | None = None
     in_link = False
+    head_end = True
     pos, size = 0, len(page)
     hidden_ends = _hidden_ends(page)
+    tags = _Tags(page)
 
     def text_node() -> Node:
         nonlocal run
@@ -132,9 +179,9 @@ def parse(page: str) -> list[Node]:
             run = Node("#text", stack[-1])
         return run
 
-    def close_to(index: int) -> None:
+    def close_to(place: int) -> None:
         nonlocal run, in_link
-        del stack[index:]
+        open_.close_to(place)
         run, in_link = None, False
 
     last = page.rfind(">")
@@ -154,7 +201,7 @@ def parse(page: str) -> list[Node]:
                     node.link += len(piece.strip())
         if start == size:
             break
-        m = _TOKEN.match(page, start)
+        m = tags.at(start)
         if m is None:  # a lone "<"
             text_node().parts.append("<")
             pos = start + 1
@@ -168,10 +215,9 @@ def parse(page: str) -> list[Node]:
             if name in INLINE:
                 in_link = in_link and name != "a"
             else:
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag == name:
-                        close_to(i)
-                        break
+                place = open_.last((name,))
+                if place:
+                    close_to(place)
                 else:
                     run = None
             continue
@@ -200,33 +246,25 @@ def parse(page: str) -> list[Node]:
                 in_link = True
                 text_node().links += 1
             continue
-        if name in ("html", "body") and any(x.tag == name for x in stack):
+        if name in ("html", "body") and open_.last((name,)):
             continue
-        if name in ENDS_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    close_to(i)
-                    break
-                if stack[i].tag not in INLINE:
-                    break
+        if name in ENDS_P and stack[-1].tag == "p":
+            close_to(len(stack) - 1)
         limit = CLOSES.get(name)
         if limit:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == name or (name in ("dt", "dd") and stack[i].tag in ("dt", "dd")) or (
-                        name in ("td", "th") and stack[i].tag in ("td", "th")):
-                    close_to(i)
-                    break
-                if stack[i].tag in limit:
-                    break
+            place = open_.last(SAME.get(name, (name,)))
+            if place and place >= open_.last(limit):
+                close_to(place)
         attributes = m.group(3)
         run, in_link = None, False
-        stack.append(Node(name, stack[-1], _tokens(attributes) if attributes else ()))
+        node = Node(name, stack[-1], _tokens(attributes) if attributes else ())
         if name == "head":  # nothing in it is text of the page
-            end = re.compile(r"</head\s*>|<body\b", re.I).search(page, pos)
-            if end:
-                pos = end.end() if end.group().lower().startswith("</") else end.start()
-            del stack[-1]
-            stack[-1].children.pop()
+            head_end = head_end and _HEAD_END.search(page, pos)
+            if head_end:
+                pos = head_end.end() if head_end.group().startswith("</") else head_end.start()
+            node.parent.children.pop()
+        else:
+            open_.push(node)
 
     nodes: list[Node] = []
     todo = [root]

@@ -1,5 +1,7 @@
+import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -48,10 +50,22 @@ def test_hidden_elements_are_matched_in_linear_time():
         assert len(html_dom.parse(piece * 30_000 + "</svg></button>>")) >= 1
 
 
+PIECES = ("<a ", "<", "<div>", "<!--", "</p>", "<p \"", "&", "<b", "<li>", "</foo>", "<head>", "<td>", "<b =\">\"", "\"x\"", "'>",
+          "<ul>", "<dd>", "</ul>", "<svg>", "<button>", "</button>", "<title>", "<a href='")
+
+
 def test_parse_is_linear_on_hostile_input():
-    for piece in ("<a ", "<", "<div>", "<!--", "</p>", "<p \"", "&", "<b"):
-        nodes = html_dom.parse(piece * 30_000 + ">")
-        assert len(nodes) >= 1
+    start = time.process_time()
+    for a, b in itertools.product(PIECES, PIECES):
+        for page in ((a + b) * 8_000 + ">", a * 8_000 + b * 8_000 + "<p>x</p>", a + b * 8_000):
+            assert len(html_dom.parse(page)) >= 1
+    assert time.process_time() - start < 240  # 1,587 pages; a walk of 8,000 elements per tag takes 2 s a page
+
+
+def test_quotes_that_hide_every_end_do_not_multiply():
+    assert texts('<a ">' + '"x"' * 5_000) == ['"x"' * 5_000]
+    assert texts('<p title=">' + '"x"' * 5_000 + "</p><p>y</p>")[-1] == "y"
+    assert texts('<p>a</p><p title=">b</p><p>c</p>') == ["a", "b", "c"]
 
 
 def test_no_kept_node_has_a_dropped_parent():
