@@ -10,9 +10,13 @@ The ``OWN`` most frequent tokens are classes of their own, the others fall into
 ``TAILS`` classes by their last two bytes, which also places unseen words.  The
 class model is log-bilinear: a context vector, the sum of the two embeddings
 each through its position's matrix, is multiplied with the output embeddings.
-It is trained in numpy by noise-contrastive estimation: every task makes
-passes over its own training texts from common start values, and the
-parameters are averaged by Spark, weighted by tokens.  Scoring normalises
+It is trained in numpy by noise-contrastive estimation, one pass over all
+training texts at every size: a hash deals them into shards of about
+``SHARD_TOKENS`` tokens and the shards into ``ROUNDS`` rounds.  In a round each
+shard's texts train a copy of the parameters in the order of their hashes; Spark
+averages the copies, weighted by tokens, as whole numbers, and the next round
+starts from the mean.  Nothing of this depends on how the table is partitioned.
+Scoring normalises
 exactly: one batched matrix product and a softmax give the log-probabilities
 of all classes after all pairs of classes.
 
@@ -35,20 +39,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cauce.llm.common import materialise, ship
+from cauce.llm.common import drop_tables, materialise, ship
 from cauce.llm.langid import held_out
 from cauce.llm.textnum import Block, blocks, doc_of, parts_of, release
 
-OWN, TAILS, DIM, NOISE, BATCH = 192, 64, 16, 24, 8192
-CLASSES = OWN + TAILS
+OWN, TAILS, DIM, NOISE, BATCH = 192, 64, 16, 24, 4096
+CLASSES = OWN + TAILS  # at most 256: a class is written as one byte
 START = CLASSES  # context before the first token
 #: Words whose counts are broadcast at most.
 TABLE = 1 << 16
 RATE = 0.1
 #: Partial counts that a task holds before it merges them.
 MERGE_TOKENS = 600_000
-#: Passes over a task's texts: more than one only while it has fewer minibatches than this.
-MIN_STEPS, MAX_PASSES = 200, 10
+#: Tokens that train one copy of the parameters, rounds of averaging, tokens that are shuffled together.
+SHARD_TOKENS, ROUNDS, CHUNK = 1 << 18, 4, 1 << 16
+#: Parameters are averaged in units of this.
+UNIT = 2.0 ** -30
+#: Tasks of a round at most.
+TASKS = 1 << 13
 END = 1  # the end token's hash
 #: Part of the rows that is never learnt from: crc32 of the id's text mod 7 is 2.
 PARTS, HELD = 7, 2
@@ -183,8 +191,11 @@ class LogBilinear:
     near: np.ndarray
     far: np.ndarray
 
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        return self.context, self.output, self.bias, self.near, self.far
+
     def flat(self) -> np.ndarray:
-        return np.concatenate([a.ravel() for a in (self.context, self.output, self.bias, self.near, self.far)]).astype(float)
+        return np.concatenate([a.ravel() for a in self.arrays()]).astype(float)
 
     @staticmethod
     def of(flat: np.ndarray) -> LogBilinear:
@@ -213,14 +224,37 @@ def initial(vocab: Vocabulary, seed: int = 3) -> LogBilinear:
 class NceTrainer:
     """Noise-contrastive estimation by Adagrad; the noise is the classes' frequency."""
 
-    def __init__(self, model: LogBilinear, class_total: np.ndarray, seed: int):
-        self.m = LogBilinear(*(a.copy() for a in (model.context, model.output, model.bias, model.near, model.far)))
+    def __init__(self, model: LogBilinear, class_total: np.ndarray, seed: int, squares: LogBilinear | None = None):
+        self.m = LogBilinear(*(a.copy() for a in model.arrays()))
         share = (class_total + 1) / (class_total.sum() + CLASSES)
         self.cumulative = np.cumsum(share)
         self.log_noise = np.log(NOISE * share).astype(np.float32)
         self.rng = np.random.default_rng(seed)
-        self.squares = [np.full_like(a, 1e-4) for a in (self.m.context, self.m.output, self.m.bias, self.m.near, self.m.far)]
-        self.steps = 0
+        self.squares = LogBilinear(*((np.full_like(a, 1e-4) for a in model.arrays()) if squares is None
+                                     else (a.copy() for a in squares.arrays())))
+        self.seen, self.held, self.waiting = 0, 0, []
+
+    def add(self, cls: np.ndarray, first: np.ndarray) -> None:
+        """Train on the texts, ``CHUNK`` tokens at a time whatever the size of the calls."""
+        self.waiting.append((cls, *_contexts(cls, first)))
+        self.held += len(cls)
+        if self.held >= CHUNK:
+            data = [np.concatenate(x) for x in zip(*self.waiting, strict=True)]
+            whole = self.held - self.held % CHUNK
+            for at in range(0, whole, CHUNK):
+                self._chunk([x[at:at + CHUNK] for x in data])
+            self.waiting, self.held = [tuple(x[whole:].copy() for x in data)], self.held - whole
+
+    def finish(self) -> None:
+        if self.held:
+            self._chunk([np.concatenate(x) for x in zip(*self.waiting, strict=True)])
+        self.waiting, self.held = [], 0
+
+    def _chunk(self, data: list[np.ndarray]) -> None:
+        order = self.rng.permutation(len(data[0]))
+        for at in range(0, len(order), BATCH):
+            self.step(*(x[order[at:at + BATCH]] for x in data))
+        self.seen += len(order)
 
     def step(self, word: np.ndarray, one: np.ndarray, two: np.ndarray) -> None:
         m = self.m
@@ -239,11 +273,10 @@ class NceTrainer:
         np.add.at(d_bias, noise, wrong.sum(0))
         d_context = _sum_by(one, dh @ m.near.T, CLASSES + 1) + _sum_by(two, dh @ m.far.T, CLASSES + 1)
         grads = [d_context, d_out, d_bias, x1.T @ dh, x2.T @ dh]
-        for a, g, s in zip((m.context, m.output, m.bias, m.near, m.far), grads, self.squares, strict=True):
+        for a, g, s in zip(m.arrays(), grads, self.squares.arrays(), strict=True):
             g = (g / n).astype(np.float32)
             s += g * g
             a += RATE * g / np.sqrt(s)
-        self.steps += 1
 
 
 def _sum_by(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
@@ -255,48 +288,89 @@ def _sum_by(index: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def train(docs: DataFrame, vocab: Vocabulary) -> LogBilinear:
-    """One round over all training texts: each task fits its own, the parameters are averaged by tokens."""
-    start = initial(vocab)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((start, vocab))
+def class_codes(docs: DataFrame, vocab: Vocabulary, shards: int) -> DataFrame:
+    """(shard, key, codes) of every training text, a byte for the class of each token; written to the shared folder."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, voc = shared.value
-        trainer = NceTrainer(model, voc.class_total, seed=7)
-        seen, small = 0, []
+        voc = shared.value
         for batch in (part for whole in batches for part in parts_of(whole)):
-            column = batch.column(0).to_pylist()
+            column = batch.column(2).to_pylist()
             for i, j in blocks(column):
                 h, t, first = tokens(column[i:j])
-                cls = voc.classes(h, t)
-                one, two = _contexts(cls, first)
-                order = trainer.rng.permutation(len(cls))
-                data = (cls[order], one[order], two[order])
-                for at in range(0, len(cls), BATCH):
-                    trainer.step(*(x[at:at + BATCH] for x in data))
-                seen += len(cls)
-                if trainer.steps < MIN_STEPS:
-                    small.append(data)
-        for _ in range(MAX_PASSES - 1):  # a small table gets more passes
-            if trainer.steps >= MIN_STEPS:
-                break
-            for data in small:
-                for at in range(0, len(data[0]), BATCH):
-                    trainer.step(*(x[at:at + BATCH] for x in data))
-        if seen:
-            flat = trainer.m.flat()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * seen),
-                                              pa.array(np.full(len(flat), float(seen)))], names=["i", "v", "w"])
+                codes = voc.classes(h, t).astype(np.uint8)
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:2], pa.Array.from_buffers(pa.binary(), j - i, [
+                        None, pa.py_buffer(first.astype(np.int32)), pa.py_buffer(codes)])], names=["shard", "key", "codes"])
         release()
 
-    rows = docs.where(~held_out(parts=PARTS, part=HELD)).select(F.coalesce("text", F.lit("")).cast("binary").alias("b"))
-    fitted = (rows.mapInArrow(run, "i bigint, v double, w double").groupBy("i")
-              .agg((F.sum("v") / F.sum("w")).alias("v")).toPandas())  # one row per parameter
+    # copies of a text differ in doc_id, so they are dealt to many shards
+    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    rows = (docs.where(~held_out(parts=PARTS, part=HELD))
+            .select(F.pmod(key, F.lit(shards)).cast("bigint").alias("shard"), key.alias("key"),
+                    F.coalesce("text", F.lit("")).cast("binary").alias("b")))
+    codes = materialise(rows.mapInArrow(run, "shard bigint, key bigint, codes binary"), "class-codes")
     shared.unpersist()
-    if fitted.empty:
-        return start
-    return LogBilinear.of(fitted.sort_values("i")["v"].to_numpy())
+    return codes
+
+
+def train(docs: DataFrame, vocab: Vocabulary) -> LogBilinear:
+    """One pass over all training texts, in ``ROUNDS`` rounds that each average their shards' parameters."""
+    model, squares = initial(vocab), None
+    spark = docs.sparkSession
+    each = -(-vocab.total // (ROUNDS * SHARD_TOKENS))  # shards of a round
+    if not each:
+        return model
+    codes = class_codes(docs, vocab, ROUNDS * each)
+    for turn in range(ROUNDS):
+        shared = spark.sparkContext.broadcast((model, squares, vocab.class_total))
+        mine = (codes.where(F.col("shard") % ROUNDS == turn).repartition(min(each, TASKS), "shard")
+                .sortWithinPartitions("shard", "key", "codes"))
+        fitted = mine.mapInArrow(_fit(shared), "i int, v bigint, w bigint")
+        mean = (fitted.groupBy("i").agg(F.sum(F.col("v").cast("decimal(19,0)") * F.col("w").cast("decimal(18,0)")).alias("v"),
+                                        F.sum("w").alias("w"))
+                .select("i", (F.col("v").cast("double") / F.col("w") * F.lit(UNIT)).alias("v"))
+                .toPandas().sort_values("i")["v"].to_numpy())  # two rows per parameter
+        shared.unpersist()
+        if len(mean):
+            half = len(mean) // 2
+            model, squares = LogBilinear.of(mean[:half]), LogBilinear.of(mean[half:])
+    drop_tables(codes)
+    return model
+
+
+def _fit(shared):
+    """Rows of shards, in order -> index, value in ``UNIT``s and tokens for each parameter and Adagrad sum of each shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, squares, class_total = shared.value
+        trainer, current = None, None
+
+        def result() -> pa.RecordBatch:
+            trainer.finish()
+            flat = np.rint(np.concatenate([trainer.m.flat(), trainer.squares.flat()]) / UNIT).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat),
+                                               pa.array(np.full(len(flat), trainer.seen))], names=["i", "v", "w"])
+
+        for batch in (part for whole in batches for part in parts_of(whole)):
+            shard, texts = batch.column(0).to_numpy(), batch.column(2).to_pylist()
+            cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if shard[a] != current:
+                    if trainer is not None:
+                        yield result()
+                    current = shard[a]
+                    trainer = NceTrainer(model, class_total, int(current), squares)
+                cls = np.frombuffer(b"".join(texts[a:b]), np.uint8).astype(np.int16)
+                trainer.add(cls, np.cumsum([0, *map(len, texts[a:b])]))
+        if trainer is not None:
+            yield result()
+        release()
+
+    return run
 
 
 # ------------------------------------------------------------------- scoring

@@ -67,6 +67,57 @@ def test_model_beats_the_baseline_on_held_out_text(spark, sf_small):
     assert rows.score.sum() / rows.n_tokens.sum() > rows.base_score.sum() / rows.n_tokens.sum() + 0.05
 
 
+def test_scores_do_not_depend_on_partitions(spark, sf_small, monkeypatch):
+    monkeypatch.setattr(lbl, "SHARD_TOKENS", 1 << 12)  # many shards
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet").select("doc_id", "text").limit(150)
+    got = [lbl.score(docs.repartition(n)).toPandas().sort_values("doc_id").score.to_numpy() for n in (1, 6, 50)]
+    assert np.abs(got[0] - got[1]).max() < 1e-6 and np.abs(got[0] - got[2]).max() < 1e-6
+
+
+def test_score_by_brute_force(spark, monkeypatch):
+    """Sum over a text's tokens of log10 P(class | two before) * P(token | class), token by token."""
+    monkeypatch.setattr(lbl, "TABLE", 250)
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join(f"w{int(x)}" for x in rng.zipf(1.3, 40) % 900)) for i in range(80)] + [(-1, None), (-2, "unseen Words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = lbl.count_tokens(docs)
+    vocab = lbl.vocabulary(counts)
+    model = lbl.train(docs, vocab)
+    count = {r["hash"] % 2 ** 64: r["c"] for r in counts.collect()}
+    got = {r["doc_id"]: r["score"] for r in lbl.score(docs).collect()}
+    own = {int(h): int(c) for h, c in zip(vocab.hashes, vocab.own, strict=True) if c >= 0}
+    for i, text in rows:
+        hashes, tail, _ = lbl.tokens([(text or "").encode()])
+        one = two = lbl.START
+        total = 0.0
+        for h, t in zip(hashes.tolist(), tail.tolist(), strict=True):
+            cls = own.get(h, lbl.OWN + t)
+            z = (model.context[one] @ model.near + model.context[two] @ model.far) @ model.output.T + model.bias
+            total += (z[cls] - math.log(np.exp(z.astype(float)).sum())) / math.log(10)
+            if h not in own:
+                total += math.log10((count.get(h, 0) + 1) / (vocab.tail_total[t] + vocab.tail_distinct[t] + 1))
+            one, two = cls, one
+        assert got[i] == pytest.approx(total, abs=1e-4 + 1e-5 * len(hashes))
+
+
+def test_chunks_do_not_depend_on_the_calls():
+    rng = np.random.default_rng(2)
+    cls = rng.integers(0, lbl.CLASSES, 150_000).astype(np.int16)
+    total = np.bincount(cls, minlength=lbl.CLASSES).astype(float)
+    vocab = lbl.Vocabulary(len(cls), 30, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64),
+                           np.zeros(lbl.TAILS), np.zeros(lbl.TAILS), total)
+    ends = np.arange(0, len(cls) + 1, 500)
+    results = []
+    for calls in (1, 7, 300):
+        trainer = lbl.NceTrainer(lbl.initial(vocab), total, 1)
+        for part in np.array_split(np.arange(300), calls):
+            trainer.add(cls[ends[part[0]]:ends[part[-1] + 1]], ends[part[0]:part[-1] + 2] - ends[part[0]])
+        trainer.finish()
+        assert trainer.seen == len(cls)
+        results.append(trainer.m.flat())
+    assert all(np.array_equal(results[0], r) for r in results)
+
+
 def test_training_learns_a_pattern():
     """Class 2 always follows class 1: its probability there grows far above its frequency."""
     rng = np.random.default_rng(1)
