@@ -43,7 +43,7 @@ from cauce.llm.common import drop_tables, materialise, ship
 from cauce.llm.langid import held_out
 from cauce.llm.textnum import Block, blocks, doc_of, parts_of, release
 
-OWN, TAILS, DIM, NOISE, BATCH = 192, 64, 16, 24, 4096
+OWN, TAILS, DIM, NOISE, BATCH = 192, 64, 16, 24, 1024
 CLASSES = OWN + TAILS  # at most 256: a class is written as one byte
 START = CLASSES  # context before the first token
 #: Words whose counts are broadcast at most.
