@@ -183,8 +183,13 @@ def parse_records(data: bytes, file: str = "") -> Iterator[dict]:
                "fields": dict(fields) if fields is not None else None, "payload": payload, "file": file, "offset": start}
 
 
+#: Names of the files that are read: this module's own and the usual names of crawl archives.
+ARCHIVES = "{part-*,*.warc,*.warc.gz}"
+
+
 def read_records(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """One row per record of the archives below ``path``; ``payload=False`` leaves the bytes out."""
+    """One row per record of the archives in the folder ``path`` (files named as in ``ARCHIVES``);
+    ``payload=False`` leaves the bytes out."""
     ship(spark)
     schema = RECORD_SCHEMA if payload else T.StructType([f for f in RECORD_SCHEMA if f.name != "payload"])
     names = schema.names
@@ -206,7 +211,7 @@ def read_records(spark: SparkSession, path: str, payload: bool = True) -> DataFr
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, arrow)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", ARCHIVES).load(path)
     return files.select("path", "content").mapInArrow(run, schema)
 
 

@@ -101,3 +101,17 @@ def test_damaged_archive_is_an_error():
         list(warc.parse_records(whole[:-20], "f"))
     with pytest.raises(ValueError, match="no WARC record"):
         list(warc.parse_records(b"junk\r\n", "f"))
+
+
+def test_archives_of_any_usual_name_are_read(spark, tmp_path):
+    def record(i):
+        block = f"HTTP/1.1 200 OK\r\n\r\npage {i}".encode()
+        return (f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:{i}>\r\n"
+                f"Content-Type: application/http; msgtype=response\r\nContent-Length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+    # a gzip member per record, as crawlers write them; plain; and a file that is no archive
+    (tmp_path / "CC-MAIN-0001.warc.gz").write_bytes(b"".join(gzip.compress(record(i)) for i in range(5)))
+    (tmp_path / "crawl.warc").write_bytes(b"".join(record(i) for i in range(5, 8)))
+    (tmp_path / "README.txt").write_text("no records")
+    rows = warc.read_records(spark, str(tmp_path)).collect()
+    assert sorted(bytes(r["payload"]).decode() for r in rows) == [f"page {i}" for i in range(8)]
