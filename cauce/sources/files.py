@@ -70,8 +70,10 @@ def read_typed_text(spark: SparkSession, path: str, int_cols=(), float_cols=(),
 
 def land_raw(spark: SparkSession, src: str, raw_zone: str) -> str:
     """Write the lines of the raw text file(s) into the raw zone, task by task; returns the path.
-    (Line ends become \\n; the text of the lines is unchanged.)"""
-    spark.read.text(src).write.mode("overwrite").text(raw_zone)
+
+    Lines end at \\n alone and keep their bytes, whatever the encoding, a \\r before the \\n included.
+    Two things may change: a last line without \\n gets one, and a UTF-8 byte order mark is dropped."""
+    spark.read.option("lineSep", "\n").text(src).write.mode("overwrite").option("lineSep", "\n").text(raw_zone)
     return raw_zone
 
 

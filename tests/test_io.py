@@ -120,3 +120,13 @@ def test_retry_backoff_and_fallback():
     with pytest.raises(OSError):
         FS.with_retry(boom, sleep=lambda s: None)
     assert F is not None
+
+
+def test_landed_bytes_equal_the_source(spark, tmp_path):
+    import glob
+
+    from cauce.sources.files import land_raw
+    data = b"id,producto\r\n1,caf\xe9 latin-1\r\n\r\n2,ni\xc3\xb1o\n3,\x00\xff\rx\n"
+    (tmp_path / "raw.csv").write_bytes(data)
+    landed = land_raw(spark, str(tmp_path / "raw.csv"), str(tmp_path / "zone"))
+    assert b"".join(open(f, "rb").read() for f in sorted(glob.glob(f"{landed}/part-*"))) == data
