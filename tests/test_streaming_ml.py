@@ -149,3 +149,29 @@ def test_continuous_start_processes_feed(spark, sf_small):
         q.stop()
     got = spark.read.parquet(os.path.join(root, "out"))
     assert got.agg(F.sum("cotizaciones")).first()[0] == T.quotes(spark, sf_small).count()
+
+
+def test_partitions_to_fit_in_grow_slower_than_the_rows(spark):
+    """Small tables keep 10,000 rows a partition; large ones get larger partitions, not ever more tasks a job."""
+    assert [C.fitting_partitions(n) for n in (0, 12_000, 72_000, 720_000, 4_320_000)] == [2, 2, 8, 24, 44]
+    rows = C.sized_for_fitting(spark.range(300_000), "id")
+    assert rows.rdd.getNumPartitions() == 24 and rows.count() == 300_000
+    rows.unpersist()
+
+
+def test_the_model_is_applied_once_for_all_metrics(spark):
+    from pyspark.ml.linalg import Vectors, VectorUDT
+    seen = spark.sparkContext.accumulator(0)
+
+    class Model:
+        @staticmethod
+        def transform(df):
+            def vector(p):
+                seen.add(1)
+                return Vectors.dense([1 - p, p])
+            return df.withColumn("probability", F.udf(vector, VectorUDT())("p")).withColumn("prediction", F.round("p"))
+
+    test = spark.createDataFrame([(i % 3 == 0, (i * 37 % 100) / 100) for i in range(500)], "label boolean, p double")
+    want = C.evaluate(Model.transform(test)).first()
+    before = seen.value
+    assert C.evaluated(Model, test) == want and seen.value - before == 500
