@@ -175,3 +175,24 @@ def test_the_model_is_applied_once_for_all_metrics(spark):
     want = C.evaluate(Model.transform(test)).first()
     before = seen.value
     assert C.evaluated(Model, test) == want and seen.value - before == 500
+
+
+def test_parts_of_a_forest_vote_together(spark, sf_small, monkeypatch, tmp_path):
+    """Votes of parts add up to those of all their trees, and no fit of the grid has more trees than a part."""
+    monkeypatch.setattr(C, "GRID_TREES", [5, 10])
+    monkeypatch.setattr(C, "GRID_DEPTH", [None])
+    monkeypatch.setattr(C, "GRID_MIN_LEAF", [4])
+    monkeypatch.setattr(C, "GRID_TREES_AT_ONCE", 6)
+    data = C.prepare(T.portfolio(spark, sf_small), T.FEATURES, T.TARGET, "cliente_id")
+    train, test = (C.assemble(T.FEATURES).transform(data[k]) for k in ("train", "test"))
+    first, second = (C.RandomForestClassifier(numTrees=n, maxDepth=30, weightCol="peso", seed=n, leafCol="leaf").fit(train) for n in (6, 4))
+    rows = test.withColumn("row", F.col("cliente_id"))
+    votes = C.grid_votes(first, rows, str(tmp_path / "a")).unionByName(C.grid_votes(second, rows, str(tmp_path / "b"), 6))
+    p = {f.getNumTrees: f.transform(test).select("cliente_id", "label", C.probability_of_churn(test).alias("p")) for f in (first, second)}
+    both = p[6].join(p[4].select("cliente_id", F.col("p").alias("q")), "cliente_id").filter("label = 1")
+    want = both.agg(F.avg((F.col("p") * 6 + F.col("q") * 4 > 5).cast("double"))).first()[0]
+    assert C.recalls_of_votes(votes)[(10, None)] == pytest.approx(want)
+    fitted, real = [], C.RandomForestClassifier
+    monkeypatch.setattr(C, "RandomForestClassifier", lambda **k: fitted.append(k["numTrees"]) or real(**k))
+    C.tune_forest(data, T.FEATURES, "cliente_id")
+    assert sorted(fitted[:-1]) == [4] * 5 + [6] * 5  # the last is the refitted best
