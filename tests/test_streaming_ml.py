@@ -196,3 +196,11 @@ def test_parts_of_a_forest_vote_together(spark, sf_small, monkeypatch, tmp_path)
     monkeypatch.setattr(C, "RandomForestClassifier", lambda **k: fitted.append(k["numTrees"]) or real(**k))
     C.tune_forest(data, T.FEATURES, "cliente_id")
     assert sorted(fitted[:-1]) == [4] * 5 + [6] * 5  # the last is the refitted best
+
+
+def test_rows_to_evaluate_on_are_in_few_partitions(spark):
+    """The metrics run some ten jobs a model over the test rows: these do not keep a task per partition of the input."""
+    rows = spark.range(0, 3000, 1, 40).selectExpr("id", "CAST(id % 7 AS DOUBLE) AS x", "CAST(id % 3 = 0 AS INT) AS y")
+    data = C.prepare(rows, ["x"], "y", "id")
+    assert data["test"].count() == 600 and data["test"].rdd.getNumPartitions() == C.fitting_partitions(600)
+    data["train"].unpersist(), data["test"].unpersist()
