@@ -204,3 +204,28 @@ def test_rows_to_evaluate_on_are_in_few_partitions(spark):
     data = C.prepare(rows, ["x"], "y", "id")
     assert data["test"].count() == 600 and data["test"].rdd.getNumPartitions() == C.fitting_partitions(600)
     data["train"].unpersist(), data["test"].unpersist()
+
+
+def test_boosting_is_fitted_on_distinct_binned_rows(spark, monkeypatch):
+    """Rows with equal bins and label are one weighted row, and the model is that of all rows."""
+    x, z, noise = "pmod(xxhash64(id, 1), 50)", "CAST(sqrt(pmod(xxhash64(id, 2), 100)) AS INT)", "pmod(xxhash64(id, 3), 40)"
+    rows = spark.range(0, 4000, 1, 5).selectExpr("id", f"pow({x}, 1.5) AS x", f"{z} AS z", "1.5D AS same",
+                                                 f"CAST(({x} + 4 * {z} + {noise} > 55) AS DOUBLE) AS label")
+    features = ["x", "z", "same"]
+    est = C.GBTClassifier(maxIter=4, maxDepth=3, stepSize=0.1, seed=C.SEED, featuresCol="features", labelCol="label")
+    want = est.fit(C.assemble(features).transform(rows))
+    seen = []
+    real = C.GBTClassifier.fit
+    monkeypatch.setattr(C.GBTClassifier, "fit", lambda self, df: seen.append(df.count()) or real(self, df))
+    model = C.train_models(rows, features, "label", "id", models={"g": est}, data={
+        "train": rows, "test": rows, "params": {}, "fills": {}})["g"]["model"]
+    assert len(seen) == 1 and seen[0] <= 32 * 10 * 2  # x has 50 values in 32 bins, z has 10
+    wanted = want.transform(C.assemble(features).transform(rows)).select("id", C.vector_to_array("probability")[1].alias("p"))
+    got = model.transform(rows).select("id", C.vector_to_array("probability")[1].alias("q"))
+    assert wanted.join(got, "id").agg(F.max(F.abs(F.col("p") - F.col("q")))).first()[0] < 1e-9
+
+
+def test_thresholds_lie_between_values():
+    assert C.thresholds([1.0, 1.0, 2.0, 5.0], 32) == [1.5, 3.5]
+    assert C.thresholds([3.0] * 9, 32) == [] and C.thresholds([], 32) == []
+    assert C.thresholds([float(i) for i in range(100)], 4) == [24.5, 49.5, 74.5]
