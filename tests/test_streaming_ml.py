@@ -229,3 +229,34 @@ def test_thresholds_lie_between_values():
     assert C.thresholds([1.0, 1.0, 2.0, 5.0], 32) == [1.5, 3.5]
     assert C.thresholds([3.0] * 9, 32) == [] and C.thresholds([], 32) == []
     assert C.thresholds([float(i) for i in range(100)], 4) == [24.5, 49.5, 74.5]
+
+
+def _counted_portfolio(spark, monkeypatch):
+    """Counts the rows of the portfolio that are derived, and leaves the decision tree as only candidate."""
+    seen, real, full = spark.sparkContext.accumulator(0), T.portfolio, C.candidate_models
+
+    def age(x):
+        seen.add(1)
+        return x
+    monkeypatch.setattr(T, "portfolio", lambda s, d: real(s, d).withColumn("edad", F.udf(age, "int")("edad")))
+    monkeypatch.setattr(C, "candidate_models", lambda n: {k: m for k, m in full(n).items() if k == "Árbol de Decisión"})
+    return seen
+
+
+def test_a_persisted_table_stays_persisted_after_its_preparation(spark, sf_small):
+    p = T.portfolio(spark, sf_small).persist()
+    data = C.prepare(p, T.FEATURES, T.TARGET, "cliente_id")
+    assert p.storageLevel.useMemory
+    data["train"].unpersist(), data["test"].unpersist(), p.unpersist()
+    data = C.prepare(p, T.FEATURES, T.TARGET, "cliente_id")
+    assert not p.storageLevel.useMemory  # its own copy is released
+    data["train"].unpersist(), data["test"].unpersist()
+
+
+def test_training_derives_the_portfolio_once(spark, sf_small, monkeypatch):
+    from cauce.plans import q_churn
+    n = T.portfolio(spark, sf_small).count()
+    seen = _counted_portfolio(spark, monkeypatch)
+    monkeypatch.setattr(q_churn, "_CACHE", {})
+    assert q_churn.agg_model_table_ml(spark, sf_small).count() == 1
+    assert seen.value == n and not T.portfolio(spark, sf_small).storageLevel.useMemory
