@@ -14,6 +14,7 @@ import time
 import uuid
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -214,7 +215,17 @@ def run_churn(spark: SparkSession, sf_dir: str, out_dir: str, run_id: str | None
     run_id = run_id or new_run_id()
     W.begin_run(spark, out_dir, run_id)
     t0 = time.perf_counter()
-    portfolio = T.portfolio(spark, sf_dir)
+    # training, quality report and scoring take some ten passes: the table is derived once for all of them
+    portfolio = T.portfolio(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _churn_of(portfolio, out_dir, run_id, t0, with_grid)
+    finally:
+        portfolio.unpersist()
+
+
+def _churn_of(portfolio: DataFrame, out_dir: str, run_id: str, t0: float, with_grid: bool) -> DataFrame:
+    """:func:`run_churn` of a portfolio, from the training on."""
+    spark = portfolio.sparkSession
     t = C.train_and_select(portfolio, T.FEATURES, T.TARGET, "cliente_id", with_grid=with_grid)
     table = C.model_table(t["results"])
     W.write_csv(table.coalesce(1), f"{out_dir}/comparacion_modelos/run={run_id}")

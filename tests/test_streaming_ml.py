@@ -260,3 +260,11 @@ def test_training_derives_the_portfolio_once(spark, sf_small, monkeypatch):
     monkeypatch.setattr(q_churn, "_CACHE", {})
     assert q_churn.agg_model_table_ml(spark, sf_small).count() == 1
     assert seen.value == n and not T.portfolio(spark, sf_small).storageLevel.useMemory
+
+
+def test_the_churn_job_derives_the_portfolio_once(spark, sf_small, monkeypatch, tmp_path):
+    from cauce.plans import jobs
+    n = T.portfolio(spark, sf_small).count()
+    seen = _counted_portfolio(spark, monkeypatch)
+    assert jobs.run_churn(spark, sf_small, str(tmp_path), "r1").count() == 1
+    assert seen.value == n and spark.read.parquet(f"{tmp_path}/clientes_scoreados/run=r1").count() == n
