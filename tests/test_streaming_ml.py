@@ -198,6 +198,23 @@ def test_parts_of_a_forest_vote_together(spark, sf_small, monkeypatch, tmp_path)
     assert sorted(fitted[:-1]) == [4] * 5 + [6] * 5  # the last is the refitted best
 
 
+def test_the_grid_is_fitted_on_all_rows(spark, monkeypatch):
+    """The rows of class 1 are those with the 2,000 largest hashes of the key among 22,000: a bounded part lacks them."""
+    monkeypatch.setattr(C, "GRID_TREES", [2, 4])
+    monkeypatch.setattr(C, "GRID_DEPTH", [2, None])
+    monkeypatch.setattr(C, "GRID_MIN_LEAF", [1])
+    keys = [r[0] for r in spark.range(22_000).orderBy(F.xxhash64("id")).collect()]
+    last = spark.createDataFrame([(k,) for k in keys[20_000:]], "id long")
+    rows = spark.range(22_000).join(last.withColumn("label", F.lit(1.0)), "id", "left").na.fill(0.0, ["label"])
+    train = rows.selectExpr("id", "label", "label + pmod(id, 10) / 20 AS x", "pmod(id, 3) AS z",
+                            "IF(label = 1, 5.5D, 0.55D) AS peso").persist()
+    best, table, found = C.tune_forest({"train": train}, ["x", "z"], "id")
+    assert table.filter("recall_cv > 0.9").count() == 4 and found[3] > 0.9
+    scored = best.transform(train).filter("label = 1")
+    assert scored.filter("prediction = 1").count() > 1_800
+    train.unpersist()
+
+
 def test_rows_to_evaluate_on_are_in_few_partitions(spark):
     """The metrics run some ten jobs a model over the test rows: these do not keep a task per partition of the input."""
     rows = spark.range(0, 3000, 1, 40).selectExpr("id", "CAST(id % 7 AS DOUBLE) AS x", "CAST(id % 3 = 0 AS INT) AS y")
