@@ -215,6 +215,110 @@ def test_the_grid_is_fitted_on_all_rows(spark, monkeypatch):
     train.unpersist()
 
 
+def _train_rows(spark, n=3000):
+    """Rows with a fold, some without, missing values in ``x`` and weights by class."""
+    a, b, noise = "pmod(xxhash64(id, 1), 37)", "pmod(xxhash64(id, 2), 5)", "pmod(xxhash64(id, 3), 50)"
+    return spark.range(0, n, 1, 4).selectExpr(
+        "id", f"CASE id % 20 WHEN 0 THEN NULL WHEN 1 THEN double('NaN') ELSE pow({a}, 1.5) END AS x", f"{b} AS z", "2.5D AS same",
+        f"CAST({a} + 6 * {b} + {noise} > 60 AS DOUBLE) AS label", "IF(id % 50 = 7, NULL, CAST(pmod(xxhash64(id, 4), 5) AS INT)) AS fold",
+    ).withColumn("peso", F.when(F.col("label") == 1, 1.3).otherwise(0.8))
+
+
+def test_cells_hold_all_rows(spark):
+    train, features = _train_rows(spark), ["x", "z", "same"]
+    cells = C.held_cells(C.binned_cells(train, features, "peso", 32), features, "peso")
+    want = {(int(r.label), 5 if r.fold is None else r.fold): r["n"] for r in train.groupBy("label", "fold").agg(F.count("*").alias("n")).collect()}
+    assert {(i, f): int(cells.rows[i, f].sum()) for i in (0, 1) for f in range(6) if cells.rows[i, f].any()} == want
+    top = cells.bins[0].max()  # missing values are above all others
+    assert cells.rows[:, :, cells.bins[0] == top].sum() == train.filter("x IS NULL OR isnan(x)").count()
+    assert len(set(map(tuple, cells.bins.T.tolist()))) == cells.bins.shape[1] and tuple(cells.weights) == (0.8, 1.3)
+
+
+@pytest.mark.parametrize("leaf", [1, 9])
+def test_a_tree_on_cells_is_spark_mls(spark, monkeypatch, leaf):
+    """With every feature at every node and every row once, the tree is the one Spark ML grows on the bins."""
+    import numpy as np
+
+    from cauce.operators import forest as FO
+    monkeypatch.setattr(FO, "chosen_features", lambda rngs, tree, n: np.ones((len(tree), n), dtype=bool))
+    train, features = _train_rows(spark), ["x", "z"]
+    cells = C.held_cells(C.binned_cells(train, features, "peso", 32), features, "peso")
+    asked = np.arange(cells.bins.shape[1])
+    nodes, (cut, end) = FO.grow(cells, [cells.rows.sum(axis=1)], asked, leaf, 5, [2, None], [np.random.default_rng(1)])
+    binning = C.bucketizer(train, features, 32)
+    binned = binning.transform(train).select(*[F.col(c).cast("int").alias(c) for c in binning.getOutputCols()], "label", "peso")
+    tree = C.DecisionTreeClassifier(maxDepth=5, maxBins=64, minInstancesPerNode=leaf, weightCol="peso").fit(
+        C.assemble(binning.getOutputCols()).transform(binned.na.fill(float(cells.bins[0].max()))))
+    at = spark.createDataFrame([tuple(map(float, c)) for c in cells.bins.T], binning.getOutputCols())
+    want = [r[0] for r in tree.transform(C.assemble(binning.getOutputCols()).transform(at)).select(C.vector_to_array("probability")[1]).collect()]
+    assert np.allclose(nodes["p"][end], want) and (nodes["left"] < 0)[end].all() and tree.depth == 5
+    assert int((~nodes["below"]).sum()) == tree.numNodes
+    rows = cells.rows.sum(axis=(0, 1))
+    assert np.array_equal(np.bincount(end, rows, len(nodes["p"]))[nodes["left"] < 0], (nodes["n0"] + nodes["n1"])[nodes["left"] < 0])
+    assert cut.max() < 7 and np.array_equal(np.bincount(cut, rows, 7), np.bincount(cut, rows, 7) * (np.bincount(cut, minlength=7) > 0))
+
+
+def test_what_is_grown_together_changes_no_tree(spark, monkeypatch):
+    import numpy as np
+
+    from cauce.operators import forest as FO
+    train, features = _train_rows(spark), ["x", "z", "same"]
+    cells = C.held_cells(C.binned_cells(train, features, "peso", 32), features, "peso")
+    asked = np.flatnonzero(cells.rows[1, 2])
+
+    def ends():
+        return [np.concatenate(p) for p in zip(*[[nodes["p"][e] for e in end] for _, nodes, end in FO.grow_part(
+            cells, 2, 2, 30, 6, 42, [3, None], asked)])]
+    together = ends()
+    monkeypatch.setattr(FO, "SLOTS", 1)
+    assert all(np.array_equal(a, b) for a, b in zip(together, ends())) and len(together[0]) == 6 * len(asked)
+    assert len({tuple(t) for t in together[1].reshape(6, -1).tolist()}) == 6  # no two trees have the same bag
+
+
+def test_votes_of_cells_add_up_to_the_grid(spark, monkeypatch):
+    """The recalls are those of the summed votes of all trees, whatever parts they are grown in; Spark ML's are near."""
+    import numpy as np
+
+    from cauce.operators import forest as FO
+    monkeypatch.setattr(C, "GRID_TREES", [5, 10])
+    monkeypatch.setattr(C, "GRID_DEPTH", [2, None])
+    monkeypatch.setattr(C, "GRID_MIN_LEAF", [1, 8])
+    monkeypatch.setattr(C, "GRID_TREES_AT_ONCE", 6)  # the second part has trees of both sizes
+    train, features = _train_rows(spark).na.fill(5.0, ["x"]).persist(), ["x", "z", "same"]
+    cells = C.held_cells(C.binned_cells(train, features, "peso", 32), features, "peso")
+    table = C.grid_search(train, features)[1]
+    got = {(r.num_trees, r.max_depth, r.min_leaf): r.recall_cv for r in table.collect()}
+    assert len(got) == 8
+    for leaf in (1, 8):
+        recalls = {(n, d): [] for n in (5, 10) for d in (2, 30)}
+        for fold in range(5):
+            asked = np.flatnonzero(cells.rows[1, fold])
+            trees = []
+            for first, n in ((0, 6), (6, 4)):
+                for _, nodes, (cut, end) in FO.grow_part(cells, fold, leaf, 30, n, C.SEED + first, [2, None], asked):
+                    trees += list(zip(nodes["p"][cut].reshape(-1, len(asked)), nodes["p"][end].reshape(-1, len(asked))))
+            for n, d in recalls:
+                hit = sum(t[d == 30] for t in trees[:n]) > n / 2
+                recalls[n, d].append(cells.rows[1, fold][asked][hit].sum() / cells.rows[1, fold].sum())
+        for (n, d), r in recalls.items():
+            assert got[n, d, leaf] == pytest.approx(sum(r) / 5)
+    monkeypatch.setattr(C, "GRID_CELLS", 0)  # more cells than a task holds
+    own = {(r.num_trees, r.max_depth, r.min_leaf): r.recall_cv for r in C.grid_search(train, features)[1].collect()}
+    assert set(own) == set(got) and all(abs(own[k] - got[k]) < 0.1 for k in own if k[1] == 30)  # at depth 2 draws weigh more
+    train.unpersist()
+
+
+def test_the_grid_grows_on_cells_unless_they_are_too_many(spark, sf_small, monkeypatch):
+    """No forest of the grid is fitted by Spark's jobs, a hundred a forest: only the best point is."""
+    monkeypatch.setattr(C, "GRID_TREES", [2])
+    monkeypatch.setattr(C, "GRID_DEPTH", [2])
+    data = C.prepare(T.portfolio(spark, sf_small), T.FEATURES, T.TARGET, "cliente_id")
+    fits, real = [], C.RandomForestClassifier.fit
+    monkeypatch.setattr(C.RandomForestClassifier, "fit", lambda self, df: fits.append(df) or real(self, df))
+    assert C.tune_forest(data, T.FEATURES, "cliente_id")[1].count() == 3 and len(fits) == 1
+    data["train"].unpersist(), data["test"].unpersist()
+
+
 def test_rows_to_evaluate_on_are_in_few_partitions(spark):
     """The metrics run some ten jobs a model over the test rows: these do not keep a task per partition of the input."""
     rows = spark.range(0, 3000, 1, 40).selectExpr("id", "CAST(id % 7 AS DOUBLE) AS x", "CAST(id % 3 = 0 AS INT) AS y")
